@@ -28,7 +28,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", os.environ.get("SHELFSPARK_DRIVER_MEMORY", "16g"))
-         .config("spark.ui.enabled", "false"))
+         .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false"))
     for k, v in {**ENGINE_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

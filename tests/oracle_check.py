@@ -93,7 +93,7 @@ def main():
         try:
             msg = compare(spark, con, name, fn, os_.get(name), sf_dir)
         except Exception as e:  # noqa: BLE001
-            msg = f"ERROR {name}: {type(e).__name__}: {str(e)[:800]}"
+            msg = f"ERROR {name}: {type(e).__name__}: " + " | ".join([l for l in str(e).splitlines() if l.strip()][-3:])[:600]
             if os.environ.get("TRACE"):
                 traceback.print_exc()
         if not (msg.startswith("OK") or msg.startswith("ROWS-ONLY")):
