@@ -2,8 +2,11 @@
 
 The reference ingests one date per tick: compare with yesterday's forecast, compute drift,
 decide on retraining, forecast tomorrow, refresh serving tables. All of that only looks back,
-so every date can be processed at once: the forecast from day d is joined to day d+1, drift is a
-window over a small per-date table, and the version in force is a running count of retrains.
+so any number of dates can be processed at once: the forecast from day d is joined to day d+1,
+drift is a window over a small per-date table, and the model version in force is a running count
+of retrains. ``advance`` does this for a block of new dates on top of the state left by earlier
+blocks; the batch backtest is ``advance`` from an empty state and the streaming tick (K2) calls
+it once per micro-batch, so stream and batch give the same rows.
 """
 
 from __future__ import annotations
@@ -15,56 +18,86 @@ from ..functions.numeric import (DRIFT_FLAG_THRESHOLD, DRIFT_RETRAIN_THRESHOLD,
                                  c_should_retrain, c_version_after)
 from ..operators import panel
 
+PRED_SCHEMA = "target_date date, entity_id bigint, pred_demand double, pred_price double, model_version string"
+DAYS_SCHEMA = ("sim_day bigint, date date, rows_ingested bigint, drift_score double, drift_flag boolean, "
+               "retrained boolean, model_version string")
+
 
 def day_table(actuals: DataFrame, fva: DataFrame, window_rows: int = 7, every: int = RETRAIN_EVERY_N_DAYS,
-              retrain_threshold: float = DRIFT_RETRAIN_THRESHOLD,
-              flag_threshold: float = DRIFT_FLAG_THRESHOLD) -> DataFrame:
-    """One row per ingested date: sim_day, rows ingested, drift, flag, retrain decision and the
-    model version in force after the decision. The table has one row per date, so the ordered
-    windows below run over #dates rows, not over the panel."""
+              retrain_threshold: float = DRIFT_RETRAIN_THRESHOLD, flag_threshold: float = DRIFT_FLAG_THRESHOLD,
+              sim_day0=0, retrains0=0) -> DataFrame:
+    """One row per date of ``actuals``: sim_day, rows ingested, drift, flag, retrain decision and the
+    model version in force after the decision. ``fva`` must hold the new comparison rows plus the
+    tail of earlier ones. ``sim_day0`` / ``retrains0`` carry the counters of earlier blocks (ints or
+    scalar-subquery Columns). The ordered windows run over one row per date."""
     per_date = actuals.groupBy("date").agg(F.count(F.lit(1)).alias("rows_ingested"))
     drift = panel.per_day_drift_last_rows(fva, window_rows)
     w = Window.orderBy("date")
     d = (per_date.join(drift, "date", "left")
          .withColumn("drift_score", F.coalesce("drift_score", F.lit(0.0)))
-         .withColumn("sim_day", F.row_number().over(w).cast("bigint")))
+         .withColumn("sim_day", (F.row_number().over(w) + F.lit(sim_day0) if isinstance(sim_day0, int)
+                                 else F.row_number().over(w) + sim_day0).cast("bigint")))
     d = d.withColumn("retrained", c_should_retrain("sim_day", "drift_score", every, retrain_threshold))
     n = F.sum(F.col("retrained").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return d.select("sim_day", "date", "rows_ingested", "drift_score",
+    n = n + (F.lit(retrains0) if isinstance(retrains0, int) else retrains0)
+    return d.select("sim_day", "date", F.col("rows_ingested").cast("bigint").alias("rows_ingested"), "drift_score",
                     (F.col("drift_score") > flag_threshold).alias("drift_flag"),
                     "retrained", c_version_after(n).alias("model_version"))
 
 
-def backtest(actuals: DataFrame, window_rows: int = 7, noise: float = 0.0) -> dict[str, DataFrame]:
-    """Run every tick at once. Returns ``fva`` (comparison rows with the version that made each
-    forecast), ``days`` (per-date drift and retrain table) and ``predictions``."""
-    # Forecast values do not depend on the version (momentum model), so drift and decisions can be
-    # computed first and the version attached afterwards.
-    preds0 = panel.next_day_forecast(actuals, "v?", noise)
-    fva0 = panel.forecast_vs_actual(actuals, preds0)
-    days = day_table(actuals, fva0, window_rows)
+def advance(new_actuals: DataFrame, prev_fva: DataFrame | None = None, prev_days: DataFrame | None = None,
+            prev_preds: DataFrame | None = None, window_rows: int = 7, noise: float = 0.0) -> dict[str, DataFrame]:
+    """Process a block of new dates on top of earlier state.
+
+    ``prev_fva``: earlier comparison rows (only the last ``window_rows`` with an error are used);
+    ``prev_days``: earlier day rows (for the sim-day and retrain counters); ``prev_preds``: earlier
+    forecasts (those targeting the new dates are used). Returns ``fva``, ``days`` and
+    ``predictions`` for the new block."""
+    spark = new_actuals.sparkSession
+    stored = prev_preds.select("target_date", "entity_id", "pred_demand", "pred_price", "model_version") \
+        if prev_preds is not None else spark.createDataFrame([], PRED_SCHEMA)
+    new_dates = new_actuals.select(F.col("date").alias("target_date")).distinct()
+    stored = stored.join(new_dates, "target_date", "left_semi")
+    # forecast values do not depend on the version (momentum model): decide first, label after
+    preds0 = panel.next_day_forecast(new_actuals, "v?", noise)
+    fva0 = panel.forecast_vs_actual(new_actuals, stored.unionByName(preds0))
+    history = fva0
+    if prev_fva is not None:
+        tail = (prev_fva.filter(F.col("abs_demand_error").isNotNull())
+                .orderBy(F.col("date").desc(), F.col("entity_id").desc()).limit(window_rows))
+        history = tail.select(*fva0.columns).unionByName(fva0)
+    sim0, ret0 = 0, 0
+    if prev_days is not None:
+        sim0 = F.coalesce(prev_days.agg(F.max("sim_day")).scalar(), F.lit(0))
+        ret0 = F.coalesce(prev_days.agg(F.count_if("retrained")).scalar(), F.lit(0))
+    days = day_table(new_actuals, history, window_rows, sim_day0=sim0, retrains0=ret0) \
+        .join(new_dates.withColumnRenamed("target_date", "date"), "date", "left_semi")
     version_of_day = days.select("date", F.col("model_version").alias("_v"))
-    preds = (panel.next_day_forecast(actuals.join(version_of_day, "date"), F.col("_v"), noise))
-    fva = panel.forecast_vs_actual(actuals, preds)
-    return {"fva": fva, "days": days, "predictions": preds}
+    preds = panel.next_day_forecast(new_actuals.join(version_of_day, "date"), F.col("_v"), noise)
+    fva = panel.forecast_vs_actual(new_actuals, stored.unionByName(preds))
+    return {"fva": fva, "days": days.select("sim_day", "date", "rows_ingested", "drift_score", "drift_flag",
+                                            "retrained", "model_version"),
+            "predictions": preds}
+
+
+def backtest(actuals: DataFrame, window_rows: int = 7, noise: float = 0.0) -> dict[str, DataFrame]:
+    """Every tick at once (``advance`` from an empty state)."""
+    return advance(actuals, window_rows=window_rows, noise=noise)
 
 
 def tick(day_actuals: DataFrame, predictions: DataFrame | None, version: str = "v1.0",
          noise: float = 0.0) -> dict[str, DataFrame]:
-    """I4 for one date's actuals: comparison against the stored predictions for that date, then the
-    next-day forecast and the serving rows to upsert. Drift and the retrain decision need the
-    comparison history and are computed by the caller (see ``streaming.feed``)."""
-    if predictions is None:
-        spark = day_actuals.sparkSession
-        predictions = spark.createDataFrame([], "target_date date, entity_id bigint, pred_demand double, "
-                                                "pred_price double, model_version string")
-    day = day_actuals.select(F.min("date")).scalar()
-    preds_today = predictions.filter(F.col("target_date") == day)
+    """I4 serving rows for one block of actuals: comparison against the stored predictions, the
+    next-day forecast with the given version and the serving rows to upsert."""
+    spark = day_actuals.sparkSession
+    stored = predictions if predictions is not None else spark.createDataFrame([], PRED_SCHEMA)
     return {
-        "fva": panel.forecast_vs_actual(day_actuals, preds_today),
+        "fva": panel.forecast_vs_actual(day_actuals, stored.join(
+            day_actuals.select(F.col("date").alias("target_date")).distinct(), "target_date", "left_semi")),
         "predictions": panel.next_day_forecast(day_actuals, version, noise),
         "master": panel.to_master(day_actuals),
         "daily": panel.daily_summary(day_actuals),
         "explanations": panel.explanations(day_actuals),
         "alerts": panel.alerts(day_actuals),
+        "forecast": panel.forecast_avg(panel.next_day_forecast(day_actuals, version, noise)),
     }

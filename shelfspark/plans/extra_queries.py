@@ -1 +1,160 @@
-"""Registered queries."""
+"""Registered streaming (K1-K6) and model (J1-J6, D12, B15) queries."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..functions.numeric import c_naive_demand
+from ..operators import crawl, models, views
+from ..session import checkpoint_dir
+from ..streaming import feed
+from . import backtest as bt
+from .crawl_queries import LINKS_SQL, sql_page_type
+from .panel_queries import _BT_SQL, _FVA
+from .registry import R, ORACLES, query
+
+
+def _scratch(spark, name: str) -> str:
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _stream_state(spark, sf, max_files=None):
+    """Split the actuals panel into per-date feed files and run the tick stream over them."""
+    base = _scratch(spark, "tick")
+    feed.write_feed(fx.actuals(spark, sf), f"{base}/feed")
+    feed.run_tick_stream(spark, f"{base}/feed", f"{base}/state", max_files_per_trigger=max_files)
+    return f"{base}/state"
+
+
+@query("stream_tick_fva")
+def q_stream_tick_fva(spark, sf):
+    """K1 + K2: the daily feed as a stream, ticked by foreachBatch; must equal the batch backtest."""
+    state = _stream_state(spark, sf)
+    return spark.read.parquet(f"{state}/fva").select(*bt.panel.FVA_COLS)
+
+
+@query("stream_tick_days")
+def q_stream_tick_days(spark, sf):
+    """K2 + D4 + G22 + G23: per-day drift / retrain / version rows written by the stream."""
+    state = _stream_state(spark, sf)
+    return spark.read.parquet(f"{state}/days").select("sim_day", "date", "rows_ingested", "drift_score",
+                                                      "drift_flag", "retrained", "model_version")
+
+
+@query("stream_daily_summary", """
+SELECT CAST(ts AS DATE) AS date, COUNT(*) AS events, COUNT_IF(event_type = 'purchase') AS purchases,
+  SUM(CAST(ROUND(value * 100) AS BIGINT)) AS value_cents
+FROM events GROUP BY 1 HAVING CAST(ts AS DATE) < (SELECT CAST(MAX(ts) AS DATE) FROM events)""")
+def q_stream_daily_summary(spark, sf):
+    """K6: one-day tumbling windows with a watermark in append mode; the day still open at the
+    watermark is not emitted (it would be by a later trigger)."""
+    schema = fx.table(spark, sf, "events").schema
+    ev = spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/events*.parquet")
+    out = feed.run_to_memory(feed.daily_event_summary(ev))
+    return out.select("date", "events", "purchases", F.col("value_cents").cast("bigint").alias("value_cents"))
+
+
+@query("stream_seen_urls", f"WITH {LINKS_SQL}\nSELECT DISTINCT link AS url FROM edges")
+def q_stream_seen_urls(spark, sf):
+    """K4: discovered links streamed through ``dropDuplicatesWithinWatermark``."""
+    base = _scratch(spark, "links")
+    edges = crawl.link_edges(crawl.extract_links(fx.table(spark, sf, "pages")))
+    edges.select(F.col("link").alias("url"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("ts")) \
+        .write.parquet(base)
+    s = spark.readStream.schema("url string, ts timestamp").parquet(base)
+    return feed.run_to_memory(feed.seen_url_dedup(s)).select("url")
+
+
+@query("stream_pages", f"SELECT page_id, {sql_page_type('url', 'html')} AS page_type FROM pages")
+def q_stream_pages(spark, sf):
+    """K5: pages parsed as a stream; page types equal the batch classification."""
+    out = feed.run_to_memory(feed.page_stream(spark, f"{sf.rstrip('/')}/pages*.parquet"))
+    return out.select("page_id", F.col("page_type_hint").alias("page_type"))
+
+
+# ---------------------------------------------------------------- models
+
+
+@query("naive_scores", f"""WITH {fx.ACTUALS_CTE}
+SELECT date, entity_id, {R("COALESCE(search_index * 0.4 + ad_index * 0.3 + sentiment_index * 100 * 0.2 + 30 * 0.1, COALESCE(search_index, 0.0) * 0.5 + 25.0) + 0.0", 4)} AS pred_demand
+FROM actuals""")
+def q_naive_scores(spark, sf):
+    """J4 fallback (G27) over every panel row."""
+    a = fx.actuals(spark, sf)
+    return models.score(a, None).select("date", "entity_id", "pred_demand")
+
+
+@query("residual_bias", f"""{_FVA}
+SELECT entity_id, {R("AVG(demand_error)", 4)} AS bias FROM fva
+WHERE date > (SELECT MAX(date) FROM fva) - INTERVAL 7 DAY GROUP BY entity_id""")
+def q_residual_bias(spark, sf):
+    """Mean recent demand error per entity (last 7 days of comparisons)."""
+    a = fx.actuals(spark, sf)
+    fva = bt.panel.forecast_vs_actual(a, bt.panel.next_day_forecast(a))
+    return models.residual_bias(fva, 7)
+
+
+def _registry(days):
+    """Registry rows (one per retrain) from the day table: version, sequence, rows seen so far."""
+    w = Window.orderBy("date")
+    cum = days.withColumn("rows_seen", F.sum("rows_ingested").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    h = models.retrain_history(cum.select("sim_day", "date", "model_version", "drift_score", "retrained", "rows_seen"))
+    return h.join(cum.select("date", "rows_seen"), "date").select(
+        "model_version", "created_seq", F.col("rows_seen").cast("bigint").alias("rows_seen"),
+        F.lit(None).cast("double").alias("training_mae"), "retrain_reason")
+
+
+_REG_SQL = f"""{_BT_SQL},
+cum AS (SELECT *, SUM(rows_ingested) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rows_seen FROM days),
+reg AS (SELECT model_version, row_number() OVER (ORDER BY date) AS created_seq, CAST(rows_seen AS BIGINT) AS rows_seen,
+  CAST(NULL AS DOUBLE) AS training_mae, CASE WHEN sim_day % 7 = 0 THEN 'periodic' ELSE 'drift' END AS retrain_reason
+  FROM cum WHERE retrained)"""
+
+
+@query("retrain_registry", f"{_REG_SQL}\nSELECT * FROM reg")
+def q_retrain_registry(spark, sf):
+    """J3 registry rows produced by the backtest's retrain decisions."""
+    return _registry(bt.backtest(fx.actuals(spark, sf))["days"])
+
+
+@query("model_status", f"""{_REG_SQL}
+SELECT arg_max(model_version, created_seq) AS current_version, arg_max(rows_seen, created_seq) AS rows_seen,
+  arg_max(training_mae, created_seq) AS rolling_mae, arg_max(retrain_reason, created_seq) AS retrain_reason,
+  array_to_string(list(model_version ORDER BY created_seq), ' ') AS all_versions FROM reg""")
+def q_model_status(spark, sf):
+    """B15 over the registry (versions list joined with spaces for the value check)."""
+    st = views.model_status(_registry(bt.backtest(fx.actuals(spark, sf))["days"]))
+    return st.withColumn("all_versions", F.array_join("all_versions", " "))
+
+
+@query("model_scores")
+def q_model_scores(spark, sf):
+    """J1 + J2 + J4: boosted trees fitted on the whole training set and scored on it
+    (rows-only: Spark's GBT numbers are its own)."""
+    a = fx.actuals(spark, sf)
+    train = models.training_set(a)
+    m = models.fit_demand_model(train)
+    return models.score(train, m).select("date", "entity_id", "demand_index", "pred_demand")
+
+
+@query("training_mae")
+def q_training_mae(spark, sf):
+    """In-sample MAE of the fitted model and rows seen (rows-only)."""
+    a = fx.actuals(spark, sf)
+    train = models.training_set(a)
+    m = models.fit_demand_model(train)
+    return models.training_mae(m.transform(train))
+
+
+def _copy_oracle(dst: str, src: str) -> None:
+    ORACLES[dst] = ORACLES[src]
+
+
+_copy_oracle("stream_tick_fva", "backtest_fva")
+_copy_oracle("stream_tick_days", "backtest_days")
+_ = c_naive_demand
