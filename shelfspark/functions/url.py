@@ -41,15 +41,8 @@ def _decode(x: Column) -> Column:
     return F.coalesce(F.try_url_decode(x), x)
 
 
-def c_normalize_url(c) -> Column:
-    """Trim + lower-case; scheme defaults to https; fragment, ``;params`` and trailing ``/``
-    dropped; tracking parameters (case-insensitive) and blank values dropped from the query;
-    repeated keys grouped in order of first appearance; query re-encoded. '' for NULL/''."""
-    u = F.lower(F.trim(_col(c)))
-    scheme = F.regexp_extract(u, _URL_RE, 1)
-    netloc = F.regexp_extract(u, _URL_RE, 2)
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, _URL_RE, 3), r";[^/]*$", ""), r"/+$", "")
-    query = F.regexp_extract(u, _URL_RE, 4)
+def _norm_from_parts(u, scheme, netloc, path0, query) -> Column:
+    path = F.regexp_replace(F.regexp_replace(path0, r";[^/]*$", ""), r"/+$", "")
     tracking = F.array(*[F.lit(p.lower()) for p in TRACKING_PARAMS])
     parts = F.filter(F.split(query, "&"), lambda s: s.contains("="))
     kv = F.transform(parts, lambda s, i: F.struct(
@@ -60,7 +53,15 @@ def c_normalize_url(c) -> Column:
     keys = F.transform(kept, lambda e: e["k"])
     ordered = F.array_sort(F.transform(kept, lambda e: F.struct(
         F.array_position(keys, e["k"]).alias("first"), e["pos"].alias("pos"), e["k"].alias("k"), e["v"].alias("v"))))
-    qs = F.array_join(F.transform(ordered, lambda e: F.concat(_encode(e["k"]), F.lit("="), _encode(e["v"]))), "&")
+    slow_qs = F.array_join(F.transform(ordered, lambda e: F.concat(_encode(e["k"]), F.lit("="), _encode(e["v"]))), "&")
+    # Fast path (no higher-order functions): a query of plain characters with no repeated key
+    # decodes and re-encodes to itself, so dropping tracking / blank / '='-less parts is enough.
+    simple = query.rlike(r"^[a-z0-9_.~=&\-]*$") & ~query.rlike(r"(?:^|&)([^&=]+)=[^&]*(?:&[^&]*)*&\1=")
+    amp = F.concat(F.lit("&"), query)
+    drop_tracking = F.regexp_replace(amp, r"&(?:" + "|".join(p.lower() for p in TRACKING_PARAMS) + r")=[^&]*", "")
+    drop_blank = F.regexp_replace(drop_tracking, r"&[^&=]*=?(?=&|$)", "")
+    fast_qs = F.regexp_replace(drop_blank, r"^&", "")
+    qs = F.when(simple, fast_qs).otherwise(slow_qs)
     sch = F.when(scheme == "", F.lit("https")).otherwise(scheme)
     with_netloc = (netloc != "") | sch.isin("http", "https", "ftp")
     # as urlunparse: a netloc-style URL gets '/' in front of a relative path
@@ -70,6 +71,25 @@ def c_normalize_url(c) -> Column:
     return F.when(u.isNull() | (u == ""), F.lit("")).otherwise(out)
 
 
+def c_normalize_url(c) -> Column:
+    """Trim + lower-case; scheme defaults to https; fragment, ``;params`` and trailing ``/``
+    dropped; tracking parameters (case-insensitive) and blank values dropped from the query;
+    repeated keys grouped in order of first appearance; query re-encoded. '' for NULL/''.
+    (Single-expression form; ``with_normalized_url`` is the faster form for whole tables.)"""
+    u = F.lower(F.trim(_col(c)))
+    return _norm_from_parts(u, *[F.regexp_extract(u, _URL_RE, i) for i in (1, 2, 3, 4)])
+
+
+def with_normalized_url(df, src: str, out: str):
+    """G5 as staged projections: each URL component is extracted once per row (Spark does not
+    collapse a projection whose non-trivial expressions are referenced several times), then the
+    normalised URL is assembled from the columns."""
+    t = ["_nu_u", "_nu_s", "_nu_n", "_nu_p", "_nu_q"]
+    d = df.withColumn(t[0], F.lower(F.trim(F.col(src))))
+    d = d.withColumns({t[i]: F.regexp_extract(F.col(t[0]), _URL_RE, i) for i in (1, 2, 3, 4)})
+    return d.withColumn(out, _norm_from_parts(*[F.col(x) for x in t])).drop(*t)
+
+
 def c_url_fp(c) -> Column:
     """First 16 hex characters of SHA-256 of the normalised URL."""
     return F.substring(F.sha2(c_normalize_url(c), 256), 1, 16)

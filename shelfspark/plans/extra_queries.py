@@ -55,7 +55,7 @@ def q_stream_daily_summary(spark, sf):
     watermark is not emitted (it would be by a later trigger)."""
     schema = fx.table(spark, sf, "events").schema
     ev = spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/events*.parquet")
-    out = feed.run_to_memory(feed.daily_event_summary(ev))
+    out = feed.run_to_table(feed.daily_event_summary(ev))
     return out.select("date", "events", "purchases", F.col("value_cents").cast("bigint").alias("value_cents"))
 
 
@@ -67,13 +67,13 @@ def q_stream_seen_urls(spark, sf):
     edges.select(F.col("link").alias("url"), F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("ts")) \
         .write.parquet(base)
     s = spark.readStream.schema("url string, ts timestamp").parquet(base)
-    return feed.run_to_memory(feed.seen_url_dedup(s)).select("url")
+    return feed.run_to_table(feed.seen_url_dedup(s)).select("url")
 
 
 @query("stream_pages", f"SELECT page_id, {sql_page_type('url', 'html')} AS page_type FROM pages")
 def q_stream_pages(spark, sf):
     """K5: pages parsed as a stream; page types equal the batch classification."""
-    out = feed.run_to_memory(feed.page_stream(spark, f"{sf.rstrip('/')}/pages*.parquet"))
+    out = feed.run_to_table(feed.page_stream(spark, f"{sf.rstrip('/')}/pages*.parquet"))
     return out.select("page_id", F.col("page_type_hint").alias("page_type"))
 
 

@@ -17,7 +17,8 @@ from ..functions.parse import c_price, c_rating, c_rating_count
 from ..functions.text import LONG, SHORT, c_clean_list, c_clean_short, c_clean_text
 from ..operators.extract import extract_pages
 
-EMPTY = F.array().cast("array<string>")
+def _empty():
+    return F.array().cast("array<string>")
 
 
 def _ne(c: Column) -> Column:
@@ -28,7 +29,7 @@ def _ne(c: Column) -> Column:
 def _ld_types(o: Column) -> Column:
     arr = F.try_variant_get(o, "$['@type']", "array<string>")
     one = F.try_variant_get(o, "$['@type']", "string")
-    return F.coalesce(arr, F.when(one.isNotNull(), F.array(one)), EMPTY)
+    return F.coalesce(arr, F.when(one.isNotNull(), F.array(one)), _empty())
 
 
 def _vs(o: Column, *paths: str) -> Column:
@@ -38,7 +39,7 @@ def _vs(o: Column, *paths: str) -> Column:
 
 def json_ld_fields(x: Column) -> dict[str, Column]:
     """H2 + H5 from the raw JSON-LD objects of the extraction struct (Spark VARIANT)."""
-    objs = F.transform(F.coalesce(x["json_ld"], EMPTY), lambda s: F.try_parse_json(s))
+    objs = F.transform(F.coalesce(x["json_ld"], _empty()), lambda s: F.try_parse_json(s))
     prods = F.filter(objs, lambda o: F.array_contains(_ld_types(o), "Product"))
     revs = F.filter(objs, lambda o: F.array_contains(_ld_types(o), "Review")
                     & ~F.array_contains(_ld_types(o), "Product"))
@@ -99,15 +100,15 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         "currency_raw": s(ld["currency_raw"]),
         "rating_raw": s(F.coalesce(ld["rating_raw"], _ne(x["dom_rating"]))),
         "review_count_raw": s(F.coalesce(ld["review_count_raw"], _ne(x["dom_review_count"]))),
-        "breadcrumbs": F.coalesce(ld["breadcrumbs"], x["breadcrumbs"], EMPTY),
-        "bullet_points": F.coalesce(x["bullet_points"], EMPTY),
+        "breadcrumbs": F.coalesce(ld["breadcrumbs"], x["breadcrumbs"], _empty()),
+        "bullet_points": F.coalesce(x["bullet_points"], _empty()),
         "review_text": s(ld["review_text"]), "reviewer_name": s(ld["reviewer_name"]),
         "review_date_raw": s(ld["review_date_raw"]), "review_rating_raw": s(ld["review_rating_raw"]),
         "verified_purchase": F.lit(False),
         "detected_type": ld["detected_type"],
         # Parser-specific fields only for their page type
-        "images": F.when(is_(cl.PRODUCT), x["images"]).otherwise(EMPTY),
-        "variants": F.when(is_(cl.PRODUCT), x["variants"]).otherwise(EMPTY),
+        "images": F.when(is_(cl.PRODUCT), x["images"]).otherwise(_empty()),
+        "variants": F.when(is_(cl.PRODUCT), x["variants"]).otherwise(_empty()),
         "specs": F.when(is_(cl.PRODUCT), x["specs"]).otherwise(F.create_map().cast("map<string,string>")),
         "seller": F.when(is_(cl.PRODUCT), s(x["seller"])).otherwise(F.lit("")),
         "mrp_raw": F.when(is_(cl.PRODUCT), s(x["mrp_raw"])).otherwise(F.lit("")),

@@ -127,15 +127,16 @@ def daily_event_summary(events: DataFrame, delay: str = "0 seconds") -> DataFram
             .select(F.to_date(F.col("w.start")).alias("date"), "events", "purchases", "value_cents"))
 
 
-def run_to_memory(df: DataFrame, name: str | None = None, mode: str = "append") -> DataFrame:
-    """Drive a streaming DataFrame to completion (AvailableNow) into a memory table; returns it."""
+def run_to_table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Drive a streaming DataFrame to completion (``Trigger.AvailableNow``) into a parquet file sink
+    in the shared checkpoint folder and return it as a batch table. The file sink is exactly-once
+    (its own commit log) and nothing is collected on the driver."""
     spark = df.sparkSession
-    name = name or ("s_" + uuid.uuid4().hex[:12])
-    ck = os.path.join(checkpoint_dir(spark), "mem-" + uuid.uuid4().hex)
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    base = path or os.path.join(checkpoint_dir(spark), "stream-" + uuid.uuid4().hex)
+    q = (df.writeStream.format("parquet").option("path", f"{base}/data").outputMode("append")
+         .option("checkpointLocation", f"{base}/_ck").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{base}/data")
 
 
 def write_feed(actuals: DataFrame, feed_dir: str) -> None:
