@@ -3,8 +3,9 @@
 K1  daily feed: a file source over per-date actuals files; the source checkpoint is the date
     pointer (each file is consumed exactly once, new files are picked up by the next trigger).
 K2  tick: ``foreachBatch`` runs ``plans.backtest.advance`` on the micro-batch with the state read
-    back from the keyed tables; all writes are keyed by date (dynamic partition overwrite), and the
-    state is read only from dates before the batch, so a replayed batch rewrites identical rows.
+    back from the keyed tables; all writes are keyed by date (dynamic partition overwrite) and
+    tagged with the batch id, and a batch reads only earlier batches' rows, so a retried batch
+    rewrites identical rows.
 K3  late rows: rows dated at or before the last committed date go to a ``late`` table.
 K4  seen-URL dedup: ``dropDuplicatesWithinWatermark`` on the URL.
 K5  page parsing as a stream: the same stateless extraction on a streaming DataFrame.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import backtest as bt
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources.writers import write_keyed
 from ..operators import panel
 
@@ -55,38 +56,44 @@ def daily_feed(spark: SparkSession, feed_dir: str, max_files_per_trigger: int |
 
 
 def tick_batch(state_dir: str, window_rows: int = 7, noise: float = 0.0):
-    """K2 + K3: the ``foreachBatch`` body."""
+    """K2 + K3: the ``foreachBatch`` body.
+
+    Every state row carries the id of the micro-batch that wrote it, and a batch reads only rows of
+    earlier batches. Spark re-runs a failed batch with the same id and the same input, so a retry
+    sees exactly the state the first attempt saw and overwrites the same date partitions."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         p = lambda n: os.path.join(state_dir, n)
+
+        def prior(name):
+            t = _table(spark, p(name))
+            return t.filter(F.col("batch_id") < batch_id).drop("batch_id") if t is not None else None
+
         batch = batch.persist()
         try:
-            first_new = batch.agg(F.min("date")).first()[0]
-            if first_new is None:
-                return
-            days_all = _table(spark, p("days"))
-            # state strictly before this batch: a replay of the same batch sees the same state
-            prev_days = days_all.filter(F.col("date") < F.lit(first_new)) if days_all is not None else None
+            prev_days = prior("days")
             last_done = prev_days.agg(F.max("date")).first()[0] if prev_days is not None else None
             if last_done is not None:
                 late = batch.filter(F.col("date") <= F.lit(last_done))
                 if late.limit(1).count() > 0:
-                    late.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(p("late"))
+                    write_keyed(late.withColumn("batch_id", F.lit(batch_id)), p("late"), "batch_id")
                 new = batch.filter(F.col("date") > F.lit(last_done))
             else:
                 new = batch
             if new.limit(1).count() == 0:
                 return
-            fva_all, preds_all = _table(spark, p("fva")), _table(spark, p("predictions"))
-            prev_fva = fva_all.filter(F.col("date") < F.lit(first_new)) if fva_all is not None else None
-            out = bt.advance(new, prev_fva, prev_days, preds_all, window_rows, noise)
-            write_keyed(out["fva"], p("fva"), "date")
-            write_keyed(out["days"], p("days"), "date")
-            write_keyed(out["predictions"], p("predictions"), "target_date")
-            write_keyed(panel.to_master(new), p("master"), "date")
-            write_keyed(panel.daily_summary(new), p("daily"), "date")
-            write_keyed(panel.explanations(new), p("explanations"), "date")
-            write_keyed(panel.alerts(new, noise), p("alerts"), "date")
+            out = bt.advance(new, prior("fva"), prev_days, prior("predictions"), window_rows, noise)
+            # the results read the state tables that the writes below overwrite (on a retry they
+            # even share partitions): materialise them first with a reliable checkpoint
+            out = {k: cut_lineage(v) for k, v in out.items()}
+            tag = lambda df: df.withColumn("batch_id", F.lit(batch_id))
+            write_keyed(tag(out["fva"]), p("fva"), "date")
+            write_keyed(tag(out["days"]), p("days"), "date")
+            write_keyed(tag(out["predictions"]), p("predictions"), "target_date")
+            write_keyed(tag(panel.to_master(new)), p("master"), "date")
+            write_keyed(tag(panel.daily_summary(new)), p("daily"), "date")
+            write_keyed(tag(panel.explanations(new)), p("explanations"), "date")
+            write_keyed(tag(panel.alerts(new, noise)), p("alerts"), "date")
         finally:
             batch.unpersist()
     return run
