@@ -41,6 +41,8 @@ LINKS_T = T.StructType([T.StructField("links", T.ArrayType(T.StringType())), T.S
 
 def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page its unique absolute links in document order and rel=next; html dropped."""
+    from ..session import spread
+    pages = spread(pages)
     keep = [c for c in pages.columns if c != html_col]
     schema = T.StructType([f for f in pages.schema.fields if f.name != html_col] +
                           [T.StructField("links", T.ArrayType(T.StringType())),

@@ -48,7 +48,7 @@ def q_stream_tick_days(spark, sf):
 
 @query("stream_daily_summary", """
 SELECT CAST(ts AS DATE) AS date, COUNT(*) AS events, COUNT_IF(event_type = 'purchase') AS purchases,
-  SUM(CAST(ROUND(value * 100) AS BIGINT)) AS value_cents
+  CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
 FROM events GROUP BY 1 HAVING CAST(ts AS DATE) < (SELECT CAST(MAX(ts) AS DATE) FROM events)""")
 def q_stream_daily_summary(spark, sf):
     """K6: one-day tumbling windows with a watermark in append mode; the day still open at the

@@ -18,9 +18,26 @@ ENGINE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # HTML rows are large: keep Arrow batches small for the extraction UDF.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    # Post-shuffle stages here are CPU-heavy per row (regex parsing, URL work): let AQE coalesce
+    # small shuffles into partitions of >= 256 KB instead of >= 1 MB so they keep their tasks.
+    # Large shuffles are unaffected (they are sized by the advisory partition size).
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
+    # The rule tables compile into long CASE chains. HotSpot never JIT-compiles a method above
+    # 8000 bytes of bytecode, so stages whose generated method is larger fall back to
+    # per-expression codegen (small, JIT-compiled methods) instead of running interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a DataFrame over the cluster's cores when it arrives in fewer partitions than
+    that (a few large input files) and CPU-heavy per-row work follows. A no-op on real inputs,
+    which come in far more splits than cores."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "shelfspark",
                   extra: dict | None = None) -> SparkSession:
     """Session for tests, the bench and local runs. On a cluster use the cluster's session
@@ -29,7 +46,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", os.environ.get("SHELFSPARK_DRIVER_MEMORY", "16g"))
          .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false"))
+         .config("spark.ui.showConsoleProgress", "false")
+         # local JVM only (a cluster sets its own JVM options): compile huge generated methods too
+         .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods"))
     for k, v in {**ENGINE_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
