@@ -14,11 +14,25 @@ from ..operators import catalog
 from ..operators.keys import upsert
 
 
+def salted(df: DataFrame, partition_col: str, buckets: int | None = None) -> DataFrame:
+    """Cluster rows by output partition, but spread each output partition over ``buckets`` tasks
+    with a deterministic salt (hash of the row), so one large date / content type is written by
+    many tasks, not one, and a retried task produces the same split. ``buckets`` defaults to
+    ``spark.sql.shuffle.partitions / 8`` (1 locally: one file per partition value)."""
+    if buckets is None:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        buckets = max(1, n // 8)
+    if buckets == 1:
+        return df.repartition(partition_col)
+    hashable = [c for c, t in df.dtypes if not t.startswith("map")]      # maps cannot be hashed
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(buckets))
+    return df.repartition(F.col(partition_col), salt)
+
+
 def write_by_type(records: DataFrame, out_dir: str, mode: str = "append") -> None:
     """One job writes every content type: ``records`` is (output, value JSON); files land in
     ``out_dir/output=<products|reviews|ads|trends|unclassified>/``."""
-    (records.repartition("output")
-     .write.mode(mode).partitionBy("output").text(out_dir))
+    salted(records, "output").write.mode(mode).partitionBy("output").text(out_dir)
 
 
 def write_keyed(df: DataFrame, path: str, partition_col: str = "date") -> None:
@@ -28,7 +42,7 @@ def write_keyed(df: DataFrame, path: str, partition_col: str = "date") -> None:
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        (df.repartition(partition_col).write.mode("overwrite").partitionBy(partition_col).parquet(path))
+        salted(df, partition_col).write.mode("overwrite").partitionBy(partition_col).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 

@@ -36,6 +36,9 @@ ACTUALS_STREAM_SCHEMA = T.StructType([
                                                   "signal_story")]])
 
 
+FVA_LOOKBACK_DAYS = 31
+
+
 def _exists(path: str) -> bool:
     return os.path.exists(path) and any(not n.startswith(("_", ".")) for n in os.listdir(path))
 
@@ -82,7 +85,17 @@ def tick_batch(state_dir: str, window_rows: int = 7, noise: float = 0.0):
                 new = batch
             if new.limit(1).count() == 0:
                 return
-            out = bt.advance(new, prior("fva"), prev_days, prior("predictions"), window_rows, noise)
+            # the drift window needs only the last rows with an error: read recent date partitions
+            # (partition pruning) and fall back to the whole history only if they hold too few
+            fva_prev = prior("fva")
+            if fva_prev is not None:
+                recent = fva_prev.filter(F.col("date") > F.date_sub(F.lit(last_done), FVA_LOOKBACK_DAYS))
+                if recent.filter(F.col("abs_demand_error").isNotNull()).limit(window_rows).count() >= window_rows:
+                    fva_prev = recent
+            preds_prev = prior("predictions")
+            if preds_prev is not None:     # only forecasts for the new dates are used (pruned by target_date)
+                preds_prev = preds_prev.filter(F.col("target_date") > F.lit(last_done))
+            out = bt.advance(new, fva_prev, prev_days, preds_prev, window_rows, noise)
             # the results read the state tables that the writes below overwrite (on a retry they
             # even share partitions): materialise them first with a reliable checkpoint
             out = {k: cut_lineage(v) for k, v in out.items()}
