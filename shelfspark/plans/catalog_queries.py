@@ -273,6 +273,13 @@ def q_build_skus(spark, sf):
                     "rating_avg", "rating_count_total", _j("source_urls"), _j("source_domains"), _j("product_names"))
 
 
+@query("sku_links", f"""{CATALOG}
+SELECT DISTINCT sku_id, u AS url_normalized FROM (SELECT sku_id, unnest(source_urls) AS u FROM skurow2)""")
+def q_sku_links(spark, sf):
+    """D7/F3 in flat form: distinct (sku_id, url) pairs."""
+    return catalog.sku_links(_dedup(spark, sf))
+
+
 @query("taxonomy_flat", f"""{CATALOG}
 SELECT sku_id, category, brand, model, variant, {sql_slug('variant')} AS slug, price_min, price_max, price_currency,
   rating_avg, rating_count_total, array_to_string(source_urls, ' ') AS source_urls,
