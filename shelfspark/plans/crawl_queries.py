@@ -197,3 +197,28 @@ def q_parsed_pages(spark, sf):
 def q_scrape_records(spark, sf):
     """The (output, record) table the scrape job writes (rows-only)."""
     return scrape.scrape(None, _pages(spark, sf))
+
+
+@query("crawl_summary", f"""WITH {LINKS_SQL},
+kids AS (SELECT e.link AS url, {sql_host('e.url')} AS seed_domain, e.url AS found_on, e.pos,
+  {sql_page_type_url('e.link')} AS page_type
+  FROM edges e
+  WHERE {sql_registered_domain(sql_host('e.link'))} IS NOT NULL
+    AND {sql_registered_domain(sql_host('e.link'))} = {sql_registered_domain(sql_host('e.url'))}
+    AND {sql_registered_domain(sql_host('e.link'))} IN (SELECT {sql_registered_domain(sql_host('url'))} FROM pages)),
+fresh AS (SELECT * FROM kids WHERE url NOT IN (SELECT url FROM pages)),
+firsts AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {sql_priority('page_type')}, found_on, pos) AS rn
+  FROM fresh) WHERE rn = 1),
+capped AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY seed_domain ORDER BY {sql_priority('page_type')}, url) AS rn
+  FROM firsts) WHERE rn <= 500),
+log AS (SELECT seed_domain, 'enqueued' AS status FROM capped
+  UNION ALL SELECT {sql_host('url')} AS seed_domain, 'completed' AS status FROM pages)
+SELECT seed_domain, COUNT_IF(status = 'enqueued') AS enqueued, COUNT_IF(status = 'completed') AS completed,
+  COUNT_IF(status = 'failed') AS failed FROM log GROUP BY seed_domain ORDER BY seed_domain""")
+def q_crawl_summary(spark, sf):
+    """D10 per seed domain: requests enqueued by one crawl level, pages completed (fetched), failed."""
+    frontier, links, seeds, seen = _frontier(spark, sf)
+    level = crawl.expand_level(frontier, links, seeds, seen)
+    log = level.select("seed_domain", F.lit("enqueued").alias("status")).unionByName(
+        _pages(spark, sf).select(U.c_host("url").alias("seed_domain"), F.lit("completed").alias("status")))
+    return crawl.crawl_summary(log)

@@ -126,3 +126,9 @@ def test_model_fit_score_save_load(spark, tmpdir_path):
     s2 = sorted(r.pred_demand for r in models.score(train, again).collect())
     assert s1 == s2
     assert models.fit_demand_model(train.limit(3)) is None      # fewer than 5 rows: skipped
+
+
+def test_sql_udf_registration(spark):
+    from shelfspark.functions.text import register_udfs
+    register_udfs(spark)
+    assert spark.sql("SELECT clean_text('a &amp;  b') AS t").first().t == "a & b"
