@@ -159,3 +159,17 @@ def test_daily_summary_and_alerts(spark):
     assert len(top) == 3 and all(r.event_severity_score == 2.5 for r in top)
     ex = {(r.entity_id, r.date): r.event_explanation for r in panel.explanations(a).collect()}
     assert "burst of view" in ex[(1, D1)] and ex[(2, D1)] == "Signal: n=4"
+
+
+def test_single_entity_views(spark):
+    a = _panel(spark)
+    m = panel.to_master(a)
+    lt = keys.latest(m)
+    ov = views.product_overview(lt, 1).first()
+    assert ov.list_price == 0.0 and ov.price_index == 5.0 and ov.demand_index == 13.0
+    assert [r.date for r in views.product_series(m, 2).collect()] == [D1, D2, D3]
+    ex = panel.explanations(a)
+    assert "uplift" not in views.explain_lookup(ex, 2, "2024-01-01").first().answer
+    assert views.explain_lookup(ex, 9, "2024-01-01").first().answer == views.NO_EXPLANATION
+    cur = views.current_drift(spark.createDataFrame([(1, 2.0), (2, 6.0)], "sim_day int, combined_drift double")).first()
+    assert (cur.drift_score, cur.drift_flag) == (6.0, True)

@@ -100,3 +100,7 @@ def test_clean_text(spark):
     assert got == ["A & B", "full width", ""]
     many = text.c_clean_many({"a": ("x", 500)})
     assert one(spark, many["a"], [("caf&eacute;  x",)]) == ["café x"]
+
+
+def test_first_int(spark):
+    assert one(spark, numeric.c_first_int("x"), [("#12 in Phones",), ("none",), (None,)]) == [12, None, None]
