@@ -103,18 +103,41 @@ def child_context(edges: DataFrame) -> DataFrame:
         F.col("product_hint"), F.col("url").alias("found_on"), F.col("pos"))
 
 
-def product_hint(urls: DataFrame, keywords: DataFrame) -> DataFrame:
+def product_hint(urls: DataFrame, keywords: DataFrame, max_keywords: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Keep an existing hint; else the model id of the first keyword (seed order) that the
-    URL contains, case-insensitively. Keywords are config-sized: broadcast after a size check,
-    matched with a non-equi join, reduced with ``min_by`` per URL."""
-    kw = keywords.select(F.lower("keyword").alias("_kw"), F.col("model_id").alias("_mid"),
-                         F.struct("product_ord", "kw_ord").alias("_ord")).filter(F.col("_kw") != "")
-    hits = (urls.select("url").distinct().withColumn("_lu", F.lower("url"))
-            .join(checked_broadcast(kw), F.col("_lu").contains(F.col("_kw")))
-            .groupBy("url").agg(F.min_by("_mid", "_ord").alias("_hint")))
-    return (urls.join(hits, "url", "left")
-            .withColumn("product_hint", F.coalesce(F.nullif(F.col("product_hint"), F.lit("")), F.col("_hint")))
-            .drop("_hint"))
+    URL contains, case-insensitively.
+
+    The keyword table is seed configuration: its size is checked against ``max_keywords`` and it
+    is shipped to the tasks, where one Aho-Corasick automaton per task finds every keyword
+    contained in a URL in a single pass over the URL. No URL x keyword product is formed."""
+    kw = (keywords.select(F.lower("keyword").alias("k"), F.col("model_id").alias("m"),
+                          F.col("product_ord").alias("po"), F.col("kw_ord").alias("ko"))
+          .filter(F.col("k").isNotNull() & (F.col("k") != "")))
+    if kw.limit(max_keywords + 1).count() > max_keywords:
+        raise ValueError(f"more than {max_keywords} product keywords: not a seed configuration")
+    ordered = [(r.k, r.m) for r in kw.orderBy("po", "ko").collect()]   # bounded config table
+    schema = urls.schema
+
+    def run(batches):
+        try:
+            import ahocorasick
+            auto = ahocorasick.Automaton()
+            for i, (k, m) in enumerate(ordered):
+                if not auto.exists(k):                       # first occurrence keeps the seed order
+                    auto.add_word(k, (i, m))
+            if ordered:
+                auto.make_automaton()
+            find = (lambda u: min(auto.iter(u), default=None, key=lambda hit: hit[1][0])) if ordered \
+                else (lambda u: None)
+            first = lambda u: (lambda h: h[1][1] if h else None)(find(u))
+        except ImportError:                                  # plain scan over the (small) list
+            first = lambda u: next((m for k, m in ordered if k in u), None)
+        for pdf in batches:
+            pdf["product_hint"] = [h if isinstance(h, str) and h else (first(u.lower()) if isinstance(u, str) else None)
+                                   for u, h in zip(pdf["url"], pdf["product_hint"])]
+            yield pdf
+
+    return urls.mapInPandas(run, schema)
 
 
 def unseen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
@@ -170,7 +193,8 @@ def crawl_summary(log: DataFrame) -> DataFrame:
 
 
 def expand_level(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame, seen: DataFrame,
-                 already: DataFrame | None = None, cap: int = MAX_PER_DOMAIN) -> DataFrame:
+                 already: DataFrame | None = None, cap: int = MAX_PER_DOMAIN,
+                 keywords: DataFrame | None = None) -> DataFrame:
     """I3, one breadth-first level. ``frontier``: requests of this level (url, seed_category,
     seed_domain, origin_url, depth, max_depth, parent_url, product_hint); ``pages_links``:
     fetched pages with their links (url, links); ``seen``: every URL already requested.
@@ -184,6 +208,8 @@ def expand_level(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame,
     kids = unseen(kids, seen)
     kids = keep_first(kids, ["url"], [c_priority("page_type"), F.col("found_on"), F.col("pos")])
     kids = cap_per_domain(kids, already, cap)
+    if keywords is not None:                 # C5: product hint from the seed keywords
+        kids = product_hint(kids, keywords)
     return kids.withColumn("priority", c_priority("page_type")).orderBy("priority", "url")
 
 

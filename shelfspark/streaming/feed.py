@@ -161,5 +161,6 @@ def run_to_table(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def write_feed(actuals: DataFrame, feed_dir: str) -> None:
     """Split a panel into one file per date (the shape of the daily feed)."""
-    actuals.select(*[f.name for f in ACTUALS_STREAM_SCHEMA.fields]).repartition("date") \
+    from ..sources.writers import salted
+    salted(actuals.select(*[f.name for f in ACTUALS_STREAM_SCHEMA.fields]), "date") \
         .write.mode("overwrite").partitionBy("date").parquet(feed_dir)
