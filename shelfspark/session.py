@@ -33,6 +33,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a DataFrame over the cluster's cores when it arrives in fewer partitions than
     that (a few large input files) and CPU-heavy per-row work follows. A no-op on real inputs,
     which come in far more splits than cores."""
+    if df.isStreaming:                       # micro-batches are sized by the source
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     n = df.rdd.getNumPartitions()
     return df.repartition(target) if n < target else df
