@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.classify import CATEGORY, UNKNOWN, c_page_type_url, c_priority
+from ..functions.classify import CATEGORY, UNKNOWN, c_page_type_html, c_page_type_url, c_priority
 from ..functions.url import c_host, c_link_ok, c_registered_domain
 from .extract import _Dom, _links, select
 from .keys import keep_first
@@ -42,7 +42,8 @@ LINKS_T = T.StructType([T.StructField("links", T.ArrayType(T.StringType())), T.S
 def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page its unique absolute links in document order and rel=next; html dropped."""
     from ..session import spread
-    pages = spread(pages)
+    # the page's own HTML type (G14) is kept for html_scope="parent" classification of its links
+    pages = spread(pages).withColumn("html_type", c_page_type_html(F.col(html_col)))
     keep = [c for c in pages.columns if c != html_col]
     schema = T.StructType([f for f in pages.schema.fields if f.name != html_col] +
                           [T.StructField("links", T.ArrayType(T.StringType())),
@@ -100,7 +101,8 @@ def child_context(edges: DataFrame) -> DataFrame:
         F.col("link").alias("url"), "seed_category", "seed_domain", "origin_url",
         (F.col("depth") + 1).alias("depth"), "max_depth",
         F.when(F.col("depth") == 0, F.col("origin_url")).otherwise(F.col("parent_url")).alias("parent_url"),
-        F.col("product_hint"), F.col("url").alias("found_on"), F.col("pos"))
+        F.col("product_hint"), F.col("url").alias("found_on"), F.col("pos"),
+        *([F.col("_parent_html_type")] if "_parent_html_type" in edges.columns else []))
 
 
 def product_hint(urls: DataFrame, keywords: DataFrame, max_keywords: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -194,16 +196,22 @@ def crawl_summary(log: DataFrame) -> DataFrame:
 
 def expand_level(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame, seen: DataFrame,
                  already: DataFrame | None = None, cap: int = MAX_PER_DOMAIN,
-                 keywords: DataFrame | None = None) -> DataFrame:
+                 keywords: DataFrame | None = None, html_scope: str = "own") -> DataFrame:
     """I3, one breadth-first level. ``frontier``: requests of this level (url, seed_category,
     seed_domain, origin_url, depth, max_depth, parent_url, product_hint); ``pages_links``:
     fetched pages with their links (url, links); ``seen``: every URL already requested.
 
     Returns the next level's requests, de-duplicated, gated, capped and priority-ordered."""
-    fetched = frontier.filter(c_depth_ok()).join(pages_links.select("url", "links"), "url")
+    fetched = frontier.filter(c_depth_ok()).join(pages_links.select("url", "links", "html_type"), "url")
     edges = fetched.select("*", F.posexplode("links").alias("pos", "link")).drop("links").filter(c_link_ok("link"))
     scoped = in_scope(edges, seeds)
-    kids = child_context(scoped).withColumn("page_type", c_page_type_url("url"))
+    kids = child_context(scoped.withColumnRenamed("html_type", "_parent_html_type"))
+    by_url = c_page_type_url("url")
+    if html_scope == "parent":
+        # Q17: the reference applied the parent's HTML rules to links its URL rules leave unknown
+        by_url = F.when(by_url != UNKNOWN, by_url).otherwise(F.coalesce("_parent_html_type", F.lit(UNKNOWN)))
+    # default ("own"): a link is typed by its URL now and by its own HTML once fetched (scrape)
+    kids = kids.withColumn("page_type", by_url).drop("_parent_html_type")
     kids = kids.filter(F.col("depth") < F.col("max_depth"))               # child must be below the cap
     kids = unseen(kids, seen)
     kids = keep_first(kids, ["url"], [c_priority("page_type"), F.col("found_on"), F.col("pos")])

@@ -135,9 +135,13 @@ def _host(url="url") -> Column:
     return F.coalesce(F.expr(f"try_parse_url({url}, 'HOST')"), F.lit(""))
 
 
-def product_records(parsed: DataFrame) -> DataFrame:
-    """H11 product records."""
+def product_records(parsed: DataFrame, use_ld_currency: bool = False, accept_bare_count: bool = False) -> DataFrame:
+    """H11 product records. Defaults reproduce the reference: currency from the price text
+    (Q15; ``use_ld_currency`` takes the JSON-LD currency when present) and a rating count only
+    when written before ratings/reviews (Q14; ``accept_bare_count`` also accepts a bare number)."""
     p = parsed.filter(F.col("content_type") == cl.CT_PRODUCT)
+    if use_ld_currency:
+        p = p.withColumn("_pc", c_price("price_raw")["currency"])
     name = F.coalesce(_ne(F.col("product_name")), _ne(F.col("og_title")), F.col("page_title"))
     extra = F.map_filter(F.create_map(
         F.lit("specs"), F.when(F.size("specs") > 0, F.to_json("specs")),
@@ -153,8 +157,11 @@ def product_records(parsed: DataFrame) -> DataFrame:
         c_clean_list("bullet_points").alias("bullet_points"),
         c_clean_text(F.coalesce(_ne(F.col("description")), F.col("meta_description")), LONG).alias("description"),
         c_clean_short("availability").alias("availability"),
-        c_price("price_raw").alias("price"),
-        F.struct(c_rating("rating_raw").alias("value"), c_rating_count("review_count_raw").alias("count"),
+        (c_price("price_raw").withField("currency", F.coalesce(_ne(F.upper(F.trim("currency_raw"))),
+                                                                F.col("_pc")))
+         if use_ld_currency else c_price("price_raw")).alias("price"),
+        F.struct(c_rating("rating_raw").alias("value"),
+                 c_rating_count("review_count_raw", accept_bare_count).alias("count"),
                  F.col("rating_raw").alias("raw")).alias("rating"),
         "crawled_at", extra.alias("extra"))
 

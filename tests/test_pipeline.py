@@ -183,3 +183,24 @@ def test_oracles_small(spark):
         msg = oc.compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF0001)
         assert msg.startswith("OK"), msg
     _ = SF001
+
+
+def test_quirk_options(spark):
+    # Q15 / Q14: JSON-LD currency and bare counts only on request
+    html = product_page("Pixel 8", "Google", 500).replace('"priceCurrency": "INR"', '"priceCurrency": "usd"')
+    pages = spark.createDataFrame([(1, "https://shop.example.com/product/1", html)], "page_id long, url string, html string")
+    parsed = scrape.parse_pages(scrape.pages_with_hints(pages))
+    default = scrape.product_records(parsed).first()
+    fixed = scrape.product_records(parsed, use_ld_currency=True, accept_bare_count=True).first()
+    assert (default.price.currency, default.rating["count"]) == ("INR", None)
+    assert (fixed.price.currency, fixed.rating["count"]) == ("USD", 120)
+    # Q17: with html_scope="parent" an unknown link takes the parent page's HTML type
+    site = spark.createDataFrame([("https://t.example.com/", "<a href='/x'>a</a> add to cart")], "url string, html string")
+    links = crawl.extract_links(site)
+    seeds = spark.createDataFrame([(["t.example.com"],)], "domains array<string>")
+    fr = spark.createDataFrame([("https://t.example.com/", "c", "t.example.com", "https://t.example.com/", 0, 3, None, None)],
+                               "url string, seed_category string, seed_domain string, origin_url string, depth int, "
+                               "max_depth int, parent_url string, product_hint string")
+    own = crawl.expand_level(fr, links, seeds, fr.select("url")).first().page_type
+    parent = crawl.expand_level(fr, links, seeds, fr.select("url"), html_scope="parent").first().page_type
+    assert (own, parent) == ("unknown", "product_page")
