@@ -173,3 +173,19 @@ def test_single_entity_views(spark):
     assert views.explain_lookup(ex, 9, "2024-01-01").first().answer == views.NO_EXPLANATION
     cur = views.current_drift(spark.createDataFrame([(1, 2.0), (2, 6.0)], "sim_day int, combined_drift double")).first()
     assert (cur.drift_score, cur.drift_flag) == (6.0, True)
+
+
+def test_drift_modes(spark):
+    """Q1/Q2: coded drift = demand MAE over the last N rows; documented = 7-day window, combined."""
+    import datetime as dt
+    rows = [(dt.date(2024, 1, d), e, 10.0, 10.0 + d, float(d), 100.0, 100.0 + d, float(d))
+            for d in range(1, 11) for e in (1, 2)]
+    fva = spark.createDataFrame(rows, "date date, entity_id int, pred_demand double, actual_demand double, "
+                                      "abs_demand_error double, pred_price double, actual_price double, abs_price_error double")
+    # last 7 rows: dates 10,10,9,9,8,8,7 -> mean 8.714..
+    assert panel.drift_last_rows(fva, 7).first().drift_score == 8.7143
+    combined = panel.drift_last_rows(fva, 7, mode="combined").first().drift_score
+    assert combined > 4.3 and combined < 4.4            # 0.5*8.714 + 0.5*(8.714/108.7)
+    roll = {r.date.day: r for r in panel.drift_rolling(fva, 7, mode="demand").collect()}
+    assert roll[10].rolling_mae_demand == 7.0 and roll[10].combined_drift == 7.0   # days 4..10
+    assert roll[1].rolling_mae_demand == 1.0
