@@ -316,9 +316,7 @@ SELECT (SELECT COUNT(*) FROM products) AS input, (SELECT COUNT(*) FROM dedup) AS
     + (SELECT COUNT(*) FROM (SELECT DISTINCT category, brand, model FROM levels)) + (SELECT COUNT(*) FROM levels) AS nodes,
   (SELECT COUNT(*) FROM skus) AS leaves""")
 def q_run_stats(spark, sf):
-    p = _products(spark, sf)
-    d = catalog.dedup_products(p)
-    return catalog.run_stats(p, d, catalog.build_skus(d))
+    return catalog.run_stats(_dedup(spark, sf))
 
 
 @query("taxonomy_tree")
