@@ -242,3 +242,14 @@ def crawl_plan(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame, ma
         seen = all_levels.select("url")
         level = nxt
     return all_levels
+
+
+def c_next_page(url="url", rel_next="rel_next", depth="depth", max_depth="max_depth", page_type="page_type") -> Column:
+    """G24 under its inventory name."""
+    return next_page(url, rel_next, depth, max_depth, page_type)
+
+
+def expand_frontier(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame, seen: DataFrame,
+                    cap: int = MAX_PER_DOMAIN, **kw) -> DataFrame:
+    """I3 one breadth-first level under its inventory name (see ``expand_level``)."""
+    return expand_level(frontier, pages_links, seeds, seen, cap=cap, **kw)

@@ -189,3 +189,9 @@ def read_log(df: DataFrame, date_col: str = "date", date=None, order=("date", "e
     if date is not None:
         df = df.filter(F.col(date_col) == F.lit(date).cast("date"))
     return df.orderBy(*order)
+
+
+def filter_values(master: DataFrame, latest_rows: DataFrame) -> dict[str, DataFrame]:
+    """B2 as one call: sorted categories, sorted brands, latest entities sorted by brand."""
+    return {"categories": filter_categories(master), "brands": filter_brands(master),
+            "entities": filter_entities(latest_rows)}

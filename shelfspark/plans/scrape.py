@@ -270,3 +270,13 @@ def attach_html(queue: DataFrame, pages: DataFrame) -> DataFrame:
 def c_rank_text(c) -> Column:
     """G28 alias used for ranked items."""
     return c_first_int(c)
+
+
+def explode_reviews(parsed: DataFrame) -> DataFrame:
+    """review cards as records (one fallback record when a page has none)."""
+    return review_records(parsed)
+
+
+def explode_trends(parsed: DataFrame) -> DataFrame:
+    """named ranked items as records (one summary record when a page has none)."""
+    return trend_records(parsed)

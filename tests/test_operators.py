@@ -189,3 +189,15 @@ def test_drift_modes(spark):
     roll = {r.date.day: r for r in panel.drift_rolling(fva, 7, mode="demand").collect()}
     assert roll[10].rolling_mae_demand == 7.0 and roll[10].combined_drift == 7.0   # days 4..10
     assert roll[1].rolling_mae_demand == 1.0
+
+
+def test_catalog_job_and_filters(spark):
+    from conftest import SF0001
+    from shelfspark import fixtures as fx
+    p = catalog.products_from_listings(fx.listings(spark, SF0001))
+    assert set(catalog.catalog_job(p, dedup_only=True)) == {"deduped"}
+    out = catalog.catalog_job(p)
+    assert out["leaves"].count() == out["skus"].count()
+    m = panel.to_master(_panel(spark))
+    fv = views.filter_values(m, keys.latest(m))
+    assert [r.category for r in fv["categories"].collect()] == ["cat"] and fv["entities"].count() == 2
