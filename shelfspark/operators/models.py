@@ -65,8 +65,12 @@ def residual_bias(fva: DataFrame, days: int = 7) -> DataFrame:
     """Per entity, mean demand error over the last ``days`` days of comparisons
     (the documented "level 1" bias correction). Partial aggregate, no window."""
     maxd = fva.agg(F.max("date")).scalar()
+    # errors are cut to 6 decimals and summed as exact integers, so every engine and partitioning
+    # gets the same mean (a plain double average can land on either side of a rounding tie)
+    e6 = F.round(round_half_up("demand_error", 6) * 1e6).cast("bigint")
+    mean = F.sum(e6) / (F.count(e6) * 1e6)
     return (fva.filter(F.col("date") > F.date_sub(maxd, days))
-            .groupBy("entity_id").agg(round_half_up(F.avg("demand_error"), 4).alias("bias")))
+            .groupBy("entity_id").agg(round_half_up(mean, 4).alias("bias")))
 
 
 def score(df: DataFrame, model: PipelineModel | None, bias: DataFrame | None = None) -> DataFrame:

@@ -90,7 +90,7 @@ def q_naive_scores(spark, sf):
 
 
 @query("residual_bias", f"""{_FVA}
-SELECT entity_id, {R("AVG(demand_error)", 4)} AS bias FROM fva
+SELECT entity_id, {R("SUM(CAST(ROUND(" + R("demand_error", 6) + " * 1000000.0) AS BIGINT)) / (COUNT(demand_error) * 1000000.0)", 4)} AS bias FROM fva
 WHERE date > (SELECT MAX(date) FROM fva) - INTERVAL 7 DAY GROUP BY entity_id""")
 def q_residual_bias(spark, sf):
     """Mean recent demand error per entity (last 7 days of comparisons)."""
