@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import exact_dedup, line_dedup, substring_dedup
+from shelfspark.llm import bpe, exact_dedup, langid, line_dedup, quality, secret_scan, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_resampling": quality.op3_quality_resampling,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_language_id": langid.op7_language_id,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
