@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import bpe, exact_dedup, langid, line_dedup, quality, secret_scan, substring_dedup, url_filter
+from shelfspark.llm import bpe, decontam, exact_dedup, jaccard, langid, line_dedup, quality, secret_scan, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontam.op1_decontamination,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_quality_resampling": quality.op3_quality_resampling,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,

@@ -148,3 +148,30 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],
         schema=schema)
+
+
+def groups(batches, keys: int) -> Iterator[pa.Table]:
+    """Rows that agree in the first ``keys`` columns, of batches sorted by them, one group at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(len(b), bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        start = np.flatnonzero(new).tolist()
+        edges = [0, *start, len(b)]
+        if last is not None and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if lo:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)
