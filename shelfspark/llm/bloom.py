@@ -1,8 +1,10 @@
 """Bloom filters of a fixed size, built by segments on the executors.
 
 A hash belongs to one segment (its top bits), so each task fills whole segments and the filter is the
-concatenation of the segments' rows. The size is a parameter, whatever the input: a filter that is too
-small for its input lets more hashes through (callers confirm exactly), it never loses one."""
+concatenation of the segments' rows. The size of the result is a parameter, whatever the input: a filter
+that is too small for its input lets more hashes through (callers confirm exactly), it never loses one.
+The filter of hashes seen once never leaves the tasks; it grows with the number of segments, which
+follows the session's number of shuffle partitions."""
 
 from __future__ import annotations
 
@@ -14,30 +16,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
-SEGMENT_BITS = 6                     # 64 segments
+LEAST_SEGMENTS = 6                   # 64 segments, as a power of two
 PROBES = 3
-FILTER_LOG2 = 27                     # bits of a whole filter: 16 MiB
+FILTER_LOG2 = 27                     # bits of a whole filter, as a power of two: 16 MiB
+ONCE_LOG2 = 24                       # bits of a segment of the filter of hashes seen once
 
 
 def _positions(h: np.ndarray, log2: int) -> Iterator[np.ndarray]:
-    """Bit positions inside the hash's segment, one array per probe."""
-    inner = U((1 << (log2 - SEGMENT_BITS)) - 1)
+    """Bit positions in a segment of 2^log2 bits, one array per probe."""
+    inner = U((1 << log2) - 1)
     step = (h >> U(17)) | U(1)
     for i in range(PROBES):
         yield ((h + U(i) * step) & inner).astype(np.int64)
 
 
-def _segment(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - SEGMENT_BITS)).astype(np.int64)
-
-
 class _Bits:
+    """Segments of 2^log2 bits, made when they are first met."""
+
     def __init__(self, log2: int):
         self.log2, self.of = log2, {}
 
     def get(self, seg: int) -> np.ndarray:
         if seg not in self.of:
-            self.of[seg] = np.zeros(1 << (self.log2 - SEGMENT_BITS), bool)
+            self.of[seg] = np.zeros(1 << self.log2, bool)
         return self.of[seg]
 
     def add(self, seg: int, h: np.ndarray) -> None:
@@ -52,14 +53,37 @@ class _Bits:
         return found
 
 
-def _filled(df: DataFrame, log2: int, seen_before: bool) -> bytes:
+class Bloom:
+    """A filled filter; 2^log2 bits in 2^segments segments."""
+
+    def __init__(self, bits: bytes, log2: int, segments: int):
+        self.bits, self.log2, self.segments = np.frombuffer(bits, np.uint8), log2, segments
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes (uint64) it may hold."""
+        inner = self.log2 - self.segments
+        base = (h >> U(64 - self.segments)).astype(np.int64) << inner
+        found = np.ones(len(h), bool)
+        for p in _positions(h, inner):
+            at = base + p
+            found &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return found
+
+
+def _filled(df: DataFrame, log2: int, seen_before: bool) -> Bloom:
+    spark = df.sparkSession
+    segments = max(LEAST_SEGMENTS, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    segments = min(segments, log2 - 10)
+
     def fill(batches):
-        once, out = _Bits(log2), _Bits(log2)
+        once, out = _Bits(ONCE_LOG2), _Bits(log2 - segments)
         for b in batches:
             h, counts = np.unique(b.column(0).to_numpy(zero_copy_only=False).view(U), return_counts=True)
-            seg = _segment(h)
-            for s in np.unique(seg).tolist():
-                own, n = h[seg == s], counts[seg == s]
+            edge = np.searchsorted(h >> U(64 - segments), np.unique(h >> U(64 - segments))).tolist() + [len(h)]
+            for i, j in zip(edge, edge[1:], strict=False):
+                if i == j:
+                    continue
+                s, own, n = int(h[i] >> U(64 - segments)), h[i:j], counts[i:j]
                 if seen_before:
                     out.add(s, own[once.has(s, own) | (n > 1)])
                     once.add(s, own)
@@ -69,30 +93,19 @@ def _filled(df: DataFrame, log2: int, seen_before: bool) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())],
                                              names=["segment", "bits"])
 
-    h = df.columns[0]
-    rows = (df.filter(F.col(h).isNotNull())
-            .repartition(1 << SEGMENT_BITS, F.shiftrightunsigned(F.col(h), 64 - SEGMENT_BITS))
+    h = F.col(df.columns[0])
+    rows = (df.filter(h.isNotNull()).repartition(1 << segments, F.shiftrightunsigned(h, 64 - segments))
             .mapInArrow(fill, "segment int, bits binary").collect())       # the filter: a fixed size
-    size = 1 << (log2 - SEGMENT_BITS - 3)
+    size = 1 << (log2 - segments - 3)
     held = {r.segment: bytes(r.bits) for r in rows}
-    return b"".join(held.get(s, bytes(size)) for s in range(1 << SEGMENT_BITS))
+    return Bloom(b"".join(held.get(s, bytes(size)) for s in range(1 << segments)), log2, segments)
 
 
-def seen_filter(df: DataFrame, log2: int = FILTER_LOG2) -> bytes:
+def seen_filter(df: DataFrame, log2: int = FILTER_LOG2) -> Bloom:
     """Filter of the hashes in the only column of ``df``."""
     return _filled(df, log2, seen_before=False)
 
 
-def twice_filter(df: DataFrame, log2: int = FILTER_LOG2) -> bytes:
+def twice_filter(df: DataFrame, log2: int = FILTER_LOG2) -> Bloom:
     """Second of two filters: each hash goes into the first, and into the second if the first had it."""
     return _filled(df, log2, seen_before=True)
-
-
-def may_hold(bits: np.ndarray, h: np.ndarray, log2: int) -> np.ndarray:
-    """Which hashes the packed filter (uint8) may hold."""
-    base = _segment(h) << (log2 - SEGMENT_BITS)
-    found = np.ones(len(h), bool)
-    for p in _positions(h, log2):
-        at = base + p
-        found &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-    return found

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.bloom import FILTER_LOG2, may_hold, twice_filter
+from shelfspark.llm.bloom import FILTER_LOG2, twice_filter
 from shelfspark.llm.vec import batch_of, column
 from shelfspark.session import cut_lineage
 
@@ -62,13 +62,12 @@ def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     twice = docs.sparkSession.sparkContext.broadcast(twice_filter(docs.mapInArrow(hashes, "h long"), log2))
 
     def suspects(batches):
-        bits = np.frombuffer(twice.value, np.uint8)
         for b in batches:
             ids, out = [], []
             for i, t in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist(), strict=True):
                 keys = list({k for k in _keys(t, min_chars) if k})
                 h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-                found = [_digest(keys[j]) for j in np.flatnonzero(may_hold(bits, h, log2))]
+                found = [_digest(keys[j]) for j in np.flatnonzero(twice.value.holds(h))]
                 ids += [i] * len(found)
                 out += found
             yield batch_of(_SUSPECTS, ids, out)
