@@ -4,8 +4,7 @@ that drop malformed records instead of failing the job."""
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,6 +144,17 @@ def read_actuals(spark: SparkSession, path: str) -> DataFrame:
         .filter(F.col("date").isNotNull())
 
 
+def read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where the path does not exist or holds no file yet. Spark itself looks the
+    path up, so any URI that Spark can read will do."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 SERVING_TABLES = ("master", "forecast", "daily", "explanations", "alerts", "markers", "regime", "events")
 
 
@@ -153,11 +163,8 @@ def load_serving(spark: SparkSession, base_dir: str, schemas: dict[str, T.Struct
     when one is given)."""
     out = {}
     for name in SERVING_TABLES:
-        p = os.path.join(base_dir, name)
-        if os.path.exists(p):
-            out[name] = spark.read.parquet(p)
-        else:
-            out[name] = spark.createDataFrame([], (schemas or {}).get(name, T.StructType([])))
+        found = read_if_any(spark, f"{base_dir.rstrip('/')}/{name}")
+        out[name] = spark.createDataFrame([], (schemas or {}).get(name, T.StructType([]))) if found is None else found
     return out
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog
 from ..operators.keys import upsert
+from ..session import cut_lineage
+from .readers import read_if_any
 
 
 def salted(df: DataFrame, partition_col: str, buckets: int | None = None) -> DataFrame:
@@ -38,29 +40,22 @@ def write_by_type(records: DataFrame, out_dir: str, mode: str = "append") -> Non
 def write_keyed(df: DataFrame, path: str, partition_col: str = "date") -> None:
     """A8 sink: dynamic partition overwrite -- only the partitions present in ``df`` are replaced,
     atomically per partition through the commit protocol."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        salted(df, partition_col).write.mode("overwrite").partitionBy(partition_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (salted(df, partition_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(path))
 
 
 def upsert_table(spark, path: str, new: DataFrame, keys, partition_col: str = "date", order=None) -> None:
     """Read the affected partitions of the existing table, keep the last row per key, and
     overwrite just those partitions. The existing side is pruned to the new rows' partitions by a
     semi join on the partition column (dynamic partition pruning at the scan)."""
-    import os
-    if not os.path.exists(path):
+    existing = read_if_any(spark, path)
+    if existing is None:
         write_keyed(new, path, partition_col)
         return
-    existing = spark.read.parquet(path)
     touched = new.select(partition_col).distinct()
     old = existing.join(touched, partition_col, "left_semi")
     merged = upsert(old, new, keys, order)
     # materialise before overwriting the partitions we read from
-    from ..session import cut_lineage
     write_keyed(cut_lineage(merged), path, partition_col)
 
 
@@ -81,11 +76,3 @@ def fva_serving(fva: DataFrame) -> DataFrame:
 def write_fva_serving(fva: DataFrame, path: str) -> None:
     # range-partitioned global sort: output files are in (date, entity) order
     fva_serving(fva).write.mode("overwrite").parquet(path)
-
-
-def empty_like(spark, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def lit_null(t: str):
-    return F.lit(None).cast(t)

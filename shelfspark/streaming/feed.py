@@ -1,20 +1,23 @@
 """Structured Streaming (K1-K6).
 
-K1  daily feed: a file source over per-date actuals files; the source checkpoint is the date
+K1  daily feed: a file source over per-date actuals files; the source checkpoint is the file
     pointer (each file is consumed exactly once, new files are picked up by the next trigger).
-K2  tick: ``foreachBatch`` runs ``plans.backtest.advance`` on the micro-batch with the state read
-    back from the keyed tables; all writes are keyed by date (dynamic partition overwrite) and
-    tagged with the batch id, and a batch reads only earlier batches' rows, so a retried batch
-    rewrites identical rows.
-K3  late rows: rows dated at or before the last committed date go to a ``late`` table.
+    A date may come in any number of files and over any number of micro-batches.
+K2  tick: ``foreachBatch`` adds the micro-batch to an inbox table and runs ``plans.backtest.advance``
+    on the dates that are complete. With a manifest (date, rows) a date is complete once the inbox
+    holds its rows and every earlier date of the manifest is complete too; without one, once a later
+    date has been seen (``flush`` takes the rest at the end of the feed). All writes are keyed by date
+    (dynamic partition overwrite) and tagged with the batch id, and a batch reads only earlier
+    batches' rows, so a retried batch rewrites identical rows.
+K3  late rows: rows of a date that earlier batches have committed go to a ``late`` table.
 K4  seen-URL dedup: ``dropDuplicatesWithinWatermark`` on the URL.
 K5  page parsing as a stream: the same stateless extraction on a streaming DataFrame.
-K6  streaming daily summary: one-day tumbling windows with a watermark, append mode.
+K6  streaming daily summary: one-day tumbling windows, every day emitted (complete mode; the state is one
+    row a day) or, in append mode with a watermark, each day once it is closed.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +26,8 @@ from pyspark.sql import types as T
 
 from ..plans import backtest as bt
 from ..session import checkpoint_dir, cut_lineage
-from ..sources.writers import write_keyed
+from ..sources.readers import read_if_any
+from ..sources.writers import salted, write_keyed
 from ..operators import panel
 
 ACTUALS_STREAM_SCHEMA = T.StructType([
@@ -36,17 +40,6 @@ ACTUALS_STREAM_SCHEMA = T.StructType([
                                                   "signal_story")]])
 
 
-FVA_LOOKBACK_DAYS = 31
-
-
-def _exists(path: str) -> bool:
-    return os.path.exists(path) and any(not n.startswith(("_", ".")) for n in os.listdir(path))
-
-
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if _exists(path) else None
-
-
 def daily_feed(spark: SparkSession, feed_dir: str, max_files_per_trigger: int | None = 1,
                fmt: str = "parquet") -> DataFrame:
     """K1: streaming DataFrame over the per-date actuals files in ``feed_dir``."""
@@ -58,68 +51,111 @@ def daily_feed(spark: SparkSession, feed_dir: str, max_files_per_trigger: int |
     return r.load(feed_dir)
 
 
-def tick_batch(state_dir: str, window_rows: int = 7, noise: float = 0.0):
-    """K2 + K3: the ``foreachBatch`` body.
+def _ready(pending: DataFrame, manifest: DataFrame | None, flush: bool) -> DataFrame:
+    """Dates of ``pending`` (date, ...) that are complete; neither it nor the manifest holds committed dates."""
+    if flush:
+        return pending.select("date").distinct()
+    if manifest is None:
+        return pending.select("date").distinct().filter(F.col("date") < pending.agg(F.max("date")).scalar())
+    here = pending.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    state = manifest.groupBy("date").agg(F.sum("rows").alias("rows")).join(here, "date", "left")
+    open_ = state.filter(F.coalesce("n", F.lit(0)) < F.col("rows")).agg(F.min("date")).scalar()
+    return state.filter(F.col("n") >= F.col("rows")).filter(open_.isNull() | (F.col("date") < open_)).select("date")
+
+
+class Tick:
+    """K2 + K3: the ``foreachBatch`` body over the state tables in ``state_dir`` (any URI).
 
     Every state row carries the id of the micro-batch that wrote it, and a batch reads only rows of
     earlier batches. Spark re-runs a failed batch with the same id and the same input, so a retry
-    sees exactly the state the first attempt saw and overwrites the same date partitions."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        p = lambda n: os.path.join(state_dir, n)
+    sees exactly the state the first attempt saw and overwrites the same partitions."""
+
+    def __init__(self, state_dir: str, manifest: str | None = None, window_rows: int = 7, noise: float = 0.0):
+        self.dir, self.manifest, self.window_rows, self.noise = state_dir.rstrip("/"), manifest, window_rows, noise
+
+    def path(self, name: str) -> str:
+        return f"{self.dir}/{name}"
 
-        def prior(name):
-            t = _table(spark, p(name))
-            return t.filter(F.col("batch_id") < batch_id).drop("batch_id") if t is not None else None
+    def prior(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
+        t = read_if_any(spark, self.path(name))
+        return None if t is None else t.filter(F.col("batch_id") < batch_id)
 
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            prev_days = prior("days")
-            last_done = prev_days.agg(F.max("date")).first()[0] if prev_days is not None else None
-            if last_done is not None:
-                late = batch.filter(F.col("date") <= F.lit(last_done))
-                if late.limit(1).count() > 0:
-                    write_keyed(late.withColumn("batch_id", F.lit(batch_id)), p("late"), "batch_id")
-                new = batch.filter(F.col("date") > F.lit(last_done))
+            days = self.prior(batch.sparkSession, "days", batch_id)
+            if days is not None:
+                late = batch.join(days.select("date").distinct(), "date", "left_semi")
+                if not late.isEmpty():
+                    write_keyed(late.withColumn("batch_id", F.lit(batch_id)), self.path("late"), "batch_id")
+                batch_new = batch.join(days.select("date").distinct(), "date", "left_anti")
             else:
-                new = batch
-            if new.limit(1).count() == 0:
+                batch_new = batch
+            (batch_new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "date").parquet(self.path("inbox")))
+        finally:
+            batch.unpersist()
+        self.advance(batch_new.sparkSession, batch_id)
+
+    def flush(self, spark: SparkSession) -> None:
+        """Commits every date that is still in the inbox, as a part of the last batch."""
+        inbox = read_if_any(spark, self.path("inbox"))
+        last = inbox.agg(F.max("batch_id")).first()[0] if inbox is not None else None
+        if last is not None:
+            self.advance(spark, last, flush=True)
+
+    def advance(self, spark: SparkSession, batch_id: int, flush: bool = False) -> None:
+        inbox = read_if_any(spark, self.path("inbox"))
+        if inbox is None:
+            return
+        pending = inbox.filter(F.col("batch_id") <= batch_id).drop("batch_id")
+        days = self.prior(spark, "days", batch_id)
+        manifest = read_if_any(spark, self.manifest) if self.manifest else None
+        if days is not None:
+            done = days.select("date").distinct()
+            pending = pending.join(done, "date", "left_anti")
+            manifest = manifest.join(done, "date", "left_anti") if manifest is not None else None
+        new = pending.join(_ready(pending, manifest, flush), "date", "left_semi").persist()
+        try:
+            if new.isEmpty():
                 return
-            # the drift window needs only the last rows with an error: read recent date partitions
-            # (partition pruning) and fall back to the whole history only if they hold too few
-            fva_prev = prior("fva")
-            if fva_prev is not None:
-                recent = fva_prev.filter(F.col("date") > F.date_sub(F.lit(last_done), FVA_LOOKBACK_DAYS))
-                if recent.filter(F.col("abs_demand_error").isNotNull()).limit(window_rows).count() >= window_rows:
-                    fva_prev = recent
-            preds_prev = prior("predictions")
-            if preds_prev is not None:     # only forecasts for the new dates are used (pruned by target_date)
-                preds_prev = preds_prev.filter(F.col("target_date") > F.lit(last_done))
-            out = bt.advance(new, fva_prev, prev_days, preds_prev, window_rows, noise)
-            # the results read the state tables that the writes below overwrite (on a retry they
-            # even share partitions): materialise them first with a reliable checkpoint
+            # the drift window needs the last rows with an error: kept as a table of ``window_rows`` rows a batch
+            tail = self.prior(spark, "tail", batch_id)
+            if tail is not None:
+                tail = tail.join(tail.agg(F.max("batch_id").alias("batch_id")), "batch_id", "left_semi").drop("batch_id")
+            preds = self.prior(spark, "predictions", batch_id)
+            if preds is not None:          # only forecasts for the new dates are used (pruned by target_date)
+                preds = preds.join(new.select(F.col("date").alias("target_date")).distinct(), "target_date", "left_semi").drop("batch_id")
+            out = bt.advance(new, tail, days.drop("batch_id") if days is not None else None, preds, self.window_rows, self.noise)
+            # the results read state tables that the writes below overwrite: cut them off first
             out = {k: cut_lineage(v) for k, v in out.items()}
-            tag = lambda df: df.withColumn("batch_id", F.lit(batch_id))
-            write_keyed(tag(out["fva"]), p("fva"), "date")
-            write_keyed(tag(out["days"]), p("days"), "date")
-            write_keyed(tag(out["predictions"]), p("predictions"), "target_date")
-            write_keyed(tag(panel.to_master(new)), p("master"), "date")
-            write_keyed(tag(panel.daily_summary(new)), p("daily"), "date")
-            write_keyed(tag(panel.explanations(new)), p("explanations"), "date")
-            write_keyed(tag(panel.alerts(new, noise)), p("alerts"), "date")
+            errors = out["fva"].filter(F.col("abs_demand_error").isNotNull())
+            if tail is not None:
+                errors = errors.unionByName(tail.select(*out["fva"].columns))
+            out["tail"] = cut_lineage(errors.orderBy(F.col("date").desc(), F.col("entity_id").desc()).limit(self.window_rows))
+            tables = out | {"master": panel.to_master(new), "daily": panel.daily_summary(new),
+                            "explanations": panel.explanations(new), "alerts": panel.alerts(new, self.noise)}
+            key = {"predictions": "target_date", "tail": "batch_id"}
+            for name, df in tables.items():
+                if name != "days":
+                    write_keyed(df.withColumn("batch_id", F.lit(batch_id)), self.path(name), key.get(name, "date"))
+            # last: these rows are what makes the dates committed
+            write_keyed(out["days"].withColumn("batch_id", F.lit(batch_id)), self.path("days"), "date")
         finally:
-            batch.unpersist()
-    return run
+            new.unpersist()
 
 
 def run_tick_stream(spark: SparkSession, feed_dir: str, state_dir: str, checkpoint: str | None = None,
-                    max_files_per_trigger: int | None = 1, window_rows: int = 7) -> None:
-    """K1 -> K2 with ``Trigger.AvailableNow``: process every file present, then stop."""
-    ck = checkpoint or os.path.join(checkpoint_dir(spark), "tick-" + uuid.uuid4().hex)
-    q = (daily_feed(spark, feed_dir, max_files_per_trigger).writeStream
-         .foreachBatch(tick_batch(state_dir, window_rows))
+                    max_files_per_trigger: int | None = 1, window_rows: int = 7, manifest: str | None = None) -> None:
+    """K1 -> K2 with ``Trigger.AvailableNow``: process every file present, then stop. Without a manifest the
+    feed is taken as ended, and the dates still open are committed."""
+    ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/tick-{uuid.uuid4().hex}"
+    tick = Tick(state_dir, manifest, window_rows)
+    q = (daily_feed(spark, feed_dir, max_files_per_trigger).writeStream.foreachBatch(tick)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
+    if manifest is None:
+        tick.flush(spark)
 
 
 def seen_url_dedup(stream: DataFrame, url_col: str = "url", ts_col: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -135,32 +171,53 @@ def page_stream(spark: SparkSession, pages_dir: str) -> DataFrame:
     return parse_pages(pages_with_hints(spark.readStream.schema(schema).parquet(pages_dir)))
 
 
-def daily_event_summary(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """K6: per UTC day: events, purchases and value (cents) in one-day tumbling windows with a
-    watermark; append mode emits a day once the watermark has passed its end."""
-    ts = F.col("ts").cast("timestamp")        # event time must be TIMESTAMP (session zone UTC)
-    return (events.withColumn("ts", ts).withWatermark("ts", delay)
-            .groupBy(F.window("ts", "1 day").alias("w"))
+def daily_event_summary(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """K6: per UTC day: events, purchases and value (cents) in one-day tumbling windows. With a ``delay`` a
+    watermark closes a day that long after its end (append mode emits it then, and later rows are dropped);
+    without one no row is ever late (complete mode: ``run_to_latest``)."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))      # event time must be TIMESTAMP (session zone UTC)
+    if delay is not None:
+        events = events.withWatermark("ts", delay)
+    return (events.groupBy(F.window("ts", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("events"),
                  F.count_if(F.col("event_type") == "purchase").alias("purchases"),
                  F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("value_cents"))
             .select(F.to_date(F.col("w.start")).alias("date"), "events", "purchases", "value_cents"))
 
 
+def run_to_latest(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Drive a streaming aggregate to completion in complete mode: every batch writes the whole result under its
+    own id (a retried batch replaces its own), and the last one is returned."""
+    spark = df.sparkSession
+    base = path or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/data/batch_id={batch_id}")
+
+    q = (df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{base}/_ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    done = read_if_any(spark, f"{base}/data")
+    if done is None:
+        return spark.createDataFrame([], df.schema)
+    return done.join(done.agg(F.max("batch_id").alias("batch_id")), "batch_id", "left_semi").select(*df.columns)
+
+
 def run_to_table(df: DataFrame, path: str | None = None) -> DataFrame:
     """Drive a streaming DataFrame to completion (``Trigger.AvailableNow``) into a parquet file sink
     in the shared checkpoint folder and return it as a batch table. The file sink is exactly-once
     (its own commit log) and nothing is collected on the driver."""
     spark = df.sparkSession
-    base = path or os.path.join(checkpoint_dir(spark), "stream-" + uuid.uuid4().hex)
+    base = path or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = (df.writeStream.format("parquet").option("path", f"{base}/data").outputMode("append")
          .option("checkpointLocation", f"{base}/_ck").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/data")
 
 
-def write_feed(actuals: DataFrame, feed_dir: str) -> None:
-    """Split a panel into one file per date (the shape of the daily feed)."""
-    from ..sources.writers import salted
-    salted(actuals.select(*[f.name for f in ACTUALS_STREAM_SCHEMA.fields]), "date") \
-        .write.mode("overwrite").partitionBy("date").parquet(feed_dir)
+def write_feed(actuals: DataFrame, feed_dir: str, files_per_date: int | None = None, manifest: str | None = None) -> None:
+    """Split a panel into files per date (the shape of the daily feed); ``manifest`` gets the rows of each date."""
+    rows = actuals.select(*[f.name for f in ACTUALS_STREAM_SCHEMA.fields])
+    salted(rows, "date", files_per_date).write.mode("overwrite").partitionBy("date").parquet(feed_dir)
+    if manifest:
+        rows.groupBy("date").agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(manifest)

@@ -91,6 +91,12 @@ def test_writers(spark, tmpdir_path):
                          ["entity_id", "date"])
     got = sorted((r.entity_id, str(r.date), r.v) for r in spark.read.parquet(t).collect())
     assert got == [(1, "2024-01-01", "a"), (2, "2024-01-02", "B"), (3, "2024-01-02", "c")]
+    # the same on a URI: nothing that is stored is lost
+    u = f"file://{tmpdir_path}/master_uri"
+    for rows in (first, spark.createDataFrame([(5, d1, "e")], first.schema)):
+        writers.upsert_table(spark, u, rows, ["entity_id", "date"])
+    assert sorted(r.entity_id for r in spark.read.parquet(u).collect()) == [1, 2, 5]
+    assert readers.load_serving(spark, f"file://{tmpdir_path}")["master"].count() == 3
 
 
 def test_write_catalog_and_load_serving(spark, tmpdir_path):

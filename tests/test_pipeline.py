@@ -10,6 +10,7 @@ from shelfspark import fixtures as fx
 from shelfspark.operators import crawl, extract
 from shelfspark.plans import backtest as bt
 from shelfspark.plans import scrape
+from shelfspark.sources import readers
 from shelfspark.streaming import feed
 
 
@@ -146,7 +147,8 @@ def test_stream_equals_batch_and_replay(spark, tmpdir_path):
     days1 = sorted(map(tuple, spark.read.parquet(f"{state}/days").select("sim_day", "date", "model_version").collect()))
     # a retried batch (same id, same input) rewrites the same rows
     last = a.filter(F.col("date") == dates[-1]).select(*[f.name for f in feed.ACTUALS_STREAM_SCHEMA.fields])
-    feed.tick_batch(state)(last, len(dates) - 1)
+    feed.Tick(state)(last, len(dates) - 1)
+    feed.Tick(state).flush(spark)
     # and so does replaying every batch with a fresh checkpoint
     feed.run_tick_stream(spark, feed_dir, state, os.path.join(tmpdir_path, "ck2"), max_files_per_trigger=1)
     got2 = sorted(map(tuple, spark.read.parquet(f"{state}/fva").select(*bt.panel.FVA_COLS).collect()), key=repr)
@@ -154,16 +156,59 @@ def test_stream_equals_batch_and_replay(spark, tmpdir_path):
     assert got2 == want and days2 == days1
 
 
+def test_dates_over_many_files_and_a_uri_state(spark, tmpdir_path):
+    """One file a trigger, four files a date in no order, state under a file:// folder."""
+    a = fx.actuals(spark, SF0001)
+    dates = sorted(r.date for r in a.select("date").distinct().collect())[:4]
+    sub = a.filter(F.col("date").isin(dates))
+    cols = [f.name for f in feed.ACTUALS_STREAM_SCHEMA.fields]
+    feed_dir, state, manifest = (f"file://{tmpdir_path}/{n}" for n in ("feed", "state", "manifest"))
+    for d in (dates[0], dates[2], dates[1], dates[3]):        # a later day is written first
+        sub.filter(F.col("date") == d).select(*cols).repartition(4).write.mode("append").parquet(feed_dir)
+    sub.groupBy("date").agg(F.count(F.lit(1)).alias("rows")).write.parquet(manifest)
+    feed.run_tick_stream(spark, feed_dir, state, max_files_per_trigger=1, manifest=manifest)
+    want = bt.backtest(sub)
+    for name, keys in (("fva", bt.panel.FVA_COLS), ("days", ["sim_day", "date", "rows_ingested", "drift_score", "retrained", "model_version"])):
+        got = sorted(map(tuple, spark.read.parquet(f"{state}/{name}").select(*keys).collect()), key=repr)
+        assert got == sorted(map(tuple, want[name].select(*keys).collect()), key=repr)
+    assert readers.read_if_any(spark, f"{state}/late") is None
+
+
+def test_an_incomplete_date_waits(spark, tmpdir_path):
+    a = fx.actuals(spark, SF0001)
+    dates = sorted(r.date for r in a.select("date").distinct().collect())[:2]
+    cols = [f.name for f in feed.ACTUALS_STREAM_SCHEMA.fields]
+    feed_dir, state, manifest, ck = (os.path.join(tmpdir_path, n) for n in ("feed", "state", "manifest", "ck"))
+    sub = a.filter(F.col("date").isin(dates)).select(*cols)
+    sub.groupBy("date").agg(F.count(F.lit(1)).alias("rows")).write.parquet(manifest)
+    first = sub.filter((F.col("date") == dates[1]) | (F.col("entity_id") % 2 == 0))
+    first.coalesce(1).write.mode("append").parquet(feed_dir)
+    feed.run_tick_stream(spark, feed_dir, state, ck, manifest=manifest)
+    assert readers.read_if_any(spark, f"{state}/days") is None
+    sub.subtract(first).coalesce(1).write.mode("append").parquet(feed_dir)
+    feed.run_tick_stream(spark, feed_dir, state, ck, manifest=manifest)
+    assert [r.sim_day for r in spark.read.parquet(f"{state}/days").orderBy("date").collect()] == [1, 2]
+
+
 def test_late_rows_go_to_late_table(spark, tmpdir_path):
     a = fx.actuals(spark, SF0001)
     dates = sorted(r.date for r in a.select("date").distinct().collect())[:3]
     feed_dir, state = os.path.join(tmpdir_path, "feed"), os.path.join(tmpdir_path, "state")
     cols = [f.name for f in feed.ACTUALS_STREAM_SCHEMA.fields]
-    for d in (dates[0], dates[2], dates[1]):         # dates[1] arrives after dates[2]: late
+    for d in (dates[0], dates[1], dates[2], dates[0]):         # dates[0] comes again after dates[1] has closed it
         a.filter(F.col("date") == d).select(*cols).coalesce(1).write.mode("append").parquet(feed_dir)
     feed.run_tick_stream(spark, feed_dir, state, os.path.join(tmpdir_path, "ck"), max_files_per_trigger=1)
     late = spark.read.parquet(f"{state}/late").select("date").distinct().collect()
-    assert [r.date for r in late] == [dates[1]]
+    assert [r.date for r in late] == [dates[0]]
+    assert spark.read.parquet(f"{state}/days").count() == 3
+
+
+def test_daily_summary_over_many_batches(spark, tmpdir_path):
+    ev = fx.table(spark, SF0001, "events")
+    ev.repartition(5).write.parquet(f"{tmpdir_path}/ev")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmpdir_path}/ev")
+    got = feed.run_to_latest(feed.daily_event_summary(stream)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, feed.daily_event_summary(ev).collect())) and len(got) == 30
 
 
 def test_driver_contract(spark):
