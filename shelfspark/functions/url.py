@@ -17,10 +17,10 @@ SKIP_SCHEMES = ["javascript", "mailto", "tel", "data"]
 SKIP_EXTENSIONS = ["pdf", "jpg", "jpeg", "png", "gif", "svg", "webp", "mp4", "mp3", "zip", "exe", "dmg",
                    "apk", "css", "js", "woff", "woff2", "ttf"]
 
-# Multi-label public suffixes recognised by the short built-in list; a full
-# public-suffix list can be passed as a table to ``registered_domain_join``.
-MULTI_LABEL_SUFFIXES = ["co.in", "co.uk", "com.au", "co.jp", "com.br", "co.nz", "org.uk", "net.in",
-                        "org.in", "gov.in", "ac.in", "com.sg", "com.mx"]
+#: A country's second-level suffixes (``co.uk``, ``com.au``, ``co.za``): one of these labels before a country code of two
+#: letters. ``c_registered_domain`` takes another pattern, or a list of suffixes, as a parameter.
+SECOND_LEVEL = ("co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go")
+SUFFIX_RE = r"^(?:" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2}$"
 
 _URL_RE = r"^(?:([a-z][a-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -101,23 +101,23 @@ def c_host(c) -> Column:
     return F.nullif(h, F.lit(""))
 
 
-def c_registered_domain(host) -> Column:
-    """eTLD+1 with the short suffix list: last three labels when the last two form a known
-    multi-label suffix, else the last two labels."""
+def c_registered_domain(host, suffixes=SUFFIX_RE) -> Column:
+    """eTLD+1: last three labels when the last two are a multi-label suffix, else the last two. ``suffixes`` is a
+    pattern of such suffixes, or a list of them (a public-suffix list's two-label entries)."""
     h = F.regexp_replace(F.regexp_replace(F.lower(_col(host)), r"^(?:[^@/]*@)?www\.|:\d+$", ""), r"^[^@/]*@", "")
     labels = F.split(h, r"\.")
     n = F.size(labels)
     last2 = F.array_join(F.slice(labels, -2, 2), ".")
-    multi = F.array(*[F.lit(s) for s in MULTI_LABEL_SUFFIXES])
+    multi = last2.rlike(suffixes) if isinstance(suffixes, str) else last2.isin(list(suffixes))
     return (F.when(h.isNull() | (h == "") | (n < 2), F.lit(None).cast("string"))
             .when(n == 2, h)
-            .when(F.array_contains(multi, last2), F.array_join(F.slice(labels, -3, 3), "."))
+            .when(multi, F.array_join(F.slice(labels, -3, 3), "."))
             .otherwise(last2))
 
 
 def c_link_ok(url) -> Column:
-    """G25 filters on an absolute link: http(s) only, no skipped extension on the path."""
+    """G25 filters on an absolute link: http(s) only, no skipped extension on the path (a slash at its end not regarded)."""
     u = _col(url)
-    path = F.lower(F.regexp_extract(u, _URL_RE, 3))
+    path = F.rtrim(F.lower(F.regexp_extract(u, _URL_RE, 3)), F.lit("/"))
     ext = F.regexp_extract(path, r"\.([a-z0-9]+)$", 1)
     return u.rlike(r"^(?i)https?://[^/]") & ~F.array_contains(F.array(*[F.lit(e) for e in SKIP_EXTENSIONS]), ext)

@@ -2,68 +2,34 @@
 
 A crawl level is a set-based plan over an edge table (page -> discovered link): scope filter,
 page typing, child context, depth gate, already-seen anti-join, in-level dedup, per-domain cap,
-priority order. Only small, config-sized tables (seed allow-list, keywords) are broadcast, and
-only after their size is checked.
+priority order. Joins are equi-joins whose strategy AQE picks from measured sizes.
 """
 
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.classify import CATEGORY, UNKNOWN, c_page_type_html, c_page_type_url, c_priority
+from ..functions.html import with_links
 from ..functions.url import c_host, c_link_ok, c_registered_domain
-from .extract import _Dom, _links, select
+from ..session import cut_lineage
 from .keys import keep_first
 
 MAX_PER_DOMAIN = 500
 # Numeric pagination query parameters, tried in this order.
 PAGE_PARAMS = ["page", "p", "pg", "pageNumber", "start", "offset", "from"]
 PAGE_PATH_RE = r"(?i)/(?:page|p)/(\d+)/?$"
-BROADCAST_MAX_ROWS = 100_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the table is proven small (counted, bounded by ``max_rows``);
-    otherwise leave the join to AQE / sort-merge."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 # ---------------------------------------------------------------- link extraction (light pass)
 
-LINKS_T = T.StructType([T.StructField("links", T.ArrayType(T.StringType())), T.StructField("rel_next", T.StringType())])
-
-
 def extract_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page its unique absolute links in document order and rel=next; html dropped."""
-    from ..session import spread
-    # the page's own HTML type (G14) is kept for html_scope="parent" classification of its links
-    pages = spread(pages).withColumn("html_type", c_page_type_html(F.col(html_col)))
-    keep = [c for c in pages.columns if c != html_col]
-    schema = T.StructType([f for f in pages.schema.fields if f.name != html_col] +
-                          [T.StructField("links", T.ArrayType(T.StringType())),
-                           T.StructField("rel_next", T.StringType())])
-
-    def run(batches):
-        for pdf in batches:
-            links, nxt = [], []
-            for h, u in zip(pdf[html_col], pdf[url_col]):
-                dom = _Dom(h or "")
-                links.append(_links(dom.nodes, u or ""))
-                rel = next((n.attrs.get("href", "").strip() for n in select(dom.nodes, "link[rel], a[rel]")
-                            if "next" in n.attrs.get("rel", "").lower().split() and n.attrs.get("href", "").strip()), "")
-                nxt.append(urljoin(u or "", rel) if rel else "")
-            out = pdf[keep].copy()
-            out["links"] = links
-            out["rel_next"] = nxt
-            yield out
-
-    return pages.mapInPandas(run, schema)
+    """Per page its unique absolute links in document order and rel=next; html dropped. The page's own HTML
+    type (G14) is kept for ``html_scope="parent"`` classification of its links."""
+    return with_links(pages.withColumn("html_type", c_page_type_html(F.col(html_col))), url_col, html_col).drop(html_col)
 
 
 def link_edges(pages_links: DataFrame, parent_cols=("page_id", "url")) -> DataFrame:
@@ -82,8 +48,8 @@ def c_depth_ok(depth="depth", max_depth="max_depth") -> Column:
 
 def in_scope(links: DataFrame, seeds: DataFrame, url_col: str = "link") -> DataFrame:
     """C4: http(s) links whose registered domain is in the seed allow-list and equals the
-    registered domain of the row's own seed. The allow-list (one row per seed domain) is a
-    left-semi join, broadcast after a size check."""
+    registered domain of the row's own seed. The allow-list (one row per seed domain) is a left-semi
+    join; AQE broadcasts it if its measured size allows."""
     allow = (seeds.select(F.explode("domains").alias("d"))
              .select(c_registered_domain(F.col("d")).alias("_reg")).filter(F.col("_reg").isNotNull()).distinct())
     reg = c_registered_domain(c_host(url_col))
@@ -91,7 +57,7 @@ def in_scope(links: DataFrame, seeds: DataFrame, url_col: str = "link") -> DataF
     own = c_registered_domain(F.col("seed_domain"))
     return (with_reg.filter(F.col(url_col).rlike(r"^(?i)https?://") & F.col("_reg").isNotNull()
                             & (own.isNull() | (F.col("_reg") == own)))
-            .join(checked_broadcast(allow), "_reg", "left_semi").drop("_reg"))
+            .join(allow, "_reg", "left_semi").drop("_reg"))
 
 
 def child_context(edges: DataFrame) -> DataFrame:
@@ -105,41 +71,37 @@ def child_context(edges: DataFrame) -> DataFrame:
         *([F.col("_parent_html_type")] if "_parent_html_type" in edges.columns else []))
 
 
-def product_hint(urls: DataFrame, keywords: DataFrame, max_keywords: int = BROADCAST_MAX_ROWS) -> DataFrame:
+#: Lengths of the keyword beginnings on which URLs and keywords meet.
+GRAM_LENGTHS = (1, 2, 3, 5, 8)
+
+
+def product_hint(urls: DataFrame, keywords: DataFrame) -> DataFrame:
     """Keep an existing hint; else the model id of the first keyword (seed order) that the
     URL contains, case-insensitively.
 
-    The keyword table is seed configuration: its size is checked against ``max_keywords`` and it
-    is shipped to the tasks, where one Aho-Corasick automaton per task finds every keyword
-    contained in a URL in a single pass over the URL. No URL x keyword product is formed."""
+    Keywords and URLs meet in an equi-join: a keyword on its beginning (the longest of
+    ``GRAM_LENGTHS`` characters that it has), a distinct URL on each of its substrings of those
+    lengths. ``contains`` verifies the candidates and ``min_by`` keeps the first in seed order."""
     kw = (keywords.select(F.lower("keyword").alias("k"), F.col("model_id").alias("m"),
                           F.col("product_ord").alias("po"), F.col("kw_ord").alias("ko"))
           .filter(F.col("k").isNotNull() & (F.col("k") != "")))
-    if kw.limit(max_keywords + 1).count() > max_keywords:
-        raise ValueError(f"more than {max_keywords} product keywords: not a seed configuration")
-    ordered = [(r.k, r.m) for r in kw.orderBy("po", "ko").collect()]   # bounded config table
-    schema = urls.schema
-
-    def run(batches):
-        try:
-            import ahocorasick
-            auto = ahocorasick.Automaton()
-            for i, (k, m) in enumerate(ordered):
-                if not auto.exists(k):                       # first occurrence keeps the seed order
-                    auto.add_word(k, (i, m))
-            if ordered:
-                auto.make_automaton()
-            find = (lambda u: min(auto.iter(u), default=None, key=lambda hit: hit[1][0])) if ordered \
-                else (lambda u: None)
-            first = lambda u: (lambda h: h[1][1] if h else None)(find(u))
-        except ImportError:                                  # plain scan over the (small) list
-            first = lambda u: next((m for k, m in ordered if k in u), None)
-        for pdf in batches:
-            pdf["product_hint"] = [h if isinstance(h, str) and h else (first(u.lower()) if isinstance(u, str) else None)
-                                   for u, h in zip(pdf["url"], pdf["product_hint"])]
-            yield pdf
-
-    return urls.mapInPandas(run, schema)
+    size = F.lit(GRAM_LENGTHS[0])
+    for n in GRAM_LENGTHS[1:]:
+        size = F.when(F.char_length("k") >= n, F.lit(n)).otherwise(size)
+    kw = kw.groupBy("k").agg(F.min_by("m", F.struct("po", "ko")).alias("m"), F.min(F.struct("po", "ko")).alias("o")) \
+        .withColumn("gram", F.substr("k", F.lit(1), size))
+    need = (urls.filter(F.coalesce("product_hint", F.lit("")) == "").select("url").filter(F.col("url").isNotNull()).distinct()
+            .withColumn("u", F.lower("url")))
+
+    def pieces(n: int) -> Column:
+        starts = F.when(F.char_length("u") >= n, F.sequence(F.lit(1), F.char_length("u") - (n - 1)))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substr(F.col("u"), i, F.lit(n)))
+
+    grams = F.array_distinct(F.flatten(F.array(*map(pieces, GRAM_LENGTHS))))
+    hits = (need.withColumn("gram", F.explode(grams)).join(kw, "gram").filter(F.contains("u", "k"))
+            .groupBy("url").agg(F.min_by("m", "o").alias("_hint")))
+    return (urls.join(hits, "url", "left").withColumn("product_hint", F.coalesce(F.nullif("product_hint", F.lit("")), "_hint"))
+            .select(*urls.columns))
 
 
 def unseen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
@@ -168,14 +130,14 @@ def next_page(url="url", rel_next="rel_next", depth="depth", max_depth="max_dept
     e = F.lit(None).cast("string")
     for p in reversed(PAGE_PARAMS):
         rx = r"(^|&)" + re.escape(p) + r"=(\d+)(&|$)"
-        n = F.regexp_extract(q, rx, 2)
-        new_q = F.regexp_replace(q, rx, F.concat(F.lit("$1" + p + "="), (n.cast("bigint") + 1).cast("string"), F.lit("$3")))
+        n = F.regexp_extract(q, rx, 2).try_cast("bigint")            # a number that is too long is no page number
+        new_q = F.regexp_replace(q, rx, F.concat(F.lit("$1" + p + "="), F.try_add(n, F.lit(1)).cast("string"), F.lit("$3")))
         frag = F.when(u.contains("#"), F.concat(F.lit("#"), F.substring_index(u, "#", -1))).otherwise(F.lit(""))
-        e = F.when(n != "", F.concat(F.split_part(u, F.lit("?"), F.lit(1)), F.lit("?"), new_q, frag)).otherwise(e)
-    path_n = F.regexp_extract(F.split_part(u, F.lit("?"), F.lit(1)), PAGE_PATH_RE, 1)
+        e = F.when(F.try_add(n, F.lit(1)).isNotNull(), F.concat(F.split_part(u, F.lit("?"), F.lit(1)), F.lit("?"), new_q, frag)).otherwise(e)
+    path_n = F.regexp_extract(F.split_part(u, F.lit("?"), F.lit(1)), PAGE_PATH_RE, 1).try_cast("bigint")
     path_next = F.regexp_replace(u, r"(?i)/(?:page|p)/(\d+)/?(?=$|\?|#)",
-                                 F.concat(F.lit("/page/"), (path_n.cast("bigint") + 1).cast("string"), F.lit("/")))
-    e = F.coalesce(e, F.when(path_n != "", path_next))
+                                 F.concat(F.lit("/page/"), F.try_add(path_n, F.lit(1)).cast("string"), F.lit("/")))
+    e = F.coalesce(e, F.when(F.try_add(path_n, F.lit(1)).isNotNull(), path_next))
     e = F.when(F.coalesce(F.col(rel_next), F.lit("")) != "", F.col(rel_next)).otherwise(e)
     return F.when((F.col(depth) < F.col(max_depth)) & F.col(page_type).isin(CATEGORY, UNKNOWN), e)
 
@@ -202,7 +164,8 @@ def expand_level(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame,
     fetched pages with their links (url, links); ``seen``: every URL already requested.
 
     Returns the next level's requests, de-duplicated, gated, capped and priority-ordered."""
-    fetched = frontier.filter(c_depth_ok()).join(pages_links.select("url", "links", "html_type"), "url")
+    bodies = pages_links.select("url", "links", "html_type").dropDuplicates(["url"])
+    fetched = keep_first(frontier.filter(c_depth_ok()), ["url"], ["depth", "origin_url"]).join(bodies, "url")
     edges = fetched.select("*", F.posexplode("links").alias("pos", "link")).drop("links").filter(c_link_ok("link"))
     scoped = in_scope(edges, seeds)
     kids = child_context(scoped.withColumnRenamed("html_type", "_parent_html_type"))
@@ -221,35 +184,19 @@ def expand_level(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame,
     return kids.withColumn("priority", c_priority("page_type")).orderBy("priority", "url")
 
 
-def crawl_plan(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame, max_levels: int = 10,
-               cap: int = MAX_PER_DOMAIN) -> DataFrame:
-    """Repeat ``expand_level`` until a level is empty (at most ``max_levels``, bounded by the
-    depth limit). Each level is checkpointed reliably into ``spark.checkpoint.dir`` so lineage does
+def crawl_plan(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame, cap: int = MAX_PER_DOMAIN) -> DataFrame:
+    """Repeat ``expand_level`` until a level is empty. The requests' own largest max_depth bounds the number of
+    levels; a level beyond it raises. Each level is checkpointed reliably into ``spark.checkpoint.dir`` so lineage does
     not grow and a lost executor does not recompute earlier levels."""
-    from ..session import cut_lineage
     cols = ["url", "seed_category", "seed_domain", "origin_url", "depth", "max_depth", "parent_url",
             "product_hint", "page_type"]
     level = frontier.select(*[F.col(c) if c in frontier.columns else F.lit(None).cast("string").alias(c) for c in cols])
+    deepest = frontier.agg(F.max("max_depth")).first()[0] or 0
     all_levels = level
-    seen = level.select("url")
-    for _ in range(max_levels):
+    for _ in range(deepest + 1):
         counts = all_levels.groupBy("seed_domain").agg(F.count(F.lit(1)).alias("enqueued"))
-        nxt = expand_level(level, pages_links, seeds, seen, counts, cap).select(*cols)
-        nxt = cut_lineage(nxt)
-        if nxt.limit(1).count() == 0:
-            break
-        all_levels = cut_lineage(all_levels.unionByName(nxt))
-        seen = all_levels.select("url")
-        level = nxt
-    return all_levels
-
-
-def c_next_page(url="url", rel_next="rel_next", depth="depth", max_depth="max_depth", page_type="page_type") -> Column:
-    """G24 under its inventory name."""
-    return next_page(url, rel_next, depth, max_depth, page_type)
-
-
-def expand_frontier(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame, seen: DataFrame,
-                    cap: int = MAX_PER_DOMAIN, **kw) -> DataFrame:
-    """I3 one breadth-first level under its inventory name (see ``expand_level``)."""
-    return expand_level(frontier, pages_links, seeds, seen, cap=cap, **kw)
+        level = cut_lineage(expand_level(level, pages_links, seeds, all_levels.select("url"), counts, cap).select(*cols))
+        if level.isEmpty():
+            return all_levels
+        all_levels = cut_lineage(all_levels.unionByName(level))
+    raise RuntimeError(f"requests below their max_depth of {deepest} are left after {deepest + 1} levels")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import classify as cl
 from ..functions import url as U
+from ..functions.html import c_title
 from ..operators import crawl
-from ..operators.extract import extracted_table
 from . import scrape
 from .catalog_queries import q
 from .registry import query
@@ -44,9 +44,8 @@ def sql_registered_domain(h: str) -> str:
     hh = f"regexp_replace(regexp_replace(lower({h}), '^(?:[^@/]*@)?www\\.|:\\d+$', '', 'g'), '^[^@/]*@', '')"
     labels = f"string_split({hh}, '.')"
     last2 = f"array_to_string({labels}[-2:], '.')"
-    multi = "[" + ", ".join(q(s) for s in U.MULTI_LABEL_SUFFIXES) + "]"
     return (f"(CASE WHEN {h} IS NULL OR {hh} = '' OR len({labels}) < 2 THEN NULL WHEN len({labels}) = 2 THEN {hh} "
-            f"WHEN list_contains({multi}, {last2}) THEN array_to_string({labels}[-3:], '.') ELSE {last2} END)")
+            f"WHEN regexp_matches({last2}, '^(co|com|net|org|gov|edu|ac|or|ne|go)[.][a-z][a-z]$') THEN array_to_string({labels}[-3:], '.') ELSE {last2} END)")
 
 
 _EXT = "[" + ", ".join(q(e) for e in U.SKIP_EXTENSIONS) + "]"
@@ -64,12 +63,13 @@ _abs AS (SELECT page_id, url, e.i AS i,
     WHEN regexp_matches(e.h, '^(?i)https?://') THEN lower(regexp_extract(e.h, '^([^:]*)', 1)) || '://' || lower(regexp_extract(e.h, '^[^:]*://([^/?#]*)', 1)) || regexp_extract(e.h, '^[^:]*://[^/?#]*(.*)$', 1)
     WHEN starts_with(e.h, '//') THEN lower(scheme) || '://' || lower(regexp_extract(e.h, '^//([^/?#]*)', 1)) || regexp_extract(e.h, '^//[^/?#]*(.*)$', 1)
     WHEN starts_with(e.h, '/') THEN lower(scheme) || '://' || lower(netloc) || e.h
+    WHEN starts_with(e.h, '#') THEN lower(scheme) || '://' || lower(netloc) || regexp_extract(url, '^[^:]*://[^/?#]*(.*)$', 1)
     ELSE NULL END, '#.*$', '') AS link
-  FROM _raw WHERE e.h <> '' AND NOT starts_with(e.h, '#') AND NOT regexp_matches(e.h, '^(?i)(javascript|mailto|tel|data):')),
+  FROM _raw WHERE e.h <> '' AND NOT regexp_matches(e.h, '^(?i)(javascript|mailto|tel|data):')),
 _uniq AS (SELECT page_id, url, link, MIN(i) AS i FROM _abs WHERE link IS NOT NULL GROUP BY page_id, url, link),
 links AS (SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, link FROM _uniq),
 edges AS (SELECT * FROM links WHERE regexp_matches(link, '^(?i)https?://[^/]')
-  AND NOT list_contains({_EXT}, regexp_extract(lower(regexp_extract(link, {q(U._URL_RE)}, 3)), '\\.([a-z0-9]+)$', 1)))"""
+  AND NOT list_contains({_EXT}, regexp_extract(rtrim(lower(regexp_extract(link, {q(U._URL_RE)}, 3)), '/'), '\\.([a-z0-9]+)$', 1)))"""
 
 
 def _pages(spark, sf):
@@ -87,8 +87,8 @@ def _edges(spark, sf):
 SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS page_title FROM pages""")
 def q_page_titles(spark, sf):
-    """H1: page title per page (extraction pass)."""
-    return extracted_table(_pages(spark, sf)).select("page_id", "page_title")
+    """H1: page title per page."""
+    return _pages(spark, sf).select("page_id", c_title(F.col("html")).alias("page_title"))
 
 
 @query("page_links", f"WITH {LINKS_SQL}\nSELECT page_id, pos, link FROM edges")
@@ -138,11 +138,8 @@ _NEXT_SQL = "(CASE " + " ".join(
   END AS next_url FROM pages""")
 def q_next_pages(spark, sf):
     """G24 for every page treated as a depth-0 request (max depth 4); pages carry no rel=next."""
-    p = crawl.extract_links(_pages(spark, sf).select("page_id", "url", "html")) \
-        .withColumn("page_type", cl.c_page_type("url", F.lit(None).cast("string")))
-    t = _pages(spark, sf).select("page_id", cl.c_page_type("url", "html").alias("pt"))
-    p = p.drop("page_type").join(t, "page_id").withColumnRenamed("pt", "page_type") \
-        .withColumn("depth", F.lit(0)).withColumn("max_depth", F.lit(4))
+    p = (crawl.extract_links(_pages(spark, sf).withColumn("page_type", cl.c_page_type("url", "html")))
+         .withColumn("depth", F.lit(0)).withColumn("max_depth", F.lit(4)))
     return p.select("page_id", crawl.next_page().alias("next_url"))
 
 
@@ -182,7 +179,7 @@ def q_crawl_plan(spark, sf):
     """I3 all levels until the frontier is empty (pages only hold depth-0 bodies, so one level of
     children is found and the next level fetches nothing). Rows-only check."""
     frontier, links, seeds, _ = _frontier(spark, sf)
-    return crawl.crawl_plan(frontier, links, seeds, max_levels=4)
+    return crawl.crawl_plan(frontier, links, seeds)
 
 
 @query("parsed_pages")

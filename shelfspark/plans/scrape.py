@@ -2,8 +2,7 @@
 by hint (H12) -> content type (G15) -> normalised product / review / ad / trend / other records
 (H11, F4) -> one write partitioned by output (A7).
 
-The extraction result is persisted once (several outputs read it) and ``html`` never leaves the
-extraction stage.
+``html`` never leaves the extraction stage, and all outputs come from one extraction.
 """
 
 from __future__ import annotations
@@ -37,9 +36,17 @@ def _vs(o: Column, *paths: str) -> Column:
     return F.coalesce(*[_ne(F.try_variant_get(o, p, "string")) for p in paths])
 
 
+def _name_of(o: Column, key: str) -> Column:
+    """Name of an object, or the text itself where the value is a text; an object without a name has none."""
+    text = F.when(F.schema_of_variant(F.try_variant_get(o, f"$.{key}", "variant")) == "STRING", _vs(o, f"$.{key}"))
+    return F.coalesce(_vs(o, f"$.{key}.name"), text)
+
+
 def json_ld_fields(x: Column) -> dict[str, Column]:
     """H2 + H5 from the raw JSON-LD objects of the extraction struct (Spark VARIANT)."""
-    objs = F.transform(F.coalesce(x["json_ld"], _empty()), lambda s: F.try_parse_json(s))
+    blocks = F.transform(F.coalesce(F.col("json_ld"), _empty()), lambda s: F.try_parse_json(s))
+    objs = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.array(b))))
+    objs = F.filter(objs, lambda o: o.isNotNull())
     prods = F.filter(objs, lambda o: F.array_contains(_ld_types(o), "Product"))
     revs = F.filter(objs, lambda o: F.array_contains(_ld_types(o), "Review")
                     & ~F.array_contains(_ld_types(o), "Product"))
@@ -58,7 +65,7 @@ def json_ld_fields(x: Column) -> dict[str, Column]:
         lambda t: t.isNotNull()), F.lit(1))
     return {
         "product_name": _vs(p, "$.name"),
-        "brand": _vs(p, "$.brand.name", "$.brand"),
+        "brand": _name_of(p, "brand"),
         "description": _vs(p, "$.description"),
         "sku_raw": _vs(p, "$.sku"),
         "model_number": _vs(p, "$.model"),
@@ -68,7 +75,7 @@ def json_ld_fields(x: Column) -> dict[str, Column]:
         "rating_raw": _vs(p, "$.aggregateRating.ratingValue"),
         "review_count_raw": _vs(p, "$.aggregateRating.reviewCount", "$.aggregateRating.ratingCount"),
         "review_text": _vs(r, "$.reviewBody"),
-        "reviewer_name": _vs(r, "$.author.name", "$.author"),
+        "reviewer_name": _name_of(r, "author"),
         "review_date_raw": _vs(r, "$.datePublished"),
         "review_rating_raw": _vs(r, "$.reviewRating.ratingValue"),
         "breadcrumbs": F.when(F.size(F.filter(ld_crumbs, lambda c: c != "")) > 0, ld_crumbs),
@@ -89,7 +96,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     og_desc, meta_desc = s(x["og_description"]), s(x["meta_description"])
     description = s(F.coalesce(ld["description"], _ne(x["description"])))
     cols = {
-        "page_title": s(x["page_title"]), "meta_description": meta_desc, "og_title": s(x["og_title"]),
+        "page_title": s(F.col("page_title")), "meta_description": meta_desc, "og_title": s(x["og_title"]),
         "og_description": og_desc, "og_image": s(x["og_image"]),
         "product_name": s(F.coalesce(ld["product_name"], _ne(x["dom_product_name"]))),
         "brand": brand,
@@ -119,11 +126,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                                              F.lit("transparency_page"))
                           .otherwise(F.coalesce(_ne(x["dom_ad_type"]), F.lit("unknown")))).otherwise(F.lit("")),
         "ad_target_url": F.when(is_(cl.AD), s(x["ad_target_url"])).otherwise(F.lit("")),
-        "links": x["links"], "rel_next": s(x["rel_next"]),
+        "links": F.col("links"), "rel_next": s(F.col("rel_next")),
     }
     cols["ad_snippet"] = F.when(is_(cl.AD), F.substring(
         F.coalesce(_ne(og_desc), _ne(meta_desc), description), 1, 500)).otherwise(F.lit(""))
-    keep = [c for c in ex.columns if c != "x"]
+    keep = [c for c in ex.columns if c not in ("x", "page_title", "links", "rel_next", "json_ld")]
     out = ex.select(*keep, *[v.alias(k) for k, v in cols.items()])
     ct = cl.c_content_type("detected_type", "page_type_hint", "price_raw", "product_name", "brand", "description",
                            "meta_description", "bullet_points", "review_text", F.size(F.coalesce("reviews", F.array())),

@@ -32,15 +32,70 @@ def product_page(name, brand, price, ld=True):
             f"</body></html>")
 
 
-def test_extract_one_product():
-    x = extract.extract_one(product_page("Galaxy S24", "Samsung", 74999), "https://shop.example.com/p/1#frag")
-    assert x["page_title"] == "Galaxy S24 | Shop" and x["dom_product_name"] == "Galaxy S24"
-    assert x["breadcrumbs"] == ["Home", "Phones"] and x["bullet_points"] == ["8GB RAM", "Fast & light"]
-    assert x["dom_price"] == "₹74999" and x["specs"] == {"Colour": "Blue"}
-    assert x["images"] == ["https://img/1.jpg"]
-    assert x["links"] == ["https://shop.example.com/next?page=2"]
-    assert x["rel_next"] == "https://shop.example.com/next?page=2"
-    assert len(x["json_ld"]) == 1
+def test_extract_one_product(spark):
+    html = product_page("Galaxy S24", "Samsung", 74999)
+    x = extract.extract_one(html)
+    assert x["dom_product_name"] == "Galaxy S24" and x["breadcrumbs"] == ["Home", "Phones"]
+    assert x["bullet_points"] == ["8GB RAM", "Fast & light"]
+    assert x["dom_price"] == "₹74999" and x["specs"] == {"Colour": "Blue"} and x["images"] == ["https://img/1.jpg"]
+    page = spark.createDataFrame([(1, "https://shop.example.com/p/1#frag", html)], "page_id long, url string, html string")
+    r = extract.extracted_table(page).first()
+    # a fragment alone is the page itself
+    assert r.links == ["https://shop.example.com/next?page=2", "https://shop.example.com/p/1"]
+    assert r.page_title == "Galaxy S24 | Shop" and r.rel_next == "https://shop.example.com/next?page=2" and len(r.json_ld) == 1
+
+
+def test_links_resolve_as_urljoin(spark):
+    bases = ["https://Shop.example.com/a/b/c?q=1#f", "http://x.org", "https://x.org/a/", "https://x.org/a?b/c"]
+    hrefs = ["d", "./d", "../d", "../../../d", "/d/./e/../f", "//Other.org/p", "?z=2", "#top", "HTTPS://Y.org/Q?r#s", "d/..", "mailto:a@b", "javascript:x()", "e;p=1?x=&y", "  /trim  "]
+    rows = [(b, "".join(f"<a class='k' href='{h}'>t</a>" for h in hrefs)) for b in bases]
+    from urllib.parse import urldefrag, urljoin, urlsplit
+    for r in crawl.extract_links(spark.createDataFrame(rows, "url string, html string")).collect():
+        want = []
+        for h in hrefs:
+            u = urlsplit(urldefrag(urljoin(r.url, h.strip()))[0])
+            if u.scheme in ("http", "https"):
+                want.append(u._replace(netloc=u.netloc.lower()).geturl())
+        assert r.links == list(dict.fromkeys(want))
+
+
+def test_markup_that_is_no_link(spark):
+    html = ("<!-- <a href='/no1'> --><script>var s = \"<a href='/no2'>\";</script><style>a[href='/no3']{}</style><abbr href='/no4'>"
+            "<a data-href='/no5' HREF=/yes1>1</a><A title='>' href=\"/yes2?a=1&amp;b=2\">2</A><a href='http://[bad'>3</a><a>4</a>")
+    r = crawl.extract_links(spark.createDataFrame([("https://x.org/", html), (None, None), ("", "")], "url string, html string")).collect()
+    assert r[0].links[:2] == ["https://x.org/yes1", "https://x.org/yes2?a=1&b=2"] and not any("no" in u for u in r[0].links)
+    assert r[1].links == r[2].links == [] and r[1].rel_next == ""
+
+
+def test_rel_next_prefers_link(spark):
+    html = "<a rel='next' href='/a2'>n</a><link rel='prefetch next' href='/l2'>"
+    df = spark.createDataFrame([("https://x.org/", html), ("https://x.org/", "<a rel=next href='p?page=2'>n</a>")], "url string, html string")
+    assert [r.rel_next for r in crawl.extract_links(df).collect()] == ["https://x.org/l2", "https://x.org/p?page=2"]
+
+
+def test_page_numbers_that_are_too_long(spark):
+    urls = ["https://x.org/?page=99999999999999999999", "https://x.org/?page=99999999999999999999&p=4", "https://x.org/page/99999999999999999999/",
+            "https://x.org/?page=9223372036854775807", "https://x.org/page/7/"]
+    df = spark.createDataFrame([(u, "", 0, 4, "category_page") for u in urls], "url string, rel_next string, depth int, max_depth int, page_type string")
+    got = [r[0] for r in df.select(crawl.next_page()).collect()]
+    assert got == [None, "https://x.org/?page=99999999999999999999&p=5", None, None, "https://x.org/page/8/"]
+
+
+def test_one_bad_page_does_not_end_the_job(spark):
+    deep = "<div>" * 3000 + "<table class='a-keyvalue'><tr><th>a</th><td>b</td></tr></table>" + "</div>" * 3000
+    rank = "<li class='zg-grid-general-faceout'><span class='zg-bdg-text'>#99999999999999999999999</span><span class='p13n-sc-truncated'>N</span></li>"
+    pages = spark.createDataFrame([(1, "https://x.org/product/1", deep), (2, "http://[bad", "<a href='http://[worse'>"), (3, "https://x.org/bestseller/", rank), (4, None, None)],
+                                  "page_id long, url string, html string")
+    rows = {r.page_id: r for r in scrape.parse_pages(scrape.pages_with_hints(pages)).collect()}
+    assert len(rows) == 4 and rows[1].specs == {"a": "b"} and rows[3].trend_items[0].rank == 1
+
+
+def test_objects_without_a_name(spark):
+    ld = lambda brand: "<script type='application/ld+json'>" + json.dumps([{"@type": "Product", "name": "N", "brand": brand}]) + "</script>"
+    pages = spark.createDataFrame([(i, f"https://x.org/product/{i}", ld(b)) for i, b in enumerate([{"@type": "Brand"}, {"name": "B"}, "Plain", None, 5])],
+                                  "page_id long, url string, html string")
+    rows = scrape.parse_pages(scrape.pages_with_hints(pages)).orderBy("page_id").collect()
+    assert [r.brand for r in rows] == ["", "B", "Plain", "", ""] and {r.product_name for r in rows} == {"N"}
 
 
 def test_scrape_round_trip_from_part(spark):
@@ -107,7 +162,7 @@ def test_crawl_levels(spark):
                                        "https://toy.example.com/", 0, 3, None, None)],
                                      "url string, seed_category string, seed_domain string, origin_url string, "
                                      "depth int, max_depth int, parent_url string, product_hint string")
-    allreq = crawl.crawl_plan(frontier, links, seeds, max_levels=5)
+    allreq = crawl.crawl_plan(frontier, links, seeds)
     got = {r.url: (r.depth, r.page_type, r.parent_url) for r in allreq.collect()}
     h = "https://toy.example.com"
     assert got[f"{h}/category/phones"] == (1, "category_page", f"{h}/")

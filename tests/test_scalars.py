@@ -104,3 +104,31 @@ def test_clean_text(spark):
 
 def test_first_int(spark):
     assert one(spark, numeric.c_first_int("x"), [("#12 in Phones",), ("none",), (None,)]) == [12, None, None]
+
+
+def test_clean_list_decodes_and_normalises(spark):
+    from shelfspark.functions.text import c_clean_list
+    df = spark.createDataFrame([(["A &amp; B", " ", "\ufb01ne", "plain  text", None],), (["x\x07 y"],), (None,)], "a array<string>")
+    assert [r[0] for r in df.select(c_clean_list("a")).collect()] == [["A & B", "fine", "plain text"], ["x y"], []]
+
+
+def test_url_rules_gold(spark):
+    from shelfspark.functions.classify import c_page_type_url
+    gold = {"https://x.com/reviews/1": "review_page", "https://x.com/rating?x": "review_page", "https://x.com/write-a-review#a": "review_page",
+            "https://www.amazon.in/dp/B0ABCDEFGH#customerReviews": "review_page", "https://amazon.com/product-reviews/B0": "review_page",
+            "https://www.flipkart.com/x?reviewPage=2": "review_page", "https://x.com/sponsored/9": "ad_creative", "https://x.com/ad/": "ad_creative",
+            "https://x.com/search-trends/": "trend_data", "https://x.com/new-release?y": "trend_data", "https://amazon.in/gp/bestsellers": "trend_data",
+            "https://www.amazon.in/Some-Name/dp/B0ABCDEFGH": "product_page", "https://www.flipkart.com/a/p/itm123": "product_page",
+            "https://www.croma.com/some-phone-p123": "product_page", "https://x.com/item/7": "product_page", "https://x.com/details/abc": "product_page",
+            "https://www.amazon.in/s?k=a": "category_page", "https://www.flipkart.com/a/pr?sid=b": "category_page", "https://x.com/collection": "category_page",
+            "https://x.com/c/12": "category_page", "https://x.com/about": "unknown", "https://x.com/product/": "unknown"}
+    df = spark.createDataFrame([(u,) for u in gold], "u string")
+    assert {r[0]: r[1] for r in df.select("u", c_page_type_url("u")).collect()} == gold
+
+
+def test_registered_domains(spark):
+    from shelfspark.functions.url import c_registered_domain
+    gold = {"www.shop.co.za": "shop.co.za", "a.b.example.com": "example.com", "x.com.tr": "x.com.tr", "s.gov.in": "s.gov.in", "com.tr": "com.tr", "localhost": None}
+    df = spark.createDataFrame([(h,) for h in gold], "h string")
+    assert {r[0]: r[1] for r in df.select("h", c_registered_domain("h")).collect()} == gold
+    assert df.select(c_registered_domain("h", ["com.tr"])).filter("h = 'www.shop.co.za'").first()[0] == "co.za"
