@@ -31,7 +31,7 @@ from shelfspark.llm import vec
 from shelfspark.llm.vec import batch_of, column
 
 U = np.uint64
-UNIT, BLOCK, SHARD, LEAST_WORDS, GRAM = 64, 16, 2000, 5, 5
+UNIT, BLOCK, SHARD, LEAST_WORDS, GRAM = 64, 4, 1000, 5, 5
 K1, B = 1.2, 0.75
 SCORE, OVERLAP = 0.6, 0.5
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -102,20 +102,22 @@ class Index:
             out[hit] = lo[hit] + k
         return out
 
-    def wand(self, terms: list[int], blocks: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """Units of the given blocks that score ``least`` or more, by block-max WAND."""
+    def wand(self, terms: list[int], bounds: np.ndarray, least: float) -> list[tuple[int, float]]:
+        """Units that score ``least`` or more, by block-max WAND; ``bounds``: the sum of the terms' largest weights in each block."""
         lists = [self.postings[t] for t in terms]
-        tops, maxima = [float(self.top[t]) for t in terms], self.block_max[terms]
+        tops = [float(self.top[t]) for t in terms]
         out, cursor = [], [0] * len(lists)
+        open_ = (np.flatnonzero(bounds >= least) * BLOCK).tolist()           # first units of the blocks that can reach it
 
         def forward(k: int, unit: int) -> None:
             cursor[k] = bisect_left(lists[k][0], unit, cursor[k])
 
-        unit = int(blocks[0]) * BLOCK
+        if not open_:
+            return out
         for k in range(len(lists)):
-            forward(k, unit)
+            forward(k, open_[0])
         while True:
-            live = sorted((lists[k][0][c], k) for k, c in enumerate(cursor) if c < len(lists[k][0]))
+            live = sorted([(lists[k][0][c], k) for k, c in enumerate(cursor) if c < len(lists[k][0])])
             bound, pivot = 0.0, -1
             for i, (_, k) in enumerate(live):
                 bound += tops[k]
@@ -127,19 +129,18 @@ class Index:
             unit = live[pivot][0]
             while pivot + 1 < len(live) and live[pivot + 1][0] == unit:
                 pivot += 1
-            block = unit // BLOCK
-            part = [k for _, k in live[: pivot + 1]]
-            if float(maxima[part, block].sum()) < least:                   # no unit of the block before the next list's can reach it
-                to = (block + 1) * BLOCK
-                if pivot + 1 < len(live):
-                    to = min(to, live[pivot + 1][0])
-                for k in part:
-                    forward(k, to)
+            at = bisect_left(open_, unit - unit % BLOCK)
+            if at == len(open_):
+                return out
+            if open_[at] > unit:                                             # a block that cannot reach it: on to the next that can
+                for u, k in live:
+                    if u < open_[at]:
+                        forward(k, open_[at])
             elif live[0][0] == unit:
-                score = sum(lists[k][1][cursor[k]] for k in part)
+                score = sum(lists[k][1][cursor[k]] for _, k in live[: pivot + 1])
                 if score >= least - 1e-9:
                     out.append((unit, score))
-                for k in part:
+                for _, k in live[: pivot + 1]:
                     cursor[k] += 1
             else:
                 for u, k in live[: pivot + 1]:
@@ -164,9 +165,9 @@ class Index:
         found: dict[tuple[int, int], float] = {}
         for i in np.flatnonzero(np.add.reduceat(self.top[t], start) >= least).tolist():
             terms = t[start[i]: end[i]]
-            blocks = np.flatnonzero(self.block_max[terms].sum(0) >= least)
-            if len(blocks):
-                for unit, score in self.wand(terms.tolist(), blocks, least):
+            bounds = self.block_max[terms].sum(0)
+            if bounds.max() >= least:
+                for unit, score in self.wand(terms.tolist(), bounds, least):
                     at = (int(passage[start[i]]) // width, self.item_of[unit])
                     found[at] = max(found.get(at, 0.0), score)
         return found
@@ -208,6 +209,7 @@ def shards(benchmark: DataFrame, size: int = SHARD):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): each item that a document holds."""
+    vec.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
     for index in shards(benchmark):
@@ -225,6 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
+    vec.bounded_batches(docs.sparkSession)
     for index in shards(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
