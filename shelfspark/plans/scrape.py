@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as cl
-from ..functions.numeric import c_first_int
 from ..functions.parse import c_price, c_rating, c_rating_count
 from ..functions.text import LONG, SHORT, c_clean_list, c_clean_short, c_clean_text
 from ..operators.extract import extract_pages
@@ -142,91 +141,107 @@ def _host(url="url") -> Column:
     return F.coalesce(F.expr(f"try_parse_url({url}, 'HOST')"), F.lit(""))
 
 
-def product_records(parsed: DataFrame, use_ld_currency: bool = False, accept_bare_count: bool = False) -> DataFrame:
-    """H11 product records. Defaults reproduce the reference: currency from the price text
-    (Q15; ``use_ld_currency`` takes the JSON-LD currency when present) and a rating count only
-    when written before ratings/reviews (Q14; ``accept_bare_count`` also accepts a bare number)."""
-    p = parsed.filter(F.col("content_type") == cl.CT_PRODUCT)
-    if use_ld_currency:
-        p = p.withColumn("_pc", c_price("price_raw")["currency"])
+def _shared(content_type: str) -> list[Column]:
+    return [F.lit(content_type).alias("content_type"), F.col("url"), _host().alias("source_domain"), F.col("seed_category")]
+
+
+def product_fields(use_ld_currency: bool = False, accept_bare_count: bool = False) -> list[Column]:
     name = F.coalesce(_ne(F.col("product_name")), _ne(F.col("og_title")), F.col("page_title"))
+    price = c_price("price_raw")
+    if use_ld_currency:
+        price = price.withField("currency", F.coalesce(_ne(F.upper(F.trim("currency_raw"))), price["currency"]))
     extra = F.map_filter(F.create_map(
         F.lit("specs"), F.when(F.size("specs") > 0, F.to_json("specs")),
         F.lit("variants"), F.when(F.size("variants") > 0, F.to_json("variants")),
         F.lit("images"), F.when(F.size("images") > 0, F.to_json("images")),
         F.lit("seller"), F.when(F.col("seller") != "", c_clean_short("seller")),
         F.lit("mrp"), F.when(F.col("mrp_raw") != "", F.to_json(c_price("mrp_raw")))), lambda k, v: v.isNotNull())
-    return p.select(
-        F.lit("product").alias("content_type"), "url", _host().alias("source_domain"), "seed_category",
+    return _shared("product") + [
         c_clean_short(name).alias("product_name"), c_clean_short("brand").alias("brand"),
         c_clean_short("model_number").alias("model_number"), c_clean_short("sku_raw").alias("sku_hint"),
         c_clean_list("breadcrumbs").alias("breadcrumbs"),
         c_clean_list("bullet_points").alias("bullet_points"),
         c_clean_text(F.coalesce(_ne(F.col("description")), F.col("meta_description")), LONG).alias("description"),
-        c_clean_short("availability").alias("availability"),
-        (c_price("price_raw").withField("currency", F.coalesce(_ne(F.upper(F.trim("currency_raw"))),
-                                                                F.col("_pc")))
-         if use_ld_currency else c_price("price_raw")).alias("price"),
+        c_clean_short("availability").alias("availability"), price.alias("price"),
         F.struct(c_rating("rating_raw").alias("value"),
                  c_rating_count("review_count_raw", accept_bare_count).alias("count"),
                  F.col("rating_raw").alias("raw")).alias("rating"),
-        "crawled_at", extra.alias("extra"))
+        F.col("crawled_at"), extra.alias("extra")]
 
 
-def review_records(parsed: DataFrame) -> DataFrame:
-    """H11 + F4: one record per review card, or one from the top-level fields when none."""
-    r = parsed.filter(F.col("content_type") == cl.CT_REVIEW)
+def _review_cards() -> Column:
+    """Cards of a review page, or one card of its top-level fields."""
     cards = F.coalesce(F.col("reviews"), F.array())
     top = F.struct(F.col("reviewer_name").alias("reviewer"), F.col("review_rating_raw").alias("rating"),
                    F.lit(None).cast("string").alias("title"), F.col("review_date_raw").alias("date"),
                    F.col("review_text").alias("text"), F.col("verified_purchase").alias("verified"))
-    one = r.withColumn("card", F.explode(F.when(F.size(cards) > 0, cards).otherwise(F.array(top))))
-    c = F.col("card")
-    return one.select(
-        F.lit("review").alias("content_type"), "url", _host().alias("source_domain"), "seed_category",
+    return F.when(F.size(cards) > 0, cards).otherwise(F.array(top))
+
+
+def review_fields(c: Column) -> list[Column]:
+    return _shared("review") + [
         F.lit("").alias("parent_product_url"),
         c_clean_short(c["reviewer"]).alias("reviewer_name"), c_clean_text(c["text"], LONG).alias("review_text"),
         c_clean_short(c["date"]).alias("review_date"), F.coalesce(c["verified"], F.lit(False)).alias("verified_purchase"),
         F.struct(c_rating(c["rating"]).alias("value"), F.lit(None).cast("bigint").alias("count"),
                  F.coalesce(c["rating"], F.lit("")).alias("raw")).alias("rating"),
-        "crawled_at",
+        F.col("crawled_at"),
         F.when(c["title"].isNotNull(), F.create_map(F.lit("title"), c_clean_short(c["title"])))
-        .otherwise(F.create_map().cast("map<string,string>")).alias("extra"))
+        .otherwise(F.create_map().cast("map<string,string>")).alias("extra")]
+
+
+def ad_fields() -> list[Column]:
+    return _shared("ad") + [c_clean_short("advertiser").alias("advertiser"), c_clean_short("ad_type").alias("ad_type"),
+                            F.col("ad_target_url").alias("target_url"),
+                            c_clean_text("ad_snippet", SHORT).alias("content_snippet"), F.col("crawled_at")]
+
+
+def _trend_cards() -> Column:
+    """Named items of a trend page; a page without items has one null card (its summary)."""
+    items = F.coalesce(F.col("trend_items"), F.array())
+    return F.when(F.size(items) > 0, F.filter(items, lambda i: i["name"] != "")).otherwise(F.array(F.lit(None)))
+
+
+def trend_fields(c: Column) -> list[Column]:
+    name = F.when(c.isNotNull(), c["name"]).otherwise(F.coalesce(_ne(F.col("product_name")), F.col("page_title")))
+    return _shared("trend") + [
+        c["rank"].alias("rank"), c_clean_short(name).alias("product_name"),
+        F.lit(None).cast("double").alias("trend_score"), F.col("seed_category").alias("category"), F.col("crawled_at"),
+        F.when(c.isNotNull(), F.create_map(F.lit("price"), c["price"], F.lit("item_url"), c["url"]))
+        .otherwise(F.create_map().cast("map<string,string>")).alias("extra")]
+
+
+def other_fields() -> list[Column]:
+    return [F.col(c) for c in ("content_type", "url", "seed_category", "page_title")]
+
+
+def product_records(parsed: DataFrame, use_ld_currency: bool = False, accept_bare_count: bool = False) -> DataFrame:
+    """H11 product records. Defaults reproduce the reference: currency from the price text
+    (Q15; ``use_ld_currency`` takes the JSON-LD currency when present) and a rating count only
+    when written before ratings/reviews (Q14; ``accept_bare_count`` also accepts a bare number)."""
+    return parsed.filter(F.col("content_type") == cl.CT_PRODUCT).select(*product_fields(use_ld_currency, accept_bare_count))
+
+
+def review_records(parsed: DataFrame) -> DataFrame:
+    """H11 + F4: one record per review card, or one from the top-level fields when none."""
+    r = parsed.filter(F.col("content_type") == cl.CT_REVIEW).withColumn("_card", F.explode(_review_cards()))
+    return r.select(*review_fields(F.col("_card")))
 
 
 def ad_records(parsed: DataFrame) -> DataFrame:
     """H11 ad records."""
-    a = parsed.filter(F.col("content_type") == cl.CT_AD)
-    return a.select(F.lit("ad").alias("content_type"), "url", _host().alias("source_domain"), "seed_category",
-                    c_clean_short("advertiser").alias("advertiser"), c_clean_short("ad_type").alias("ad_type"),
-                    F.col("ad_target_url").alias("target_url"),
-                    c_clean_text("ad_snippet", SHORT).alias("content_snippet"), "crawled_at")
+    return parsed.filter(F.col("content_type") == cl.CT_AD).select(*ad_fields())
 
 
 def trend_records(parsed: DataFrame) -> DataFrame:
     """H11 + F4: named ranked items become records; a page without items gives one summary record."""
-    t = parsed.filter(F.col("content_type") == cl.CT_TREND)
-    items = F.coalesce(F.col("trend_items"), F.array())
-    has = F.size(items) > 0
-    named = t.filter(has).select("*", F.explode(items).alias("it")).filter(F.col("it.name") != "")
-    base = lambda: [F.lit("trend").alias("content_type"), "url", _host().alias("source_domain"), "seed_category"]
-    from_items = named.select(*base(), F.col("it.rank").alias("rank"), c_clean_short(F.col("it.name")).alias("product_name"),
-                              F.lit(None).cast("double").alias("trend_score"), F.col("seed_category").alias("category"),
-                              "crawled_at",
-                              F.create_map(F.lit("price"), F.col("it.price"), F.lit("item_url"), F.col("it.url"))
-                              .alias("extra"))
-    summary = t.filter(~has).select(*base(), F.lit(None).cast("bigint").alias("rank"),
-                                    c_clean_short(F.coalesce(_ne(F.col("product_name")), F.col("page_title")))
-                                    .alias("product_name"),
-                                    F.lit(None).cast("double").alias("trend_score"),
-                                    F.col("seed_category").alias("category"), "crawled_at",
-                                    F.create_map().cast("map<string,string>").alias("extra"))
-    return from_items.unionByName(summary)
+    t = parsed.filter(F.col("content_type") == cl.CT_TREND).withColumn("_card", F.explode(_trend_cards()))
+    return t.select(*trend_fields(F.col("_card")))
 
 
 def other_records(parsed: DataFrame) -> DataFrame:
     o = parsed.filter(~F.col("content_type").isin(cl.CT_PRODUCT, cl.CT_REVIEW, cl.CT_AD, cl.CT_TREND))
-    return o.select("content_type", "url", "seed_category", "page_title")
+    return o.select(*other_fields())
 
 
 # Output file per content type; category and other share one output.
@@ -235,15 +250,24 @@ OTHER_OUTPUT = "unclassified"
 
 
 def records_by_output(parsed: DataFrame) -> DataFrame:
-    """All records as (output, record JSON) rows: the single DataFrame A7 writes."""
-    parts = [(product_records(parsed), "products"), (review_records(parsed), "reviews"),
-             (ad_records(parsed), "ads"), (trend_records(parsed), "trends"),
-             (other_records(parsed), OTHER_OUTPUT)]
-    out = None
-    for df, name in parts:
-        j = df.select(F.lit(name).alias("output"), F.to_json(F.struct(*df.columns)).alias("value"))
-        out = j if out is None else out.unionByName(j)
-    return out
+    """All records as (output, record JSON) rows: the single DataFrame A7 writes. One pass over ``parsed``: a page's
+    cards are exploded, then each row is written by the fields of its own content type."""
+    ct = F.col("content_type")
+    reviews = F.when(ct == cl.CT_REVIEW, _review_cards())
+    trends = F.when(ct == cl.CT_TREND, _trend_cards())
+    # one row per card; the two kinds of cards never meet in one page
+    n = F.when(ct == cl.CT_REVIEW, F.size(reviews)).when(ct == cl.CT_TREND, F.size(trends)).otherwise(F.lit(1))
+    rows = (parsed.withColumns({"_reviews": reviews, "_trends": trends, "_n": n}).filter(F.col("_n") > 0)
+            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+            .withColumns({"_review": F.try_element_at("_reviews", F.col("_i")), "_trend": F.try_element_at("_trends", F.col("_i"))}))
+    record = lambda fields: F.to_json(F.struct(*fields))
+    value = (F.when(ct == cl.CT_PRODUCT, record(product_fields())).when(ct == cl.CT_REVIEW, record(review_fields(F.col("_review"))))
+             .when(ct == cl.CT_AD, record(ad_fields())).when(ct == cl.CT_TREND, record(trend_fields(F.col("_trend"))))
+             .otherwise(record(other_fields())))
+    output = F.lit(OTHER_OUTPUT)
+    for kind, name in OUTPUT_OF.items():
+        output = F.when(ct == kind, F.lit(name)).otherwise(output)
+    return rows.select(output.alias("output"), value.alias("value"))
 
 
 def pages_with_hints(pages: DataFrame, html_scope: str = "own") -> DataFrame:
@@ -272,18 +296,3 @@ def attach_html(queue: DataFrame, pages: DataFrame) -> DataFrame:
     q = queue.select("url", F.col("page_type").alias("page_type_hint"), "seed_category", "seed_domain",
                      F.lit("").alias("crawled_at"))
     return q.join(p, "url").withColumn("page_id", F.lit(None).cast("bigint"))
-
-
-def c_rank_text(c) -> Column:
-    """G28 alias used for ranked items."""
-    return c_first_int(c)
-
-
-def explode_reviews(parsed: DataFrame) -> DataFrame:
-    """review cards as records (one fallback record when a page has none)."""
-    return review_records(parsed)
-
-
-def explode_trends(parsed: DataFrame) -> DataFrame:
-    """named ranked items as records (one summary record when a page has none)."""
-    return trend_records(parsed)

@@ -48,3 +48,10 @@ def test_global_top_k_is_take_ordered(spark):
     p = plan(views.top_alerts(panel.alerts(fx.actuals(spark, SF0001)), 20))
     assert "TakeOrderedAndProject" in p
     _ = F
+
+
+def test_scrape_reads_pages_once(spark):
+    """All outputs of the scrape come from one page scan and one extraction."""
+    import __spark_entry__ as E
+    plan = E.queries()["scrape_records"](spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("MapInPandas") == 1
