@@ -7,7 +7,7 @@ reference's one-date-per-tick loop is the special case of filtering one date fir
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import (DRIFT_FLAG_THRESHOLD, c_hash_noise, c_health, c_momentum,
@@ -53,13 +53,15 @@ def next_day_forecast(actuals: DataFrame, version=DEFAULT_VERSION, noise: float
     ``version`` is a literal or a Column (the backtest passes the version in force that day).
     ``noise`` is the amplitude of a deterministic hash noise on price (0 = none)."""
     v = F.lit(version) if isinstance(version, str) else version
-    return actuals.select(
-        F.date_add("date", 1).alias("target_date"),
-        "entity_id",
-        round_half_up(F.col("demand_index") * c_momentum(), 4).alias("pred_demand"),
-        round_half_up(F.col("price_index") * (1 + c_hash_noise(noise, "entity_id", "date")), 4)
-        .alias("pred_price"),
-        v.alias("model_version"))
+    target, demand, price = forecast_columns(noise)
+    return actuals.select(target.alias("target_date"), "entity_id", demand.alias("pred_demand"), price.alias("pred_price"),
+                          v.alias("model_version"))
+
+
+def forecast_columns(noise: float = 0.0) -> tuple[Column, Column, Column]:
+    """Target date, demand and price of a panel row's forecast for the next day."""
+    return (F.date_add("date", 1), round_half_up(F.col("demand_index") * c_momentum(), 4),
+            round_half_up(F.col("price_index") * (1 + c_hash_noise(noise, "entity_id", "date")), 4))
 
 
 def forecast_vs_actual(actuals: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -179,23 +181,23 @@ def drift_snapshot(drift: DataFrame, threshold: float = DRIFT_FLAG_THRESHOLD) ->
 
 def per_day_drift_last_rows(fva: DataFrame, window_rows: int = 7) -> DataFrame:
     """Drift as the tick loop saw it: after comparing date D, the mean error of the last
-    ``window_rows`` non-null rows with date <= D.
+    ``window_rows`` non-null rows with date <= D, for every date of ``fva``.
 
     Only the last ``window_rows`` rows of each date can ever be in such a window, so we keep
-    those (a per-date top-k, pre-limited map-side) and run the rolling window over that small
-    table: it holds at most ``window_rows`` x #dates rows whatever the panel size."""
-    w_top = Window.partitionBy("date").orderBy(F.col("entity_id").desc())
-    tops = (fva.filter(F.col("abs_demand_error").isNotNull())
-            .withColumn("_r", F.row_number().over(w_top)).filter(F.col("_r") <= window_rows))
-    # Bounded table (window_rows x #dates): a single ordered window is fine here.
-    w = Window.orderBy("date", "entity_id").rowsBetween(-(window_rows - 1), 0)
+    those (a per-date top-k, pre-limited map-side; rows without an error last, so that every date is
+    there) and run the rolling window over that small table: it holds at most ``window_rows`` x #dates
+    rows whatever the panel size."""
+    err = F.col("abs_demand_error")
+    w_top = Window.partitionBy("date").orderBy(err.isNull(), F.col("entity_id").desc())
+    tops = (fva.select("date", "entity_id", "abs_demand_error").withColumn("_r", F.row_number().over(w_top))
+            .filter(F.col("_r") <= window_rows))
+    # Bounded table (window_rows x #dates): ordered windows are fine here.
+    w = Window.partitionBy(err.isNull()).orderBy("date", "entity_id").rowsBetween(-(window_rows - 1), 0)
     rolled = tops.withColumn("_m", F.avg("abs_demand_error").over(w))
-    last_of_day = rolled.groupBy("date").agg(F.max_by("_m", "entity_id").alias("_m"))
-    days = fva.select("date").distinct()
+    last_of_day = rolled.groupBy("date").agg(F.max_by("_m", F.when(err.isNotNull(), F.col("entity_id"))).alias("_m"))
     # dates with no non-null row inherit the previous window (carry forward)
     wd = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return (days.join(last_of_day, "date", "left")
-            .withColumn("_m", F.last("_m", ignorenulls=True).over(wd))
+    return (last_of_day.withColumn("_m", F.last("_m", ignorenulls=True).over(wd))
             .select("date", F.coalesce(round_half_up("_m", 4), F.lit(0.0)).alias("drift_score")))
 
 

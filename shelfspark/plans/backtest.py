@@ -11,93 +11,95 @@ it once per micro-batch, so stream and batch give the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import (DRIFT_FLAG_THRESHOLD, DRIFT_RETRAIN_THRESHOLD, RETRAIN_EVERY_N_DAYS,
                                  c_should_retrain, c_version_after)
 from ..operators import panel
+from ..operators.keys import keep_last
 
-PRED_SCHEMA = "target_date date, entity_id bigint, pred_demand double, pred_price double, model_version string"
-DAYS_SCHEMA = ("sim_day bigint, date date, rows_ingested bigint, drift_score double, drift_flag boolean, "
-               "retrained boolean, model_version string")
-
-
-def day_table(actuals: DataFrame, fva: DataFrame, window_rows: int = 7, every: int = RETRAIN_EVERY_N_DAYS,
+def decisions(fva: DataFrame, window_rows: int = 7, every: int = RETRAIN_EVERY_N_DAYS,
               retrain_threshold: float = DRIFT_RETRAIN_THRESHOLD, flag_threshold: float = DRIFT_FLAG_THRESHOLD,
-              sim_day0=0, retrains0=0) -> DataFrame:
-    """One row per date of ``actuals``: sim_day, rows ingested, drift, flag, retrain decision and the
-    model version in force after the decision. ``fva`` must hold the new comparison rows plus the
-    tail of earlier ones. ``sim_day0`` / ``retrains0`` carry the counters of earlier blocks (ints or
-    scalar-subquery Columns). The ordered windows run over one row per date."""
-    per_date = actuals.groupBy("date").agg(F.count(F.lit(1)).alias("rows_ingested"))
+              sim_day0=0, retrains0=0, after=None) -> DataFrame:
+    """One row per date of ``fva`` (later than ``after``, if given): sim_day, drift, flag, retrain decision and the
+    model version in force after the decision. ``fva`` holds the new comparison rows plus the tail of earlier ones.
+    ``sim_day0`` / ``retrains0`` carry the counters of earlier blocks. The ordered windows run over one row per date."""
     drift = panel.per_day_drift_last_rows(fva, window_rows)
+    if after is not None:
+        drift = drift.filter(F.col("date") > after)
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     w = Window.orderBy("date")
-    d = (per_date.join(drift, "date", "left")
-         .withColumn("drift_score", F.coalesce("drift_score", F.lit(0.0)))
-         .withColumn("sim_day", (F.row_number().over(w) + F.lit(sim_day0) if isinstance(sim_day0, int)
-                                 else F.row_number().over(w) + sim_day0).cast("bigint")))
+    d = drift.withColumn("sim_day", (F.row_number().over(w) + as_col(sim_day0)).cast("bigint"))
     d = d.withColumn("retrained", c_should_retrain("sim_day", "drift_score", every, retrain_threshold))
-    n = F.sum(F.col("retrained").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    n = n + (F.lit(retrains0) if isinstance(retrains0, int) else retrains0)
-    return d.select("sim_day", "date", F.col("rows_ingested").cast("bigint").alias("rows_ingested"), "drift_score",
-                    (F.col("drift_score") > flag_threshold).alias("drift_flag"),
+    n = F.sum(F.col("retrained").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + as_col(retrains0)
+    return d.select("sim_day", "date", "drift_score", (F.col("drift_score") > flag_threshold).alias("drift_flag"),
                     "retrained", c_version_after(n).alias("model_version"))
 
 
+def compare(actuals: DataFrame, stored: DataFrame | None, noise: float) -> DataFrame:
+    """Comparison rows of a block, without their version: each row against the forecast of the entity's row on the day
+    before (the last row by date, if it is that day's), else against a stored forecast. One shuffle by entity.
+
+    ``own``: the forecast is the block's; ``stored_version``: the version of a stored one."""
+    w = Window.partitionBy("entity_id").orderBy("date")
+    made = F.struct(*[f.alias(n) for n, f in zip(("target_date", "pred_demand", "pred_price"), panel.forecast_columns(noise), strict=True)])
+    j = actuals.withColumn("_made", made).withColumn("_before", F.lag("_made").over(w)).drop("_made")
+    j = j.withColumn("_before", F.when(F.col("_before.target_date") == F.col("date"), F.col("_before")))
+    if stored is not None:
+        s = keep_last(stored, ["entity_id", "target_date"], ["model_version"]).select(
+            F.col("target_date").alias("date"), "entity_id", F.struct("pred_demand", "pred_price", "model_version").alias("_stored"))
+        j = j.join(s, ["entity_id", "date"], "left")
+    else:
+        j = j.withColumn("_stored", F.lit(None).cast("struct<pred_demand:double,pred_price:double,model_version:string>"))
+    pick = lambda c: F.when(F.col("_before").isNotNull(), F.col(f"_before.{c}")).otherwise(F.col(f"_stored.{c}"))
+    d_err, p_err = F.col("demand_index") - pick("pred_demand"), F.col("price_index") - pick("pred_price")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return j.select("date", "entity_id", pick("pred_demand").alias("pred_demand"), F.col("demand_index").alias("actual_demand"),
+                    d_err.alias("demand_error"), F.abs(d_err).alias("abs_demand_error"), pick("pred_price").alias("pred_price"),
+                    F.col("price_index").alias("actual_price"), p_err.alias("price_error"), F.abs(p_err).alias("abs_price_error"),
+                    text("event_type").alias("event_type"), text("event_effect_hint").alias("event_effect_hint"),
+                    F.col("_before").isNotNull().alias("own"), F.col("_stored.model_version").alias("stored_version"))
+
+
 def advance(new_actuals: DataFrame, prev_fva: DataFrame | None = None, prev_days: DataFrame | None = None,
             prev_preds: DataFrame | None = None, window_rows: int = 7, noise: float = 0.0) -> dict[str, DataFrame]:
     """Process a block of new dates on top of earlier state.
 
-    ``prev_fva``: earlier comparison rows (only the last ``window_rows`` with an error are used);
-    ``prev_days``: earlier day rows (for the sim-day and retrain counters); ``prev_preds``: earlier
+    ``prev_fva``: earlier comparison rows (only the last ``window_rows`` with an error are used), all dated before the
+    block; ``prev_days``: earlier day rows (for the sim-day and retrain counters); ``prev_preds``: earlier
     forecasts (those targeting the new dates are used). Returns ``fva``, ``days`` and
     ``predictions`` for the new block."""
-    spark = new_actuals.sparkSession
-    stored = prev_preds.select("target_date", "entity_id", "pred_demand", "pred_price", "model_version") \
-        if prev_preds is not None else spark.createDataFrame([], PRED_SCHEMA)
-    new_dates = new_actuals.select(F.col("date").alias("target_date")).distinct()
-    stored = stored.join(new_dates, "target_date", "left_semi")
-    # forecast values do not depend on the version (momentum model): decide first, label after
-    preds0 = panel.next_day_forecast(new_actuals, "v?", noise)
-    fva0 = panel.forecast_vs_actual(new_actuals, stored.unionByName(preds0))
-    history = fva0
+    fva0 = compare(new_actuals, prev_preds, noise)
+    history, after = fva0.select("date", "entity_id", "abs_demand_error"), None
     if prev_fva is not None:
         tail = (prev_fva.filter(F.col("abs_demand_error").isNotNull())
                 .orderBy(F.col("date").desc(), F.col("entity_id").desc()).limit(window_rows))
-        history = tail.select(*fva0.columns).unionByName(fva0)
+        history = tail.select(*history.columns).unionByName(history)
+        after = tail.agg(F.max("date")).scalar()
     sim0, ret0 = 0, 0
     if prev_days is not None:
         sim0 = F.coalesce(prev_days.agg(F.max("sim_day")).scalar(), F.lit(0))
         ret0 = F.coalesce(prev_days.agg(F.count_if("retrained")).scalar(), F.lit(0))
-    days = day_table(new_actuals, history, window_rows, sim_day0=sim0, retrains0=ret0) \
-        .join(new_dates.withColumnRenamed("target_date", "date"), "date", "left_semi")
-    version_of_day = days.select("date", F.col("model_version").alias("_v"))
-    preds = panel.next_day_forecast(new_actuals.join(version_of_day, "date"), F.col("_v"), noise)
-    fva = panel.forecast_vs_actual(new_actuals, stored.unionByName(preds))
-    return {"fva": fva, "days": days.select("sim_day", "date", "rows_ingested", "drift_score", "drift_flag",
-                                            "retrained", "model_version"),
-            "predictions": preds}
+        if after is not None:
+            after = F.coalesce(after, F.lit("0001-01-01").cast("date"))
+    chosen = decisions(history, window_rows, sim_day0=sim0, retrains0=ret0, after=after)
+    # forecast values do not depend on the version (momentum model): decide first, label after, from the table of days
+    label = chosen.select(F.date_add("date", 1).alias("date"), F.col("model_version").alias("_own_version"))
+    fva = fva0.join(label, "date", "left")
+    predicted = F.col("_own_version").isNotNull()
+    if prev_preds is not None:
+        fva = fva.join(prev_preds.select(F.col("target_date").alias("date"), F.lit(True).alias("_was")).distinct(), "date", "left")
+        predicted = predicted | F.coalesce("_was", F.lit(False))
+    version = (F.when(F.col("own"), F.col("_own_version")).when(F.col("stored_version").isNotNull(), F.col("stored_version"))
+               .when(predicted, F.lit("")).otherwise(F.lit(panel.DEFAULT_VERSION)))
+    rows = new_actuals.groupBy("date").agg(F.count(F.lit(1)).alias("rows_ingested"))
+    days = rows.join(chosen, "date").select("sim_day", "date", F.col("rows_ingested").cast("bigint").alias("rows_ingested"), "drift_score",
+                                            "drift_flag", "retrained", "model_version")
+    preds = panel.next_day_forecast(new_actuals.join(chosen.select("date", F.col("model_version").alias("_v")), "date"), F.col("_v"), noise)
+    return {"fva": fva.withColumn("model_version", version).select(*panel.FVA_COLS), "days": days, "predictions": preds}
 
 
 def backtest(actuals: DataFrame, window_rows: int = 7, noise: float = 0.0) -> dict[str, DataFrame]:
     """Every tick at once (``advance`` from an empty state)."""
     return advance(actuals, window_rows=window_rows, noise=noise)
-
-
-def tick(day_actuals: DataFrame, predictions: DataFrame | None, version: str = "v1.0",
-         noise: float = 0.0) -> dict[str, DataFrame]:
-    """I4 serving rows for one block of actuals: comparison against the stored predictions, the
-    next-day forecast with the given version and the serving rows to upsert."""
-    spark = day_actuals.sparkSession
-    stored = predictions if predictions is not None else spark.createDataFrame([], PRED_SCHEMA)
-    return {
-        "fva": panel.forecast_vs_actual(day_actuals, stored.join(
-            day_actuals.select(F.col("date").alias("target_date")).distinct(), "target_date", "left_semi")),
-        "predictions": panel.next_day_forecast(day_actuals, version, noise),
-        "master": panel.to_master(day_actuals),
-        "daily": panel.daily_summary(day_actuals),
-        "explanations": panel.explanations(day_actuals),
-        "alerts": panel.alerts(day_actuals),
-        "forecast": panel.forecast_avg(panel.next_day_forecast(day_actuals, version, noise)),
-    }

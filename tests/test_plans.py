@@ -55,3 +55,12 @@ def test_scrape_reads_pages_once(spark):
     import __spark_entry__ as E
     plan = E.queries()["scrape_records"](spark, SF0001)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("MapInPandas") == 1
+
+
+def test_backtest_compares_once(spark):
+    """The comparison of all dates: two scans of the events and few exchanges, none of them for a stored forecast."""
+    from shelfspark.plans import backtest as bt
+    plan = bt.backtest(fx.actuals(spark, SF0001))["fva"]._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[0]
+    assert initial.count("FileScan parquet") <= 2, initial.count("FileScan parquet")
+    assert initial.count("Exchange hashpartitioning") + initial.count("Exchange SinglePartition") + initial.count("BroadcastExchange") <= 9
