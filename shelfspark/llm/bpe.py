@@ -27,12 +27,12 @@ from shelfspark.llm import vec
 from shelfspark.llm.vec import batch_of, column
 
 LONG = 256
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 NONE = np.int32(2**31 - 1)
 
 
-class Ranks:
-    """Tokens by id, and the hash table of pairs. Built once per worker from the file's bytes."""
+class Vocabulary:
+    """Bytes of the tokens, by id."""
 
     def __init__(self, data: bytes):
         self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
@@ -42,6 +42,21 @@ class Ranks:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.start = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Bytes of runs of ``counts`` ids each."""
+        size = self.length[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = self.bytes[np.arange(ends[-1]) + np.repeat(self.start[ids] - ends[:-1], size)].tobytes()
+        edge = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[i:j] for i, j in zip(edge, edge[1:], strict=False)]
+
+
+class Ranks(Vocabulary):
+    """The vocabulary with the hash table of pairs."""
+
+    def __init__(self, data: bytes):
+        super().__init__(data)
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
         for t, i in self.ids.items():
@@ -98,8 +113,8 @@ def _merge_rows(r: Ranks, pieces: list[bytes], width: int) -> list[bytes]:
         at = pair.argmin(1)                            # leftmost of the least rank
         best = pair[np.arange(len(rows)), at]
         done = best == NONE
-        for i in np.flatnonzero(done):
-            out[rows[i]] = ids[i, : size[i]]
+        for i in np.flatnonzero(done).tolist():
+            out[rows[i]] = ids[i, : size[i]].tobytes()
         if done.any():
             live = ~done
             rows, ids, pair, size, at, best = rows[live], ids[live], pair[live], size[live], at[live], best[live]
@@ -190,31 +205,30 @@ class Encoder:
 _HELD: dict = {}
 
 
-def _held(kind, key, make):
+def _held(kind, data: Broadcast, known: str, *more):
     """One object per worker process."""
-    if (kind, key) not in _HELD:
+    key = (kind, known, *more)
+    if key not in _HELD:
         if len(_HELD) > 4:
             _HELD.clear()
-        _HELD[kind, key] = make()
-    return _HELD[kind, key]
+        _HELD[key] = kind(data.value, *more)
+    return _HELD[key]
 
 
-def _rank_bytes(spark: SparkSession, path: str) -> tuple[Broadcast, str]:
-    """The rank file, a vocabulary of a fixed size, and its digest; only the driver opens the path."""
-    with open(path, "rb") as f:
-        data = f.read()
-    return spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
+class Files:
+    """The rank file, a vocabulary of a fixed size, sent to the executors; only the driver opens the path."""
 
+    def __init__(self, spark: SparkSession, path: str, pattern: str = ""):
+        vec.bounded_batches(spark)
+        with open(path, "rb") as f:
+            data = f.read()
+        self.data, self.known, self.pattern = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest(), pattern
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "token_ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` in ``to`` (array of int, in place of a column so named)."""
-    ranks, known = _rank_bytes(docs.sparkSession, ranks_path)
-    names = [c for c in docs.columns if c != to]
-    schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("array<int>").alias(to)).schema
-
-    def run(batches):
-        encoder = _held("encoder", (known, pattern), lambda: Encoder(ranks.value, pattern))
+    def encoded(self, batches, text: str, to: str):
+        """Batches with the token ids of ``text`` behind the other columns, about a megabyte of text in each."""
+        encoder = _held(Encoder, self.data, self.known, self.pattern)
         for b in batches:
+            names = [c for c in b.schema.names if c != to]
             for lo, hi, _, _ in vec.slices(column(b, text), 1 << 20):
                 part = b.slice(lo, hi - lo)
                 found = encoder.encode(column(part, text).to_pylist())
@@ -222,34 +236,34 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", t
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[column(part, c) for c in names], ids], names=[*names, to])
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, schema)
-
-
-def decode(docs: DataFrame, ranks_path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes of the token ids in ``to`` (binary). Null ids decode to no bytes."""
-    ranks, known = _rank_bytes(docs.sparkSession, ranks_path)
-    names = [c for c in docs.columns if c != to]
-    schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("binary").alias(to)).schema
-
-    def run(batches):
-        r = _held("ranks", known, lambda: Ranks(ranks.value))
+    def decoded(self, batches, ids: str, to: str):
+        """Batches with the bytes of ``ids`` behind the other columns, about half a million ids in each."""
+        vocabulary = _held(Vocabulary, self.data, self.known)
         for b in batches:
-            at = 0
-            lists = column(b, ids)
-            counts = np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            while at < len(b):                            # so many ids at a time that the gathered bytes stay small
+            names, at = [c for c in b.schema.names if c != to], 0
+            counts = np.asarray(column(b, ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            while at < len(b):
                 end = max(at + 1, at + int(np.searchsorted(np.cumsum(counts[at:]), 500_000, "right")))
-                t = lists.slice(at, end - at).flatten().to_numpy(zero_copy_only=False)
-                size = r.length[t]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                raw = r.bytes[np.arange(ends[-1]) + np.repeat(r.start[t] - ends[:-1], size)].tobytes()
-                edge = ends[np.concatenate([[0], np.cumsum(counts[at:end])])].tolist()
                 part = b.slice(at, end - at)
-                out = pa.array([raw[i:j] for i, j in zip(edge, edge[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[column(part, c) for c in names], out], names=[*names, to])
+                out = vocabulary.decode(column(part, ids).flatten().to_numpy(zero_copy_only=False), counts[at:end])
+                yield pa.RecordBatch.from_arrays([*[column(part, c) for c in names], pa.array(out, pa.binary())], names=[*names, to])
                 at = end
 
-    return docs.mapInArrow(run, schema)
+
+def _with(docs: DataFrame, to: str, kind: str):
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != to], F.lit(None).cast(kind).alias(to)).schema
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "token_ids") -> DataFrame:
+    """``docs`` with the token ids of ``text`` in ``to`` (array of int, in place of a column so named)."""
+    files = Files(docs.sparkSession, ranks_path, pattern)
+    return docs.mapInArrow(lambda batches: files.encoded(batches, text, to), _with(docs, to, "array<int>"))
+
+
+def decode(docs: DataFrame, ranks_path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+    """``docs`` with the bytes of the token ids in ``to`` (binary). Null ids decode to no bytes."""
+    files = Files(docs.sparkSession, ranks_path)
+    return docs.mapInArrow(lambda batches: files.decoded(batches, ids, to), _with(docs, to, "binary"))
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -265,10 +279,11 @@ def _digest(batches):
 
 
 def tokens_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the encoded and decoded texts."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    coded = encode(docs, ranks_path, pattern).select("doc_id", "token_ids")
-    return decode(coded, ranks_path).mapInArrow(_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the encoded and decoded texts, in one pass of one worker."""
+    files = Files(docs.sparkSession, ranks_path, pattern)
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+            .mapInArrow(lambda batches: _digest(files.decoded(files.encoded(batches, "text", "token_ids"), "token_ids", "decoded")),
+                        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
