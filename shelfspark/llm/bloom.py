@@ -94,7 +94,7 @@ def _filled(df: DataFrame, log2: int, seen_before: bool) -> Bloom:
                                              names=["segment", "bits"])
 
     h = F.col(df.columns[0])
-    rows = (df.filter(h.isNotNull()).repartition(1 << segments, F.shiftrightunsigned(h, 64 - segments))
+    rows = (df.filter(h.isNotNull()).repartitionById(1 << segments, F.shiftrightunsigned(h, 64 - segments).cast("int"))
             .mapInArrow(fill, "segment int, bits binary").collect())       # the filter: a fixed size
     size = 1 << (log2 - segments - 3)
     held = {r.segment: bytes(r.bits) for r in rows}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.vec import batch_of, column
+from shelfspark.llm.vec import batch_of, bounded_batches, column
 from shelfspark.session import checkpoint_dir
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
@@ -35,6 +35,7 @@ def _digest(batches):
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest): SHA-256 of the text with A-Z lower-cased."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digest, "doc_id long, digest binary")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.bloom import FILTER_LOG2, twice_filter
-from shelfspark.llm.vec import batch_of, column
+from shelfspark.llm.vec import batch_of, bounded_batches, column
 from shelfspark.session import cut_lineage
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -45,6 +45,7 @@ def _digest(key: bytes) -> bytes:
 
 def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, log2: int = FILTER_LOG2) -> DataFrame:
     """(doc_id, keys): digests of the line keys that the document loses."""
+    bounded_batches(docs.sparkSession)
     docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def hashes(batches):

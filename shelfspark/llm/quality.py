@@ -72,6 +72,7 @@ class RatioModel:
 
 def fit(docs: DataFrame, target: np.ndarray) -> RatioModel:
     """Counts n-grams over all ``docs`` and over those whose doc_id is in ``target``."""
+    vec.bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(target)
     size = 1 << LOG2
     schema = "chunk int, raw binary, target binary"
@@ -97,14 +98,14 @@ def fit(docs: DataFrame, target: np.ndarray) -> RatioModel:
             yield batch_of(_COUNTS, [c], [raw.tobytes()], [good.tobytes()])
 
     rows = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, schema)
-            .repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect())                   # two tables of 2^LOG2 counts
+            .repartitionById(CHUNKS, "chunk").mapInArrow(add, schema).collect())                   # two tables of 2^LOG2 counts
     raw, good = np.zeros((CHUNKS, size // CHUNKS), np.int64), np.zeros((CHUNKS, size // CHUNKS), np.int64)
     for r in rows:
         raw[r.chunk], good[r.chunk] = np.frombuffer(r.raw, np.int64), np.frombuffer(r.target, np.int64)
     return RatioModel(raw.ravel(), good.ravel())
 
 
-def with_mean(docs: DataFrame, model: RatioModel, to: str = "mean_log_ratio") -> DataFrame:
+def with_mean(docs: DataFrame, model: RatioModel, text: str = "text", to: str = "mean_log_ratio") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != to]
     schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).cast("double").alias(to)).schema
@@ -112,7 +113,7 @@ def with_mean(docs: DataFrame, model: RatioModel, to: str = "mean_log_ratio") ->
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*[column(b, c) for c in names], sent.value.means(column(b, "text").cast(pa.string()))], names=[*names, to])
+            yield pa.RecordBatch.from_arrays([*[column(b, c) for c in names], sent.value.means(column(b, text).cast(pa.string()))], names=[*names, to])
 
     return docs.mapInArrow(run, schema)
 
@@ -166,9 +167,11 @@ class Selection:
 
     def choose(self, docs: DataFrame) -> DataFrame:
         """The sampled rows of ``docs``. Scores are made anew in place, so that no text is shuffled."""
-        names = [F.col(f"`{c}`") for c in docs.columns]
-        plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*names).alias("row"))
-        return with_mean(plain, self.model).filter(gumbel_key("mean_log_ratio") >= self.cut).select("row.*")
+        names = docs.columns
+        plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])      # no name can clash
+        scored = with_mean(plain, self.model, f"c{names.index('text')}", "mean")
+        return (scored.filter(gumbel_key("mean", f"c{names.index('doc_id')}") >= self.cut)
+                .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)]))
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str]] = RULES, least: float = 0.5) -> DataFrame:
     """``pages`` with host, path, rule, score and verdict (in place of columns so named)."""
+    vec.bounded_batches(pages.sparkSession)
     new = ("host", "path", "rule", "score", "verdict")
     names = [c for c in pages.columns if c not in new]
     sent = pages.sparkSession.sparkContext.broadcast(model)

@@ -15,8 +15,8 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE2 = U(0xD6E8FEB86659FD93)
 _INVERSE = U(pow(int(BASE), -1, 1 << 64))
-SLICE_BYTES = 2 << 20
-CHUNK_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Byte -> byte as words see it; 32 separates words.
 SPACE_LUT = np.arange(256, dtype=np.uint8)
@@ -52,6 +52,12 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return held[:n]
 
 
+def bounded_batches(spark) -> None:
+    """Arrow batches of so few rows and bytes that a task holds little beside the slice it works on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     i = batch.schema.get_field_index(name)
     return batch.column(i)
