@@ -157,7 +157,7 @@ def brute_near(rows, least=0.8):
     return {i: (find(i), max((n for (j, _), n in links.items() if j == i), default=0)) for i in root}
 
 
-@pytest.mark.parametrize("small", [128, 3])            # 3: pivots, child paths and blocks are all used
+@pytest.mark.parametrize("small", [512, 3])            # 3: pivots, child paths and blocks are all used
 def test_near_duplicates_equal_brute_force(spark, edges, monkeypatch, small):
     if small == 3:
         monkeypatch.setattr(jaccard, "SMALL", 3)
