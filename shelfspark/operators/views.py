@@ -71,9 +71,9 @@ def top_alerts(alert_rows: DataFrame, limit: int = 20, brand: str | None = None)
     return project_available(df, ALERT_VIEW)
 
 
-def product_overview(latest_rows: DataFrame, entity_id) -> DataFrame:
-    """The latest row of one entity with per-column rounding; absent columns default to 0."""
-    df = latest_rows.filter(F.col("entity_id") == F.lit(entity_id))
+def product_overview(latest_rows: DataFrame, entity_id=None) -> DataFrame:
+    """The latest row of one entity (of each, without one) with per-column rounding; absent columns default to 0."""
+    df = latest_rows if entity_id is None else latest_rows.filter(F.col("entity_id") == F.lit(entity_id))
 
     def r(c, d):
         return round_half_up(F.col(c), d) if c in latest_rows.columns else F.lit(0.0)
@@ -84,8 +84,10 @@ def product_overview(latest_rows: DataFrame, entity_id) -> DataFrame:
                      r("list_price", 2).alias("list_price"))
 
 
-def product_series(master: DataFrame, entity_id) -> DataFrame:
-    """One entity's time series by date."""
+def product_series(master: DataFrame, entity_id=None) -> DataFrame:
+    """One entity's time series by date; without an entity every series, by entity and date."""
+    if entity_id is None:
+        return project_available(master.orderBy("entity_id", "date"), ["entity_id", *SERIES_VIEW])
     df = master.filter(F.col("entity_id") == F.lit(entity_id)).orderBy("date")
     return project_available(df, SERIES_VIEW)
 
@@ -95,10 +97,16 @@ def product_markers(markers: DataFrame, entity_id) -> DataFrame:
     return project_available(markers.filter(F.col("entity_id").cast("string") == str(entity_id)), MARKER_VIEW)
 
 
-def product_alerts(alert_rows: DataFrame, entity_id, limit: int = 10) -> DataFrame:
-    """One entity's alerts, severity descending, top ``limit``."""
+def product_alerts(alert_rows: DataFrame, entity_id=None, limit: int = 10) -> DataFrame:
+    """One entity's alerts, severity descending, then date and type, top ``limit``; without an entity the top of
+    each (a per-entity top-k, limited before the shuffle too)."""
+    order = [F.col("event_severity_score").desc_nulls_last(), F.col("date"), F.col("marker_type")]
+    if entity_id is None:
+        w = Window.partitionBy("entity_id").orderBy(*order)
+        top = alert_rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+        return project_available(top, ["entity_id", *PRODUCT_ALERT_VIEW])
     df = (alert_rows.filter(F.col("entity_id").cast("string") == str(entity_id))
-          .orderBy(F.col("event_severity_score").desc_nulls_last(), "date").limit(limit))
+          .orderBy(*order).limit(limit))
     return project_available(df, PRODUCT_ALERT_VIEW)
 
 
@@ -114,9 +122,11 @@ def explain_lookup(expl: DataFrame, entity_id, date) -> DataFrame:
     return hit.select(F.coalesce("t", F.lit(NO_EXPLANATION)).alias("answer"))
 
 
-def explain_all(expl: DataFrame) -> DataFrame:
-    """B12 over every key: the same lookup as a join-free projection."""
-    return expl.select("entity_id", "date", F.coalesce("event_explanation", F.lit(NO_EXPLANATION)).alias("answer"))
+def explain_all(expl: DataFrame, keys: DataFrame) -> DataFrame:
+    """B12 for every (entity_id, date) of ``keys``: its explanation, or the default sentence where there is none."""
+    hit = expl.groupBy("entity_id", "date").agg(F.min("event_explanation").alias("t"))
+    return (keys.select("entity_id", "date").distinct().join(hit, ["entity_id", "date"], "left")
+            .select("entity_id", "date", F.coalesce("t", F.lit(NO_EXPLANATION)).alias("answer")))
 
 
 def recent_fva(fva: DataFrame, limit: int = 50) -> DataFrame:

@@ -277,7 +277,8 @@ def q_build_skus(spark, sf):
 SELECT DISTINCT sku_id, u AS url_normalized FROM (SELECT sku_id, unnest(source_urls) AS u FROM skurow2)""")
 def q_sku_links(spark, sf):
     """D7/F3 in flat form: distinct (sku_id, url) pairs."""
-    return catalog.sku_links(_dedup(spark, sf))
+    p = _products(spark, sf)
+    return catalog.sku_links(p, catalog.dedup_products(p))
 
 
 @query("taxonomy_flat", f"""{CATALOG}
@@ -308,6 +309,16 @@ def q_taxonomy_counts(spark, sf):
     return catalog.taxonomy_counts(_skus(spark, sf))
 
 
+@query("taxonomy_edges", f"""{CATALOG}
+SELECT 'variant' AS type, concat_ws('/', category, brand, model) AS parent, sku_id AS name, {sql_slug('variant')} AS slug, CAST(0 AS BIGINT) AS child_count FROM levels
+UNION ALL SELECT 'model', concat_ws('/', category, brand), model, {sql_slug('model')}, COUNT(*) FROM levels GROUP BY category, brand, model
+UNION ALL SELECT 'brand', category, brand, {sql_slug('brand')}, COUNT(DISTINCT model) FROM levels GROUP BY category, brand
+UNION ALL SELECT 'category', '', category, {sql_slug('category')}, COUNT(DISTINCT brand) FROM levels GROUP BY category""")
+def q_taxonomy_edges(spark, sf):
+    """F5 as parent-child rows."""
+    return catalog.taxonomy_edges(_skus(spark, sf))
+
+
 @query("run_stats", f"""{CATALOG}
 SELECT (SELECT COUNT(*) FROM products) AS input, (SELECT COUNT(*) FROM dedup) AS output,
   (SELECT COUNT(*) FROM products) - (SELECT COUNT(*) FROM dedup) AS duplicates_removed,

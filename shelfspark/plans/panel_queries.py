@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.numeric import round_half_up
 from ..operators import keys, panel, views
+from ..sources import writers
 from . import backtest as bt
 from .registry import R, query
 
@@ -194,7 +193,7 @@ def q_forecast_vs_actual(spark, sf):
 
 @query("fva_serving", f"{_FVA}\nSELECT * FROM fva ORDER BY date, entity_id")
 def q_fva_serving(spark, sf):
-    return _fva(spark, sf).orderBy("date", "entity_id")
+    return writers.fva_serving(_fva(spark, sf))
 
 
 @query("recent_fva", f"""{_FVA}
@@ -256,10 +255,15 @@ def q_explanations(spark, sf):
     return panel.explanations(_actuals(spark, sf))
 
 
-@query("explain_all", f"""WITH {fx.ACTUALS_CTE}, expl AS ({_EXPL_SQL})
-SELECT entity_id, date, COALESCE(event_explanation, 'No detailed explanation available.') AS answer FROM expl""")
+@query("explain_all", f"""WITH {fx.ACTUALS_CTE}, expl AS ({_EXPL_SQL}),
+asked AS (SELECT entity_id, date FROM actuals UNION SELECT entity_id, CAST(date + INTERVAL 1 DAY AS DATE) FROM actuals)
+SELECT a.entity_id, a.date, COALESCE(e.event_explanation, 'No detailed explanation available.') AS answer
+FROM asked a LEFT JOIN expl e ON a.entity_id = e.entity_id AND a.date = e.date""")
 def q_explain_all(spark, sf):
-    return views.explain_all(panel.explanations(_actuals(spark, sf)))
+    """B12 for every row of the panel and the day after it, which often has no explanation."""
+    a = _actuals(spark, sf)
+    asked = a.select("entity_id", "date").union(a.select("entity_id", F.date_add("date", 1)))
+    return views.explain_all(panel.explanations(a), asked)
 
 
 @query("alerts", f"WITH {fx.ACTUALS_CTE},{ALERTS_SQL}\nSELECT * FROM alerts")
@@ -286,12 +290,8 @@ SELECT entity_id, date, marker_type, alert_title, event_explanation, narrative,
   SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY event_severity_score DESC NULLS LAST, date) AS rn
   FROM alerts) WHERE rn <= 10""")
 def q_product_alerts_all(spark, sf):
-    """B10 for every entity at once: top 10 alerts per entity (a per-entity top-k, pre-limited
-    map-side by WindowGroupLimit)."""
-    a = panel.alerts(_actuals(spark, sf))
-    w = Window.partitionBy("entity_id").orderBy(F.col("event_severity_score").desc_nulls_last(), "date")
-    top = a.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 10")
-    return top.select("entity_id", *views.PRODUCT_ALERT_VIEW)
+    """B10 for every entity at once."""
+    return views.product_alerts(panel.alerts(_actuals(spark, sf)))
 
 
 # ---------------------------------------------------------------- B7 / B8 for every entity
@@ -302,20 +302,14 @@ SELECT entity_id, brand, product_name, category, {R("demand_index", 2)} AS deman
   {R("sentiment_index", 4)} AS sentiment_index, {R("search_index", 2)} AS search_index, {R("ad_index", 2)} AS ad_index,
   {R("health_index", 2)} AS health_index, CAST(0 AS DOUBLE) AS list_price FROM latest""")
 def q_product_overview_all(spark, sf):
-    lt = _latest(spark, sf)
-    return lt.select("entity_id", "brand", "product_name", "category",
-                     *[round_half_up(c, d).alias(c) for c, d in
-                       (("demand_index", 2), ("price_index", 2), ("sentiment_index", 4), ("search_index", 2),
-                        ("ad_index", 2), ("health_index", 2))],
-                     F.lit(0.0).alias("list_price"))
+    return views.product_overview(_latest(spark, sf))
 
 
 @query("product_series_all", f"""{PANEL}
 SELECT entity_id, date, demand_index, price_index, sentiment_index, search_index, ad_index, health_index,
   change_point, shift_strength FROM master ORDER BY entity_id, date""")
 def q_product_series_all(spark, sf):
-    m = _master(spark, sf)
-    return m.select("entity_id", *views.SERIES_VIEW).orderBy("entity_id", "date")
+    return views.product_series(_master(spark, sf))
 
 
 # ---------------------------------------------------------------- E9 / E11 / D13
@@ -480,6 +474,16 @@ def q_conversation_history_last(spark, sf):
     return views.conversation_history(fx.table(spark, sf, "conversations"), 20, "last")
 
 
+@query("conversation_history_short", """
+SELECT conv_id, COUNT(*) AS n_turns,
+  string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || COALESCE(text, ''), chr(10) ORDER BY turn) AS history
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3
+GROUP BY conv_id""")
+def q_conversation_history_short(spark, sf):
+    """B18 with a limit below the length of the conversations, which hold at most eight turns."""
+    return views.conversation_history(fx.table(spark, sf, "conversations"), 3, "last")
+
+
 @query("actuals_log", f"WITH {fx.ACTUALS_CTE}\nSELECT * FROM actuals ORDER BY date, entity_id")
 def q_actuals_log(spark, sf):
     return views.read_log(_actuals(spark, sf))
