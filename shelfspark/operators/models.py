@@ -4,7 +4,6 @@ registry rows, scoring with bias correction and a model-less fallback, save / lo
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml import Pipeline
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import c_naive_demand, round_half_up
 from .keys import keep_first
+from .panel import forecast_columns
 
 # The model's inputs, target and hyper-parameters.
 FEATURES = ["price_index", "sentiment_index", "search_index", "ad_index"]
@@ -49,11 +49,6 @@ def training_mae(scored: DataFrame, label: str = TARGET, pred: str = "prediction
                       F.count(F.lit(1)).alias("rows_seen"))
 
 
-def evaluate_mae(model: PipelineModel, df: DataFrame) -> float:
-    return RegressionEvaluator(labelCol=TARGET, predictionCol="prediction", metricName="mae") \
-        .evaluate(model.transform(df))
-
-
 def registry_row(spark, version: str, created_seq: int, rows_seen: int, mae: float, reason: str) -> DataFrame:
     """One registry row (a tiny append table; never grows with the data)."""
     return spark.createDataFrame(
@@ -80,11 +75,25 @@ def score(df: DataFrame, model: PipelineModel | None, bias: DataFrame | None = N
     if bias is not None:
         src = src.join(bias, "entity_id", "left")
     b = F.coalesce(F.col("bias"), F.lit(0.0)) if bias is not None else F.lit(0.0)
+    naive = src.withColumn("pred_demand", c_naive_demand(bias=b))
     if model is None:
-        return src.withColumn("pred_demand", c_naive_demand(bias=b))
-    out = model.transform(src.withColumn("_b", b))
-    return out.withColumn("pred_demand", round_half_up(F.col("prediction") + F.col("_b"), 4)) \
-        .drop("features", "prediction", "_b")
+        return naive
+    # a row that lacks a feature cannot be scored by the model: it takes the naive formula
+    whole = F.lit(True)
+    for f in FEATURES:
+        whole = whole & F.col(f).isNotNull()
+    out = (model.transform(src.filter(whole).withColumn("_b", b))
+           .withColumn("pred_demand", round_half_up(F.col("prediction") + F.col("_b"), 4)))
+    return out.drop("features", "prediction", "_b").unionByName(naive.filter(~whole))
+
+
+def model_forecast(actuals: DataFrame, model: PipelineModel | None, version: str, bias: DataFrame | None = None,
+                   noise: float = 0.0) -> DataFrame:
+    """G18 with ``source="model"``: the next day's demand by the fitted model (naive without one) plus the entity's bias;
+    date and price as in the momentum forecast."""
+    target, _, price = forecast_columns(noise)
+    return score(actuals, model, bias).select(target.alias("target_date"), "entity_id", "pred_demand", price.alias("pred_price"),
+                                              F.lit(version).alias("model_version"))
 
 
 def save_model(model: PipelineModel, base_dir: str, version: str) -> str:

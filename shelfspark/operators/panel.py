@@ -235,32 +235,33 @@ def zscore_alerts(master: DataFrame, threshold: float = 2.5, value: str = "deman
                     round_half_up("zscore", 4).alias("zscore")))
 
 
-def panel_features(master: DataFrame, lags=(1, 2, 3, 7), value: str = "demand_index",
-                   roll_days: int = 7) -> DataFrame:
-    """E11 (documented-only): calendar-day lags, rolling mean/stddev, z-score, momentum,
-    rank within category per day, event flag.
+def panel_features(master: DataFrame, lags=(1, 2, 3, 7), value: str = "demand_index", roll_days=(3, 7, 14),
+                   z_days: int = 7, events: DataFrame | None = None) -> DataFrame:
+    """E11 (documented-only): calendar-day lags, rolling means over each of ``roll_days``, z-score over ``z_days``,
+    momentum, rank within category per day, event flag: a row of ``events`` (entity_id, date) or, without that table, a
+    marker in the row itself.
 
     Windows are per entity ordered by day number; the panel is unique on (entity, date), so one
     entity holds at most #days rows and the window partitions are bounded."""
-    day = F.unix_date("date")
-    base = master.withColumn("_day", day)
+    base = master.withColumn("_day", F.unix_date("date"))
+    if events is None:
+        flag = F.col("marker_type") != "none" if "marker_type" in master.columns else F.lit(False)
+    else:
+        marked = events.select("entity_id", "date").distinct().withColumn("_event", F.lit(True))
+        base, flag = base.join(marked, ["entity_id", "date"], "left"), F.coalesce("_event", F.lit(False))
     w = Window.partitionBy("entity_id").orderBy("_day")
-    cols = [F.col(c) for c in ("entity_id", "date", "category", value)]
-    for k in lags:
-        cols.append(F.first(value).over(w.rangeBetween(-k, -k)).alias(f"lag_{k}"))
-    roll = w.rangeBetween(-(roll_days - 1), 0)
-    cols.append(round_half_up(F.avg(value).over(roll), 4).alias(f"roll_mean_{roll_days}"))
-    cols.append(F.stddev_samp(value).over(roll).alias("_sd"))
-    cols.append(F.avg(value).over(roll).alias("_mu"))
-    cols.append(F.dense_rank().over(Window.partitionBy("category", "date").orderBy(F.col(value).desc()))
-                .alias("rank_in_category"))
-    cols.append((F.col("marker_type") != "none").alias("_m") if "marker_type" in master.columns else F.lit(False).alias("_m"))
-    out = base.select(*cols)
+    over = lambda n: w.rangeBetween(-(n - 1), 0)
+    out = base.select(
+        "entity_id", "date", "category", value, *[F.first(value).over(w.rangeBetween(-k, -k)).alias(f"lag_{k}") for k in lags],
+        *[round_half_up(F.avg(value).over(over(n)), 4).alias(f"roll_mean_{n}") for n in roll_days],
+        F.stddev_samp(value).over(over(z_days)).alias("_sd"), F.avg(value).over(over(z_days)).alias("_mu"),
+        F.dense_rank().over(Window.partitionBy("category", "date").orderBy(F.col(value).desc())).alias("rank_in_category"),
+        flag.alias("event_flag"))
     return out.select(
-        "entity_id", "date", "category", value, *[f"lag_{k}" for k in lags], f"roll_mean_{roll_days}",
+        "entity_id", "date", "category", value, *[f"lag_{k}" for k in lags], *[f"roll_mean_{n}" for n in roll_days],
         round_half_up(F.try_divide(F.col(value) - F.col("_mu"), F.col("_sd")), 4).alias("zscore"),
         round_half_up(F.try_divide(F.col(value), F.col("lag_1")) - 1, 4).alias("momentum"),
-        F.col("rank_in_category").cast("bigint").alias("rank_in_category"))
+        F.col("rank_in_category").cast("bigint").alias("rank_in_category"), "event_flag")
 
 
 def category_summary(latest_rows: DataFrame, category: str | None = None) -> DataFrame:
@@ -292,10 +293,12 @@ def category_products(latest_rows: DataFrame, category: str | None = None) -> Da
         .orderBy("category", F.col("health_index").desc_nulls_last(), "entity_id")
 
 
-def market_context(master: DataFrame, alert_rows: DataFrame, top_n: int = 6, days: int = 30) -> DataFrame:
+def market_context(master: DataFrame, alert_rows: DataFrame, top_n: int = 6, days: int = 30,
+                   regimes: DataFrame | None = None) -> DataFrame:
     """Per category: mean demand, mean sentiment (%), price change between the last
     ``days`` days and the ``days`` before, and the top ``top_n`` brands by mean demand with
-    their strongest alert. One row per (category, brand rank)."""
+    their strongest alert. One row per (category, brand rank). ``latest_regime_shift`` is the last date of ``regimes``
+    (date, ...), null without that table."""
     # latest date as a scalar subquery (no join, no driver round trip)
     m = master.withColumn("_maxd", master.agg(F.max("date")).scalar())
     recent = F.col("date") > F.date_sub("_maxd", days)
@@ -317,4 +320,5 @@ def market_context(master: DataFrame, alert_rows: DataFrame, top_n: int = 6, day
     return top.join(cat, "category").select(
         "category", "avg_demand", "avg_sentiment", "price_change_pct",
         F.col("brand_rank").cast("bigint").alias("brand_rank"), "brand",
-        round_half_up("_bd", 2).alias("brand_demand"), "max_alert_severity")
+        round_half_up("_bd", 2).alias("brand_demand"), "max_alert_severity",
+        (regimes.agg(F.max("date")).scalar() if regimes is not None else F.lit(None).cast("date")).alias("latest_regime_shift"))

@@ -143,6 +143,23 @@ def q_model_scores(spark, sf):
     return models.score(train, m).select("date", "entity_id", "demand_index", "pred_demand")
 
 
+@query("model_forecast")
+def q_model_forecast(spark, sf):
+    """G18 by the model: next-day forecasts of every panel row, with each entity's recent bias (rows-only)."""
+    a = fx.actuals(spark, sf)
+    fva = bt.panel.forecast_vs_actual(a, bt.panel.next_day_forecast(a))
+    return models.model_forecast(a, models.fit_demand_model(models.training_set(a)), "v1.1", models.residual_bias(fva, 7))
+
+
+@query("fitted_registry")
+def q_fitted_registry(spark, sf):
+    """J3 with a fitted model: version, order, rows seen, in-sample error and reason of one fit (rows-only)."""
+    train = models.training_set(fx.actuals(spark, sf))
+    m = models.fit_demand_model(train)
+    r = models.training_mae(m.transform(train)).first() if m else None
+    return models.registry_row(spark, "v1.1", 1, r.rows_seen if r else 0, r.training_mae if r else float("nan"), "initial")
+
+
 @query("training_mae")
 def q_training_mae(spark, sf):
     """In-sample MAE of the fitted model and rows seen (rows-only)."""

@@ -323,39 +323,58 @@ def q_zscore_alerts(spark, sf):
     return panel.zscore_alerts(_master(spark, sf), 2.5)
 
 
-@query("panel_features", f"""{PANEL},
+@query("panel_features", f"""{PANEL},{ALERTS_SQL},
+ev AS (SELECT DISTINCT entity_id, date FROM alerts),
 f AS (SELECT entity_id, date, category, demand_index,
   first(demand_index) OVER (PARTITION BY entity_id ORDER BY date RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS lag_1,
   first(demand_index) OVER (PARTITION BY entity_id ORDER BY date RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND INTERVAL 2 DAY PRECEDING) AS lag_2,
   first(demand_index) OVER (PARTITION BY entity_id ORDER BY date RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND INTERVAL 3 DAY PRECEDING) AS lag_3,
   first(demand_index) OVER (PARTITION BY entity_id ORDER BY date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING) AS lag_7,
   AVG(demand_index) OVER w7 AS mu, STDDEV_SAMP(demand_index) OVER w7 AS sd,
+  AVG(demand_index) OVER (PARTITION BY entity_id ORDER BY date RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS mu3,
+  AVG(demand_index) OVER (PARTITION BY entity_id ORDER BY date RANGE BETWEEN INTERVAL 13 DAY PRECEDING AND CURRENT ROW) AS mu14,
   dense_rank() OVER (PARTITION BY category, date ORDER BY demand_index DESC) AS rank_in_category
   FROM master WINDOW w7 AS (PARTITION BY entity_id ORDER BY date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW))
-SELECT entity_id, date, category, demand_index, lag_1, lag_2, lag_3, lag_7, {R("mu", 4)} AS roll_mean_7,
+SELECT f.entity_id, f.date, category, demand_index, lag_1, lag_2, lag_3, lag_7, {R("mu3", 4)} AS roll_mean_3,
+  {R("mu", 4)} AS roll_mean_7, {R("mu14", 4)} AS roll_mean_14,
   {R("(demand_index - mu) / NULLIF(sd, 0)", 4)} AS zscore, {R("demand_index / NULLIF(lag_1, 0) - 1", 4)} AS momentum,
-  rank_in_category FROM f""")
+  rank_in_category, ev.entity_id IS NOT NULL AS event_flag
+FROM f LEFT JOIN ev ON f.entity_id = ev.entity_id AND f.date = ev.date""")
 def q_panel_features(spark, sf):
-    return panel.panel_features(_master(spark, sf))
+    """E11; the events are the panel's alerts."""
+    a = _actuals(spark, sf)
+    return panel.panel_features(panel.to_master(a), events=panel.alerts(a))
 
 
-@query("market_context", f"""{PANEL},{ALERTS_SQL},
+def _market_sql(days: int, regime: str = "CAST(NULL AS DATE)") -> str:
+    return f"""{PANEL},{ALERTS_SQL},
 mx AS (SELECT MAX(date) AS d FROM master),
 cat AS (SELECT category, {R("AVG(demand_index)", 2)} AS avg_demand, {R("AVG(sentiment_index) * 100", 1)} AS avg_sentiment,
-  {R("(AVG(CASE WHEN date > mx.d - INTERVAL 30 DAY THEN price_index END) / NULLIF(AVG(CASE WHEN date <= mx.d - INTERVAL 30 DAY AND date > mx.d - INTERVAL 60 DAY THEN price_index END), 0) - 1) * 100", 1)} AS price_change_pct
+  {R(f"(AVG(CASE WHEN date > mx.d - INTERVAL {days} DAY THEN price_index END) / NULLIF(AVG(CASE WHEN date <= mx.d - INTERVAL {days} DAY AND date > mx.d - INTERVAL {2 * days} DAY THEN price_index END), 0) - 1) * 100", 1)} AS price_change_pct
   FROM master, mx GROUP BY category),
 b AS (SELECT category, brand, AVG(demand_index) AS bd FROM master GROUP BY category, brand),
 sv AS (SELECT category, brand, MAX(event_severity_score) AS max_alert_severity FROM alerts GROUP BY category, brand),
 top AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY bd DESC, brand) AS brand_rank FROM b)
 SELECT top.category, avg_demand, avg_sentiment, price_change_pct, brand_rank, top.brand, {R("bd", 2)} AS brand_demand,
-  max_alert_severity
+  max_alert_severity, {regime} AS latest_regime_shift
 FROM top LEFT JOIN sv ON top.category = sv.category AND top.brand = sv.brand JOIN cat ON top.category = cat.category
-WHERE brand_rank <= 6""")
+WHERE brand_rank <= 6"""
+
+
+@query("market_context", _market_sql(30))
 def q_market_context(spark, sf):
     a = _actuals(spark, sf)
     return panel.market_context(panel.to_master(a), panel.alerts(a), 6, 30)
 
 
+@query("market_context_week", _market_sql(7, "(SELECT MAX(date) FROM alerts)"))
+def q_market_context_week(spark, sf):
+    """D13 over weeks, which the panel's 30 days hold several of; the alert dates stand for regime shifts."""
+    a = _actuals(spark, sf)
+    alerts = panel.alerts(a)
+    return panel.market_context(panel.to_master(a), alerts, 6, 7, regimes=alerts.select("date"))
+
+
 # ---------------------------------------------------------------- A8 / F1 / E2 upsert, J1 / E3
 
 

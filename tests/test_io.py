@@ -132,6 +132,13 @@ def test_model_fit_score_save_load(spark, tmpdir_path):
     s2 = sorted(r.pred_demand for r in models.score(train, again).collect())
     assert s1 == s2
     assert models.fit_demand_model(train.limit(3)) is None      # fewer than 5 rows: skipped
+    # every panel row gets a forecast: by the model, or by the naive formula where a feature is missing
+    fc = models.model_forecast(a, m, "v1.1").collect()
+    assert len(fc) == a.count() and all(r.pred_demand is not None for r in fc)
+    naive = {(r.entity_id, r.date): r.pred_demand for r in models.score(a.filter("price_index IS NULL"), None).collect()}
+    import datetime as dt
+    got = {(r.entity_id, r.target_date - dt.timedelta(days=1)): r.pred_demand for r in fc}
+    assert naive and all(got[k] == v for k, v in naive.items())
 
 
 def test_sql_udf_registration(spark):
