@@ -1,4 +1,4 @@
-"""HTML scalars as Columns: title (H1), raw JSON-LD blocks (H2), links (H10) and rel=next.
+"""HTML scalars as Columns: title and meta tags (H1), raw JSON-LD blocks (H2), links (H10) and rel=next.
 
 Comments, scripts and styles are cut out first, then start tags and their attributes are matched; links
 are resolved against the page's URL by the parts of RFC 3986. Everything stays in the JVM."""
@@ -35,6 +35,12 @@ def c_title(html: Column) -> Column:
     return F.trim(c_unescape(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
 
 
+def c_meta(html: Column, key: str, value: str) -> Column:
+    """Content of the first meta tag whose attribute ``key`` is ``value``, '' if there is none."""
+    tags = F.filter(c_tags(F.coalesce(html, F.lit("")), "meta"), lambda t: c_attribute(t, key) == value)
+    return F.coalesce(c_attribute(F.try_element_at(tags, F.lit(1)), "content"), F.lit(""))
+
+
 def c_json_ld(html: Column) -> Column:
     """Texts of the JSON-LD scripts."""
     block = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"

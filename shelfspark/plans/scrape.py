@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as cl
 from ..functions.parse import c_price, c_rating, c_rating_count
 from ..functions.text import LONG, SHORT, c_clean_list, c_clean_short, c_clean_text
-from ..operators.extract import extract_pages
+from ..operators.extract import PAGE_FIELDS, extract_pages
 
 def _empty():
     return F.array().cast("array<string>")
@@ -92,11 +92,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     is_ = lambda t: hint == t
     s = lambda c: F.coalesce(c, F.lit(""))
     brand = s(F.coalesce(ld["brand"], _ne(x["dom_brand"])))
-    og_desc, meta_desc = s(x["og_description"]), s(x["meta_description"])
+    og_desc, meta_desc = s(F.col("og_description")), s(F.col("meta_description"))
     description = s(F.coalesce(ld["description"], _ne(x["description"])))
     cols = {
-        "page_title": s(F.col("page_title")), "meta_description": meta_desc, "og_title": s(x["og_title"]),
-        "og_description": og_desc, "og_image": s(x["og_image"]),
+        "page_title": s(F.col("page_title")), "meta_description": meta_desc, "og_title": s(F.col("og_title")),
+        "og_description": og_desc, "og_image": s(F.col("og_image")),
         "product_name": s(F.coalesce(ld["product_name"], _ne(x["dom_product_name"]))),
         "brand": brand,
         "description": description,
@@ -129,7 +129,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     }
     cols["ad_snippet"] = F.when(is_(cl.AD), F.substring(
         F.coalesce(_ne(og_desc), _ne(meta_desc), description), 1, 500)).otherwise(F.lit(""))
-    keep = [c for c in ex.columns if c not in ("x", "page_title", "links", "rel_next", "json_ld")]
+    keep = [c for c in ex.columns if c != "x" and c not in PAGE_FIELDS]
     out = ex.select(*keep, *[v.alias(k) for k, v in cols.items()])
     ct = cl.c_content_type("detected_type", "page_type_hint", "price_raw", "product_name", "brand", "description",
                            "meta_description", "bullet_points", "review_text", F.size(F.coalesce("reviews", F.array())),

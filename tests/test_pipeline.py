@@ -42,6 +42,7 @@ def test_extract_one_product(spark):
     r = extract.extracted_table(page).first()
     # a fragment alone is the page itself
     assert r.links == ["https://shop.example.com/next?page=2", "https://shop.example.com/p/1"]
+    assert r.meta_description == "Buy Galaxy S24 now" and r.og_title == "OG Galaxy S24" and r.og_image == ""
     assert r.page_title == "Galaxy S24 | Shop" and r.rel_next == "https://shop.example.com/next?page=2" and len(r.json_ld) == 1
 
 
