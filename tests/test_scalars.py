@@ -132,3 +132,11 @@ def test_registered_domains(spark):
     df = spark.createDataFrame([(h,) for h in gold], "h string")
     assert {r[0]: r[1] for r in df.select("h", c_registered_domain("h")).collect()} == gold
     assert df.select(c_registered_domain("h", ["com.tr"])).filter("h = 'www.shop.co.za'").first()[0] == "co.za"
+
+
+def test_alias_and_currency_tables(spark):
+    from shelfspark.functions.parse import c_price
+    from shelfspark.functions.sku import c_brand
+    df = spark.createDataFrame([("Acme", "Foo Phone", "CHF 1,200.50"), ("", "bar", "kr.99")], "b string, n string, p string")
+    got = df.select(c_brand("b", "n", [("acme", "acme-corp"), ("bar", "barco")]).alias("brand"), c_price("p", {"chf": "CHF", "kr.": "SEK"}, "EUR").alias("price")).collect()
+    assert [(r.brand, r.price.amount, r.price.currency) for r in got] == [("acme-corp", 1200.5, "CHF"), ("barco", 99.0, "SEK")]
