@@ -8,34 +8,44 @@ from pyspark.sql import functions as F
 from shelfspark.session import cut_lineage
 
 
+ROWS_A_TASK = 50_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """Checkpointed, and read again in as few tasks as its rows need: a small table that goes through many exchanges
+    would else write a file for each of its many empty partitions every time."""
+    df = cut_lineage(df)
+    return df.coalesce(max(1, -(-df.count() // ROWS_A_TASK)))
+
+
 def _least(edges: DataFrame, own: bool) -> DataFrame:
     """Least neighbour of each u (u itself too, if ``own``)."""
     m = edges.groupBy("u").agg(F.min("v").alias("m"))
     return m.withColumn("m", F.least("u", "m")) if own else m
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether each node but the roots has one edge, to a root."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in ``edges`` (u, v): root is the least id of its component.
 
-    Every round is two aggregations and two equi-joins of the edge table; a node with very many neighbours is
-    reduced to its least neighbour by partial aggregation, and its edges are dealt anew in the join, where the
-    other side has one row a node."""
-    edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = cut_lineage(edges), None
-    while True:
+    A round is two aggregations and two equi-joins of the edge table, until every component is a star; a node with
+    very many neighbours is reduced to its least neighbour by partial aggregation, and its edges are dealt anew in
+    the join, where the other side has one row a node."""
+    edges = compact(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _starred(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (both.join(cut_lineage(_least(both, own=True)), "u").filter("v > u AND v <> m")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        large = cut_lineage(large)
-        least = cut_lineage(_least(large, own=False))
+        large = compact(both.join(compact(_least(both, own=True)), "u").filter("v > u AND v <> m")
+                        .select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = _least(large, own=False)
         small = (large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
                  .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        edges = cut_lineage(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    # at the fixed point each node but the root has one edge, to the root
+        edges = compact(small)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

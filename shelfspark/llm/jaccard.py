@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm import vec
 from shelfspark.llm.bloom import FILTER_LOG2, seen_filter
-from shelfspark.llm.components import components
+from shelfspark.llm.components import compact, components
 from shelfspark.llm.vec import batch_of, column
 from shelfspark.session import cut_lineage
 
 U = np.uint64
 WORDS, LEAST = 5, 0.8
 TOKENS, RUNS, CHILDREN, DEPTH = 64, 10, 2, 6
-SMALL, PIVOTS, PART, BLOCK = 128, 16, 2048, 256
+SMALL, PIVOTS, PART, BLOCK = 512, 32, 2048, 256
 MAYBE = 0.55          # agreement of tokens from which on a pair goes to the exact comparison (five standard errors under 0.8)
 CORE, NEAR = 0.65, 0.35   # agreement with a pivot: to leave the bucket; to be joined to the pivot
 _rng = np.random.default_rng(20)
@@ -180,29 +180,30 @@ def _compare_cells(batches):
 
 def coarse_edges(reps: DataFrame) -> DataFrame:
     """Edges (u, v) that join every likely similar pair of ``reps`` (id, sig), directly or by others."""
-    level = cut_lineage(reps.mapInArrow(_roots, "key long, id long"))
-    found = None
+    level, found, sigs = cut_lineage(reps.mapInArrow(_roots, "key long, id long")), None, None
     for depth in range(DEPTH + 1):
-        sizes = cut_lineage(level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        with_sig = level.join(sizes, "key").join(reps, "id")
-        small = (with_sig.filter(F.col("size") <= SMALL).select("key", "id", "sig").repartition("key").sortWithinPartitions("key")
-                 .mapInArrow(_compare_small, "u long, v long"))
+        sizes = compact(level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+        level = compact(level.join(sizes, "key"))
+        if sigs is None:                                       # tokens of the sets that share a bucket with another at all
+            sigs = compact(reps.join(level.select("id").distinct(), "id", "left_semi"))
+        small = (level.filter(F.col("size") <= SMALL).join(sigs, "id").select("key", "id", "sig")
+                 .repartition("key").sortWithinPartitions("key").mapInArrow(_compare_small, "u long, v long"))
         found = small if found is None else found.unionByName(small)
-        large = sizes.filter(F.col("size") > SMALL)
-        if large.isEmpty():
+        big = level.filter(F.col("size") > SMALL)
+        if big.isEmpty():
             break
         if depth == DEPTH:
-            cells = _blocks(level.join(reps, "id"), large, "key", SMALL).select("cell", "id", "own", "sig")
+            cells = _blocks(big.select("key", "id").join(sigs, "id"), sizes, "key", SMALL).select("cell", "id", "own", "sig")
             found = found.unionByName(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare_cells, "u long, v long"))
             break
-        big = cut_lineage(level.join(large, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART))))
+        big = big.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART)))
         # pivots: of each of PIVOTS slots by hash the least id, so that partial aggregation leaves a row a slot and task
         pivots = (big.groupBy("key", "size", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("slot")).agg(F.min("id").alias("id"))
                   .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / PART) - 1))))
         rows = (big.select("key", "part", F.lit(1).alias("member"), "id").unionByName(pivots.select("key", "part", F.lit(0).alias("member"), "id"))
-                .join(reps, "id").select("key", "part", "member", "id", "sig"))
-        step = cut_lineage(rows.repartition("key", "part").sortWithinPartitions("key", "part", "member")
-                           .mapInArrow(_against_pivots, "u long, v long, key long"))
+                .join(sigs, "id").select("key", "part", "member", "id", "sig"))
+        step = compact(rows.repartition("key", "part").sortWithinPartitions("key", "part", "member")
+                       .mapInArrow(_against_pivots, "u long, v long, key long"))
         found = found.unionByName(step.filter("key IS NULL").select("u", "v"))
         level = step.filter("key IS NOT NULL").select("key", F.col("u").alias("id"))
     return found
@@ -268,24 +269,24 @@ def _link_cells(batches, least: float):
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST, log2: int = FILTER_LOG2) -> DataFrame:
     """(doc_id, class_id, n_links) of each row: the least doc_id of its connected class, and the number of other
     documents at similarity ``least`` or more (copies among them)."""
+    vec.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.filter(F.col("doc_id").isNotNull())
     sets = cut_lineage(signatures(known, words))
     reps = cut_lineage(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("sig").alias("sig")))
     groups = components(coarse_edges(reps.select("id", "sig")))
-    sizes = cut_lineage(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     full = _full_sets(known, groups, words, log2)
     # one row a representative: a copy under another doc_id is not in ``groups``
     members = cut_lineage(full.join(groups, "id").join(reps.select("id", "copies"), "id").dropDuplicates(["id"]))
     cells = _blocks(members, sizes, "root", BLOCK).select("cell", "id", "own", "copies", "one", "shingles")
-    links = cut_lineage(cells.repartition("cell").sortWithinPartitions("cell")
-                        .mapInArrow(lambda batches: _link_cells(batches, least), "u long, v long, n long"))
+    links = compact(cells.repartition("cell").sortWithinPartitions("cell")
+                    .mapInArrow(lambda batches: _link_cells(batches, least), "u long, v long, n long"))
     counted = links.filter("v IS NULL").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     classes = components(links.filter("v IS NOT NULL").select("u", "v"))
-    of_rep = cut_lineage(reps.select("id", "copies").join(counted, "id", "left").join(classes, "id", "left")
-                         .select("id", F.coalesce("root", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    rep_of = cut_lineage(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")).join(of_rep, "id").select("k1", "k2", "class_id", "n_links"))
-    judged = sets.select("doc_id", "k1", "k2").join(rep_of, ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    of_rep = cut_lineage(reps.select("k1", "k2", "id", "copies").join(counted, "id", "left").join(classes, "id", "left")
+                         .select("k1", "k2", F.coalesce("root", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    judged = sets.select("doc_id", "k1", "k2").join(of_rep, ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
     return (docs.select("doc_id").join(judged, "doc_id", "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
 
