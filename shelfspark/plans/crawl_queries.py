@@ -10,7 +10,7 @@ from ..functions import url as U
 from ..functions.html import c_title
 from ..operators import crawl
 from . import scrape
-from .catalog_queries import q
+from .catalog_queries import q, sql_normalize_url
 from .registry import query
 
 # ---------------------------------------------------------------- DuckDB twins
@@ -143,6 +143,44 @@ def q_next_pages(spark, sf):
     return p.select("page_id", crawl.next_page().alias("next_url"))
 
 
+@query("next_pages_rel", f"""SELECT page_id, CASE WHEN {sql_page_type('url', 'html')} IN ('category_page', 'unknown') THEN
+  regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || '/after/' || page_id END AS next_url FROM pages""")
+def q_next_pages_rel(spark, sf):
+    """G24 where every page names its successor: the pages with a rel=next link set before their own HTML."""
+    link = F.concat(F.lit('<a rel="next" href="/other">x</a><link rel="next" href="/after/'), F.col("page_id"), F.lit('">'))
+    pages = _pages(spark, sf).withColumn("page_type", cl.c_page_type("url", "html")).withColumn("html", F.concat(link, "html"))
+    p = crawl.extract_links(pages).withColumn("depth", F.lit(0)).withColumn("max_depth", F.lit(4))
+    return p.select("page_id", crawl.next_page().alias("next_url"))
+
+
+@query("page_url_keys", f"""SELECT page_id, {sql_normalize_url('url')} AS url_normalized,
+  substr(sha256({sql_normalize_url('url')}), 1, 16) AS url_fp FROM pages""")
+def q_page_url_keys(spark, sf):
+    """G5 + G6 over the pages' URLs, which come with queries, tracking parameters, fragments and slashes at the end."""
+    p = U.with_normalized_url(_pages(spark, sf).select("page_id", "url"), "url", "url_normalized")
+    return p.select("page_id", "url_normalized", U.c_url_fp("url").alias("url_fp"))
+
+
+@query("product_pages", """SELECT p_partkey AS page_id, p_name AS product_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS brand,
+  CAST(floor(p_retailprice) AS DOUBLE) AS amount, 'INR' AS currency, CASE WHEN p_partkey % 2 = 0 THEN 'S' || p_partkey ELSE '' END AS sku_hint
+FROM part""")
+def q_product_pages(spark, sf):
+    """H2, H3, H11 on product pages made from ``part``: JSON-LD on every second page, DOM fields on all."""
+    part, price = fx.table(spark, sf, "part"), F.floor("p_retailprice").cast("bigint").cast("string")
+    ld = F.when(F.col("p_partkey") % 2 == 0, F.concat(
+        F.lit('<script type="application/ld+json">'), F.to_json(F.struct(
+            F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("brand"),
+            F.concat(F.lit("S"), F.col("p_partkey")).alias("sku"), F.struct(price.alias("price"), F.lit("USD").alias("priceCurrency")).alias("offers"))),
+        F.lit("</script>"))).otherwise(F.lit(""))
+    html = F.concat(F.lit("<html><head><title>Shop</title>"), ld, F.lit('</head><body><h1 id="productTitle">'), F.col("p_name"),
+                    F.lit('</h1><span class="price">Rs. '), price, F.lit("</span></body></html>"))
+    pages = part.select(F.col("p_partkey").cast("bigint").alias("page_id"), F.concat(F.lit("https://shop.example.com/product/"), F.col("p_partkey")).alias("url"),
+                        html.alias("html"))
+    r = scrape.product_records(scrape.parse_pages(scrape.pages_with_hints(pages)))
+    return r.select(F.substring_index("url", "/", -1).cast("bigint").alias("page_id"), "product_name", "brand",
+                    F.col("price.amount").alias("amount"), F.col("price.currency").alias("currency"), "sku_hint")
+
+
 def _frontier(spark, sf):
     pages = _pages(spark, sf)
     host = U.c_host("url")
