@@ -25,7 +25,7 @@ from shelfspark.llm.vec import column
 
 U = np.uint64
 BUCKETS, DIM = 1 << 15, 16
-PER_LANG = 600                 # labelled documents learned from, of each language
+PER_LANG, SALTS = 600, 16      # labelled documents learned from, of each language
 EPOCHS, RATE = 6, 0.5
 TARGET = 0.99                  # share of right answers among accepted ones
 GAP = 3                        # separators between texts, so that no n-gram reaches into the next
@@ -122,8 +122,10 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(text, lang) of at most ``per_lang`` documents of each language, chosen by hash of doc_id."""
     key = F.xxhash64(F.col("doc_id"))
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    ids = (known.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id")))
-           .filter(F.col("n") <= per_lang).select("doc_id").distinct())
+    ids = known.select("doc_id", "lang", F.pmod(key, F.lit(SALTS)).alias("salt"))
+    for part in (["lang", "salt"], ["lang"]):          # least by salt, then of those: at most SALTS * per_lang rows meet in a task
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy(key, "doc_id"))).filter(F.col("n") <= per_lang)
+    ids = ids.select("doc_id").distinct()
     # at most per_lang ids of each language: a bounded list to broadcast
     return known.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang")
 
@@ -136,6 +138,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and accepted (in place of columns so named)."""
+    vec.bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     new = ("lang_pred", "score", "accepted")
     names = [c for c in docs.columns if c not in new]
