@@ -8,7 +8,7 @@ import pytest
 
 from shelfspark.llm import exact_dedup, jaccard, line_dedup, queries, substring_dedup
 from shelfspark.session import checkpoint_dir
-from tests.llm.conftest import edge_rows
+from tests.llm.corpus_fixtures import clash, edge_rows, edges, empty, shipped  # noqa: F401  fixtures
 
 SF = "/root/testdata/sf0.001"
 WHITE = " \t\n\x0b\x0c\r"

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from shelfspark.llm import langid, quality, secret_scan, url_filter, vec
-from tests.llm.conftest import edge_rows
+from tests.llm.corpus_fixtures import clash, edge_rows, edges, empty, shipped  # noqa: F401  fixtures
 
 SF = "/root/testdata/sf0.01"
 

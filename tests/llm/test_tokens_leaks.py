@@ -10,7 +10,7 @@ import tiktoken
 
 import corpus_pipeline
 from shelfspark.llm import bpe, decontam
-from tests.llm.conftest import edge_rows
+from tests.llm.corpus_fixtures import clash, edge_rows, edges, empty, shipped  # noqa: F401  fixtures
 from tests.llm.test_dedup import brute_lines, brute_near
 
 SF = "/root/testdata/sf0.001"
