@@ -21,7 +21,7 @@ def _scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _stream_state(spark, sf, max_files=16):
+def _stream_state(spark, sf, max_files=32):
     """Split the actuals panel into feed files, two or more a date, and run the tick stream over them in several
     micro-batches, which cut dates apart; the manifest tells when a date is whole."""
     base = _scratch(spark, "tick")
