@@ -19,6 +19,11 @@ CATEGORIES = ["earbuds", "headphones", "smartphones", "smartwatches", "bluetooth
               "tablets", "power_banks"]
 
 
+# The types of ``events``. A number stands for the type inside the aggregate, which a string would turn into a
+# sort aggregate; a type that is not listed is null.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -49,7 +54,8 @@ def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(is_("error"), 1).otherwise(0)).alias("ne"),
         F.sum(F.when(is_("view"), 1).otherwise(0)).alias("nv"),
         F.sum(F.when(is_("click"), 1).otherwise(0)).alias("nc"),
-        F.max_by("event_type", "event_id").alias("event_type"))
+        F.max_by(F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")), "event_id").alias("code"))
+    g = g.withColumn("event_type", F.try_element_at(F.array(*map(F.lit, EVENT_TYPES)), F.nullif("code", F.lit(0)).cast("int")))
     n, np_, ne = F.col("n"), F.col("np"), F.col("ne")
     et = F.col("event_type")
     return g.select(
