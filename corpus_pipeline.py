@@ -39,11 +39,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: doc_id, token_ids and n_tokens, each text checked against its decoded tokens."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
-    return coded.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
-                        (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
+    """Operator 8: doc_id, token_ids, n_tokens, and whether the decoded tokens are the text again."""
+    return bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [

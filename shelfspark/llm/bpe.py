@@ -27,7 +27,7 @@ from shelfspark.llm import vec
 from shelfspark.llm.vec import batch_of, column
 
 LONG = 256
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -225,11 +225,11 @@ class Files:
         self.data, self.known, self.pattern = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest(), pattern
 
     def encoded(self, batches, text: str, to: str):
-        """Batches with the token ids of ``text`` behind the other columns, about a megabyte of text in each."""
+        """Batches with the token ids of ``text`` behind the other columns, about half a megabyte of text in each."""
         encoder = _held(Encoder, self.data, self.known, self.pattern)
         for b in batches:
             names = [c for c in b.schema.names if c != to]
-            for lo, hi, _, _ in vec.slices(column(b, text), 1 << 20):
+            for lo, hi, _, _ in vec.slices(column(b, text)):
                 part = b.slice(lo, hi - lo)
                 found = encoder.encode(column(part, text).to_pylist())
                 ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
@@ -237,13 +237,13 @@ class Files:
                 yield pa.RecordBatch.from_arrays([*[column(part, c) for c in names], ids], names=[*names, to])
 
     def decoded(self, batches, ids: str, to: str):
-        """Batches with the bytes of ``ids`` behind the other columns, about half a million ids in each."""
+        """Batches with the bytes of ``ids`` behind the other columns, about a quarter of a million ids in each."""
         vocabulary = _held(Vocabulary, self.data, self.known)
         for b in batches:
             names, at = [c for c in b.schema.names if c != to], 0
             counts = np.asarray(column(b, ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
             while at < len(b):
-                end = max(at + 1, at + int(np.searchsorted(np.cumsum(counts[at:]), 500_000, "right")))
+                end = max(at + 1, at + int(np.searchsorted(np.cumsum(counts[at:]), 250_000, "right")))
                 part = b.slice(at, end - at)
                 out = vocabulary.decode(column(part, ids).flatten().to_numpy(zero_copy_only=False), counts[at:end])
                 yield pa.RecordBatch.from_arrays([*[column(part, c) for c in names], pa.array(out, pa.binary())], names=[*names, to])
@@ -266,6 +266,21 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "token_ids", to: str = "
     return docs.mapInArrow(lambda batches: files.decoded(batches, ids, to), _with(docs, to, "binary"))
 
 
+def encode_checked(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, token_ids, n_tokens, and round_trip: whether the ids decode to the text's bytes. One pass of one worker."""
+    files = Files(docs.sparkSession, ranks_path, pattern)
+
+    def run(batches):
+        for b in files.decoded(files.encoded(batches, "text", "token_ids"), "token_ids", "decoded"):
+            ids = column(b, "token_ids")
+            same = [x == (t or "").encode() for x, t in zip(column(b, "decoded").to_pylist(), column(b, "text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), ids, ids.value_lengths().cast(pa.int64()), pa.array(same, pa.bool_())],
+                                             names=["doc_id", "token_ids", "n_tokens", "round_trip"])
+
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+            .mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens long, round_trip boolean"))
+
+
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 

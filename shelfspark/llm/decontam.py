@@ -177,7 +177,7 @@ class Index:
         out = []
         if not self.items:
             return out
-        for lo, _, buf, offs in vec.slices(texts, 1 << 20):
+        for lo, _, buf, offs in vec.slices(texts):
             _, _, row, h = vec.words(buf, offs, vec.ALNUM_LUT)
             held: dict[int, dict[int, np.ndarray]] = {}
             for (r, item), score in sorted(self.candidates(row, h, least).items()):

@@ -15,7 +15,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE2 = U(0xD6E8FEB86659FD93)
 _INVERSE = U(pow(int(BASE), -1, 1 << 64))
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 CHUNK_BYTES = 1 << 19
 
 #: Byte -> byte as words see it; 32 separates words.
