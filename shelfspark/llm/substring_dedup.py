@@ -143,16 +143,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, log2: i
             .mapInArrow(compare, "doc_id long, run long"))
 
 
-_TO_SPACE = {c: " " for c in range(9, 14)}
-
-
-def _kept_words(text: str | None, runs: list[int] | None, window: int) -> tuple[list[str], int]:
+def _kept_words(text: str | None, runs: list[int] | None, window: int) -> tuple[list[bytes], int]:
     """Words that stay, and the number of all words."""
-    words = [w for w in (text or "").translate(_TO_SPACE).split(" ") if w]
+    raw = (text or "").encode()
+    words = raw.split()                                            # bytes split at \x20 and \x09-\x0D alone
     if not runs:
         return words, len(words)
-    buf = np.frombuffer(text.encode(), np.uint8)
-    _, _, row, h = vec.words(buf, np.array([0, len(buf)]))
+    _, _, row, h = vec.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     run = np.array(runs, np.int64)
     run = run[run >> TAG == _tags(h, row, 1)[0]]
     pos, span = run & ((1 << SPAN) - 1), (run >> SPAN) & MOST
@@ -177,7 +174,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     def remove(batches):
         for b in batches:
             done = [_kept_words(t, s, window) for t, s in zip(column(b, text).to_pylist(), column(b, "runs").to_pylist(), strict=True)]
-            left = pa.array([" ".join(w) for w, _ in done], pa.string())
+            left = pa.array([b" ".join(w) for w, _ in done], pa.binary()).cast(pa.string())
             cols = [left if f"c{i}" == text else column(b, f"c{i}") for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in done], pa.int64()), pa.array([n - len(w) for w, n in done], pa.int64())],
                                              names=[*names, "n_words", "n_removed"])
