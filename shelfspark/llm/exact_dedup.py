@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.vec import batch_of, bounded_batches, column
-from shelfspark.session import checkpoint_dir
+from shelfspark.session import checkpoint_dir, cut_lineage
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
 
@@ -59,13 +59,18 @@ class DigestIndex:
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
 
+    def lookup(self, batch: DataFrame) -> DataFrame:
+        """The index's row of each digest of ``batch``: one row a digest meets the bucketed index, which is not shuffled."""
+        return batch.select("digest").distinct().hint("merge").join(self.read().hint("merge"), "digest")
+
+
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Appends ``docs`` to the index and returns each of its documents with the one that stays. A document whose text
     an earlier batch brought in is dropped in favour of that batch's."""
-    seen = digests(docs)
+    seen = cut_lineage(digests(docs))
     index.append_new(seen)
-    # sorted by hash and split by AQE where one digest holds very many documents
-    return (seen.join(index.read(), "digest", "left")
+    # cut off, so that both sides of the last join have plain exchanges, which AQE splits where one digest holds very many documents
+    return (seen.join(cut_lineage(index.lookup(seen)), "digest")
             .select("doc_id", "keep_id", "group_size",
                     F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
