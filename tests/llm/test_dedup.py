@@ -120,16 +120,15 @@ def test_index_persists_and_appends(spark):
     got = exact_dedup.exact_dedup(rows((10, "ONE"), (11, "three"), (12, "Three")), index)
     assert {(r.doc_id, r.keep_id, r.kept) for r in got.collect()} == {(10, 2, False), (11, 12, False), (12, 12, True)}
     assert index.read().count() == 3
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Relation") >= 1
 
 
 def test_index_side_is_not_shuffled(spark):
     index = exact_dedup.DigestIndex(spark, tempfile.mkdtemp(dir=checkpoint_dir(spark)), 8)
     new = exact_dedup.digests(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
-    joined = new.hint("merge").join(index.read().select("digest").hint("merge"), "digest", "left_anti")
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    anti = new.hint("merge").join(index.read().select("digest").hint("merge"), "digest", "left_anti")
+    for joined in (anti, index.lookup(new)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def brute_near(rows, least=0.8):
