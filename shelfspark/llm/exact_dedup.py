@@ -51,26 +51,33 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append_new(self, batch: DataFrame) -> None:
-        """Adds the digests of ``batch`` (doc_id, digest) that the index lacks; the largest doc_id of each stays."""
-        groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        new = groups.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+    def append_new(self, batch: DataFrame) -> DataFrame:
+        """Adds the digests of ``batch`` (doc_id, digest) that the index lacks; the largest doc_id of each stays. Returns the
+        index's row of every digest of ``batch``.
+
+        One row a digest meets the index: the groups are cut off, else the optimizer would move the joins below the
+        aggregation, where a digest that very many documents hold comes whole to one task."""
+        groups = cut_lineage(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+        (self.missing(groups).repartition(self.buckets, "digest").write.mode("append").format("parquet")
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
+        return self.lookup(groups)
 
+    def missing(self, groups: DataFrame) -> DataFrame:
+        """Rows whose digest the index lacks: a sort-merge anti-join with the bucketed side, which is not shuffled."""
+        return groups.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
-    def lookup(self, batch: DataFrame) -> DataFrame:
-        """The index's row of each digest of ``batch``: one row a digest meets the bucketed index, which is not shuffled."""
-        return batch.select("digest").distinct().hint("merge").join(self.read().hint("merge"), "digest")
+    def lookup(self, groups: DataFrame) -> DataFrame:
+        """The index's rows of the digests in ``groups``."""
+        return groups.select("digest").hint("merge").join(self.read().hint("merge"), "digest")
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Appends ``docs`` to the index and returns each of its documents with the one that stays. A document whose text
     an earlier batch brought in is dropped in favour of that batch's."""
     seen = cut_lineage(digests(docs))
-    index.append_new(seen)
+    state = cut_lineage(index.append_new(seen))
     # cut off, so that both sides of the last join have plain exchanges, which AQE splits where one digest holds very many documents
-    return (seen.join(cut_lineage(index.lookup(seen)), "digest")
+    return (seen.join(state, "digest")
             .select("doc_id", "keep_id", "group_size",
                     F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
