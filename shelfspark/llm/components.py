@@ -11,11 +11,17 @@ from shelfspark.session import cut_lineage
 ROWS_A_TASK = 50_000
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """Checkpointed, and read again in as few tasks as its rows need: a small table that goes through many exchanges
-    would else write a file for each of its many empty partitions every time."""
-    df = cut_lineage(df)
-    return df.coalesce(max(1, -(-df.count() // ROWS_A_TASK)))
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
+def compact(df: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` checkpointed and read in as few tasks as its rows need, and its number of rows: a small table that goes
+    through many exchanges would else write a file for each of its many empty partitions every time. Where no more than
+    ``most`` rows can come out, the checkpoint itself is written in as few."""
+    df = cut_lineage(df if most is None else df.coalesce(tasks_for(most)))
+    n = df.count()
+    return df.coalesce(tasks_for(n)), n
 
 
 def _least(edges: DataFrame, own: bool) -> DataFrame:
@@ -37,15 +43,15 @@ def components(edges: DataFrame) -> DataFrame:
     A round is two aggregations and two equi-joins of the edge table, until every component is a star; a node with
     very many neighbours is reduced to its least neighbour by partial aggregation, and its edges are dealt anew in
     the join, where the other side has one row a node."""
-    edges = compact(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges, n = compact(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _starred(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = compact(both.join(compact(_least(both, own=True)), "u").filter("v > u AND v <> m")
-                        .select(F.col("v").alias("u"), F.col("m").alias("v")))
+        nearest, _ = compact(_least(both, own=True), 2 * n)
+        large, n = compact(both.join(nearest, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), 2 * n)
         least = _least(large, own=False)
         small = (large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
                  .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        edges = compact(small)
+        edges, n = compact(small, 2 * n)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -180,12 +180,12 @@ def _compare_cells(batches):
 
 def coarse_edges(reps: DataFrame) -> DataFrame:
     """Edges (u, v) that join every likely similar pair of ``reps`` (id, sig), directly or by others."""
-    level, found, sigs = cut_lineage(reps.mapInArrow(_roots, "key long, id long")), None, None
+    level, found, sigs, n = cut_lineage(reps.mapInArrow(_roots, "key long, id long")), None, None, None
     for depth in range(DEPTH + 1):
-        sizes = compact(level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        level = compact(level.join(sizes, "key"))
+        sizes, _ = compact(level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), n)
+        level, n = compact(level.join(sizes, "key"), n)
         if sigs is None:                                       # tokens of the sets that share a bucket with another at all
-            sigs = compact(reps.join(level.select("id").distinct(), "id", "left_semi"))
+            sigs, _ = compact(reps.join(level.select("id").distinct(), "id", "left_semi"))
         small = (level.filter(F.col("size") <= SMALL).join(sigs, "id").select("key", "id", "sig")
                  .repartition("key").sortWithinPartitions("key").mapInArrow(_compare_small, "u long, v long"))
         found = small if found is None else found.unionByName(small)
@@ -202,10 +202,10 @@ def coarse_edges(reps: DataFrame) -> DataFrame:
                   .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / PART) - 1))))
         rows = (big.select("key", "part", F.lit(1).alias("member"), "id").unionByName(pivots.select("key", "part", F.lit(0).alias("member"), "id"))
                 .join(sigs, "id").select("key", "part", "member", "id", "sig"))
-        step = compact(rows.repartition("key", "part").sortWithinPartitions("key", "part", "member")
-                       .mapInArrow(_against_pivots, "u long, v long, key long"))
+        step, _ = compact(rows.repartition("key", "part").sortWithinPartitions("key", "part", "member")
+                          .mapInArrow(_against_pivots, "u long, v long, key long"))
         found = found.unionByName(step.filter("key IS NULL").select("u", "v"))
-        level = step.filter("key IS NOT NULL").select("key", F.col("u").alias("id"))
+        level, n = step.filter("key IS NOT NULL").select("key", F.col("u").alias("id")), CHILDREN * n
     return found
 
 
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST, l
     # one row a representative: a copy under another doc_id is not in ``groups``
     members = cut_lineage(full.join(groups, "id").join(reps.select("id", "copies"), "id").dropDuplicates(["id"]))
     cells = _blocks(members, sizes, "root", BLOCK).select("cell", "id", "own", "copies", "one", "shingles")
-    links = compact(cells.repartition("cell").sortWithinPartitions("cell")
+    links, _ = compact(cells.repartition("cell").sortWithinPartitions("cell")
                     .mapInArrow(lambda batches: _link_cells(batches, least), "u long, v long, n long"))
     counted = links.filter("v IS NULL").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     classes = components(links.filter("v IS NOT NULL").select("u", "v"))
