@@ -1,16 +1,20 @@
-"""Quality classifier by importance resampling.
+"""Quality classifier by importance resampling, and toxicity by a text's worst words.
 
 Two generative models of hashed word uni- and bigrams, one of target text (documents labelled good and
 not toxic), one of all text, give each document the mean log ratio per n-gram. Its log weight is that
 mean for a document of ``LENGTH`` n-grams; with Gumbel noise drawn from a hash of doc_id, the k largest
 keys are a sample without replacement by weight. k is the number of documents whose mean ratio reaches
-the level that ``KEEP`` of held-out good documents reach.
+the level that ``KEEP`` of held-out good documents reach and that are not toxic.
 
-All counts cover all documents. Learned from labels, with a documented bound: at most ``TARGETS`` target
-documents and ``HELD`` held-out ones, least hash of doc_id first.
+A mean over a whole text drowns a few words, so toxicity is judged apart: each word has the log ratio of
+toxic to good labelled documents that hold it, and a text's toxicity is the mean of its ``WORST`` highest
+positive ratios. A text over the limit that ``CLEAN`` of held-out good documents keep is not sampled.
+
+All n-gram counts cover all documents. Learned from labels, with a documented bound: at most ``TARGETS``
+target documents, as many toxic ones, and ``HELD`` held-out ones, least hash of doc_id first.
 
 Cases: a text without words (null, empty, blank) has no weight and is rejected; without labelled good
-documents nothing else is rejected; a doc_id with several labels counts by its worst; rows of one doc_id
+documents nothing else is rejected, without labelled toxic ones nothing is toxic; a doc_id with several labels counts by its worst; rows of one doc_id
 and text share a key, and all rows with the k-th key are taken; null labels count as not good; an empty
 table gives no rows; other columns stay as they are."""
 
@@ -29,7 +33,9 @@ U = np.uint64
 LOG2, CHUNKS = 18, 64
 TARGETS, HELD, KEEP = 20_000, 5_000, 0.998
 LENGTH, SEED = 400, 17
+WORD_LOG2, WORST, CLEAN = 20, 2, 0.99
 _COUNTS = pa.schema([("chunk", pa.int32()), ("raw", pa.binary()), ("target", pa.binary())])
+_WORDS = pa.schema([("word", pa.int32()), ("toxic", pa.int64()), ("good", pa.int64())])
 
 
 def _features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,14 +47,23 @@ def _features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return f.astype(np.int64), np.concatenate([row, row[1:][same]])
 
 
-def _labelled(labels: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Sorted doc_ids of the target, and those held out."""
-    good = (labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+def _held_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of each word, once a row; case and marks are not regarded."""
+    _, _, row, h = vec.words(buf, offs, vec.ALNUM_LUT)
+    held = np.unique(row << WORD_LOG2 | (h >> U(64 - WORD_LOG2)).astype(np.int64))
+    return held >> WORD_LOG2, held & ((1 << WORD_LOG2) - 1)
+
+
+def _labelled(labels: DataFrame) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Sorted doc_ids of the target, those held out, and sorted doc_ids of toxic documents. A quarter of both kinds is held out."""
+    known = (labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
             .agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-            .filter("q = 1 AND t = 0").select("doc_id", F.xxhash64("doc_id").alias("h")))
+            .select("doc_id", F.expr("q = 1 AND t = 0").alias("good"), F.expr("t = 1").alias("toxic"), F.xxhash64("doc_id").alias("h")))
+    good, toxic = known.filter("good"), known.filter("toxic")
     part = F.pmod("h", F.lit(4)) == 0
     first = lambda df, n: [r.doc_id for r in df.orderBy("h", "doc_id").limit(n).collect()]       # noqa: E731
-    return np.array(sorted(first(good.filter(~part), TARGETS)), np.int64), first(good.filter(part), HELD)
+    return (np.array(sorted(first(good.filter(~part), TARGETS)), np.int64), first(good.filter(part), HELD),
+            np.array(sorted(first(toxic.filter(~part), TARGETS)), np.int64))
 
 
 class RatioModel:
@@ -70,6 +85,59 @@ class RatioModel:
         return pa.concat_arrays(out) if out else pa.array([], pa.float64())
 
 
+class ToxicModel:
+    """Log ratio of toxic to good documents by word, None without both kinds. A word that no labelled document holds has ratio 0."""
+
+    def __init__(self, word: np.ndarray, toxic: np.ndarray, good: np.ndarray, n_toxic: int, n_good: int):
+        self.ratio = None
+        if n_toxic and n_good:
+            share = n_toxic / (n_toxic + n_good)
+            self.ratio = np.zeros(1 << WORD_LOG2)
+            self.ratio[word] = np.log((toxic + share) / n_toxic) - np.log((good + 1 - share) / n_good)
+
+    def worst(self, texts: pa.Array) -> pa.Array:
+        """Mean of the ``WORST`` highest positive ratios of each text's words; one that is missing counts as 0."""
+        if self.ratio is None:
+            return pa.array(np.zeros(len(texts)))
+        out = []
+        for lo, hi, buf, offs in vec.slices(texts):
+            row, word = _held_words(buf, offs)
+            x = self.ratio[word]
+            row, x = row[x > 0], x[x > 0]
+            order = np.lexsort((-x, row))
+            row, x = row[order], x[order]
+            top = np.arange(len(row)) - np.searchsorted(row, row) < WORST
+            out.append(pa.array(np.bincount(row[top], x[top], minlength=hi - lo) / WORST))
+        return pa.concat_arrays(out) if out else pa.array([], pa.float64())
+
+
+def fit_toxic(docs: DataFrame, toxic: np.ndarray, good: np.ndarray) -> ToxicModel:
+    """Counts the documents of ``toxic`` and ``good`` that hold a word."""
+    if not len(toxic) or not len(good):
+        return ToxicModel(*[np.zeros(0, np.int64)] * 3, 0, 0)
+    vec.bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast((toxic, good))
+
+    def count(batches):
+        counts, n = np.zeros((2, 1 << WORD_LOG2), np.int64), [0, 0]
+        for b in batches:
+            b = b.filter(column(b, "doc_id").is_valid())
+            ids = column(b, "doc_id").to_numpy(zero_copy_only=False)
+            for k, kind in enumerate(sent.value):
+                texts = column(b.filter(pa.array(np.isin(ids, kind))), "text")
+                n[k] += len(texts)
+                for _, _, buf, offs in vec.slices(texts):
+                    word, held = np.unique(_held_words(buf, offs)[1], return_counts=True)
+                    counts[k, word] += held
+        some = np.flatnonzero(counts.any(0))
+        yield batch_of(_WORDS, np.r_[-1, some], *[np.r_[n[k], counts[k, some]] for k in range(2)])          # -1: all documents
+
+    rows = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "word int, toxic long, good long")
+            .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("good").alias("good")).toArrow())    # at most 2^WORD_LOG2 + 1
+    word, bad, fine = (rows.column(i).to_numpy() for i in range(3))
+    return ToxicModel(word[word >= 0], bad[word >= 0], fine[word >= 0], int(bad[word < 0].sum()), int(fine[word < 0].sum()))
+
+
 def fit(docs: DataFrame, target: np.ndarray) -> RatioModel:
     """Counts n-grams over all ``docs`` and over those whose doc_id is in ``target``."""
     vec.bounded_batches(docs.sparkSession)
@@ -105,15 +173,16 @@ def fit(docs: DataFrame, target: np.ndarray) -> RatioModel:
     return RatioModel(raw.ravel(), good.ravel())
 
 
-def with_mean(docs: DataFrame, model: RatioModel, text: str = "text", to: str = "mean_log_ratio") -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != to]
-    schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).cast("double").alias(to)).schema
-    schema[to].nullable = True
+def with_scores(docs: DataFrame, model: RatioModel, toxic: ToxicModel, text: str = "text", mean: str = "mean_log_ratio", toxicity: str = "toxicity") -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((model, toxic))
+    names = [c for c in docs.columns if c not in (mean, toxicity)]
+    schema = docs.select(*[F.col(f"`{c}`") for c in names], *[F.lit(0.0).cast("double").alias(c) for c in (mean, toxicity)]).schema
+    schema[mean].nullable = schema[toxicity].nullable = True
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*[column(b, c) for c in names], sent.value.means(column(b, text).cast(pa.string()))], names=[*names, to])
+            texts = column(b, text).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*[column(b, c) for c in names], sent.value[0].means(texts), sent.value[1].worst(texts)], names=[*names, mean, toxicity])
 
     return docs.mapInArrow(run, schema)
 
@@ -155,26 +224,30 @@ class Selection:
     """Model and cut over all of ``docs``: what ``choose`` takes."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
-        target, held = _labelled(labels)
-        self.model = fit(docs, target)
-        scored = with_mean(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), self.model).drop("text")
+        target, held, toxic = _labelled(labels)
+        self.model, self.toxic = fit(docs, target), fit_toxic(docs, toxic, target)
+        scored = with_scores(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), self.model, self.toxic).drop("text")
         self.scored = cut_lineage(scored.withColumn("key", gumbel_key("mean_log_ratio")))
-        known = sorted(r[0] for r in self.scored.filter(F.col("doc_id").isin(held) & F.col("mean_log_ratio").isNotNull())
-                       .select("mean_log_ratio").collect()) if held else []                            # at most HELD documents
-        self.level = known[int((1 - KEEP) * len(known))] if known and self.model.ratio is not None else float("-inf")
-        self.k = self.scored.filter(F.col("mean_log_ratio") >= self.level).count()
-        self.cut = kth_largest(self.scored.filter(F.col("key").isNotNull()), "key", self.k)
+        known = (self.scored.filter(F.col("doc_id").isin(held) & F.col("mean_log_ratio").isNotNull())
+                 .select("mean_log_ratio", "toxicity").collect()) if held else []                         # at most HELD documents
+        means, worst = sorted(r[0] for r in known), sorted((r[1] for r in known), reverse=True)
+        self.level = means[int((1 - KEEP) * len(known))] if known and self.model.ratio is not None else float("-inf")
+        self.limit = worst[int((1 - CLEAN) * len(known))] if known else float("inf")
+        fit_for = self.scored.filter(F.col("key").isNotNull() & (F.col("toxicity") <= self.limit))
+        self.k = fit_for.filter(F.col("mean_log_ratio") >= self.level).count()
+        self.cut = kth_largest(fit_for, "key", self.k)
+        self.sample = fit_for.filter(F.col("key") >= self.cut)
 
     def choose(self, docs: DataFrame) -> DataFrame:
         """The sampled rows of ``docs``. Scores are made anew in place, so that no text is shuffled."""
         names = docs.columns
         plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])      # no name can clash
-        scored = with_mean(plain, self.model, f"c{names.index('text')}", "mean")
-        return (scored.filter(gumbel_key("mean", f"c{names.index('doc_id')}") >= self.cut)
+        scored = with_scores(plain, self.model, self.toxic, f"c{names.index('text')}", "mean", "toxicity")
+        return (scored.filter((gumbel_key("mean", f"c{names.index('doc_id')}") >= self.cut) & (F.col("toxicity") <= self.limit))
                 .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)]))
 
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample: one row per document taken."""
     chosen = Selection(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return chosen.scored.filter(F.col("key") >= chosen.cut).select("doc_id", "mean_log_ratio", F.col("key").alias("gumbel_key"))
+    return chosen.sample.select("doc_id", "mean_log_ratio", F.col("key").alias("gumbel_key"))

@@ -68,6 +68,28 @@ def test_quality_cases(spark, edges, clash, empty):
     assert quality.Selection(empty, labels).choose(empty).count() == 0
 
 
+def test_toxic_words_equal_brute_force(spark):
+    texts = {1: "a b", 2: "A, b c", 3: "c d d", 4: "d!! a e", 5: "x y", None: "b b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    toxic = quality.fit_toxic(docs, np.array([3, 4, 9]), np.array([1, 2], np.int64))
+    bad, good = [{"c", "d"}, {"d", "a", "e"}], [{"a", "b"}, {"a", "b", "c"}]
+    ratio = {w: np.log((sum(w in t for t in bad) + 0.5) / 2) - np.log((sum(w in t for t in good) + 0.5) / 2) for w in "abcdexy"}
+    want = [sum(sorted((max(ratio[w], 0) for w in t), reverse=True)[: quality.WORST]) / quality.WORST for t in ("ed", "dd"[:1], "abc", "x", "")]
+    assert np.allclose(toxic.worst(pa.array(["e D. " + "a b " * 300, "d d", "a b c", "x", None])).to_pylist(), want)
+    assert quality.fit_toxic(docs, np.zeros(0, np.int64), np.array([1])).worst(pa.array(["d"])).to_pylist() == [0]
+
+
+def test_held_out_toxic_documents_go(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id for r in quality.op3_quality_resampling(spark, sf).select("doc_id").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    target, held, toxic = quality._labelled(labels)
+    learned = {*target.tolist(), *toxic.tolist()}
+    bad = [r.doc_id in got for r in labels.filter("toxic = 1").collect() if r.doc_id not in learned]
+    assert len(bad) > 50 and np.mean(bad) <= 0.1
+    assert np.mean([i in got for i in held]) >= 0.98
+
+
 # ---- language --------------------------------------------------------------------------------
 
 def test_held_out_accuracy(spark):
