@@ -28,7 +28,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each class the document with the least doc_id; rows without a doc_id stay."""
+    """Operator 2: of each class the document with the least doc_id; rows without a doc_id stay.
+
+    A document without words is a copy, all of whose lines stand in documents with a larger doc_id (the first stage takes
+    none without words); it is near no other text any more, so it goes before the classes are made."""
+    docs = docs.filter(F.col("doc_id").isNull() | F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x09-\\x0D ]"))
     classes = jaccard.near_duplicates(docs).filter(F.col("doc_id") > F.col("class_id")).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(classes, F.col("doc_id") == F.col("gone"), "left_anti")
 

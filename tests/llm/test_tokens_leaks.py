@@ -142,6 +142,18 @@ def test_pipeline_equals_brute_force(spark, reference, tmp_path):
     assert sorted(map(tuple, whole)) == sorted((r[0], len(r[1])) for r in steps[4])
 
 
+def test_exact_copies_leave_one_document(spark):
+    sf = "/root/testdata/sf0.01"
+    copy = "A line that stands in four documents.\nAnother line that stands in four documents.\n \t"
+    rows = [(i, copy, "en", "s", len(copy)) for i in range(1, 5)] + [(5, "a text of its own", "en", "s", 17), (None, None, "en", "s", None)]
+    lines = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert sorted(r.doc_id for r in lines.collect() if r.doc_id and not r.text.strip()) == [1, 2, 3]
+    got = corpus_pipeline.drop_near_duplicates(spark, lines, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, ""), (4, copy), (5, "a text of its own")]
+    whole = corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens").collect()
+    assert whole and all(r.n_tokens for r in whole)
+
+
 def test_pipeline_cases(spark, edges, empty):
     for frame in (edges, empty):
         docs = frame
