@@ -1,14 +1,15 @@
 """Secret scan: fixed patterns, and a character convolutional network over further candidates.
 
 Base findings are matches of three patterns and always stay. Candidates are runs of at least
-``LEAST_RUN`` key characters that hold a digit and something else and touch no base finding; the network
-reads each with its surroundings (``LEFT`` characters before, the run's first ``HEAD`` characters,
-``RIGHT`` behind the run) and adds those over its threshold as kind ``model``. It is trained in numpy on findings that
-``labelled_findings`` makes from a seed, and the threshold is the largest that keeps ``RECALL`` of the
-secrets among held-out findings.
+``LEAST_RUN`` key characters, without what belongs to a base finding. The network reads each in parts: the
+whole, the pieces between / and =, and windows of ``HEAD`` characters every ``STEP`` in those that are longer,
+each with its surroundings (``LEFT`` characters before, ``RIGHT`` behind). A candidate with a part over the
+threshold is added as kind ``model``. The network is trained in numpy on findings that ``labelled_findings``
+and ``deep_findings`` make from a seed, and the threshold is the largest that keeps ``RECALL`` of the secrets
+among held-out findings.
 
 Spans are in code points, end exclusive. Cases: null and empty texts have no findings; repeated rows get
-equal results; the end of a very long run is not read by the network, but is part of the span; an empty
+equal results; the span of a candidate is all of it, also where one part of it was over the threshold; an empty
 table gives no rows; other columns stay as they are."""
 
 from __future__ import annotations
@@ -28,14 +29,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "model")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24       # hex: runs of 0-9 and a-f
-LEAST_RUN, LEFT, HEAD, RIGHT = 16, 24, 40, 8
+LEAST_RUN, LEFT, HEAD, RIGHT, STEP = 16, 24, 40, 8, 20
 RECALL = 0.95
 WIDTH = LEFT + HEAD + RIGHT
 
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+_PIECE = re.compile(rb"[^/=]+")
 
 #: What the network sees of a byte: letters in both cases, digits, marks; all else is one class.
 _SEEN = "\0abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n:=\"'+/_.-@,;&?#()<>"
@@ -77,6 +77,23 @@ def _window(raw: bytes, s: int, e: int) -> np.ndarray:
     return _CLASS[np.frombuffer(left.rjust(LEFT, b"\0") + head.ljust(HEAD, b"\0") + right.ljust(RIGHT, b"\0"), np.uint8)]
 
 
+def _parts(raw: bytes, s: int, e: int) -> list[tuple[int, int]]:
+    """What the network reads of a candidate: every character is in a part of at most ``HEAD``."""
+    long = [(s, e)] + [(s + m.start(), s + m.end()) for m in _PIECE.finditer(raw[s:e]) if m.end() - m.start() >= LEAST_RUN]
+    steps = [(t, min(t + HEAD, y)) for x, y in long for t in range(x + STEP, y - HEAD + STEP, STEP)]
+    return list(dict.fromkeys(long + steps))
+
+
+def _outside(i: int, j: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Parts of i..j of at least ``LEAST_RUN`` that no span touches."""
+    out = []
+    for x, y in sorted((x, y) for x, _, y in spans if x < j and y > i) + [(j, j)]:
+        if x - i >= LEAST_RUN:
+            out.append((i, x))
+        i = max(i, y)
+    return out
+
+
 # ---- the network -------------------------------------------------------------------------------
 
 def _forward(p: dict, x: np.ndarray):
@@ -143,28 +160,30 @@ class Scanner:
             spans = [base_spans(t) if t else [] for t in raw]
             whole = buf.tobytes()
 
-            def points(row, *at):
-                """Code point numbers of byte offsets."""
-                return [len(whole[offs[row]: a].decode()) for a in at]
-
-            s, e = _long_runs(buf, offs, _HEX[buf], LEAST_HEX)
-            for row, a, b in zip((np.searchsorted(offs, s, "right") - 1).tolist(), s.tolist(), e.tolist(), strict=True):
-                a, b = points(row, a, b)
-                spans[row].append((a, 2, b))
-            s, e = _long_runs(buf, offs, _RUN[buf], LEAST_RUN)
-            digits = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
-            mixed = (digits[e] > digits[s]) & (digits[e] - digits[s] < e - s)
-            rows, windows, at = [], [], []
-            for row, a, b in zip((np.searchsorted(offs, s[mixed], "right") - 1).tolist(), s[mixed].tolist(), e[mixed].tolist(), strict=True):
-                i, j = points(row, a, b)
-                if all(y <= i or x >= j for x, _, y in spans[row]):
-                    begin = int(offs[row])
-                    near = whole[max(begin, a - LEFT): min(int(offs[row + 1]), b + RIGHT)]
-                    rows.append(row), windows.append(_window(near, a - max(begin, a - LEFT), b - max(begin, a - LEFT))), at.append((i, j))
-            taken = self.score(np.array(windows, np.int64).reshape(-1, WIDTH)) >= self.threshold
-            for row, (i, j), yes in zip(rows, at, taken.tolist(), strict=True):
-                if yes:
-                    spans[row].append((i, 3, j))
+            point = np.concatenate([[0], np.cumsum(buf & 0xC0 != 0x80)])           # code points before each byte
+
+            def runs(inside, least):
+                s, e = _long_runs(buf, offs, inside, least)
+                row = np.searchsorted(offs, s, "right") - 1
+                return zip(*(x.tolist() for x in (row, s, point[s] - point[offs[row]], point[e] - point[offs[row]])), strict=True)
+
+            for row, _, i, j in runs(_HEX[buf], LEAST_HEX):
+                spans[row].append((i, 2, j))
+            rows, windows, of = [], [], []
+            for row, start, first, last in runs(_RUN[buf], LEAST_RUN):
+                for i, j in _outside(first, last, spans[row]):                     # a run is ASCII: a byte is a code point
+                    a = start + i - first
+                    begin, end = max(int(offs[row]), a - LEFT), min(int(offs[row + 1]), a + j - i + RIGHT)
+                    near = whole[begin:end]
+                    parts = _parts(near, a - begin, a - begin + j - i)
+                    windows += [_window(near, x, y) for x, y in parts]
+                    of += [len(rows)] * len(parts)
+                    rows.append((row, i, j))
+            best = np.zeros(len(rows))
+            np.maximum.at(best, of, self.score(np.array(windows, np.int64).reshape(-1, WIDTH)))
+            for k in np.flatnonzero(best >= self.threshold).tolist():
+                row, i, j = rows[k]
+                spans[row].append((i, 3, j))
             out += [sorted(x) for x in spans]
         return out
 
@@ -207,15 +226,58 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
     return out, label
 
 
+def deep_findings(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
+    """(text, start, end, start of the secret, its end) of ``n`` runs: half hold a secret at any depth, half none (empty secret)."""
+    rng = np.random.default_rng(seed)
+    pick = lambda chars, k: "".join(rng.choice(list(chars), k))                                         # noqa: E731
+    word = lambda most=9: pick(_LETTERS, int(rng.integers(2, most)))                                    # noqa: E731
+    plain = (word, word, lambda: "-".join(word() for _ in range(rng.integers(2, 7))), lambda: str(rng.integers(1, 10 ** 9)),
+             lambda: pick(_LETTERS.upper(), 1) + pick("0123456789", 8), lambda: "_".join(word() for _ in range(rng.integers(2, 5))),
+             lambda: word(26), lambda: word().capitalize() + word(20), lambda: word(24).upper(), lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+             lambda: "=".join(word() for _ in range(2)), lambda: word(30).upper(), lambda: word()[:4] * int(rng.integers(4, 9)), lambda: word(3)[:1] * int(rng.integers(16, 60)),
+             lambda: pick("0123456789abcdef", int(rng.integers(24, 41))) + "_", lambda: "AKIA" + pick(_LETTERS.upper() + "0123456789", 16))     # base findings
+    out = []
+    for i in range(n):
+        before = [plain[rng.integers(len(plain))]() for _ in range(rng.integers(0, 7))]
+        after = [plain[rng.integers(len(plain))]() for _ in range(rng.integers(0, 3))]
+        head, tail = ("".join(p + str(rng.choice(["/", "/", "="])) for p in before), "".join("/" + p for p in after))
+        letters = _MIXED if rng.random() < 0.7 else _LETTERS + _LETTERS.upper()                         # also without digits
+        value = pick(letters, int(rng.integers(20, 44))) if i % 2 else plain[rng.integers(len(plain))]()
+        if i % 2 == 0 and rng.random() < 0.4:                                                          # a long word alone
+            head, tail, value = "", "", pick(_LETTERS, int(rng.integers(16, 34)))
+            value = (value, value.upper(), value.capitalize())[rng.integers(3)]
+        run = head + value + tail
+        run += pick(_LETTERS, max(0, LEAST_RUN - len(run)))
+        left = " ".join(word() for _ in range(rng.integers(0, 5))) + str(rng.choice([" ", " see ", " https://example.com/", " (", "\n"]))
+        s = len(left) + len(head)
+        out.append((left + run + str(rng.choice(["", " ", "\n", ". ", ", "])) + word(), len(left), len(left) + len(run), s, s + len(value) * (i % 2)))
+    return out
+
+
+def _deep_windows(findings: list[tuple[str, int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all parts, the finding of each, and how many characters of its secret the network sees there."""
+    x, of, seen = [], [], []
+    for k, (t, s, e, a, b) in enumerate(findings):
+        for i, j in _parts(t.encode(), s, e):
+            x.append(_window(t.encode(), i, j)), of.append(k), seen.append(max(0, min(j, b, i + HEAD) - max(i, a)))
+    return np.array(x), np.array(of), np.array(seen)
+
+
 def train(n: int = 2400, seed: int = 11, epochs: int = 6) -> Scanner:
-    """Network and threshold from ``n`` labelled findings, a quarter of them held out for the threshold."""
+    """Network and threshold from ``n`` labelled findings and as many deep ones, a quarter of them held out for the threshold."""
     findings, y = labelled_findings(n, seed)
     x = np.array([_window(t.encode(), s, e) for t, s, e in findings])
     cut = 3 * n // 4
-    params = _train(x[:cut], y[:cut].astype(float), seed, epochs)
+    deep = deep_findings(n, seed + 1)
+    parts, _, seen = _deep_windows(deep[:cut])
+    sure = (seen == 0) | (seen >= LEAST_RUN)                                # a part with a bit of a secret teaches nothing
+    params = _train(np.concatenate([x[:cut], parts[sure]]), np.concatenate([y[:cut], seen[sure] > 0]).astype(float), seed, epochs)
     held = Scanner(params, 0.5)
-    secret = np.sort(held.score(x[cut:])[y[cut:] == 1])
-    return Scanner(params, float(max(secret[int((1 - RECALL) * len(secret))], 0.5)))
+    parts, of, seen = _deep_windows(deep[cut:])
+    best, holds = np.zeros(n - cut), np.array([b > a for *_, a, b in deep[cut:]])
+    np.maximum.at(best, of, held.score(parts))
+    secret = np.sort(np.concatenate([held.score(x[cut:])[y[cut:] == 1], best[holds]]))
+    return Scanner(params, float(secret[int((1 - RECALL) * len(secret))]))
 
 
 def find_secrets(docs: DataFrame, scanner: Scanner, text: str = "text", to: str = "findings") -> DataFrame:
