@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import bpe, decontam, exact_dedup, jaccard, langid, line_dedup, quality, secret_scan, substring_dedup, url_filter
+from shelfspark.llm import (bpe, decontam, divergence, exact_dedup, jaccard, langid, lexical_search, line_dedup, lm_score, quality, secret_scan,
+                            substring_dedup, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -19,10 +20,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_lm_score": lm_score.op13_lm_score,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
