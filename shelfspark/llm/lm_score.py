@@ -32,8 +32,8 @@ from shelfspark.llm.vec import column
 U = np.uint64
 ORDER = 2
 PRIOR = 4.0
-BASE = 2 ** 0.5
-KEY_BITS, PROBES = 10, 3               # bits of the filter a key, bits set for it
+BASE = 1.5
+KEY_BITS, PROBES = 8, 3                # bits of the filter a key, bits set for it
 BROADCAST_BYTES = 128 << 20            # largest filter that is sent whole to every worker
 HEAD = 1 << 16                         # tokens whose exact counts are broadcast
 LEAST_SEGMENTS = 6                     # 64 segments, as a power of two
@@ -44,7 +44,7 @@ _SALT = [U(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xDB4F0B9175AE21
 _TOKENS = pa.schema([("token", pa.binary()), ("c", pa.int64())])
 _GRAMS = pa.schema([("segment", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 _PROBE = pa.schema([("segment", pa.int32()), ("row", pa.int64()), ("grams", pa.binary())])
-_LEVELS = pa.schema([("row", pa.int64()), ("grams", pa.binary()), ("levels", pa.binary())])
+_LEVELS = pa.schema([("row", pa.int64()), ("segment", pa.int32()), ("levels", pa.binary())])
 
 
 # --- tokens and grams of slices of texts -----------------------------------------------------------
@@ -107,12 +107,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
 class LogFilter:
     """Log-frequency Bloom filter of 2^``log2`` segments, each as large as its keys ask for."""
 
-    def __init__(self, log2: int, segments: dict[int, bytes]):
+    def __init__(self, log2: int, sizes: dict[int, int], segments):
+        """``sizes``: bytes of each segment; ``segments``: (segment, bits) one after another, so that few are held beside the whole."""
         self.log2 = log2
-        sizes = np.array([len(segments.get(s, b"")) for s in range(1 << log2)], np.int64)
-        self.start = np.r_[0, np.cumsum(sizes)][:-1].astype(U) * U(8)
-        self.size = sizes.astype(U) * U(8)
-        self.bits = np.frombuffer(b"".join(segments.get(s, b"") for s in range(1 << log2)), np.uint8)
+        of = np.array([sizes.get(s, 0) for s in range(1 << log2)], np.int64)
+        start = np.r_[0, np.cumsum(of)]
+        self.start, self.size = start[:-1].astype(U) * U(8), of.astype(U) * U(8)
+        self.bits = np.zeros(start[-1], np.uint8)
+        for s, bits in segments:
+            self.bits[start[s]: start[s + 1]] = np.frombuffer(bits, np.uint8)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Level of each gram, 0 where it is not known."""
@@ -232,33 +235,31 @@ def _dealt_scores(rows: DataFrame, bits: DataFrame, log2: int, order: int, total
                 yield vec.batch_of(_PROBE, found, [row] * len(found), [g[edge[s]: edge[s + 1]].tobytes() for s in found])
 
     def probe(batches):
-        held = LogFilter(log2, {})
+        held = None
         for b in batches:
             out = []
             for s, row, grams, own in zip(*(column(b, c).to_pylist() for c in ("segment", "row", "grams", "bits")), strict=True):
                 if own is not None:                                       # a segment's bits come before its probes
-                    held = LogFilter(log2, {s: own})
+                    held = LogFilter(log2, {s: len(own)}, [(s, own)])
                 else:
-                    out.append((row, grams, held.levels(np.frombuffer(grams, U)).tobytes()))
+                    out.append((row, s, held.levels(np.frombuffer(grams, U)).tobytes()))
             yield vec.batch_of(_LEVELS, *([x[i] for x in out] for i in range(3)))
 
     def score(batches):
         for b in batches:
             out = []
             for line, met in zip(column(b, "line").to_pylist(), column(b, "met").to_pylist(), strict=True):
-                line = np.frombuffer(line, U)
-                g = np.concatenate([np.frombuffer(x["grams"], U) for x in met])
+                line = np.frombuffer(line, U)                             # its sorted grams lie in the order of the segments
                 known = np.concatenate([np.frombuffer(x["levels"], np.uint8) for x in met])
-                by = np.argsort(g)
-                out.append(_scores(line, np.array([0, len(line)]), order, total, distinct, lambda u, g=g, by=by, known=known: known[by][np.searchsorted(g[by], u)])[0])
+                out.append(_scores(line, np.array([0, len(line)]), order, total, distinct, lambda _, known=known: known)[0])
             yield vec.batch_of(pa.schema([("row", pa.int64()), ("score", pa.float64())]), column(b, "row"), out)
 
     none = F.lit(None)
     both = (bits.select("segment", none.cast("long").alias("row"), none.cast("binary").alias("grams"), "bits")
             .unionByName(rows.select("row", "line").mapInArrow(probes, "segment int, row long, grams binary").withColumn("bits", none.cast("binary"))))
     met = (both.repartitionById(1 << log2, F.col("segment")).sortWithinPartitions("segment", F.col("row").asc_nulls_first())
-           .mapInArrow(probe, "row long, grams binary, levels binary"))
-    return (rows.select("row", "line").join(met.groupBy("row").agg(F.collect_list(F.struct("grams", "levels")).alias("met")), "row")    # a document's own grams
+           .mapInArrow(probe, "row long, segment int, levels binary"))
+    return (rows.select("row", "line").join(met.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("segment", "levels"))).alias("met")), "row")    # a document's own grams
             .mapInArrow(score, "row long, score double"))
 
 
@@ -274,9 +275,11 @@ def lm_scores(docs: DataFrame, learn, order: int = ORDER, head: int = HEAD, broa
     top = common.collect()                                                     # head rows at most
     end = next((r.c for r in counts.filter(F.col("token") == F.lit(END)).collect()), 0)
     bits, log2 = gram_filter(learned, order)
-    small = bits.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] <= broadcast_bytes
+    sizes = {r.segment: r.size for r in bits.select("segment", F.length("bits").alias("size")).collect()}      # a number a segment
+    small = sum(sizes.values()) <= broadcast_bytes
     shared = spark.sparkContext.broadcast((
-        {bytes(r.token): r.c for r in top}, LogFilter(log2, {r.segment: bytes(r.bits) for r in bits.collect()}) if small else None))
+        {bytes(r.token): r.c for r in top}, LogFilter(log2, sizes, ((r.segment, r.bits) for r in bits.toLocalIterator())) if small else None))
+    del top
     spread = np.log10(total + distinct + 1)
 
     def score(batches):
