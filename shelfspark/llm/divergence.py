@@ -1,12 +1,13 @@
 """Source divergence audit by chunk factorization.
 
-Whitespace chunks are counted per document and added up per (lang, source) within a task; that table is
-written once. Each globally distinct chunk is then tokenized once, and its terms are joined back to the
-counts. Counts of occurrences add up. Distinct documents do not (one document may hold a term in several
-chunks), so a term first gets two exact bounds on its documents in a language: at least the sum over
-sources of its most common chunk's documents, at most the sum over all its chunks. Only terms whose bounds
-lie on both sides of the limit have their documents counted one by one, from the document numbers kept
-beside chunks of few documents.
+Whitespace chunks are counted per document and added up within a task; the sums go to segments by the
+chunk's hash, a row of many chunks each. In its segment each globally distinct chunk is tokenized once, and
+its terms meet its counts: occurrences by source, and documents of the language. That table is written once.
+
+Distinct documents of a term do not add up (one document may hold it in several chunks), so a term first
+gets two exact bounds on its documents in a language: at least those of its most common chunk, at most the
+sum over its chunks. Only terms whose bounds lie on both sides of the limit have their documents counted one
+by one, from the document numbers kept beside chunks of few documents.
 
 The sum of a pair of sources over all kept terms is taken apart: terms that one of them lacks have a
 constant probability there, so histograms of counts give that share, and only terms in both are joined.
@@ -17,39 +18,64 @@ every pair has value 0; each row is a document of its own, repeated rows and row
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfspark.llm import vec
 from shelfspark.llm.tables import written_table
-from shelfspark.llm.vec import bounded_batches, column
+from shelfspark.llm.vec import column
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
-HELD = 300_000                     # counts that a task holds before it passes them on
+HELD = 400_000                     # chunks that a task holds before it passes them on
 ROWS_OUT = 50_000
-_CHUNKS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()),
-                     ("n", pa.int64()), ("docs", pa.int64()), ("rows", pa.list_(pa.int64()))])
-
-
-def chunk_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, source, chunk, n, docs, rows): occurrences of a chunk and documents that hold it, added up within a task;
-    ``rows`` numbers these documents where there are fewer than ``min_docs``."""
-    bounded_batches(docs.sparkSession)
+LEAST_SEGMENTS = 64
+_PACKED = pa.schema([("segment", pa.int32()), ("lang", pa.string()), ("sources", pa.list_(pa.string())),
+                     *[(c, pa.binary()) for c in ("chunks", "docs", "held", "rows", "parts", "source", "n")]])
+_TERMS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("rows", pa.list_(pa.int64()))])
+
+
+def _pack(chunks: dict, min_docs: int, segments: int):
+    """The sums of a language by segment: chunks in a line, and arrays of their documents and parts."""
+    by: list[list] = [[] for _ in range(segments)]
+    for chunk in chunks:
+        by[zlib.crc32(chunk) % segments].append(chunk)
+    for segment, some in enumerate(by):
+        if not some:
+            continue
+        names, docs, held, rows, parts, source, n = {}, [], [], [], [], [], []
+        for chunk in some:
+            v = chunks[chunk]
+            if type(v) is tuple:                                          # one document holds the chunk
+                v = 1, v[2:], {v[0]: v[1]}
+            docs.append(v[0])
+            held.append(len(v[1]) if v[0] < min_docs else 0)
+            rows += v[1] if v[0] < min_docs else ()
+            parts.append(len(v[2]))
+            for s, k in v[2].items():
+                source.append(names.setdefault(s, len(names)))
+                n.append(k)
+        yield segment, list(names), b" ".join(some), *(np.array(x, np.int64).astype(t).tobytes() for x, t in (
+            (docs, np.uint32), (held, np.uint8 if min_docs <= 256 else np.uint32), (rows, np.int64), (parts, np.uint32), (source, np.uint32), (n, np.uint32)))
+
+
+def chunk_counts(docs: DataFrame, segments: int, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Documents that hold a chunk and its occurrences by source, added up within a task: a row a segment and language. ``rows``
+    numbers the documents of a chunk where there are fewer than ``min_docs``."""
+    vec.bounded_batches(docs.sparkSession)
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def flush(held):
-        for (lang, source), chunks in held.items():
-            keys, values = list(chunks), list(chunks.values())
-            for lo in range(0, len(keys), ROWS_OUT):
-                k, v = keys[lo: lo + ROWS_OUT], values[lo: lo + ROWS_OUT]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(k), pa.string()), pa.array([source] * len(k), pa.string()), pa.array(k, pa.binary()).cast(pa.string()),
-                     pa.array([x[0] for x in v], pa.int64()), pa.array([x[1] for x in v], pa.int64()),
-                     pa.array([x[2:] if x[1] < min_docs else None for x in v], pa.list_(pa.int64()))], schema=_CHUNKS)
+        for lang, chunks in held.items():
+            for segment, *rest in _pack(chunks, min_docs, segments):
+                yield vec.batch_of(_PACKED, [segment], [lang], *([x] for x in rest))
 
     def count(batches):
         number = TaskContext.get().partitionId() << 40
@@ -57,53 +83,93 @@ def chunk_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         for b in batches:
             for lang, source, text in zip(*(column(b, c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 number += 1
-                group = held.setdefault((lang, source), {})
+                chunks = held.setdefault(lang, {})
+                size -= len(chunks)
                 for chunk, n in Counter(text.encode().split()).items():
-                    v = group.get(chunk)
+                    v = chunks.get(chunk)
                     if v is None:
-                        group[chunk] = [n, 1, number]
-                        size += 1
+                        chunks[chunk] = (source, n, number)
+                    elif type(v) is tuple:
+                        of = {v[0]: v[1]}
+                        of[source] = of.get(source, 0) + n
+                        chunks[chunk] = [2, [v[2], number], of]
                     else:
-                        v[0] += n
-                        v[1] += 1
-                        if v[1] < min_docs:
-                            v.append(number)
+                        v[0] += 1
+                        if v[0] < min_docs:
+                            v[1].append(number)
+                        v[2][source] = v[2].get(source, 0) + n
+                size += len(chunks)
                 if size >= HELD:
                     yield from flush(held)
                     held, size = {}, 0
         yield from flush(held)
 
-    return plain.mapInArrow(count, "lang string, source string, chunk string, n long, docs long, rows array<long>")
-
-
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, k): each distinct chunk tokenized once, k occurrences of a term in it."""
-    lowered = F.translate("chunk", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return (chunks.select("chunk").distinct()
-            .select("chunk", F.explode(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))).alias("term"))
-            .groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("k")))
+    return plain.mapInArrow(count, "segment int, lang string, sources array<string>, chunks binary, docs binary, held binary, rows binary, "
+                            "parts binary, source binary, n binary")
+
+
+def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, term, source, n, rows): for each distinct chunk and term in it, a row a source with the term's occurrences, and one
+    with source null, the chunk's documents, and their numbers where there are fewer than ``min_docs``."""
+    segments = max(LEAST_SEGMENTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def add(into, sources, chunks, docs, held, rows, parts, source, n):
+        row = part = 0
+        held = np.frombuffer(held, np.uint8 if min_docs <= 256 else np.uint32).tolist()
+        docs, parts, source, n = (np.frombuffer(x, np.uint32).tolist() for x in (docs, parts, source, n))
+        rows = np.frombuffer(rows, np.int64).tolist()
+        for chunk, d, h, k in zip(chunks.split(b" "), docs, held, parts, strict=True):
+            v = into.get(chunk)
+            if v is None:
+                v = into[chunk] = [0, [], {}]
+            v[0] += d
+            if v[0] < min_docs:
+                v[1] += rows[row: row + h]
+            of = v[2]
+            for i in range(part, part + k):
+                s = sources[source[i]]
+                of[s] = of.get(s, 0) + n[i]
+            row, part = row + h, part + k
+
+    def tokenize(batches):
+        whole: dict[int, dict] = {}
+        for b in batches:
+            for segment, lang, *packed in zip(*(column(b, f.name).to_pylist() for f in _PACKED), strict=True):
+                add(whole.setdefault(segment, {}).setdefault(lang, {}), *packed)
+        term = re.compile(TERM)
+        out: tuple[list, ...] = tuple([] for _ in _TERMS)
+        for langs in whole.values():
+            known = {}                                                    # a chunk of several languages is tokenized once
+            for lang, chunks in langs.items():
+                for chunk, (docs, rows, of) in chunks.items():
+                    if (terms := known.get(chunk)) is None:
+                        terms = known[chunk] = Counter(term.findall(chunk.lower().decode()))      # bytes.lower() changes A-Z alone
+                    for t, k in terms.items():
+                        m = len(of) + 1
+                        for o, x in zip(out, ([lang] * m, [t] * m, [*of, None], [k * x for x in of.values()] + [docs],
+                                              [None] * (m - 1) + [rows if docs < min_docs else None]), strict=True):
+                            o += x
+                    if len(out[0]) >= ROWS_OUT:
+                        yield vec.batch_of(_TERMS, *out)
+                        out = tuple([] for _ in _TERMS)
+        yield vec.batch_of(_TERMS, *out)
+
+    packed = chunk_counts(docs, segments, min_docs).repartitionById(segments, F.col("segment"))
+    return packed.mapInArrow(tokenize, "lang string, term string, source string, n long, rows array<long>")
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, source, c): occurrences, per source, of the terms in at least ``min_docs`` documents of the language."""
-    chunks = written_table(chunk_counts(docs, min_docs), "chunks")
-    terms = written_table(chunk_terms(chunks), "chunk_terms")
-    # one exchange by chunk serves the sums and the join: a chunk comes once per task and group at most
-    counts = chunks.repartition("chunk").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    # in the same way one exchange by term serves the sums per source and the bounds per language
-    per_source = (counts.join(terms, "chunk").repartition("lang", "term").groupBy("lang", "term", "source")
-                  .agg(F.sum(F.col("n") * F.col("k")).alias("c"), F.max("docs").alias("least"), F.sum("docs").alias("most")))
-    w = Window.partitionBy("lang", "term")                          # as many rows as the language has sources
-    found = written_table(
-        per_source.select("lang", "term", "source", "c", F.sum("least").over(w).alias("least"), F.sum("most").over(w).alias("most"))
-        .filter(F.col("most") >= min_docs), "bounded_terms")
-    open_ = found.filter(F.col("least") < min_docs).select("lang", "term").distinct()
-    # chunks of open terms stand in fewer than min_docs documents of each source, so their rows are all there
-    pieces = terms.join(open_, "term").select("lang", "term", "chunk")
-    closed = (chunks.select("lang", "chunk", F.explode("rows").alias("row")).join(pieces, ["lang", "chunk"])
-              .groupBy("lang", "term").agg(F.count_distinct("row").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term"))
-    sure = found.filter(F.col("least") >= min_docs)
-    return sure.unionByName(found.filter(F.col("least") < min_docs).join(closed, ["lang", "term"])).select("lang", "term", "source", "c")
+    counts = written_table(term_counts(docs, min_docs), "term_counts")
+    in_docs = counts.filter(F.col("source").isNull())
+    bounds = written_table(in_docs.groupBy("lang", "term").agg(F.max("n").alias("least"), F.sum("n").alias("most"))
+                           .filter(F.col("most") >= min_docs), "term_bounds")
+    # chunks of open terms stand in fewer than min_docs documents, so the numbers of these are all there
+    closed = (in_docs.join(bounds.filter(F.col("least") < min_docs), ["lang", "term"]).select("lang", "term", F.explode("rows").alias("row"))
+              .groupBy("lang", "term").agg(F.count_distinct("row").alias("docs")).filter(F.col("docs") >= min_docs))
+    kept = bounds.filter(F.col("least") >= min_docs).select("lang", "term").unionByName(closed.select("lang", "term"))
+    return (counts.filter(F.col("source").isNotNull()).groupBy("lang", "term", "source").agg(F.sum("n").alias("c"))
+            .join(kept, ["lang", "term"], "left_semi"))
 
 
 def _p(count: Column | str, n: str, v: str) -> Column:

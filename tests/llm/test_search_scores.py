@@ -66,7 +66,8 @@ def many_variants():
 
 @pytest.mark.parametrize("min_docs", [10, 3, 1])
 def test_divergence_equals_brute_force(spark, min_docs, monkeypatch):
-    monkeypatch.setattr(divergence, "HELD", 40)                     # counts are passed on in many parts
+    monkeypatch.setattr(divergence, "HELD", 40)                     # counts are passed on in many parts, of several batches each
+    monkeypatch.setattr(divergence, "ROWS_OUT", 7)
     rows = many_variants()
     got = divergence.divergence(spark.createDataFrame(rows, SCHEMA).repartition(5), min_docs, 4)
     assert sorted(tuple(r) for r in got.collect()) == brute_divergence(rows, min_docs, 4)
@@ -194,7 +195,7 @@ def exact_scores(rows, order):
     n, v = sum(uni.values()), len(uni)
 
     def q(g):
-        return 2 ** ((math.floor(math.log(c[g]) / math.log(2 ** 0.5) + 1e-9)) / 2) if c[g] else 0.0
+        return lm_score.BASE ** math.floor(math.log(c[g]) / math.log(lm_score.BASE) + 1e-9) if c[g] else 0.0
 
     out = []
     for d, s in seqs:
@@ -224,7 +225,7 @@ def test_log_filter_never_reads_too_low(spark):
     words = [f"a{i % 50} b{i % 7}" for i in range(400)]
     df = spark.createDataFrame([(w,) for w in words], "text string")
     bits, log2 = lm_score.gram_filter(df, 2)
-    held = lm_score.LogFilter(log2, {r.segment: bytes(r.bits) for r in bits.collect()})
+    held = lm_score.LogFilter(log2, {r.segment: len(r.bits) for r in bits.collect()}, [(r.segment, r.bits) for r in bits.collect()])
     c = defaultdict(int)
     for w in words:
         line = lm_score.vec.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), lm_score.vec.LOWER_LUT)[3]
