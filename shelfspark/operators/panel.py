@@ -47,20 +47,20 @@ def to_master(actuals: DataFrame) -> DataFrame:
         _s("signal_story").alias("narrative"))
 
 
-def next_day_forecast(actuals: DataFrame, version=DEFAULT_VERSION, noise: float = 0.0) -> DataFrame:
+def next_day_forecast(actuals: DataFrame, version=DEFAULT_VERSION, noise: float = 0.0, demand: Column | None = None) -> DataFrame:
     """Momentum forecast for date + 1 per (entity, date).
 
     ``version`` is a literal or a Column (the backtest passes the version in force that day).
-    ``noise`` is the amplitude of a deterministic hash noise on price (0 = none)."""
+    ``noise`` is the amplitude of a deterministic hash noise on price (0 = none); ``demand`` replaces the momentum forecast."""
     v = F.lit(version) if isinstance(version, str) else version
-    target, demand, price = forecast_columns(noise)
+    target, demand, price = forecast_columns(noise, demand)
     return actuals.select(target.alias("target_date"), "entity_id", demand.alias("pred_demand"), price.alias("pred_price"),
                           v.alias("model_version"))
 
 
-def forecast_columns(noise: float = 0.0) -> tuple[Column, Column, Column]:
-    """Target date, demand and price of a panel row's forecast for the next day."""
-    return (F.date_add("date", 1), round_half_up(F.col("demand_index") * c_momentum(), 4),
+def forecast_columns(noise: float = 0.0, demand: Column | None = None) -> tuple[Column, Column, Column]:
+    """Target date, demand (momentum unless given) and price of a panel row's forecast for the next day."""
+    return (F.date_add("date", 1), round_half_up(F.col("demand_index") * c_momentum(), 4) if demand is None else demand,
             round_half_up(F.col("price_index") * (1 + c_hash_noise(noise, "entity_id", "date")), 4))
 
 

@@ -19,6 +19,7 @@ from ..functions.numeric import (DRIFT_FLAG_THRESHOLD, DRIFT_RETRAIN_THRESHOLD,
 from ..operators import panel
 from ..operators.keys import keep_last
 
+
 def decisions(fva: DataFrame, window_rows: int = 7, every: int = RETRAIN_EVERY_N_DAYS,
               retrain_threshold: float = DRIFT_RETRAIN_THRESHOLD, flag_threshold: float = DRIFT_FLAG_THRESHOLD,
               sim_day0=0, retrains0=0, after=None) -> DataFrame:
@@ -37,13 +38,14 @@ def decisions(fva: DataFrame, window_rows: int = 7, every: int = RETRAIN_EVERY_N
                     "retrained", c_version_after(n).alias("model_version"))
 
 
-def compare(actuals: DataFrame, stored: DataFrame | None, noise: float) -> DataFrame:
+def compare(actuals: DataFrame, stored: DataFrame | None, noise: float, demand: Column | None = None) -> DataFrame:
     """Comparison rows of a block, without their version: each row against the forecast of the entity's row on the day
     before (the last row by date, if it is that day's), else against a stored forecast. One shuffle by entity.
 
-    ``own``: the forecast is the block's; ``stored_version``: the version of a stored one."""
+    ``own``: the forecast is the block's; ``stored_version``: the version of a stored one; ``demand``: the demand that each row
+    forecasts for the next day (a model's), by default the momentum forecast."""
     w = Window.partitionBy("entity_id").orderBy("date")
-    made = F.struct(*[f.alias(n) for n, f in zip(("target_date", "pred_demand", "pred_price"), panel.forecast_columns(noise), strict=True)])
+    made = F.struct(*[f.alias(n) for n, f in zip(("target_date", "pred_demand", "pred_price"), panel.forecast_columns(noise, demand), strict=True)])
     j = actuals.withColumn("_made", made).withColumn("_before", F.lag("_made").over(w)).drop("_made")
     j = j.withColumn("_before", F.when(F.col("_before.target_date") == F.col("date"), F.col("_before")))
     if stored is not None:
@@ -62,31 +64,31 @@ def compare(actuals: DataFrame, stored: DataFrame | None, noise: float) -> DataF
                     F.col("_before").isNotNull().alias("own"), F.col("_stored.model_version").alias("stored_version"))
 
 
-def advance(new_actuals: DataFrame, prev_fva: DataFrame | None = None, prev_days: DataFrame | None = None,
-            prev_preds: DataFrame | None = None, window_rows: int = 7, noise: float = 0.0) -> dict[str, DataFrame]:
-    """Process a block of new dates on top of earlier state.
-
-    ``prev_fva``: earlier comparison rows (only the last ``window_rows`` with an error are used), all dated before the
-    block; ``prev_days``: earlier day rows (for the sim-day and retrain counters); ``prev_preds``: earlier
-    forecasts (those targeting the new dates are used). Returns ``fva``, ``days`` and
-    ``predictions`` for the new block."""
-    fva0 = compare(new_actuals, prev_preds, noise)
+def decide(new_actuals: DataFrame, prev_fva: DataFrame | None = None, prev_days: DataFrame | None = None,
+           prev_preds: DataFrame | None = None, window_rows: int = 7, noise: float = 0.0, demand: Column | None = None,
+           counters: tuple[int, int] = (0, 0), **rule) -> tuple[DataFrame, DataFrame]:
+    """Comparison rows of a block (without their version) and its decisions, one row a date. ``rule``: thresholds of
+    ``decisions``; the rest as in ``advance``."""
+    fva0 = compare(new_actuals, prev_preds, noise, demand)
     history, after = fva0.select("date", "entity_id", "abs_demand_error"), None
     if prev_fva is not None:
         tail = (prev_fva.filter(F.col("abs_demand_error").isNotNull())
                 .orderBy(F.col("date").desc(), F.col("entity_id").desc()).limit(window_rows))
         history = tail.select(*history.columns).unionByName(history)
-        after = tail.agg(F.max("date")).scalar()
-    sim0, ret0 = 0, 0
+        after = F.coalesce(tail.agg(F.max("date")).scalar(), F.lit("0001-01-01").cast("date"))
+    sim0, ret0 = counters
     if prev_days is not None:
         sim0 = F.coalesce(prev_days.agg(F.max("sim_day")).scalar(), F.lit(0))
         ret0 = F.coalesce(prev_days.agg(F.count_if("retrained")).scalar(), F.lit(0))
-        if after is not None:
-            after = F.coalesce(after, F.lit("0001-01-01").cast("date"))
-    chosen = decisions(history, window_rows, sim_day0=sim0, retrains0=ret0, after=after)
-    # forecast values do not depend on the version (momentum model): decide first, label after, from the table of days
-    label = chosen.select(F.date_add("date", 1).alias("date"), F.col("model_version").alias("_own_version"))
-    fva = fva0.join(label, "date", "left")
+    return fva0, decisions(history, window_rows, sim_day0=sim0, retrains0=ret0, after=after, **rule)
+
+
+def label(new_actuals: DataFrame, fva0: DataFrame, chosen: DataFrame, prev_preds: DataFrame | None = None, noise: float = 0.0,
+          demand: Column | None = None) -> dict[str, DataFrame]:
+    """``fva``, ``days`` and ``predictions`` of a block from its comparison rows and decisions: forecast values do not depend
+    on the version label, which comes from the table of days."""
+    versions = chosen.select(F.date_add("date", 1).alias("date"), F.col("model_version").alias("_own_version"))
+    fva = fva0.join(versions, "date", "left")
     predicted = F.col("_own_version").isNotNull()
     if prev_preds is not None:
         fva = fva.join(prev_preds.select(F.col("target_date").alias("date"), F.lit(True).alias("_was")).distinct(), "date", "left")
@@ -96,10 +98,22 @@ def advance(new_actuals: DataFrame, prev_fva: DataFrame | None = None, prev_days
     rows = new_actuals.groupBy("date").agg(F.count(F.lit(1)).alias("rows_ingested"))
     days = rows.join(chosen, "date").select("sim_day", "date", F.col("rows_ingested").cast("bigint").alias("rows_ingested"), "drift_score",
                                             "drift_flag", "retrained", "model_version")
-    preds = panel.next_day_forecast(new_actuals.join(chosen.select("date", F.col("model_version").alias("_v")), "date"), F.col("_v"), noise)
+    preds = panel.next_day_forecast(new_actuals.join(chosen.select("date", F.col("model_version").alias("_v")), "date"), F.col("_v"), noise, demand)
     return {"fva": fva.withColumn("model_version", version).select(*panel.FVA_COLS), "days": days, "predictions": preds}
 
 
+def advance(new_actuals: DataFrame, prev_fva: DataFrame | None = None, prev_days: DataFrame | None = None,
+            prev_preds: DataFrame | None = None, window_rows: int = 7, noise: float = 0.0) -> dict[str, DataFrame]:
+    """Process a block of new dates on top of earlier state.
+
+    ``prev_fva``: earlier comparison rows (only the last ``window_rows`` with an error are used), all dated before the
+    block; ``prev_days``: earlier day rows (for the sim-day and retrain counters); ``prev_preds``: earlier
+    forecasts (those targeting the new dates are used). Returns ``fva``, ``days`` and
+    ``predictions`` for the new block."""
+    fva0, chosen = decide(new_actuals, prev_fva, prev_days, prev_preds, window_rows, noise)
+    return label(new_actuals, fva0, chosen, prev_preds, noise)
+
+
 def backtest(actuals: DataFrame, window_rows: int = 7, noise: float = 0.0) -> dict[str, DataFrame]:
     """Every tick at once (``advance`` from an empty state)."""
     return advance(actuals, window_rows=window_rows, noise=noise)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import crawl, models, views
 from ..session import checkpoint_dir
+from ..sources.snapshots import Snapshots
 from ..streaming import feed
 from . import backtest as bt
 from .crawl_queries import LINKS_SQL, sql_page_type
@@ -21,30 +22,36 @@ def _scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _stream_state(spark, sf, max_files=32):
+def _stream_state(spark, sf, max_files=32, **tick):
     """Split the actuals panel into feed files, two or more a date, and run the tick stream over them in several
     micro-batches, which cut dates apart; the manifest tells when a date is whole."""
     base = _scratch(spark, "tick")
-    if ":/" not in base:
-        base = f"file://{base}"
     feed.write_feed(fx.actuals(spark, sf), f"{base}/feed", files_per_date=2, manifest=f"{base}/manifest")
-    feed.run_tick_stream(spark, f"{base}/feed", f"{base}/state", max_files_per_trigger=max_files, manifest=f"{base}/manifest")
-    return f"{base}/state"
+    feed.run_tick_stream(spark, f"{base}/feed", f"{base}/state", max_files_per_trigger=max_files, manifest=f"{base}/manifest", **tick)
+    return Snapshots(spark, f"{base}/state")
 
 
 @query("stream_tick_fva")
 def q_stream_tick_fva(spark, sf):
     """K1 + K2: the daily feed as a stream, ticked by foreachBatch; must equal the batch backtest."""
-    state = _stream_state(spark, sf)
-    return spark.read.parquet(f"{state}/fva").select(*bt.panel.FVA_COLS)
+    return _stream_state(spark, sf).table("fva").select(*bt.panel.FVA_COLS)
 
 
 @query("stream_tick_days")
 def q_stream_tick_days(spark, sf):
     """K2 + D4 + G22 + G23: per-day drift / retrain / version rows written by the stream."""
-    state = _stream_state(spark, sf)
-    return spark.read.parquet(f"{state}/days").select("sim_day", "date", "rows_ingested", "drift_score",
-                                                      "drift_flag", "retrained", "model_version")
+    return _stream_state(spark, sf).table("days").select("sim_day", "date", "rows_ingested", "drift_score",
+                                                         "drift_flag", "retrained", "model_version")
+
+
+#: Retraining by the calendar alone: on the given tables the drift rule asks for a model nearly every day, a fit of 100 trees each.
+_PERIODIC = {"fit": models.fit_demand_model, "retrain_threshold": float("inf")}
+
+
+@query("stream_registry")
+def q_stream_registry(spark, sf):
+    """I4 + J1-J3 + J6: the models that the tick fits, saves and registers with their error (rows-only: Spark's trees are its own)."""
+    return _stream_state(spark, sf, **_PERIODIC).table("registry").select("model_version", "created_seq", "date", "rows_seen", "training_mae", "retrain_reason")
 
 
 @query("stream_daily_summary", """

@@ -144,10 +144,12 @@ def read_actuals(spark: SparkSession, path: str) -> DataFrame:
         .filter(F.col("date").isNotNull())
 
 
-def read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_any(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame | None:
     """A Parquet table, or None where the path does not exist or holds no file yet. Spark itself looks the
-    path up, so any URI that Spark can read will do."""
+    path up, so any URI that Spark can read will do. Folders below the path are read too where a schema is given."""
     try:
+        if schema is not None:
+            return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
         return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
@@ -160,10 +162,16 @@ SERVING_TABLES = ("master", "forecast", "daily", "explanations", "alerts", "mark
 
 def load_serving(spark: SparkSession, base_dir: str, schemas: dict[str, T.StructType] | None = None) -> dict[str, DataFrame]:
     """The serving tables as DataFrames; a missing table is an empty DataFrame (of its schema
-    when one is given)."""
+    when one is given). Where the tick writes them (``sources.snapshots``), all are of the same commit."""
+    from .snapshots import Snapshots
+    store = Snapshots(spark, base_dir)
+    at = store.entry()
     out = {}
     for name in SERVING_TABLES:
-        found = read_if_any(spark, f"{base_dir.rstrip('/')}/{name}")
+        if at is None:
+            found = read_if_any(spark, f"{base_dir.rstrip('/')}/{name}")
+        else:
+            found = store.table({"forecast": "predictions"}.get(name, name), at)
         out[name] = spark.createDataFrame([], (schemas or {}).get(name, T.StructType([]))) if found is None else found
     return out
 

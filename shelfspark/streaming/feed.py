@@ -3,13 +3,15 @@
 K1  daily feed: a file source over per-date actuals files; the source checkpoint is the file
     pointer (each file is consumed exactly once, new files are picked up by the next trigger).
     A date may come in any number of files and over any number of micro-batches.
-K2  tick: ``foreachBatch`` adds the micro-batch to an inbox table and runs ``plans.backtest.advance``
-    on the dates that are complete. With a manifest (date, rows) a date is complete once the inbox
+K2  tick: ``foreachBatch`` adds the micro-batch to the rows that wait (the inbox) and runs ``plans.backtest`` on the
+    dates that are complete. With a manifest (date, rows) a date is complete once the inbox
     holds its rows and every earlier date of the manifest is complete too; without one, once a later
-    date has been seen (``flush`` takes the rest at the end of the feed). All writes are keyed by date
-    (dynamic partition overwrite) and tagged with the batch id, and a batch reads only earlier
-    batches' rows, so a retried batch rewrites identical rows.
-K3  late rows: rows of a date that earlier batches have committed go to a ``late`` table.
+    date has been seen (``flush`` takes the rest at the end of the feed). Each commit writes all tables into folders
+    of its own and becomes visible with its entry (``sources.snapshots``). A batch reads what the commit before it
+    carried on: waiting rows, open forecasts, the drift window, and counters; never the feed so far.
+    With ``fit``, a retrain decision fits a model on all committed rows, registers it with its error, and
+    forecasts from the next day on are the model's.
+K3  late rows: rows of a date that is not after the last committed one go to a ``late`` table.
 K4  seen-URL dedup: ``dropDuplicatesWithinWatermark`` on the URL.
 K5  page parsing as a stream: the same stateless extraction on a streaming DataFrame.
 K6  streaming daily summary: one-day tumbling windows, every day emitted (complete mode; the state is one
@@ -20,15 +22,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import RETRAIN_EVERY_N_DAYS
+from ..operators import models, panel
 from ..plans import backtest as bt
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir
 from ..sources.readers import read_if_any
-from ..sources.writers import salted, write_keyed
-from ..operators import panel
+from ..sources.snapshots import Snapshots
+from ..sources.writers import salted
 
 ACTUALS_STREAM_SCHEMA = T.StructType([
     T.StructField("entity_id", T.LongType()), T.StructField("date", T.DateType()),
@@ -66,91 +70,154 @@ def _ready(pending: DataFrame, manifest: DataFrame | None, flush: bool) -> DataF
 class Tick:
     """K2 + K3: the ``foreachBatch`` body over the state tables in ``state_dir`` (any URI).
 
-    Every state row carries the id of the micro-batch that wrote it, and a batch reads only rows of
-    earlier batches. Spark re-runs a failed batch with the same id and the same input, so a retry
-    sees exactly the state the first attempt saw and overwrites the same partitions."""
+    A batch that failed before its commit leaves nothing visible and is done again; a batch whose commit is there is
+    skipped when Spark (or a caller) runs it again, so no model is fitted twice. A stream with a new checkpoint is a new
+    run and starts from nothing. ``fit``: fits a model to training rows (``models.fit_demand_model``), None for the momentum
+    forecast throughout; ``rule``: thresholds of ``backtest.decisions``; ``keep``: commits that readers may still ask for."""
 
-    def __init__(self, state_dir: str, manifest: str | None = None, window_rows: int = 7, noise: float = 0.0):
-        self.dir, self.manifest, self.window_rows, self.noise = state_dir.rstrip("/"), manifest, window_rows, noise
-
-    def path(self, name: str) -> str:
-        return f"{self.dir}/{name}"
+    CARRIED = ("inbox", "tail", "predictions_open")
 
-    def prior(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
-        t = read_if_any(spark, self.path(name))
-        return None if t is None else t.filter(F.col("batch_id") < batch_id)
+    def __init__(self, state_dir: str, manifest: str | None = None, window_rows: int = 7, noise: float = 0.0, fit=None,
+                 keep: int | None = None, **rule):
+        self.dir, self.manifest, self.window_rows, self.noise = state_dir.rstrip("/"), manifest, window_rows, noise
+        self.fit, self.keep, self.rule = fit, keep, rule
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = Snapshots(spark, self.dir).entry()
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or (at.run if at else "direct")
+        if at is not None and at.run != run:
+            at = None                                              # another checkpoint: everything is done anew
+        if at is not None and at.batch_id >= batch_id:
+            if not at.done and at.batch_id == batch_id:            # it failed between two commits: its rows are in the inbox
+                self.advance(spark, run, batch_id, at, None)
+            return
         batch = batch.persist()
         try:
-            days = self.prior(batch.sparkSession, "days", batch_id)
-            if days is not None:
-                late = batch.join(days.select("date").distinct(), "date", "left_semi")
-                if not late.isEmpty():
-                    write_keyed(late.withColumn("batch_id", F.lit(batch_id)), self.path("late"), "batch_id")
-                batch_new = batch.join(days.select("date").distinct(), "date", "left_anti")
-            else:
-                batch_new = batch
-            (batch_new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "date").parquet(self.path("inbox")))
+            self.advance(spark, run, batch_id, at, batch)
         finally:
             batch.unpersist()
-        self.advance(batch_new.sparkSession, batch_id)
 
     def flush(self, spark: SparkSession) -> None:
-        """Commits every date that is still in the inbox, as a part of the last batch."""
-        inbox = read_if_any(spark, self.path("inbox"))
-        last = inbox.agg(F.max("batch_id")).first()[0] if inbox is not None else None
-        if last is not None:
-            self.advance(spark, last, flush=True)
-
-    def advance(self, spark: SparkSession, batch_id: int, flush: bool = False) -> None:
-        inbox = read_if_any(spark, self.path("inbox"))
-        if inbox is None:
-            return
-        pending = inbox.filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        days = self.prior(spark, "days", batch_id)
-        manifest = read_if_any(spark, self.manifest) if self.manifest else None
-        if days is not None:
-            done = days.select("date").distinct()
-            pending = pending.join(done, "date", "left_anti")
-            manifest = manifest.join(done, "date", "left_anti") if manifest is not None else None
-        new = pending.join(_ready(pending, manifest, flush), "date", "left_semi").persist()
-        try:
-            if new.isEmpty():
+        """Commits every date that still waits, as a part of the last batch."""
+        at = Snapshots(spark, self.dir).entry()
+        if at is not None:
+            self.advance(spark, at.run, at.batch_id, at, None, flush=True)
+
+    def advance(self, spark: SparkSession, run: str, batch_id: int, at: Row | None, incoming: DataFrame | None, flush: bool = False) -> None:
+        """One commit, or with ``fit`` one for each model that the complete dates ask for."""
+        store = Snapshots(spark, self.dir)
+        while True:
+            seq = self._seq(store)
+            waiting = store.written_by("inbox", at) if at else None
+            pending, late = waiting, None
+            if incoming is not None:
+                last = F.lit(at.last_date if at else None).cast("date")
+                late = incoming.filter(F.col("date") <= last)
+                fresh = incoming.filter(F.coalesce(F.col("date") > last, F.lit(True)))
+                pending = fresh if waiting is None else waiting.unionByName(fresh.select(*waiting.columns))
+            if pending is None:
                 return
-            # the drift window needs the last rows with an error: kept as a table of ``window_rows`` rows a batch
-            tail = self.prior(spark, "tail", batch_id)
-            if tail is not None:
-                tail = tail.join(tail.agg(F.max("batch_id").alias("batch_id")), "batch_id", "left_semi").drop("batch_id")
-            preds = self.prior(spark, "predictions", batch_id)
-            if preds is not None:          # only forecasts for the new dates are used (pruned by target_date)
-                preds = preds.join(new.select(F.col("date").alias("target_date")).distinct(), "target_date", "left_semi").drop("batch_id")
-            out = bt.advance(new, tail, days.drop("batch_id") if days is not None else None, preds, self.window_rows, self.noise)
-            # the results read state tables that the writes below overwrite: cut them off first
-            out = {k: cut_lineage(v) for k, v in out.items()}
+            manifest = read_if_any(spark, self.manifest) if self.manifest else None
+            if manifest is not None and at is not None and at.last_date is not None:
+                manifest = manifest.filter(F.col("date") > F.lit(at.last_date))
+            pending = pending.persist()
+            try:
+                ready = sorted(r.date for r in _ready(pending, manifest, flush).collect())        # dates
+                if not ready and incoming is None:
+                    return
+                at = self._commit(store, run, seq, batch_id, at, pending, ready, late)
+            finally:
+                pending.unpersist()
+            if self.keep:
+                store.expire(self.keep, self.CARRIED)
+            if at.done:
+                return
+            incoming = None
+
+    @staticmethod
+    def _seq(store: Snapshots) -> int:
+        last = store.entry()
+        return last.seq + 1 if last else 1
+
+    def _commit(self, store: Snapshots, run: str, seq: int, batch_id: int, at: Row | None, pending: DataFrame, ready: list, late) -> Row:
+        """Commits the ready dates, or those up to the first that asks for a new model."""
+        spark, empty = store.spark, Row(last_date=None, sim_days=0, retrains=0, model=None)
+        was = at or empty
+        out, entry = {}, {"last_date": was.last_date, "sim_days": was.sim_days, "retrains": was.retrains, "model": was.model}
+        until = ready[-1] if ready else None
+        if ready:
+            tail, open_ = (store.written_by(n, at) if at else None for n in ("tail", "predictions_open"))
+            new = pending.filter(F.col("date") <= F.lit(until))
+            made = None
+            if self.fit:
+                model = models.load_model(f"{self.dir}/models/run={run}", was.model) if was.model else None
+                if model is not None:
+                    new, made = models.score(new, model).withColumnRenamed("pred_demand", "_made"), F.col("_made")
+            args = (tail, None, open_, self.window_rows, self.noise, made, (was.sim_days, was.retrains))
+            fva0, chosen = bt.decide(new, *args, **self.rule)
+            chosen = spark.createDataFrame(chosen.collect(), chosen.schema)                        # a row a date
+            if self.fit:
+                first = chosen.filter("retrained").agg(F.min("date")).first()[0]
+                if first is not None and first < until:
+                    until = first
+                    keep = F.col("date") <= F.lit(until)
+                    new, fva0, chosen = new.filter(keep), fva0.filter(keep), chosen.filter(keep)
+            out = bt.label(new, fva0, chosen, open_, self.noise, made)
+            plain = new.drop("_made")
+            out["fva"] = store.write("fva", out["fva"], run, seq)
             errors = out["fva"].filter(F.col("abs_demand_error").isNotNull())
             if tail is not None:
-                errors = errors.unionByName(tail.select(*out["fva"].columns))
-            out["tail"] = cut_lineage(errors.orderBy(F.col("date").desc(), F.col("entity_id").desc()).limit(self.window_rows))
-            tables = out | {"master": panel.to_master(new), "daily": panel.daily_summary(new),
-                            "explanations": panel.explanations(new), "alerts": panel.alerts(new, self.noise)}
-            key = {"predictions": "target_date", "tail": "batch_id"}
-            for name, df in tables.items():
-                if name != "days":
-                    write_keyed(df.withColumn("batch_id", F.lit(batch_id)), self.path(name), key.get(name, "date"))
-            # last: these rows are what makes the dates committed
-            write_keyed(out["days"].withColumn("batch_id", F.lit(batch_id)), self.path("days"), "date")
+                errors = errors.unionByName(tail.select(*errors.columns))
+            out |= {"master": panel.to_master(plain), "daily": panel.daily_summary(plain), "explanations": panel.explanations(plain),
+                    "alerts": panel.alerts(plain, self.noise),
+                    "tail": errors.orderBy(F.col("date").desc(), F.col("entity_id").desc()).limit(self.window_rows),
+                    # a forecast is for the day after its date: later ones than the last date are open
+                    "predictions_open": out["predictions"].filter(F.col("target_date") > F.lit(until))}
+            for name in out:
+                if name != "fva":
+                    out[name] = store.write(name, out[name], run, seq)
+            entry |= {"last_date": until, "sim_days": was.sim_days + chosen.count(), "retrains": was.retrains + chosen.filter("retrained").count()}
+            if self.fit:
+                decided = chosen.filter("retrained").first()
+                if decided is not None:
+                    entry["model"] = self._retrain(store, run, seq, decided, entry["retrains"]) or was.model
+        elif at is not None:                                       # nothing is complete: what is carried stays
+            for name in ("tail", "predictions_open"):
+                if (held := store.written_by(name, at)) is not None:
+                    store.write(name, held, run, seq)
+        rest = pending if until is None else pending.filter(F.col("date") > F.lit(until))
+        store.write("inbox", rest, run, seq)
+        if late is not None and not late.isEmpty():
+            store.write("late", late, run, seq)
+        row = Row(seq=seq, run=run, batch_id=batch_id, done=until is None or until == ready[-1], **entry)
+        store.commit(row)
+        return row
+
+    def _retrain(self, store: Snapshots, run: str, seq: int, day: Row, number: int) -> str | None:
+        """Fits a model on all rows up to the day, saves it by version and registers it with its in-sample error."""
+        history = store.table("master", Row(seq=seq, run=run))
+        train = models.training_set(history).persist()
+        try:
+            model = self.fit(train)
+            if model is None:
+                return None
+            err = models.training_mae(model.transform(train)).first()
         finally:
-            new.unpersist()
+            train.unpersist()
+        models.save_model(model, f"{self.dir}/models/run={run}", day.model_version)
+        reason = "periodic" if day.sim_day > 0 and day.sim_day % self.rule.get("every", RETRAIN_EVERY_N_DAYS) == 0 else "drift"
+        row = models.registry_row(store.spark, day.model_version, number, err.rows_seen, err.training_mae, reason)
+        store.write("registry", row.withColumn("date", F.lit(day.date)), run, seq)
+        return day.model_version
 
 
 def run_tick_stream(spark: SparkSession, feed_dir: str, state_dir: str, checkpoint: str | None = None,
-                    max_files_per_trigger: int | None = 1, window_rows: int = 7, manifest: str | None = None) -> None:
+                    max_files_per_trigger: int | None = 1, window_rows: int = 7, manifest: str | None = None, **tick_args) -> None:
     """K1 -> K2 with ``Trigger.AvailableNow``: process every file present, then stop. Without a manifest the
     feed is taken as ended, and the dates still open are committed."""
     ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/tick-{uuid.uuid4().hex}"
-    tick = Tick(state_dir, manifest, window_rows)
+    tick = Tick(state_dir, manifest, window_rows, **tick_args)
     q = (daily_feed(spark, feed_dir, max_files_per_trigger).writeStream.foreachBatch(tick)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
