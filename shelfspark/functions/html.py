@@ -5,19 +5,38 @@ are resolved against the page's URL by the parts of RFC 3986. Everything stays i
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(?:#.*)?$"
 _HIDDEN = r"(?is)<!--.*?(?:-->|$)|<script\b[^>]*>.*?(?:</script\s*>|$)|<style\b[^>]*>.*?(?:</style\s*>|$)"
-# The entities decoded in titles and attributes, the ampersand last
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_COMMENT = r"(?s)<!--.*?(?:-->|$)"
+_REFERENCE = r"&(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+#: Names of character references: those of HTML 4, and the apostrophe.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+
+def c_unescape(c: Column, names: dict[str, str] = ENTITIES) -> Column:
+    """Named, decimal and hexadecimal character references decoded, each once; unknown names stay as they are, and a number
+    that is no character becomes U+FFFD. The pieces between references are put together again around their characters."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    high, low = 0x10FFFF, (0xD800, 0xDFFF)
+
+    def char(ref: Column) -> Column:
+        number = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8)).try_cast("bigint")
+        valid = (number > 0) & (number <= high) & ~number.between(*low)
+        of = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.when(ref.startswith("#"), of).otherwise(F.coalesce(F.try_element_at(table, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
+
+    refs = F.concat(F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(1)), char), F.array(F.lit("")))
+    return F.when(c.contains("&"), F.array_join(F.zip_with(F.split(c, _REFERENCE), refs, lambda a, b: F.concat(a, b)), "")).otherwise(c)
 
 
-def c_unescape(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+def c_visible(html: Column) -> Column:
+    """The page without comments, scripts and styles."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
 
 
 def c_attribute(tag: Column, name: str) -> Column:
@@ -32,19 +51,19 @@ def c_tags(html: Column, name: str) -> Column:
 
 
 def c_title(html: Column) -> Column:
-    return F.trim(c_unescape(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
+    return F.trim(c_unescape(F.regexp_extract(c_visible(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
 
 
 def c_meta(html: Column, key: str, value: str) -> Column:
     """Content of the first meta tag whose attribute ``key`` is ``value``, '' if there is none."""
-    tags = F.filter(c_tags(F.coalesce(html, F.lit("")), "meta"), lambda t: c_attribute(t, key) == value)
+    tags = F.filter(c_tags(c_visible(html), "meta"), lambda t: c_attribute(t, key) == value)
     return F.coalesce(c_attribute(F.try_element_at(tags, F.lit(1)), "content"), F.lit(""))
 
 
 def c_json_ld(html: Column) -> Column:
-    """Texts of the JSON-LD scripts."""
+    """Texts of the JSON-LD scripts outside comments."""
     block = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(block), F.lit(1))
+    return F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), _COMMENT, " "), F.lit(block), F.lit(1))
 
 
 def _parts(url: Column) -> Column:
@@ -76,7 +95,7 @@ def with_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """``pages`` with ``links`` (unique absolute http(s) links of ``<a href>``, in order) and ``rel_next`` ('' if none;
     a ``<link>`` goes before an ``<a>``). A fragment alone is the page itself."""
     base = _parts(F.trim(F.coalesce(F.col(url), F.lit(""))))
-    seen = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _HIDDEN, " ")
+    seen = c_visible(F.col(html))
     staged = pages.withColumns({"_base": base, "_a": c_tags(seen, "a"), "_link": c_tags(seen, "link")})
     hrefs = F.filter(F.transform("_a", lambda t: c_attribute(t, "href")), lambda h: h != "")
     staged = staged.withColumn("_hrefs", F.transform(hrefs, _parts))

@@ -101,15 +101,20 @@ def c_host(c) -> Column:
     return F.nullif(h, F.lit(""))
 
 
+def c_is_address(host) -> Column:
+    """An IPv4 or bracketed IPv6 address, which has no registered domain."""
+    return _col(host).rlike(r"^(?:[^@/]*@)?(?:\d{1,3}(?:\.\d{1,3}){3}|\[[0-9a-fA-F:.]*\]?)(?::\d+)?$")
+
+
 def c_registered_domain(host, suffixes=SUFFIX_RE) -> Column:
     """eTLD+1: last three labels when the last two are a multi-label suffix, else the last two. ``suffixes`` is a
-    pattern of such suffixes, or a list of them (a public-suffix list's two-label entries)."""
+    pattern of such suffixes, or a list of them. ``operators.crawl.with_registered_domain`` takes a whole table of rules."""
     h = F.regexp_replace(F.regexp_replace(F.lower(_col(host)), r"^(?:[^@/]*@)?www\.|:\d+$", ""), r"^[^@/]*@", "")
     labels = F.split(h, r"\.")
     n = F.size(labels)
     last2 = F.array_join(F.slice(labels, -2, 2), ".")
     multi = last2.rlike(suffixes) if isinstance(suffixes, str) else last2.isin(list(suffixes))
-    return (F.when(h.isNull() | (h == "") | (n < 2), F.lit(None).cast("string"))
+    return (F.when(h.isNull() | (h == "") | (n < 2) | c_is_address(host), F.lit(None).cast("string"))
             .when(n == 2, h)
             .when(multi, F.array_join(F.slice(labels, -3, 3), "."))
             .otherwise(last2))

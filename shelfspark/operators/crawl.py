@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import CATEGORY, UNKNOWN, c_page_type_html, c_page_type_url, c_priority
 from ..functions.html import with_links
-from ..functions.url import c_host, c_link_ok, c_registered_domain
+from ..functions.url import c_host, c_is_address, c_link_ok, c_registered_domain
 from ..session import cut_lineage
 from .keys import keep_first
 
@@ -46,10 +46,42 @@ def c_depth_ok(depth="depth", max_depth="max_depth") -> Column:
     return F.col(depth) < F.col(max_depth)
 
 
-def in_scope(links: DataFrame, seeds: DataFrame, url_col: str = "link") -> DataFrame:
+def with_registered_domain(df: DataFrame, host: str, rules: DataFrame, out: str = "registered_domain") -> DataFrame:
+    """G16 by a table of suffix rules (column ``rule``): ``com``, ``co.uk``, ``*.kawasaki.jp`` (any one label more),
+    ``!city.kawasaki.jp`` (not a suffix after all: one label less). Of the rules that fit a host an exception goes first, else
+    the one with most labels; the domain is the suffix and one label more. NULL for addresses, bare suffixes and hosts
+    that no rule fits.
+
+    Each distinct host is cut into its suffixes once, as rows, and these meet the rules in an equi-join."""
+    clean = F.regexp_replace(F.lower(F.col(host)), r"^[^@/]*@|:\d+$|\.$", "")
+    hosts = df.select(F.col(host).alias("_host"), clean.alias("_clean")).distinct().filter((F.col("_clean") != "") & ~c_is_address("_clean"))
+    labels = hosts.select("_host", F.split("_clean", r"\.").alias("_l"))
+    n = F.size("_l")
+    tail = lambda i: F.array_join(F.slice("_l", n - i + 1, i), ".")      # noqa: E731  the last i labels
+    # a rule as it would be written for the last i labels, and how many labels its suffix has
+    cut = labels.select("_host", "_l", F.explode(F.sequence(F.lit(1), n)).alias("_i"))
+    rule = lambda text, labels, exception: F.struct(text.alias("rule"), labels.alias("_n"), F.lit(exception).alias("_exception"))      # noqa: E731
+    i = F.col("_i")
+    tried = cut.select("_host", "_l", F.inline(F.array(
+        rule(tail(i), i, 0), rule(F.when(i > 1, F.concat(F.lit("*."), tail(i - 1))).otherwise(F.lit("*")), i, 0),
+        rule(F.concat(F.lit("!"), tail(i)), i - 1, 1))))
+    best = (tried.join(rules.select(F.lower(F.trim("rule")).alias("rule")).distinct(), "rule")
+            .groupBy("_host").agg(F.max(F.struct("_exception", "_n")).getField("_n").alias("_n"), F.any_value("_l").alias("_l")))
+    found = best.filter(F.size("_l") > F.col("_n")).select("_host", F.array_join(F.slice("_l", F.size("_l") - F.col("_n"), F.col("_n") + 1), ".").alias("_out"))
+    return df.drop(out).join(found, F.col(host) == F.col("_host"), "left").drop("_host").withColumnRenamed("_out", out)
+
+
+def in_scope(links: DataFrame, seeds: DataFrame, url_col: str = "link", rules: DataFrame | None = None) -> DataFrame:
     """C4: http(s) links whose registered domain is in the seed allow-list and equals the
     registered domain of the row's own seed. The allow-list (one row per seed domain) is a left-semi
-    join; AQE broadcasts it if its measured size allows."""
+    join; AQE broadcasts it if its measured size allows. ``rules``: a table of suffix rules for all three domains."""
+    if rules is not None:
+        allow = (with_registered_domain(seeds.select(F.explode("domains").alias("d")), "d", rules, "_reg")
+                 .select("_reg").filter(F.col("_reg").isNotNull()).distinct())
+        with_reg = with_registered_domain(links.withColumn("_url_host", c_host(url_col)), "_url_host", rules, "_reg")
+        own = with_registered_domain(with_reg, "seed_domain", rules, "_own")
+        return (own.filter(F.col(url_col).rlike(r"^(?i)https?://") & F.col("_reg").isNotNull() & (F.col("_own").isNull() | (F.col("_reg") == F.col("_own"))))
+                .join(allow, "_reg", "left_semi").drop("_reg", "_own", "_url_host"))
     allow = (seeds.select(F.explode("domains").alias("d"))
              .select(c_registered_domain(F.col("d")).alias("_reg")).filter(F.col("_reg").isNotNull()).distinct())
     reg = c_registered_domain(c_host(url_col))
