@@ -114,12 +114,39 @@ def test_exact_equals_brute_force(spark, edges, empty):
 def test_index_persists_and_appends(spark):
     path = tempfile.mkdtemp(dir=checkpoint_dir(spark))
     rows = lambda *x: spark.createDataFrame(x, "doc_id long, text string")        # noqa: E731
-    exact_dedup.exact_dedup(rows((1, "One"), (2, "one"), (3, "two")), exact_dedup.DigestIndex(spark, path, 4))
-    spark.sql(f"DROP TABLE {exact_dedup.DigestIndex(spark, path, 4).table}")      # the folder stays
-    index = exact_dedup.DigestIndex(spark, path, 4)
-    got = exact_dedup.exact_dedup(rows((10, "ONE"), (11, "three"), (12, "Three")), index)
-    assert {(r.doc_id, r.keep_id, r.kept) for r in got.collect()} == {(10, 2, False), (11, 12, False), (12, 12, True)}
-    assert index.read().count() == 3
+    first = exact_dedup.DigestIndex(spark, path, 4)
+    exact_dedup.exact_dedup(rows((1, "One"), (2, "one"), (3, "two")), first)
+    first.close()                                                                   # the folder stays
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.buckets == 4
+    got = exact_dedup.exact_dedup(rows((10, "ONE"), (11, "three"), (12, "Three"), (0, "TWO")), index)
+    assert {(r.doc_id, r.keep_id, r.kept, r.group_size) for r in got.collect()} == {(10, 10, True, 3), (11, 12, False, 2), (12, 12, True, 2), (0, 3, False, 2)}
+    assert index.read().count() == 3 and index.changes().count() == 2
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, path, 5)
+
+
+@pytest.mark.parametrize("batches", [2, 5])
+def test_exact_in_batches_equals_one_batch(spark, edges, batches):
+    one, many = (exact_dedup.DigestIndex(spark, tempfile.mkdtemp(dir=checkpoint_dir(spark)), 4) for _ in range(2))
+    want = exact_dedup.exact_dedup(edges, one).collect()
+    assert Counter(map(tuple, exact_dedup.exact_dedup(edges, many, batches).collect())) == Counter(map(tuple, want))
+    assert many.read().count() == one.read().count() and many.changes().count() > 0 and one.changes().count() == 0
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, tempfile.mkdtemp(dir=checkpoint_dir(spark)), 4)
+    batch = lambda *x: exact_dedup.digests(spark.createDataFrame(x, "doc_id long, text string"))        # noqa: E731
+    index.append(batch((1, "a"), (2, "b")), "first")
+    real = exact_dedup.DigestIndex.known
+    monkeypatch.setattr(exact_dedup.DigestIndex, "known", lambda *a: 1 / 0)         # fails before anything is appended
+    with pytest.raises(ZeroDivisionError):
+        index.append(batch((3, "a"), (4, "c"), (5, "c")), "second")
+    monkeypatch.setattr(exact_dedup.DigestIndex, "known", real)
+    for _ in range(3):
+        index.append(batch((3, "a"), (4, "c"), (5, "c")), "second")
+    sizes = {(r.keep_id, r.group_size) for r in index.state().collect()}
+    assert sizes == {(3, 2), (2, 1), (5, 2)} and index.read().count() == 3 and index.changes().count() == 1
 
 
 def test_index_side_is_not_shuffled(spark):
