@@ -34,7 +34,7 @@ from shelfspark.llm.vec import column
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
-HELD = 400_000                     # chunks that a task holds before it passes them on
+HELD = 2_000_000                   # chunks of documents, each document's own counted, that a task holds before it passes them on
 ROWS_OUT = 50_000
 LEAST_SEGMENTS = 64
 _PACKED = pa.schema([("segment", pa.int32()), ("lang", pa.string()), ("sources", pa.list_(pa.string())),
@@ -42,28 +42,51 @@ _PACKED = pa.schema([("segment", pa.int32()), ("lang", pa.string()), ("sources",
 _TERMS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("rows", pa.list_(pa.int64()))])
 
 
-def _pack(chunks: dict, min_docs: int, segments: int):
-    """The sums of a language by segment: chunks in a line, and arrays of their documents and parts."""
-    by: list[list] = [[] for _ in range(segments)]
-    for chunk in chunks:
-        by[zlib.crc32(chunk) % segments].append(chunk)
-    for segment, some in enumerate(by):
-        if not some:
-            continue
-        names, docs, held, rows, parts, source, n = {}, [], [], [], [], [], []
-        for chunk in some:
-            v = chunks[chunk]
-            if type(v) is tuple:                                          # one document holds the chunk
-                v = 1, v[2:], {v[0]: v[1]}
-            docs.append(v[0])
-            held.append(len(v[1]) if v[0] < min_docs else 0)
-            rows += v[1] if v[0] < min_docs else ()
-            parts.append(len(v[2]))
-            for s, k in v[2].items():
-                source.append(names.setdefault(s, len(names)))
-                n.append(k)
-        yield segment, list(names), b" ".join(some), *(np.array(x, np.int64).astype(t).tobytes() for x, t in (
-            (docs, np.uint32), (held, np.uint8 if min_docs <= 256 else np.uint32), (rows, np.int64), (parts, np.uint32), (source, np.uint32), (n, np.uint32)))
+class _Sums:
+    """What a task holds of a language: documents of each chunk, its occurrences by source, and the documents' own chunks."""
+
+    def __init__(self):
+        self.docs, self.of, self.own = Counter(), {}, []
+
+    def add(self, number: int, source: str, chunks: list[bytes]) -> int:
+        distinct = set(chunks)
+        self.docs.update(distinct)
+        self.of.setdefault(source, Counter()).update(chunks)
+        self.own.append((number, distinct))
+        return len(distinct)
+
+    def pack(self, min_docs: int, segments: int):
+        """By segment: its chunks in a line, and arrays of their documents, of their documents' numbers, and of their parts."""
+        chunks = list(self.docs)
+        at = dict(zip(chunks, range(len(chunks)), strict=True)).__getitem__
+        docs = np.fromiter(self.docs.values(), np.int64, len(chunks))
+        segment = np.fromiter(map(zlib.crc32, chunks), np.int64, len(chunks)) % segments
+        order = np.argsort(segment, kind="stable")
+        place = np.empty(len(chunks), np.int64)
+        place[order] = np.arange(len(chunks))
+        few = {chunks[i] for i in np.flatnonzero(docs < min_docs).tolist()}
+        met, number = [], []
+        for row, distinct in self.own:
+            hits = distinct & few
+            met += map(at, hits)
+            number += [row] * len(hits)
+        rows_of, rows = self._sorted(place[np.array(met, np.int64)], np.array(number, np.int64))
+        parts_of, source, n = self._sorted(
+            place[np.concatenate([np.fromiter(map(at, c), np.int64, len(c)) for c in self.of.values()])],
+            np.repeat(np.arange(len(self.of)), [len(c) for c in self.of.values()]),
+            np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in self.of.values()]))
+        docs, held, parts = docs[order], np.bincount(rows_of, minlength=len(chunks)), np.bincount(parts_of, minlength=len(chunks))
+        edge = np.searchsorted(segment[order], np.arange(segments + 1))
+        row_edge, part_edge = np.searchsorted(rows_of, edge), np.searchsorted(parts_of, edge)
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            own, r, p = (slice(e[k], e[k + 1]) for e in (edge, row_edge, part_edge))
+            yield k, list(self.of), b" ".join([chunks[i] for i in order[own].tolist()]), *(x.tobytes() for x in (
+                docs[own].astype(np.uint32), held[own].astype(np.uint32), rows[r], parts[own].astype(np.uint32), source[p].astype(np.uint32), n[p].astype(np.uint32)))
+
+    @staticmethod
+    def _sorted(place: np.ndarray, *values: np.ndarray):
+        order = np.argsort(place, kind="stable")
+        return place[order], *(v[order] for v in values)
 
 
 def chunk_counts(docs: DataFrame, segments: int, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -73,35 +96,20 @@ def chunk_counts(docs: DataFrame, segments: int, min_docs: int = MIN_DOCS) -> Da
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def flush(held):
-        for lang, chunks in held.items():
-            for segment, *rest in _pack(chunks, min_docs, segments):
+        for lang, sums in held.items():
+            for segment, *rest in sums.pack(min_docs, segments) if sums.docs else ():
                 yield vec.batch_of(_PACKED, [segment], [lang], *([x] for x in rest))
 
     def count(batches):
         number = TaskContext.get().partitionId() << 40
-        held, size = {}, 0
+        held, pairs = {}, 0
         for b in batches:
             for lang, source, text in zip(*(column(b, c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 number += 1
-                chunks = held.setdefault(lang, {})
-                size -= len(chunks)
-                for chunk, n in Counter(text.encode().split()).items():
-                    v = chunks.get(chunk)
-                    if v is None:
-                        chunks[chunk] = (source, n, number)
-                    elif type(v) is tuple:
-                        of = {v[0]: v[1]}
-                        of[source] = of.get(source, 0) + n
-                        chunks[chunk] = [2, [v[2], number], of]
-                    else:
-                        v[0] += 1
-                        if v[0] < min_docs:
-                            v[1].append(number)
-                        v[2][source] = v[2].get(source, 0) + n
-                size += len(chunks)
-                if size >= HELD:
+                pairs += held.setdefault(lang, _Sums()).add(number, source, text.encode().split())
+                if pairs >= HELD:
                     yield from flush(held)
-                    held, size = {}, 0
+                    held, pairs = {}, 0
         yield from flush(held)
 
     return plain.mapInArrow(count, "segment int, lang string, sources array<string>, chunks binary, docs binary, held binary, rows binary, "
@@ -115,8 +123,7 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     def add(into, sources, chunks, docs, held, rows, parts, source, n):
         row = part = 0
-        held = np.frombuffer(held, np.uint8 if min_docs <= 256 else np.uint32).tolist()
-        docs, parts, source, n = (np.frombuffer(x, np.uint32).tolist() for x in (docs, parts, source, n))
+        docs, held, parts, source, n = (np.frombuffer(x, np.uint32).tolist() for x in (docs, held, parts, source, n))
         rows = np.frombuffer(rows, np.int64).tolist()
         for chunk, d, h, k in zip(chunks.split(b" "), docs, held, parts, strict=True):
             v = into.get(chunk)
