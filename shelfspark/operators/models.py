@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import c_naive_demand, round_half_up
+from ..functions.numeric import RETRAIN_EVERY_N_DAYS, c_naive_demand, round_half_up
 from .keys import keep_first
 from .panel import forecast_columns
 
@@ -107,10 +107,10 @@ def load_model(base_dir: str, version: str) -> PipelineModel:
     return PipelineModel.load(f"{base_dir.rstrip('/')}/demand_model_{version}")
 
 
-def retrain_history(days: DataFrame) -> DataFrame:
-    """Retrain job rows (one per retrain day) from the backtest day table."""
+def retrain_history(days: DataFrame, every: int = RETRAIN_EVERY_N_DAYS) -> DataFrame:
+    """Retrain job rows (one per retrain day) from the backtest day table; ``every``: the interval of its decisions."""
     w = Window.orderBy("date")
     return days.filter("retrained").select(
         "sim_day", "date", "model_version", "drift_score",
-        F.when((F.col("sim_day") % 7) == 0, "periodic").otherwise("drift").alias("retrain_reason"),
+        F.when((F.col("sim_day") > 0) & ((F.col("sim_day") % every) == 0), "periodic").otherwise("drift").alias("retrain_reason"),
         F.row_number().over(w).cast("bigint").alias("created_seq"))

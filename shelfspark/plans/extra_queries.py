@@ -12,6 +12,7 @@ from ..operators import crawl, models, views
 from ..session import checkpoint_dir
 from ..sources.snapshots import Snapshots
 from ..streaming import feed
+from ..streaming.seen import SeenUrls, run_seen_urls
 from . import backtest as bt
 from .crawl_queries import LINKS_SQL, sql_page_type
 from .panel_queries import _BT_SQL, _FVA
@@ -69,19 +70,29 @@ def q_stream_daily_summary(spark, sf):
 @query("stream_seen_urls", f"WITH {LINKS_SQL}\nSELECT DISTINCT link AS url FROM edges")
 def q_stream_seen_urls(spark, sf):
     """K4: discovered links streamed through ``dropDuplicatesWithinWatermark``."""
+    return feed.run_to_table(feed.seen_url_dedup(_links_stream(spark, sf, 1), delay="2 days")).select("url")
+
+
+def _links_stream(spark, sf, days):
+    """Discovered links as a stream of three files; event time: by hash, through so many days."""
     base = _scratch(spark, "links")
     edges = crawl.link_edges(crawl.extract_links(fx.table(spark, sf, "pages")))
-    # event time: links come in through a day, by hash
-    ts = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.xxhash64("url", "link"), F.lit(86_400)))
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.xxhash64("url", "link"), F.lit(86_400 * days)))
     edges.select(F.col("link").alias("url"), ts.alias("ts")).repartition(3).write.parquet(base)
-    s = spark.readStream.schema("url string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(base)
-    return feed.run_to_table(feed.seen_url_dedup(s, delay="2 days")).select("url")
+    return spark.readStream.schema("url string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(base)
+
+
+@query("stream_new_urls", f"WITH {LINKS_SQL}\nSELECT DISTINCT link AS url FROM edges")
+def q_stream_new_urls(spark, sf):
+    """The same links over a month against the table of all URLs ever seen; none comes twice."""
+    seen = SeenUrls(spark, _scratch(spark, "seen"))
+    return run_seen_urls(_links_stream(spark, sf, 30), seen).select("url")
 
 
 @query("stream_pages", f"SELECT page_id, {sql_page_type('url', 'html')} AS page_type FROM pages")
 def q_stream_pages(spark, sf):
-    """K5: pages parsed as a stream; page types equal the batch classification."""
-    out = feed.run_to_table(feed.page_stream(spark, f"{sf.rstrip('/')}/pages*.parquet"))
+    """K5: pages typed as a stream; page types equal the batch classification."""
+    out = feed.run_to_table(feed.typed_page_stream(spark, f"{sf.rstrip('/')}/pages*.parquet"))
     return out.select("page_id", F.col("page_type_hint").alias("page_type"))
 
 

@@ -12,7 +12,7 @@ K2  tick: ``foreachBatch`` adds the micro-batch to the rows that wait (the inbox
     With ``fit``, a retrain decision fits a model on all committed rows, registers it with its error, and
     forecasts from the next day on are the model's.
 K3  late rows: rows of a date that is not after the last committed one go to a ``late`` table.
-K4  seen-URL dedup: ``dropDuplicatesWithinWatermark`` on the URL.
+K4  seen-URL dedup: ``dropDuplicatesWithinWatermark`` on the URL; ``streaming.seen`` never forgets one.
 K5  page parsing as a stream: the same stateless extraction on a streaming DataFrame.
 K6  streaming daily summary: one-day tumbling windows, every day emitted (complete mode; the state is one
     row a day) or, in append mode with a watermark, each day once it is closed.
@@ -233,9 +233,17 @@ def seen_url_dedup(stream: DataFrame, url_col: str = "url", ts_col: str = "ts",
 def page_stream(spark: SparkSession, pages_dir: str) -> DataFrame:
     """K5: parsed pages as a stream (stateless: extraction + typing on each micro-batch)."""
     from ..plans.scrape import pages_with_hints, parse_pages
-    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
-                           T.StructField("html", T.StringType())])
-    return parse_pages(pages_with_hints(spark.readStream.schema(schema).parquet(pages_dir)))
+    return parse_pages(pages_with_hints(_pages(spark, pages_dir)))
+
+
+def typed_page_stream(spark: SparkSession, pages_dir: str) -> DataFrame:
+    """K5 where only the page type is asked for: Columns alone, no extraction."""
+    from ..plans.scrape import pages_with_hints
+    return pages_with_hints(_pages(spark, pages_dir)).select("page_id", "url", "page_type_hint")
+
+
+def _pages(spark: SparkSession, pages_dir: str) -> DataFrame:
+    return spark.readStream.schema("page_id long, url string, html string").parquet(pages_dir)
 
 
 def daily_event_summary(events: DataFrame, delay: str | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from shelfspark.plans import backtest as bt
 from shelfspark.sources import readers
 from shelfspark.sources.snapshots import Snapshots
 from shelfspark.streaming import feed
+from shelfspark.streaming.seen import SeenUrls, run_seen_urls
 
 COLS = [f.name for f in feed.ACTUALS_STREAM_SCHEMA.fields]
 
@@ -150,3 +151,26 @@ def test_retrain_fits_registers_and_scores(spark, tmpdir_path, panel_rows):
     # B15 shows the error
     status = views.model_status(s.table("registry")).first()
     assert (status.current_version, status.rolling_mae, status.all_versions) == ("v1.2", reg[1].training_mae, ["v1.1", "v1.2"])
+
+
+def test_a_url_that_returns_is_never_new(spark, tmpdir_path):
+    """A URL that comes back after ten days, in a later batch or a later session's stream, is not emitted."""
+    inbox, ck = f"{tmpdir_path}/in", f"{tmpdir_path}/ck"
+    put = lambda *urls: spark.createDataFrame(urls, "url string, ts string").selectExpr("url", "cast(ts as timestamp) ts").coalesce(1).write.mode("append").parquet(inbox)
+    stream = lambda: spark.readStream.schema("url string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(inbox)      # noqa: E731
+    seen = SeenUrls(spark, f"{tmpdir_path}/seen", 4)
+    put(("a", "2024-01-02"), ("a", "2024-01-01"), ("b", "2024-01-01"), (None, "2024-01-01"))
+    put(("c", "2024-01-03"), ("b", "2024-01-03"))
+    assert {(r.url, r.ts.day) for r in run_seen_urls(stream(), seen, ck).collect()} == {("a", 1), ("b", 1), ("c", 3)}
+    seen.close()
+    again = SeenUrls(spark, f"{tmpdir_path}/seen")
+    assert again.buckets == 4
+    put(("a", "2024-01-15"), ("d", "2024-01-15"))
+    assert [r.url for r in run_seen_urls(stream(), again, ck).collect()] == ["d"]
+    again.add(spark.createDataFrame([("e", None), ("a", None)], "url string, ts timestamp"), "x")
+    again.add(spark.createDataFrame([("e", None), ("f", None)], "url string, ts timestamp"), "x")       # the same batch, run again
+    assert sorted(r.url for r in again.read().collect()) == ["a", "b", "c", "d", "e"]
+    plan = again.unseen(spark.createDataFrame([("z",)], "url string"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    with pytest.raises(ValueError, match="4 buckets"):
+        SeenUrls(spark, f"{tmpdir_path}/seen", 8)
