@@ -9,13 +9,16 @@ passages that may reach the threshold go through block-max WAND over the posting
 its item a candidate, which is verified on the document: the share of the word n-grams of the item's
 question and of its answer that the document holds.
 
-The index is built on the driver from ``SHARD`` items at a time and broadcast; more items make more
+The index is built on the driver from distinct items of at most ``SHARD_WORDS`` words together and
+broadcast; postings and block maxima are sparse, so its size follows these words. More words make more
 shards, each its own pass. Words are runs of letters and digits, A-Z lower-cased, other ASCII dropped.
 
 Cases: null and empty texts have no passages; items without an answer column are cut into question and
 answer at the last line break, else the last sentence end, else in the middle; an item of fewer than
-``LEAST_WORDS`` words can't be told from chance and is not looked for; repeated items and rows are each
-judged; a null doc_id stays null in the result; empty tables give no rows."""
+``LEAST_WORDS`` words is found where it stands verbatim (white space aside) between other words, an item of
+one word where it is a whole line, and an item without words nowhere; an item longer than a shard is a shard
+of its own; repeated items and rows are each judged; a null doc_id stays null in the result, and so does
+an item_id that is null or no whole number; empty tables give no rows."""
 
 from __future__ import annotations
 
@@ -28,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import vec
+from shelfspark.llm.tables import written_table
 from shelfspark.llm.vec import batch_of, column
 
 U = np.uint64
-UNIT, BLOCK, SHARD, LEAST_WORDS, GRAM = 64, 4, 1000, 5, 5
+UNIT, BLOCK, SHARD_WORDS, LEAST_WORDS, GRAM = 64, 4, 1 << 20, 5, 5
 K1, B = 1.2, 0.75
 SCORE, OVERLAP = 0.6, 0.5
-_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -56,36 +60,67 @@ def _grams(h: np.ndarray) -> np.ndarray:
     return np.unique(vec.grams(h, min(GRAM, len(h)))) if len(h) else np.zeros(0, U)
 
 
+class Lists:
+    """A list of (number, weight) for each of ``n`` keys, numbers ascending."""
+
+    def __init__(self, n: int, keys: np.ndarray, numbers: np.ndarray, weights: np.ndarray):
+        order = np.lexsort((numbers, keys))
+        self.numbers, self.weights = numbers[order], weights[order]
+        self.start = np.searchsorted(keys[order], np.arange(n + 1))
+
+    def __getitem__(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.start[key], self.start[key + 1])
+        return self.numbers[part], self.weights[part]
+
+    def sums(self, keys: np.ndarray, n: int) -> np.ndarray:
+        """Sum of the weights of each of ``n`` numbers over the lists of ``keys``."""
+        size = self.start[keys + 1] - self.start[keys]
+        at = np.repeat(self.start[keys] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        return np.bincount(self.numbers[at], self.weights[at], n)
+
+
 class Index:
-    """Inverted index of test items (item_id, question, answer)."""
+    """Inverted index of test items (item, question, answer)."""
 
-    def __init__(self, items: list[tuple[int, str, str]]):
+    def __init__(self, items: list[tuple[str | int, str, str]]):
         self.items, units, of = [], [], []
+        self.short: dict[int, dict[int, list]] = {}                          # words -> hash of the phrase -> items and patterns
         for item_id, question, answer in items:
             q, a = _hashes(question), _hashes(answer)
             h = np.concatenate([q, a])
             if len(h) < LEAST_WORDS:
+                if len(h):
+                    phrase = r"\s+".join(map(re.escape, f"{question} {answer}".split()))
+                    pattern = rf"(?<!\w){phrase}(?!\w)" if len(h) > 1 else rf"(?m)^\s*{phrase}\s*$"
+                    self.short.setdefault(len(h), {}).setdefault(int(vec.grams(h, len(h))[0]), []).append((item_id, re.compile(pattern)))
                 continue
             for start in range(0, len(h), UNIT):
                 units.append(h[max(0, min(start, len(h) - UNIT)): start + UNIT])
                 of.append(len(self.items))
             self.items.append((item_id, len(q), _grams(q), len(a), _grams(a)))
         self.item_of = of
-        n, average = len(units), np.mean([len(u) for u in units]) if units else 1.0
+        average = np.mean([len(u) for u in units]) if units else 1.0
+        n = len(units)
         counts = [np.unique(u, return_counts=True) for u in units]
-        self.terms, df = np.unique(np.concatenate([t for t, _ in counts]), return_counts=True) if units else (np.zeros(0, U), np.zeros(0))
+        none = np.zeros(0, np.int64)
+        self.terms, df = np.unique(np.concatenate([t for t, _ in counts]), return_counts=True) if units else (np.zeros(0, U), none)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
-        self.block_max = np.zeros((len(self.terms), -(-n // BLOCK)), np.float32)
-        for i, (t, tf) in enumerate(counts):
-            at = np.searchsorted(self.terms, t)
-            w = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(units[i]) / average))
-            w /= w.sum()
-            for k, x in zip(at.tolist(), w.tolist(), strict=True):
-                self.postings[k][0].append(i)
-                self.postings[k][1].append(x)
-            self.block_max[at, i // BLOCK] = np.maximum(self.block_max[at, i // BLOCK], np.nextafter(w.astype(np.float32), np.float32(2)))
-        self.top = self.block_max.max(1) if len(self.terms) else np.zeros(0, np.float32)
+        places, weights = [none], [np.zeros(0)]
+        for (t, tf), words in zip(counts, units, strict=True):
+            places.append(np.searchsorted(self.terms, t))
+            w = idf[places[-1]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / average))
+            weights.append(w / w.sum())
+        term, weight = np.concatenate(places), np.concatenate(weights)
+        unit = np.repeat(np.arange(n), [len(t) for t, _ in counts])
+        self.postings = Lists(len(self.terms), term, unit, weight)
+        self.blocks = -(-n // BLOCK)
+        width = max(1, self.blocks)
+        cell, back = np.unique(term * width + unit // BLOCK, return_inverse=True)
+        best = np.zeros(len(cell))
+        np.maximum.at(best, back, weight)
+        self.block_max = Lists(len(self.terms), cell // width, cell % width, best)
+        self.top = np.zeros(len(self.terms))
+        np.maximum.at(self.top, term, weight)
         # place of a term by the top bits of its hash, then by search among the few that share them
         self.shift = U(64 - 16)
         self.slots = np.searchsorted(self.terms >> self.shift, np.arange((1 << 16) + 1, dtype=U))
@@ -102,12 +137,17 @@ class Index:
             out[hit] = lo[hit] + k
         return out
 
+    def bounds(self, terms: np.ndarray) -> np.ndarray:
+        """The sum of the terms' largest weights in each block, not less than the score of any of its units."""
+        return self.block_max.sums(terms, self.blocks) + 1e-9
+
     def wand(self, terms: list[int], bounds: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """Units that score ``least`` or more, by block-max WAND; ``bounds``: the sum of the terms' largest weights in each block."""
-        lists = [self.postings[t] for t in terms]
-        tops = [float(self.top[t]) for t in terms]
+        """Units that score ``least`` or more, by block-max WAND; of the postings only those in open blocks are taken up."""
+        fits = bounds >= least
+        lists = [(u[fits[u // BLOCK]].tolist(), w[fits[u // BLOCK]].tolist()) for u, w in map(self.postings.__getitem__, terms)]
+        tops = [float(self.top[t]) + 1e-12 for t in terms]
         out, cursor = [], [0] * len(lists)
-        open_ = (np.flatnonzero(bounds >= least) * BLOCK).tolist()           # first units of the blocks that can reach it
+        open_ = (np.flatnonzero(fits) * BLOCK).tolist()                      # first units of the blocks that can reach it
 
         def forward(k: int, unit: int) -> None:
             cursor[k] = bisect_left(lists[k][0], unit, cursor[k])
@@ -163,22 +203,34 @@ class Index:
         start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
         end = np.r_[start[1:], len(t)]
         found: dict[tuple[int, int], float] = {}
-        for i in np.flatnonzero(np.add.reduceat(self.top[t], start) >= least).tolist():
+        for i in np.flatnonzero(np.add.reduceat(self.top[t], start) >= least - 1e-9).tolist():
             terms = t[start[i]: end[i]]
-            bounds = self.block_max[terms].sum(0)
+            bounds = self.bounds(terms)
             if bounds.max() >= least:
                 for unit, score in self.wand(terms.tolist(), bounds, least):
                     at = (int(passage[start[i]]) // width, self.item_of[unit])
                     found[at] = max(found.get(at, 0.0), score)
         return found
 
-    def search(self, texts: pa.Array, least: float = SCORE, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
-        """(row, item_id, score, question overlap, answer overlap) of verified items."""
+    def phrases(self, row: np.ndarray, h: np.ndarray, text_of) -> list[tuple[int, str | int]]:
+        """(row, item) of the short items that stand in a row's text; hashes find the candidates."""
+        out = set()
+        for k, wanted in self.short.items():
+            if len(h) >= k:
+                found = vec.grams(h, k)
+                at = np.flatnonzero(np.isin(found, np.array(list(wanted), U)))
+                for r, g in sorted(set(zip(row[at].tolist(), found[at].tolist(), strict=True))):
+                    out.update((r, item) for item, pattern in wanted[g] if pattern.search(text_of(r)))
+        return sorted(out)
+
+    def search(self, texts: pa.Array, least: float = SCORE, overlap: float = OVERLAP) -> list[tuple[int, str | int, float, float, float]]:
+        """(row, item, score, question overlap, answer overlap) of verified items."""
         out = []
-        if not self.items:
+        if not self.items and not self.short:
             return out
         for lo, _, buf, offs in vec.slices(texts):
             _, _, row, h = vec.words(buf, offs, vec.ALNUM_LUT)
+            out += [(lo + r, item, 1.0, 1.0, 1.0) for r, item in self.phrases(row, h, lambda r, lo=lo: texts[lo + r].as_py())]
             held: dict[int, dict[int, np.ndarray]] = {}
             for (r, item), score in sorted(self.candidates(row, h, least).items()):
                 own = h[np.searchsorted(row, r): np.searchsorted(row, r, "right")]
@@ -195,24 +247,38 @@ class Index:
         return out
 
 
-def shards(benchmark: DataFrame, size: int = SHARD):
-    """An index for each ``size`` items, one at a time, so that the driver never holds more than a shard."""
-    cols = [c for c in ("question", "answer") if c in benchmark.columns]
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), *(cols if len(cols) == 2 else ["text"]))
-    parts = max(1, -(-items.count() // size))
-    order = F.xxhash64(*items.columns)
-    for part in range(parts):
-        rows = items.filter(F.pmod(order, F.lit(parts)) == part).collect()
-        rows = sorted((r for r in rows if r.item_id is not None), key=str)
-        yield Index([(r.item_id, r.question or "", r.answer or "") if len(cols) == 2 else (r.item_id, *_halves(r.text or "")) for r in rows])
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
+def _items(benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(item_id, item, question, answer) or (item_id, item, text): ``item`` is a digest of what an item says; and the columns that say it."""
+    cols = ["question", "answer"] if {"question", "answer"} <= set(benchmark.columns) else ["text"]
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols]
+    items = benchmark.select(F.col("item_id").cast("string").try_cast("long").alias("item_id"), *said)
+    return items.withColumn("item", F.sha2(F.to_json(F.struct(*cols)), 256)), cols
+
+
+def shards(benchmark: DataFrame, words: int = SHARD_WORDS):
+    """Indexes over the distinct items, each of items with at most ``words`` words together (or of one longer item). The
+    driver holds one partition of the items and one shard at a time, however many items there are."""
+    items, cols = _items(benchmark)
+    items = written_table(items.select("item", *cols).dropDuplicates(["item"]), "items")
+    shard, held = [], 0
+    for r in items.toLocalIterator():
+        pair = (r.question, r.answer) if len(cols) == 2 else _halves(r.text)
+        n = len(_hashes(pair[0])) + len(_hashes(pair[1]))
+        if shard and held + n > words:
+            yield Index(shard)
+            shard, held = [], 0
+        shard.append((r["item"], *pair))
+        held += n
+    if shard:
+        yield Index(shard)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP, words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): each item that a document holds."""
     vec.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-    for index in shards(benchmark):
+    found = docs.sparkSession.createDataFrame([], "doc_id long, item string, score double, question_overlap double, answer_overlap double")
+    for index in shards(benchmark, words):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
@@ -222,14 +288,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap:
                 yield batch_of(_FOUND, rows, *([x[i] for x in hits] for i in range(1, 5)))
 
         found = found.unionByName(docs.mapInArrow(run, found.schema))
-    return found
+    return found.join(_items(benchmark)[0].select("item", "item_id"), "item").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP, words: int = SHARD_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no test item. Of several shards each is a pass over what the one before kept, so that
+    a worker holds one index at a time."""
     vec.bounded_batches(docs.sparkSession)
-    for index in shards(benchmark):
+    for number, index in enumerate(shards(benchmark, words)):
         sent = docs.sparkSession.sparkContext.broadcast(index)
+        if number:
+            docs = written_table(docs, "unleaked")
 
         def run(batches, sent=sent):
             for b in batches:

@@ -79,7 +79,7 @@ def test_wand_equals_exhaustive_scoring():
                 scores[unit] += w
         for least in (0.4, 0.6, 0.8):
             want = set(np.flatnonzero(scores >= least).tolist())
-            assert {u for u, _ in index.wand(terms, index.block_max[terms].sum(0), least)} == want
+            assert {u for u, _ in index.wand(terms, index.bounds(np.array(terms)), least)} == want
 
 
 def test_planted_items_are_found(spark):
@@ -107,9 +107,13 @@ def test_shards_and_cases(spark, edges, clash, empty, monkeypatch):
     items = spark.createDataFrame([(i, f"{edge_rows()[11][1]} {i}", "tail ten words of an answer") for i in range(6)], "item_id long, question string, answer string")
     assert decontam.leaks(edges, items).count() == 0            # the question without the answer
     items = spark.createDataFrame([(i, " ".join(f"p{j}" for j in range(5 * i, 5 * i + 15))) for i in range(5)] * 2, "item_id long, text string")
-    whole = sorted(map(str, decontam.leaks(edges, items).collect()))
-    parts = [index for index in decontam.shards(items, 3)]
-    assert len(parts) >= 3 and sum(len(p.items) for p in parts) == 10 and whole
+    found = lambda **bound: sorted((r.doc_id is None, r.doc_id, r.item_id) for r in decontam.leaks(edges, items, **bound).collect())      # noqa: E731
+    whole = found()
+    parts = [index for index in decontam.shards(items, 40)]
+    assert len(parts) >= 3 and sum(len(p.items) for p in parts) == 5 and whole          # 15 words each, repeated items once
+    assert len([index for index in decontam.shards(items, 1)]) == 5                      # longer than a shard: one each
+    assert found(words=40) == whole
+    assert decontam.drop_leaks(edges, items, words=40).count() == decontam.drop_leaks(edges, items).count()
     kept = decontam.drop_leaks(clash, items)
     assert kept.columns == clash.columns
     hit = {r.doc_id for r in decontam.leaks(edges, items).collect()}
@@ -118,6 +122,26 @@ def test_shards_and_cases(spark, edges, clash, empty, monkeypatch):
     assert decontam.drop_leaks(edges, items.limit(0)).count() == edges.count()
 
 
+def test_short_items_and_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "He wrote: Zebra plum ink! Then he left."), (2, "zebra plum ink"), (3, "Zebra plum\n ink"), (4, "Zebra plum inks"), (5, "plum ink Zebra"),
+                                  (6, "an answer:\n Osmium \nthe end"), (7, "Osmium is a metal"), (8, None), (9, ""), (10, "now this item has no number at all, friends"),
+                                  (11, "Zebra plum, ink")], "doc_id long, text string")
+    items = spark.createDataFrame([("1", "Zebra plum ink"), ("2", "Osmium"), ("none", "this item has no number at all"), (None, "Zebra  plum ink"), ("5", "?!"), ("6", "")],
+                                  "item_id string, text string")
+    got = sorted((r.doc_id, r.item_id or 0) for r in decontam.leaks(docs, items).collect())
+    assert got == [(1, 0), (1, 1), (3, 0), (3, 1), (6, 2), (10, 0)]
+    assert sorted(r.doc_id for r in decontam.drop_leaks(docs, items).collect()) == [2, 4, 5, 7, 8, 9, 11]
+
+
+def test_long_items_make_a_small_index():
+    rnd = random.Random(4)
+    long = " ".join(f"w{rnd.randrange(40_000)}" for _ in range(60_000))
+    index = decontam.Index([(1, long[: len(long) // 2], long[len(long) // 2:]), (2, "six words of a short item", "and its answer")])
+    held = sum(x.nbytes for lists in (index.postings, index.block_max) for x in (lists.numbers, lists.weights, lists.start))
+    assert held < 64 * 60_000                                                             # follows the words, not their square
+    assert [x[1] for x in index.search(pa.array([long, long[1000:9000], "six words of a short item and its answer"]))] == [1, 2]
+
+
 # ---- pipeline ----------------------------------------------------------------------------------
 
 def test_pipeline_equals_brute_force(spark, reference, tmp_path):
