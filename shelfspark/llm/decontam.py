@@ -36,6 +36,7 @@ from shelfspark.llm.vec import batch_of, column
 
 U = np.uint64
 UNIT, BLOCK, SHARD_WORDS, LEAST_WORDS, GRAM = 64, 4, 1 << 20, 5, 5
+CELLS = 1 << 16                             # passages by blocks that are bounded at once
 K1, B = 1.2, 0.75
 SCORE, OVERLAP = 0.6, 0.5
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -72,11 +73,11 @@ class Lists:
         part = slice(self.start[key], self.start[key + 1])
         return self.numbers[part], self.weights[part]
 
-    def sums(self, keys: np.ndarray, n: int) -> np.ndarray:
-        """Sum of the weights of each of ``n`` numbers over the lists of ``keys``."""
+    def sums(self, keys: np.ndarray, group: np.ndarray, groups: int, n: int) -> np.ndarray:
+        """Sum of the weights of each of ``n`` numbers over the lists of each group's ``keys``."""
         size = self.start[keys + 1] - self.start[keys]
-        at = np.repeat(self.start[keys] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        return np.bincount(self.numbers[at], self.weights[at], n)
+        at = np.repeat(self.start[keys] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(np.repeat(group * n, size) + self.numbers[at], self.weights[at], groups * n).reshape(groups, n)
 
 
 class Index:
@@ -137,14 +138,17 @@ class Index:
             out[hit] = lo[hit] + k
         return out
 
-    def bounds(self, terms: np.ndarray) -> np.ndarray:
-        """The sum of the terms' largest weights in each block, not less than the score of any of its units."""
-        return self.block_max.sums(terms, self.blocks) + 1e-9
+    def bounds(self, terms: np.ndarray, passage: np.ndarray, passages: int) -> np.ndarray:
+        """For each passage the sum of its terms' largest weights in each block, not less than the score of any of its units."""
+        return self.block_max.sums(terms, passage, passages, self.blocks) + 1e-9
 
     def wand(self, terms: list[int], bounds: np.ndarray, least: float) -> list[tuple[int, float]]:
         """Units that score ``least`` or more, by block-max WAND; of the postings only those in open blocks are taken up."""
         fits = bounds >= least
-        lists = [(u[fits[u // BLOCK]].tolist(), w[fits[u // BLOCK]].tolist()) for u, w in map(self.postings.__getitem__, terms)]
+        lists = []
+        for u, w in map(self.postings.__getitem__, terms):
+            kept = fits[u // BLOCK]
+            lists.append((u[kept].tolist(), w[kept].tolist()))
         tops = [float(self.top[t]) + 1e-12 for t in terms]
         out, cursor = [], [0] * len(lists)
         open_ = (np.flatnonzero(fits) * BLOCK).tolist()                      # first units of the blocks that can reach it
@@ -203,11 +207,16 @@ class Index:
         start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
         end = np.r_[start[1:], len(t)]
         found: dict[tuple[int, int], float] = {}
-        for i in np.flatnonzero(np.add.reduceat(self.top[t], start) >= least - 1e-9).tolist():
-            terms = t[start[i]: end[i]]
-            bounds = self.bounds(terms)
-            if bounds.max() >= least:
-                for unit, score in self.wand(terms.tolist(), bounds, least):
+        live = np.flatnonzero(np.add.reduceat(self.top[t], start) >= least - 1e-9)
+        step = max(1, CELLS // self.blocks)
+        for some in (live[i: i + step] for i in range(0, len(live), step)):
+            size = end[some] - start[some]
+            own = np.repeat(np.arange(len(some)), size)
+            terms = t[np.repeat(start[some] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            bounds = self.bounds(terms, own, len(some))
+            for k in np.flatnonzero(bounds.max(1) >= least).tolist():
+                i = some[k]
+                for unit, score in self.wand(t[start[i]: end[i]].tolist(), bounds[k], least):
                     at = (int(passage[start[i]]) // width, self.item_of[unit])
                     found[at] = max(found.get(at, 0.0), score)
         return found

@@ -79,7 +79,7 @@ def test_wand_equals_exhaustive_scoring():
                 scores[unit] += w
         for least in (0.4, 0.6, 0.8):
             want = set(np.flatnonzero(scores >= least).tolist())
-            assert {u for u, _ in index.wand(terms, index.bounds(np.array(terms)), least)} == want
+            assert {u for u, _ in index.wand(terms, index.bounds(np.array(terms), np.zeros(25, np.int64), 1)[0], least)} == want
 
 
 def test_planted_items_are_found(spark):
