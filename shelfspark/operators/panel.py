@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import (DRIFT_FLAG_THRESHOLD, c_hash_noise, c_health, c_momentum,
                                  round_half_up)
 from .keys import keep_last
+from .ranks import dense_rank_desc
 
 INDEX_COLS = ["demand_index", "price_index", "sentiment_index", "search_index", "ad_index"]
 
@@ -242,7 +243,8 @@ def panel_features(master: DataFrame, lags=(1, 2, 3, 7), value: str = "demand_in
     marker in the row itself.
 
     Windows are per entity ordered by day number; the panel is unique on (entity, date), so one
-    entity holds at most #days rows and the window partitions are bounded."""
+    entity holds at most #days rows and the window partitions are bounded. A category may hold any number of entities a
+    day: its ranks are made by ``ranks.dense_rank_desc``."""
     base = master.withColumn("_day", F.unix_date("date"))
     if events is None:
         flag = F.col("marker_type") != "none" if "marker_type" in master.columns else F.lit(False)
@@ -255,13 +257,13 @@ def panel_features(master: DataFrame, lags=(1, 2, 3, 7), value: str = "demand_in
         "entity_id", "date", "category", value, *[F.first(value).over(w.rangeBetween(-k, -k)).alias(f"lag_{k}") for k in lags],
         *[round_half_up(F.avg(value).over(over(n)), 4).alias(f"roll_mean_{n}") for n in roll_days],
         F.stddev_samp(value).over(over(z_days)).alias("_sd"), F.avg(value).over(over(z_days)).alias("_mu"),
-        F.dense_rank().over(Window.partitionBy("category", "date").orderBy(F.col(value).desc())).alias("rank_in_category"),
         flag.alias("event_flag"))
+    out = dense_rank_desc(out, ["category", "date"], value, "rank_in_category")
     return out.select(
         "entity_id", "date", "category", value, *[f"lag_{k}" for k in lags], *[f"roll_mean_{n}" for n in roll_days],
         round_half_up(F.try_divide(F.col(value) - F.col("_mu"), F.col("_sd")), 4).alias("zscore"),
         round_half_up(F.try_divide(F.col(value), F.col("lag_1")) - 1, 4).alias("momentum"),
-        F.col("rank_in_category").cast("bigint").alias("rank_in_category"), "event_flag")
+        "rank_in_category", "event_flag")
 
 
 def category_summary(latest_rows: DataFrame, category: str | None = None) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import crawl, models, views
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources.snapshots import Snapshots
-from ..streaming import feed
+from ..streaming import feed, joined
 from ..streaming.seen import SeenUrls, run_seen_urls
 from . import backtest as bt
 from .crawl_queries import LINKS_SQL, sql_page_type
@@ -55,6 +55,16 @@ def q_stream_registry(spark, sf):
     return _stream_state(spark, sf, **_PERIODIC).table("registry").select("model_version", "created_seq", "date", "rows_seen", "training_mae", "retrain_reason")
 
 
+@query("stream_join_fva", f"{_FVA}\nSELECT * EXCLUDE (model_version) FROM fva")
+def q_stream_join_fva(spark, sf):
+    """C1 + K2: actuals and the forecasts made from them as two streams, joined on entity and day under watermarks."""
+    base = _scratch(spark, "joined")
+    joined.write_ordered_feed(cut_lineage(fx.actuals(spark, sf)), f"{base}/feed", [f.name for f in feed.ACTUALS_STREAM_SCHEMA.fields],
+                              days_at_once=6, files=2, close_after=5)
+    sides = [feed.daily_feed(spark, f"{base}/feed", max_files_per_trigger=2) for _ in range(2)]
+    return feed.run_to_table(joined.join_forecasts(sides[0], joined.forecast_stream(sides[1]), "3 days"), f"{base}/out")
+
+
 @query("stream_daily_summary", """
 SELECT CAST(ts AS DATE) AS date, COUNT(*) AS events, COUNT_IF(event_type = 'purchase') AS purchases,
   CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
