@@ -7,7 +7,7 @@ its own partition, and outputs are coalesced per partition to avoid the small-fi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import catalog
@@ -31,10 +31,33 @@ def salted(df: DataFrame, partition_col: str, buckets: int | None = None) -> Dat
     return df.repartition(F.col(partition_col), salt)
 
 
-def write_by_type(records: DataFrame, out_dir: str, mode: str = "append") -> None:
+#: The outputs of the scrape, each counted by its write.
+OUTPUTS = ("products", "reviews", "ads", "trends", "unclassified")
+
+
+class Counted:
+    """``df`` with counts that its own write makes (``observe``): no second pass over the data. The counts are taken in the
+    job's last stage, where each partition is counted once even if an executor was lost and shuffle output made anew."""
+
+    def __init__(self, df: DataFrame, **counts: Column):
+        self._seen, self._names = Observation(), list(counts)
+        self.df = df.observe(self._seen, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in counts.items()])
+
+    def counts(self) -> dict[str, int]:
+        """After the write; waits for it otherwise. A write that Spark found to be of no rows has zeros."""
+        got = self._seen.get
+        return {n: got.get(n, 0) for n in self._names}
+
+
+def write_by_type(records: DataFrame, out_dir: str, mode: str = "append") -> dict[str, int]:
     """One job writes every content type: ``records`` is (output, value JSON); files land in
-    ``out_dir/output=<products|reviews|ads|trends|unclassified>/``."""
-    salted(records, "output").write.mode(mode).partitionBy("output").text(out_dir)
+    ``out_dir/output=<products|reviews|ads|trends|unclassified>/``. Returns the records written: in all (``records``), for each
+    output, for outputs of other names (``other``), and those without a value among them (``blank``: empty lines)."""
+    output = F.coalesce("output", F.lit(""))
+    out = Counted(salted(records, "output"), records=F.count(F.lit(1)), **{n: F.count_if(output == n) for n in OUTPUTS},
+                  other=F.count_if(~output.isin(*OUTPUTS)), blank=F.count_if(F.col("value").isNull()))
+    out.df.write.mode(mode).partitionBy("output").text(out_dir)
+    return out.counts()
 
 
 def write_keyed(df: DataFrame, path: str, partition_col: str = "date") -> None:
@@ -59,13 +82,20 @@ def upsert_table(spark, path: str, new: DataFrame, keys, partition_col: str = "d
     write_keyed(cut_lineage(merged), path, partition_col)
 
 
-def write_catalog(deduped: DataFrame, skus: DataFrame, out_dir: str) -> None:
+def write_catalog(deduped: DataFrame, skus: DataFrame, out_dir: str) -> dict[str, int]:
     """Deduplicated records, the SKU registry (one line per SKU; ``total_skus`` is the line
-    count), the nested taxonomy (one JSON document per category) and the flat leaves."""
-    deduped.drop("seq").write.mode("overwrite").json(f"{out_dir}/deduped_products")
-    skus.drop("seq").write.mode("overwrite").json(f"{out_dir}/sku_registry")
-    catalog.taxonomy_tree(skus).write.mode("overwrite").json(f"{out_dir}/hierarchy")
-    catalog.taxonomy_flat(skus).write.mode("overwrite").json(f"{out_dir}/hierarchy_flat")
+    count), the nested taxonomy (one JSON document per category) and the flat leaves. Returns what the writes counted (D11):
+    ``input``, ``output`` and ``duplicates_removed`` of the dedup, ``unique_skus``, ``categories`` and ``leaves``."""
+    tables = {
+        "deduped_products": Counted(deduped.drop("seq"), input=F.sum("merged_count"), output=F.count(F.lit(1))),
+        "sku_registry": Counted(skus.drop("seq"), unique_skus=F.count(F.lit(1))),
+        "hierarchy": Counted(catalog.taxonomy_tree(skus), categories=F.count(F.lit(1))),
+        "hierarchy_flat": Counted(catalog.taxonomy_flat(skus), leaves=F.count(F.lit(1)))}
+    stats: dict[str, int] = {}
+    for name, table in tables.items():
+        table.df.write.mode("overwrite").json(f"{out_dir}/{name}")
+        stats |= table.counts()
+    return stats | {"duplicates_removed": stats["input"] - stats["output"]}
 
 
 def fva_serving(fva: DataFrame) -> DataFrame:

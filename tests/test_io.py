@@ -104,13 +104,27 @@ def test_write_catalog_and_load_serving(spark, tmpdir_path):
     d = catalog.dedup_products(p)
     s = catalog.build_skus(d)
     out = os.path.join(tmpdir_path, "cat")
-    writers.write_catalog(d, s, out)
+    stats = writers.write_catalog(d, s, out)
+    want = catalog.run_stats(d).first()
+    assert all(stats[n] == want[n] for n in ("input", "output", "duplicates_removed", "unique_skus", "leaves")) and stats["input"] == p.count()
+    assert stats["categories"] == spark.read.json(f"{out}/hierarchy").count()
     assert spark.read.json(f"{out}/sku_registry").count() == s.count()
     assert spark.read.json(f"{out}/hierarchy_flat").count() == s.count()
     serving = readers.load_serving(spark, tmpdir_path)
     assert serving["master"].count() == 0         # missing table = empty
 
 
+def test_records_are_counted_by_their_own_write(spark, tmpdir_path):
+    rows = [("products", "{}")] * 7 + [("ads", "{}"), ("ads", None), ("strange", "{}"), (None, "{}")]
+    df = spark.createDataFrame(rows, "output string, value string").repartition(3)
+    want = {"records": 11, "products": 7, "reviews": 0, "ads": 2, "trends": 0, "unclassified": 0, "other": 2, "blank": 1}
+    assert writers.write_by_type(df, f"{tmpdir_path}/a") == want
+    assert writers.write_by_type(df, f"{tmpdir_path}/a") == want                     # the second write counts its own records
+    assert spark.read.text(f"{tmpdir_path}/a").count() == 22
+    for none in (df.limit(0), df.filter("output = 'nothing'")):
+        assert set(writers.write_by_type(none, f"{tmpdir_path}/b").values()) == {0}
+
+
 def test_page_rules_extension(spark):
     rules = cl.PageRules(url=[(r"(?i)/deal/", cl.AD)] + cl.URL_RULES)
     df = spark.createDataFrame([("https://x.com/deal/1",), ("https://x.com/product/a",)], "u string")
