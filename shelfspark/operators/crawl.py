@@ -8,6 +8,7 @@ priority order. Joins are equi-joins whose strategy AQE picks from measured size
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.classify import CATEGORY, UNKNOWN, c_page_type_html, c_page_type_url, c_priority
 from ..functions.html import with_links
 from ..functions.url import c_host, c_is_address, c_link_ok, c_registered_domain
-from ..session import cut_lineage
+from ..session import checkpoint_dir
 from .keys import keep_first
+from .requests import COLUMNS, Requests
 
 MAX_PER_DOMAIN = 500
 # Numeric pagination query parameters, tried in this order.
@@ -138,7 +140,7 @@ def product_hint(urls: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def unseen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
     """Candidates whose URL was never seen (left anti join)."""
-    return candidates.join(seen.select(F.col(key)).distinct(), key, "left_anti")
+    return candidates.join(seen.select(F.col(key)), key, "left_anti")
 
 
 def cap_per_domain(cands: DataFrame, already: DataFrame | None = None, cap: int = MAX_PER_DOMAIN) -> DataFrame:
@@ -216,19 +218,23 @@ def expand_level(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame,
     return kids.withColumn("priority", c_priority("page_type")).orderBy("priority", "url")
 
 
-def crawl_plan(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame, cap: int = MAX_PER_DOMAIN) -> DataFrame:
+def crawl_plan(frontier: DataFrame, pages_links: DataFrame, seeds: DataFrame, cap: int = MAX_PER_DOMAIN,
+               requests: Requests | None = None) -> DataFrame:
     """Repeat ``expand_level`` until a level is empty. The requests' own largest max_depth bounds the number of
-    levels; a level beyond it raises. Each level is checkpointed reliably into ``spark.checkpoint.dir`` so lineage does
-    not grow and a lost executor does not recompute earlier levels."""
-    cols = ["url", "seed_category", "seed_domain", "origin_url", "depth", "max_depth", "parent_url",
-            "product_hint", "page_type"]
-    level = frontier.select(*[F.col(c) if c in frontier.columns else F.lit(None).cast("string").alias(c) for c in cols])
-    deepest = frontier.agg(F.max("max_depth")).first()[0] or 0
-    all_levels = level
-    for _ in range(deepest + 1):
-        counts = all_levels.groupBy("seed_domain").agg(F.count(F.lit(1)).alias("enqueued"))
-        level = cut_lineage(expand_level(level, pages_links, seeds, all_levels.select("url"), counts, cap).select(*cols))
-        if level.isEmpty():
-            return all_levels
-        all_levels = cut_lineage(all_levels.unionByName(level))
-    raise RuntimeError(f"requests below their max_depth of {deepest} are left after {deepest + 1} levels")
+    levels; a level beyond it raises. Each level is written once, as a partition of ``requests`` (default: a new table in
+    ``spark.checkpoint.dir``), which meets the next level's links in an anti-join without a shuffle of its own. A crawl whose table
+    has levels already goes on after the last one; its frontier is then not read."""
+    if requests is None:
+        requests = Requests(frontier.sparkSession, f"{checkpoint_dir(frontier.sparkSession).rstrip('/')}/crawl-{uuid.uuid4().hex}")
+    requests.keep_links(pages_links)
+    if requests.done() is None:
+        requests.write_level(0, frontier.select(*[F.col(c) if c in frontier.columns else F.lit(None).alias(c) for c in COLUMNS]))
+    at, n = requests.done()
+    deepest = requests.read().agg(F.max("max_depth")).first()[0] or 0
+    while n and at <= deepest:
+        seen = requests.read()
+        level = expand_level(seen.filter(F.col("level") == at).drop("level"), requests.links(), seeds, seen.select("url"), requests.enqueued(), cap)
+        at, n = at + 1, requests.write_level(at + 1, level)
+    if n:
+        raise RuntimeError(f"requests below their max_depth of {deepest} are left after {deepest + 1} levels")
+    return requests.read().drop("level")
