@@ -105,34 +105,44 @@ def child_context(edges: DataFrame) -> DataFrame:
         *([F.col("_parent_html_type")] if "_parent_html_type" in edges.columns else []))
 
 
-#: Lengths of the keyword beginnings on which URLs and keywords meet.
-GRAM_LENGTHS = (1, 2, 3, 5, 8)
+#: Length of the pieces on which URLs and keywords meet; a shorter keyword is a piece of its own.
+GRAM = 3
 
 
-def product_hint(urls: DataFrame, keywords: DataFrame) -> DataFrame:
+def _pieces(text: str, n) -> Column:
+    """The distinct substrings of ``n`` characters."""
+    starts = F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.char_length(text) - (n - 1)))
+    return F.array_distinct(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substr(F.col(text), i, F.lit(n))))
+
+
+def filed_keywords(keywords: DataFrame, url_grams: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(k, m, o, gram): each keyword once, under that of its pieces which the fewest URLs hold. A keyword that has a piece
+    which no URL holds can be in none and is left out. ``url_grams`` has a row (gram) for every URL and piece."""
+    kw = (keywords.select(F.lower("keyword").alias("k"), F.col("model_id").alias("m"), F.struct(F.col("product_ord").alias("po"), F.col("kw_ord").alias("ko")).alias("o"))
+          .filter(F.col("k").isNotNull() & (F.col("k") != "")).groupBy("k").agg(F.min_by("m", "o").alias("m"), F.min("o").alias("o")))
+    cut = kw.withColumn("gram", F.explode(F.when(F.char_length("k") < gram, F.array("k")).otherwise(_pieces("k", gram))))
+    held = (url_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))                  # a piece that most URLs hold is one row a task
+            .join(cut.select("gram").distinct(), "gram", "left_semi"))
+    return (cut.join(held, "gram", "left").groupBy("k")
+            .agg(F.any_value("m").alias("m"), F.any_value("o").alias("o"), F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("missing"))
+            .filter(F.col("missing") == 0).drop("missing"))
+
+
+def product_hint(urls: DataFrame, keywords: DataFrame, gram: int = GRAM) -> DataFrame:
     """Keep an existing hint; else the model id of the first keyword (seed order) that the
     URL contains, case-insensitively.
 
-    Keywords and URLs meet in an equi-join: a keyword on its beginning (the longest of
-    ``GRAM_LENGTHS`` characters that it has), a distinct URL on each of its substrings of those
-    lengths. ``contains`` verifies the candidates and ``min_by`` keeps the first in seed order."""
-    kw = (keywords.select(F.lower("keyword").alias("k"), F.col("model_id").alias("m"),
-                          F.col("product_ord").alias("po"), F.col("kw_ord").alias("ko"))
-          .filter(F.col("k").isNotNull() & (F.col("k") != "")))
-    size = F.lit(GRAM_LENGTHS[0])
-    for n in GRAM_LENGTHS[1:]:
-        size = F.when(F.char_length("k") >= n, F.lit(n)).otherwise(size)
-    kw = kw.groupBy("k").agg(F.min_by("m", F.struct("po", "ko")).alias("m"), F.min(F.struct("po", "ko")).alias("o")) \
-        .withColumn("gram", F.substr("k", F.lit(1), size))
+    Keywords and distinct URLs meet in an equi-join on pieces of ``gram`` characters: a URL has all of its pieces, a
+    keyword the one that the fewest URLs hold, so that a piece of every URL ("://", ".com") brings no candidates. URLs are cut
+    into shorter pieces only where a keyword has that length. ``contains`` verifies the candidates and ``min_by`` keeps the first
+    in seed order."""
+    short = keywords.select(F.collect_set(F.when(F.char_length("keyword") < gram, F.char_length("keyword"))).alias("n")).scalar()    # at most gram - 1 numbers
     need = (urls.filter(F.coalesce("product_hint", F.lit("")) == "").select("url").filter(F.col("url").isNotNull()).distinct()
             .withColumn("u", F.lower("url")))
-
-    def pieces(n: int) -> Column:
-        starts = F.when(F.char_length("u") >= n, F.sequence(F.lit(1), F.char_length("u") - (n - 1)))
-        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substr(F.col("u"), i, F.lit(n)))
-
-    grams = F.array_distinct(F.flatten(F.array(*map(pieces, GRAM_LENGTHS))))
-    hits = (need.withColumn("gram", F.explode(grams)).join(kw, "gram").filter(F.contains("u", "k"))
+    none = F.array().cast("array<string>")
+    cut = F.concat(_pieces("u", gram), *[F.when(F.array_contains("_short", n), _pieces("u", n)).otherwise(none) for n in range(1, gram)])
+    grams = need.withColumn("_short", short).select("url", "u", F.explode(cut).alias("gram"))
+    hits = (grams.join(filed_keywords(keywords, grams, gram), "gram").filter(F.contains("u", "k"))
             .groupBy("url").agg(F.min_by("m", "o").alias("_hint")))
     return (urls.join(hits, "url", "left").withColumn("product_hint", F.coalesce(F.nullif("product_hint", F.lit("")), "_hint"))
             .select(*urls.columns))

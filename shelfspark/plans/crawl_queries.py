@@ -263,6 +263,23 @@ def q_crawl_site(spark, sf):
     return plan.select("url", "seed_domain", "depth", "parent_url", "page_type")
 
 
+@query("product_hints", """WITH kw AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS k, p_name AS m, -p_partkey AS po, 0 AS ko FROM part
+  UNION ALL SELECT DISTINCT '.COM/' || lang || '/', 'lang ' || lang, 1, ascii(lang) * 256 + ascii(substr(lang, 2)) FROM documents WHERE lang IS NOT NULL),
+hits AS (SELECT url, m, row_number() OVER (PARTITION BY url ORDER BY po, ko) AS rn
+  FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL) JOIN kw ON contains(lower(url), lower(k)))
+SELECT page_id, url, m AS product_hint FROM pages LEFT JOIN (SELECT * FROM hits WHERE rn = 1) USING (url)""")
+def q_product_hints(spark, sf):
+    """For every page the part of the largest number in its URL, else its language; keywords of one character and more."""
+    part = fx.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("keyword"), F.col("p_name").alias("model_id"),
+                                              (-F.col("p_partkey")).cast("bigint").alias("product_ord"), F.lit(0).alias("kw_ord"))
+    langs = fx.table(spark, sf, "documents").select("lang").filter(F.col("lang").isNotNull()).distinct().select(
+        F.concat(F.lit(".COM/"), "lang", F.lit("/")).alias("keyword"), F.concat(F.lit("lang "), "lang").alias("model_id"), F.lit(1).cast("bigint").alias("product_ord"),
+        (F.ascii("lang") * 256 + F.ascii(F.substr("lang", F.lit(2)))).alias("kw_ord"))
+    urls = _pages(spark, sf).select("page_id", "url", F.lit(None).cast("string").alias("product_hint"))
+    return crawl.product_hint(urls, part.unionByName(langs))
+
+
 @query("parsed_pages")
 def q_parsed_pages(spark, sf):
     """H1-H12 + G15: one parsed row per page (rows-only; gold tests in pytest)."""

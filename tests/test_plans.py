@@ -7,7 +7,7 @@ from shelfspark import fixtures as fx
 from shelfspark.operators import keys, panel, views
 
 # queries that run streams / fits / crawl loops when called (their plans are checked elsewhere)
-EAGER = {"crawl_plan", "model_scores", "training_mae", "model_forecast", "fitted_registry"}
+EAGER = {"crawl_plan", "crawl_site", "model_scores", "training_mae", "model_forecast", "fitted_registry"}
 
 
 def plan(df) -> str:
