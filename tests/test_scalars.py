@@ -140,3 +140,19 @@ def test_alias_and_currency_tables(spark):
     df = spark.createDataFrame([("Acme", "Foo Phone", "CHF 1,200.50"), ("", "bar", "kr.99")], "b string, n string, p string")
     got = df.select(c_brand("b", "n", [("acme", "acme-corp"), ("bar", "barco")]).alias("brand"), c_price("p", {"chf": "CHF", "kr.": "SEK"}, "EUR").alias("price")).collect()
     assert [(r.brand, r.price.amount, r.price.currency) for r in got] == [("acme-corp", 1200.5, "CHF"), ("barco", 99.0, "SEK")]
+
+
+def test_plain_urls_are_not_taken_apart_and_come_out_the_same(spark):
+    urls = [None, "", "https://a.b", "HTTPS://A.b//", "http://a.b/p/?utm_source=x&sku=1&", "https://a.b/p?=v&x=&y", "https://a.b?a=1&b=2&a=3",
+            "https://a.b/p;q?ref=1", "https://a.b/p?x=%41", "http://u@a.b:80/p#f", "https://a.b/p\n", "//a.b/p?a=b=c", "https://a.b/p?ref=1"]
+    staged = url.with_normalized_url(spark.createDataFrame([(u,) for u in urls], "u string"), "u", "n")
+    assert [r.n for r in staged.collect()] == [r.n for r in staged.select(url.c_normalize_url("u").alias("n")).collect()]
+    assert "NOT _nu_plain" in staged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clean_text_is_only_looked_through(spark):
+    texts = ["", "a b", " a", "a ", "a  b", "a\tb", "a\x00b", "a&amp;b", "\ufb01x", "\x7f", "a\x85", None]
+    df = spark.createDataFrame([(t, "é" if i % 2 else "x") for i, t in enumerate(texts)], "t string, o string")
+    many = df.select(*[c.alias(n) for n, c in text.c_clean_many({"t": ("t", 9), "o": ("o", 9)}).items()])
+    assert [(r.t, r.o) for r in many.collect()] == [(text._py_clean(t) or "", "é" if i % 2 else "x") for i, t in enumerate(texts)]
+    assert text._clean_many_udf.evalType != text._clean_udf.evalType                    # no pandas batch for rows that send nothing
