@@ -131,6 +131,17 @@ def test_page_rules_extension(spark):
     assert [r[0] for r in df.select(cl.c_page_type_url("u", rules)).collect()] == ["ad_creative", "product_page"]
 
 
+def test_model_fit_has_tasks_by_rows(spark, monkeypatch):
+    """A fit is hundreds of jobs: few rows in many partitions must not make as many tasks in each."""
+    seen = []
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())))
+    train = spark.range(400).select(*[F.col("id").cast("double").alias(c) for c in [models.TARGET, *models.FEATURES]]).repartition(40)
+    models.fit_demand_model(train)
+    monkeypatch.setattr(models, "FIT_ROWS", 30)
+    models.fit_demand_model(train)
+    assert seen == [(1, 400), (14, 400)]
+
+
 def test_model_fit_score_save_load(spark, tmpdir_path):
     a = fx.actuals(spark, SF0001)
     train = models.training_set(a)
