@@ -2,11 +2,13 @@
 
 Whitespace chunks are counted per document and added up within a task; the sums go to segments by the
 chunk's hash, a row of many chunks each. In its segment each globally distinct chunk is tokenized once, and
-its terms meet its counts: occurrences by source, and documents of the language. That table is written once.
+its terms meet its counts: occurrences by source, and documents of the language. Spellings of a term share a
+segment, so they are added up there. That table is written once. Chunks are held in Arrow dictionaries and
+counted in numpy, without a Python object for a word.
 
 Distinct documents of a term do not add up (one document may hold it in several chunks), so a term first
-gets two exact bounds on its documents in a language: at least those of its most common chunk, at most the
-sum over its chunks. Only terms whose bounds lie on both sides of the limit have their documents counted one
+gets two exact bounds on its documents in a language: at least those of its most common chunk (or those that
+a segment has numbered), at most the sum over its chunks. Only terms whose bounds lie on both sides of the limit have their documents counted one
 by one, from the document numbers kept beside chunks of few documents.
 
 The sum of a pair of sources over all kept terms is taken apart: terms that one of them lacks have a
@@ -18,12 +20,9 @@ every pair has value 0; each row is a document of its own, repeated rows and row
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,141 +36,216 @@ MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 HELD = 2_000_000                   # chunks of documents, each document's own counted, that a task holds before it passes them on
 ROWS_OUT = 50_000
 LEAST_SEGMENTS = 64
+#: Byte -> byte of a lower-cased chunk as ``TERM`` sees it: ASCII but letters separates, A-Z are lower-cased.
+TERM_LUT = vec.LOWER_LUT.copy()
+TERM_LUT[[b for b in range(128) if not chr(b).isalpha()]] = 32
 _PACKED = pa.schema([("segment", pa.int32()), ("lang", pa.string()), ("sources", pa.list_(pa.string())),
                      *[(c, pa.binary()) for c in ("chunks", "docs", "held", "rows", "parts", "source", "n")]])
-_TERMS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("rows", pa.list_(pa.int64()))])
+_TERMS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("most", pa.int64()), ("rows", pa.list_(pa.int64()))])
 
 
-class _Sums:
-    """What a task holds of a language: documents of each chunk, its occurrences by source, and the documents' own chunks."""
+class _Held:
+    """What a task holds of a language: distinct chunks of each batch of documents, and where they stand how often."""
 
     def __init__(self):
-        self.docs, self.of, self.own = Counter(), {}, []
-
-    def add(self, number: int, source: str, chunks: list[bytes]) -> int:
-        distinct = set(chunks)
-        self.docs.update(distinct)
-        self.of.setdefault(source, Counter()).update(chunks)
-        self.own.append((number, distinct))
-        return len(distinct)
+        self.sources, self.parts = {}, []
+
+    def add(self, numbers: np.ndarray, sources: list[str], texts: pa.Array) -> int:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))                    # both change or cut at ASCII alone
+        chunks = lists.flatten().dictionary_encode()
+        code, size = chunks.indices.to_numpy().astype(np.int64), len(chunks.dictionary)
+        key = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy()) * size + code
+        key, n = _counted(key[code != pc.index(chunks.dictionary, "").as_py()], None)
+        row, code = np.divmod(key, size) if size else (key, key)
+        source = np.array([self.sources.setdefault(s, len(self.sources)) for s in sources], np.int32)
+        self.parts.append((pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), chunks.dictionary), numbers[row], source[row], n))
+        return len(key)
 
     def pack(self, min_docs: int, segments: int):
         """By segment: its chunks in a line, and arrays of their documents, of their documents' numbers, and of their parts."""
-        chunks = list(self.docs)
-        at = dict(zip(chunks, range(len(chunks)), strict=True)).__getitem__
-        docs = np.fromiter(self.docs.values(), np.int64, len(chunks))
-        segment = np.fromiter(map(zlib.crc32, chunks), np.int64, len(chunks)) % segments
+        chunks = pa.chunked_array([x[0] for x in self.parts]).unify_dictionaries()
+        names = chunks.chunk(0).dictionary
+        code = np.concatenate([c.indices.to_numpy() for c in chunks.chunks])
+        number, source, n = (np.concatenate([x[i] for x in self.parts]) for i in (1, 2, 3))
+        segment = _segments(names, segments)
+        segment[np.bincount(code, minlength=len(names)) == 0] = -1
         order = np.argsort(segment, kind="stable")
-        place = np.empty(len(chunks), np.int64)
-        place[order] = np.arange(len(chunks))
-        few = {chunks[i] for i in np.flatnonzero(docs < min_docs).tolist()}
-        met, number = [], []
-        for row, distinct in self.own:
-            hits = distinct & few
-            met += map(at, hits)
-            number += [row] * len(hits)
-        rows_of, rows = self._sorted(place[np.array(met, np.int64)], np.array(number, np.int64))
-        parts_of, source, n = self._sorted(
-            place[np.concatenate([np.fromiter(map(at, c), np.int64, len(c)) for c in self.of.values()])],
-            np.repeat(np.arange(len(self.of)), [len(c) for c in self.of.values()]),
-            np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in self.of.values()]))
-        docs, held, parts = docs[order], np.bincount(rows_of, minlength=len(chunks)), np.bincount(parts_of, minlength=len(chunks))
+        order = order[segment[order] >= 0]
+        place = np.full(len(names), -1, np.int64)
+        place[order] = np.arange(len(order))
+        at = place[code]
+        number, source, n, at = (x[at >= 0] for x in (number, source, n, at))
+        docs = np.bincount(at, minlength=len(order))
+        rare = docs[at] < min_docs
+        rows_of, rows = _sorted(at[rare], number[rare])
+        key, n = _counted(at * len(self.sources) + source, n)
+        parts_of, source = np.divmod(key, len(self.sources))
+        held, parts = np.bincount(rows_of, minlength=len(order)), np.bincount(parts_of, minlength=len(order))
         edge = np.searchsorted(segment[order], np.arange(segments + 1))
         row_edge, part_edge = np.searchsorted(rows_of, edge), np.searchsorted(parts_of, edge)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), names.take(pa.array(order))), " ")
         for k in np.flatnonzero(np.diff(edge)).tolist():
             own, r, p = (slice(e[k], e[k + 1]) for e in (edge, row_edge, part_edge))
-            yield k, list(self.of), b" ".join([chunks[i] for i in order[own].tolist()]), *(x.tobytes() for x in (
+            yield k, list(self.sources), lines[k].as_py().encode(), *(x.tobytes() for x in (
                 docs[own].astype(np.uint32), held[own].astype(np.uint32), rows[r], parts[own].astype(np.uint32), source[p].astype(np.uint32), n[p].astype(np.uint32)))
 
-    @staticmethod
-    def _sorted(place: np.ndarray, *values: np.ndarray):
-        order = np.argsort(place, kind="stable")
-        return place[order], *(v[order] for v in values)
+
+def _sorted(key: np.ndarray, *values: np.ndarray):
+    order = np.argsort(key, kind="stable")
+    return key[order], *(v[order] for v in values)
+
+
+def _counted(key: np.ndarray, n: np.ndarray | None):
+    """Distinct keys in order, and their sums of ``n`` (None: how often they come)."""
+    if n is None:
+        key = np.sort(key)
+    else:
+        key, n = _sorted(key, n)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    if n is None:
+        return key[first], np.diff(first, append=len(key))
+    return key[first], np.add.reduceat(n.astype(np.int64), first) if len(first) else n.astype(np.int64)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ..., ``count`` of them, for each entry."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _segments(chunks: pa.Array, segments: int) -> np.ndarray:
+    """The segment of each chunk, -1 without a term. Spellings of one term with up to two other bytes go together, so that
+    they are added up there; any other chunk goes by itself."""
+    out = np.full(len(chunks), -1, np.int64)
+    for lo, _, buf, offs in vec.slices(chunks):
+        s, e, row, term = vec.words(buf, offs, TERM_LUT)
+        _, _, whole_row, whole = vec.words(buf, offs)
+        h, size = np.zeros(len(offs) - 1, np.uint64), np.diff(offs)
+        h[whole_row] = whole
+        terms = np.bincount(row, minlength=len(h))
+        one = (terms[row] == 1) & (size[row] - (e - s) <= 2)
+        h[row[one]] = term[one]
+        out[lo: lo + len(h)] = np.where(terms > 0, (h % np.uint64(segments)).astype(np.int64), -1)
+    return out
 
 
 def chunk_counts(docs: DataFrame, segments: int, min_docs: int = MIN_DOCS) -> DataFrame:
     """Documents that hold a chunk and its occurrences by source, added up within a task: a row a segment and language. ``rows``
-    numbers the documents of a chunk where there are fewer than ``min_docs``."""
+    numbers the documents of a chunk where there are fewer than ``min_docs``. Chunks have A-Z lower-cased."""
     vec.bounded_batches(docs.sparkSession)
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def flush(held):
         for lang, sums in held.items():
-            for segment, *rest in sums.pack(min_docs, segments) if sums.docs else ():
+            for segment, *rest in sums.pack(min_docs, segments):
                 yield vec.batch_of(_PACKED, [segment], [lang], *([x] for x in rest))
 
     def count(batches):
         number = TaskContext.get().partitionId() << 40
         held, pairs = {}, 0
         for b in batches:
-            for lang, source, text in zip(*(column(b, c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                number += 1
-                pairs += held.setdefault(lang, _Sums()).add(number, source, text.encode().split())
-                if pairs >= HELD:
-                    yield from flush(held)
-                    held, pairs = {}, 0
+            langs = column(b, "lang").dictionary_encode()
+            of, sources, texts = langs.indices.to_numpy(), column(b, "source").to_pylist(), column(b, "text")
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                own = np.flatnonzero(of == k)
+                pairs += held.setdefault(lang, _Held()).add(number + own, [sources[i] for i in own.tolist()], texts.take(pa.array(own)))
+            number += len(b)
+            if pairs >= HELD:
+                yield from flush(held)
+                held, pairs = {}, 0
         yield from flush(held)
 
     return plain.mapInArrow(count, "segment int, lang string, sources array<string>, chunks binary, docs binary, held binary, rows binary, "
                             "parts binary, source binary, n binary")
 
 
+class _Segment:
+    """Chunks of a segment and language: packed pieces as they come, added up when as many again have come as are held."""
+
+    def __init__(self, min_docs: int):
+        self.min_docs, self.sources, self.pieces, self.merged = min_docs, {}, [], 0
+
+    def add(self, sources: list[str], chunks: bytes, docs, held, rows, parts, source, n) -> None:
+        docs, held, parts, source, n = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (docs, held, parts, source, n))
+        ids = np.array([self.sources.setdefault(s, len(self.sources)) for s in sources], np.int64)
+        self.pieces.append((pc.split_pattern(pa.array([chunks.decode()]), " ").flatten(), docs, held, np.frombuffer(rows, np.int64), parts, ids[source], n))
+        if sum(len(p[-1]) for p in self.pieces[1:]) > max(HELD, self.merged):
+            self.merge()
+
+    def merge(self):
+        """One piece of all, in which each chunk stands once."""
+        chunks = pa.concat_arrays([p[0] for p in self.pieces]).dictionary_encode()
+        code, size = chunks.indices.to_numpy().astype(np.int64), len(chunks.dictionary)
+        docs, held, rows, parts, source, n = (np.concatenate([p[i] for p in self.pieces]) for i in range(1, 7))
+        rows_of, part_of = np.repeat(code, held), np.repeat(code, parts)
+        by, n = _counted(part_of * len(self.sources) + source, n)
+        part_of, source = np.divmod(by, len(self.sources))
+        code, docs = _counted(code, docs)
+        rare = docs[rows_of] < self.min_docs
+        rows_of, rows = _sorted(rows_of[rare], rows[rare])
+        self.pieces = [(chunks.dictionary, docs, np.bincount(rows_of, minlength=size), rows, np.bincount(part_of, minlength=size), source, n)]
+        self.merged = len(n)
+        return self.pieces[0]
+
+    def terms(self, lang: str):
+        """Batches of ``_TERMS``: each chunk is tokenized, and its counts go to its terms."""
+        chunks, docs, held, rows, parts, source, n = self.merge()
+        buf, offs = vec.text_buffer(chunks)
+        lists = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(chunks), pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(TERM_LUT[buf])))
+        words = lists.flatten().dictionary_encode()
+        word, size = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+        key = word * len(chunks) + np.repeat(np.arange(len(chunks)), lists.value_lengths().to_numpy())
+        key, times = _counted(key[word != pc.index(words.dictionary, "").as_py()], None)
+        if not len(key):
+            return
+        word, chunk = np.divmod(key, len(chunks))                                   # by word, a row a chunk that holds it
+        part = _spread((np.cumsum(parts) - parts)[chunk], parts[chunk])
+        by, total = _counted(np.repeat(word, parts[chunk]) * len(self.sources) + source[part], np.repeat(times, parts[chunk]) * n[part])
+        of, source = np.divmod(by, len(self.sources))
+        none = lambda k, kind: pa.nulls(k, kind)
+        yield words.dictionary.take(pa.array(of)), pa.array(list(self.sources), pa.string()).take(pa.array(source)), pa.array(total), none(len(by), pa.int64()), none(len(by), _TERMS.field("rows").type)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        seen, least, most = word[first], np.maximum.reduceat(docs[chunk], first), np.add.reduceat(docs[chunk], first)
+        row_of, row = np.repeat(word, held[chunk]), rows[_spread((np.cumsum(held) - held)[chunk], held[chunk])]
+        order = np.lexsort((row, row_of))
+        row_of, row = row_of[order], row[order]
+        new = np.concatenate([np.ones(min(1, len(row)), bool), (row_of[1:] != row_of[:-1]) | (row[1:] != row[:-1])])
+        row_of, row = row_of[new], row[new]
+        at_least = np.zeros(size, np.int64)
+        at_least[seen] = np.maximum(least, np.bincount(row_of, minlength=size)[seen])
+        row_of, row = (x[at_least[row_of] < self.min_docs] for x in (row_of, row))
+        edges = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=size)[seen])])
+        yield (words.dictionary.take(pa.array(seen)), none(len(seen), pa.string()), pa.array(at_least[seen]), pa.array(most),
+               pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(row, pa.int64())))
+
+
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term, source, n, rows): for each distinct chunk and term in it, a row a source with the term's occurrences, and one
-    with source null, the chunk's documents, and their numbers where there are fewer than ``min_docs``."""
+    """(lang, term, source, n, most, rows), added up within a segment: for each term a row a source with its occurrences, and one
+    with source null, at least so many documents (n), at most so many, and the documents' numbers where n is under ``min_docs``."""
     segments = max(LEAST_SEGMENTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def add(into, sources, chunks, docs, held, rows, parts, source, n):
-        row = part = 0
-        docs, held, parts, source, n = (np.frombuffer(x, np.uint32).tolist() for x in (docs, held, parts, source, n))
-        rows = np.frombuffer(rows, np.int64).tolist()
-        for chunk, d, h, k in zip(chunks.split(b" "), docs, held, parts, strict=True):
-            v = into.get(chunk)
-            if v is None:
-                v = into[chunk] = [0, [], {}]
-            v[0] += d
-            if v[0] < min_docs:
-                v[1] += rows[row: row + h]
-            of = v[2]
-            for i in range(part, part + k):
-                s = sources[source[i]]
-                of[s] = of.get(s, 0) + n[i]
-            row, part = row + h, part + k
-
     def tokenize(batches):
-        whole: dict[int, dict] = {}
+        whole: dict[int, dict[str, _Segment]] = {}
         for b in batches:
             for segment, lang, *packed in zip(*(column(b, f.name).to_pylist() for f in _PACKED), strict=True):
-                add(whole.setdefault(segment, {}).setdefault(lang, {}), *packed)
-        term = re.compile(TERM)
-        out: tuple[list, ...] = tuple([] for _ in _TERMS)
+                whole.setdefault(segment, {}).setdefault(lang, _Segment(min_docs)).add(*packed)
         for langs in whole.values():
-            known = {}                                                    # a chunk of several languages is tokenized once
-            for lang, chunks in langs.items():
-                for chunk, (docs, rows, of) in chunks.items():
-                    if (terms := known.get(chunk)) is None:
-                        terms = known[chunk] = Counter(term.findall(chunk.lower().decode()))      # bytes.lower() changes A-Z alone
-                    for t, k in terms.items():
-                        m = len(of) + 1
-                        for o, x in zip(out, ([lang] * m, [t] * m, [*of, None], [k * x for x in of.values()] + [docs],
-                                              [None] * (m - 1) + [rows if docs < min_docs else None]), strict=True):
-                            o += x
-                    if len(out[0]) >= ROWS_OUT:
-                        yield vec.batch_of(_TERMS, *out)
-                        out = tuple([] for _ in _TERMS)
-        yield vec.batch_of(_TERMS, *out)
+            for lang, held in langs.items():
+                for term, *rest in held.terms(lang):
+                    out = vec.batch_of(_TERMS, pa.repeat(lang, len(term)), term, *rest)
+                    for i in range(0, len(out), ROWS_OUT):
+                        yield out.slice(i, ROWS_OUT)
 
     packed = chunk_counts(docs, segments, min_docs).repartitionById(segments, F.col("segment"))
-    return packed.mapInArrow(tokenize, "lang string, term string, source string, n long, rows array<long>")
+    return packed.mapInArrow(tokenize, "lang string, term string, source string, n long, most long, rows array<long>")
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, source, c): occurrences, per source, of the terms in at least ``min_docs`` documents of the language."""
     counts = written_table(term_counts(docs, min_docs), "term_counts")
     in_docs = counts.filter(F.col("source").isNull())
-    bounds = written_table(in_docs.groupBy("lang", "term").agg(F.max("n").alias("least"), F.sum("n").alias("most"))
+    bounds = written_table(in_docs.groupBy("lang", "term").agg(F.max("n").alias("least"), F.sum("most").alias("most"))
                            .filter(F.col("most") >= min_docs), "term_bounds")
-    # chunks of open terms stand in fewer than min_docs documents, so the numbers of these are all there
+    # a segment that knows fewer than min_docs documents of a term gives their numbers, so those of open terms are all there
     closed = (in_docs.join(bounds.filter(F.col("least") < min_docs), ["lang", "term"]).select("lang", "term", F.explode("rows").alias("row"))
               .groupBy("lang", "term").agg(F.count_distinct("row").alias("docs")).filter(F.col("docs") >= min_docs))
     kept = bounds.filter(F.col("least") >= min_docs).select("lang", "term").unionByName(closed.select("lang", "term"))

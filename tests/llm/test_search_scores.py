@@ -79,6 +79,15 @@ def test_divergence_clashing_names_and_empty(spark, edges, clash, empty):
     assert divergence.divergence(empty).collect() == []
 
 
+def test_divergence_adds_up_spellings_in_their_segment(spark):
+    """A term's plain spellings come out as one row a source and one of bounds, not as rows of each chunk."""
+    rows = [(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(["Same same, x-y", "(same)", "SAME. same; same", "1 2", "same"])]
+    counts = divergence.term_counts(spark.createDataFrame(rows, SCHEMA).repartition(3), 10).filter("term = 'same'")
+    assert sorted(counts.filter("source IS NOT NULL").select("source", "n").collect()) == [("s0", 6), ("s1", 1)]
+    bounds = counts.filter("source IS NULL").collect()
+    assert [(b.n, b.most, len(set(b.rows))) for b in bounds] == [(4, 7, 4)]
+
+
 def test_divergence_large_counts_are_exact(spark):
     row = spark.createDataFrame([(90_000_000_000, 1_000_000_000_000, 7)], "c long, n long, v long").select(divergence._p("c", "n", "v").alias("p")).first()
     assert row.p == 1 + 10**9 * 90_000_000_002 // (1_000_000_000_000 + 14)
