@@ -201,3 +201,15 @@ def test_catalog_job_and_filters(spark):
     m = panel.to_master(_panel(spark))
     fv = views.filter_values(m, keys.latest(m))
     assert [r.category for r in fv["categories"].collect()] == ["cat"] and fv["entities"].count() == 2
+
+
+def test_listings_have_tasks_by_rows(spark, monkeypatch):
+    """A listing is sorted by fingerprint behind its join: its task must not grow with the few bytes of its keys."""
+    from conftest import SF0001
+    from shelfspark import fixtures as fx
+    sold = fx.table(spark, SF0001, "lineitem").count()
+    want = sorted(r.listing_id for r in fx.listings(spark, SF0001).collect())
+    monkeypatch.setattr(fx, "LISTINGS_A_TASK", 100)
+    listings = fx.listings(spark, SF0001)
+    assert listings.rdd.getNumPartitions() == -(-sold // 100)
+    assert sorted(r.listing_id for r in listings.collect()) == want
