@@ -191,6 +191,17 @@ def test_lm_dealt_filter_gives_the_same_scores(spark, edges, order):
     assert by_score(whole) == by_score(dealt) and bases(whole) == bases(dealt)
 
 
+@pytest.mark.parametrize(("block", "blocks"), [(1, 3), (1 << 18, 1)])
+def test_lm_dealt_filter_is_asked_by_blocks_of_texts(spark, monkeypatch, block, blocks):
+    """Grams go to the segments once a block, not once a text, and a block's scores are those of its texts."""
+    docs = spark.range(2500).selectExpr("id AS doc_id", "concat('a', id % 7, ' b', id % 11, ' c', id, ' a', id % 5) AS text").coalesce(1)
+    whole, seen, dealt = lm_score.lm_scores(docs, learn()), [], lm_score._dealt_scores
+    monkeypatch.setattr(lm_score, "BLOCK", block)
+    monkeypatch.setattr(lm_score, "_dealt_scores", lambda rows, *rest: seen.append(rows.count()) or dealt(rows, *rest))
+    assert by_score(lm_score.lm_scores(docs, learn(), broadcast_bytes=0)) == by_score(whole)
+    assert sum(seen) == blocks                                            # a batch of 1000 texts is the least
+
+
 def exact_scores(rows, order):
     """The same formula on quantised exact counts."""
     seqs = [(d, ["<s>"] * (order - 1) + [*WORD.findall(lowered(t)), None]) for d, t, *_ in rows]
