@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import catalog, keys, panel, views
 from shelfspark.plans import backtest as bt
+from shelfspark.session import written_once
 
 D1, D2, D3 = dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 1, 3)
 
@@ -61,6 +62,18 @@ def test_dedup_order_independent(spark):
     assert a == b
 
 
+def test_sku_links_of_keyed_records(spark):
+    """Records that have their keys give the links of raw ones, and nothing is parsed again."""
+    rows = [(i, [None, "", f"https://S{i % 3}.com/p/{i % 7}/?utm_source=x"][min(i % 9, 2)], f"s{i % 3}.com", "c", f"Name {i % 7}",
+             "" if i % 2 else "Brand", None, f"Rs. {100 + i % 7}", "84%", f"{i} ratings") for i in range(90)]
+    p = _products(spark, rows)
+    k = written_once(catalog.keyed(p), "test_keyed")
+    once, twice = catalog.sku_links(k, catalog.dedup_products(k)), catalog.sku_links(p, catalog.dedup_products(p))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) and once.count() > 20
+    assert sorted(map(repr, catalog.dedup_products(k).collect())) == sorted(map(repr, catalog.dedup_products(p).collect()))
+    assert "sha2(" not in once._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sku_weighted_rating(spark):
     deduped = spark.createDataFrame(
         [(1, "Acme", "Widget", "", "c", 10.0, "INR", 4.0, 3, ["u1"], "a.com", 1),

@@ -57,6 +57,13 @@ def test_scrape_reads_pages_once(spark):
     assert plan.count("FileScan parquet") == 1 and plan.count("MapInPandas") == 1
 
 
+def test_sku_links_parse_records_once(spark):
+    """Links and SKUs come from one written table of keyed records."""
+    import __spark_entry__ as E
+    p = plan(E.queries()["sku_links"](spark, SF0001))
+    assert "keyed_products" in p and "sha2(" not in p and "lineitem.parquet" not in p
+
+
 def test_backtest_compares_once(spark):
     """The comparison of all dates: two scans of the events and few exchanges, none of them for a stored forecast."""
     from shelfspark.plans import backtest as bt
