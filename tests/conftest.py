@@ -27,6 +27,12 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(autouse=True, scope="module")
+def nothing_cached_before(spark):
+    """What another file's tests left in the cache would stand in the plans of these."""
+    spark.catalog.clearCache()
+
+
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="shelfspark-test-")
